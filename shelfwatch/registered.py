@@ -12,7 +12,7 @@ from shelfwatch.functions import formulas as f
 from shelfwatch.functions.names import closing, lead_days
 from shelfwatch.functions.numeric import round_half_up
 from shelfwatch.operators import changes, criticality, quality, rolling, tails, usage
-from shelfwatch.operators.joins import flag_keys, with_keys, without_keys
+from shelfwatch.operators.joins import flag_keys, without_keys
 from shelfwatch.plans import history, latest, oplog, orders, retention
 from shelfwatch.schema import DAY_KEY, LEDGER_COLUMNS, SERIES_KEY
 from shelfwatch.sources import ledger as ledger_files
@@ -39,14 +39,22 @@ def _staged_stock(rows: DataFrame, as_of: Column) -> DataFrame:
     return staged(latest.stock_analytics(rows, as_of), "stock")
 
 
-def _ordered_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Series ordered on the newest order date."""
-    placed = star.orders_tracking(spark, sf)
-    return placed.filter(F.col("order_date") == placed.agg(F.max("order_date")).scalar()).select(*SERIES_KEY)
+def _stored_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger as a stored table, for queries that read it more than once."""
+    return staged(star.ledger(spark, sf), "ledger")
+
+
+def _ordered_today(spark: SparkSession, sf: str) -> DataFrame:
+    """Series ordered on the newest order date, with the quantity."""
+    per_day = star.orders_tracking(spark, sf).groupBy(*SERIES_KEY, "order_date").agg(
+        F.sum("ordered_qty").alias("order_qty")
+    )
+    per_day = staged(per_day, "ordered")
+    return per_day.filter(F.col("order_date") == per_day.agg(F.max("order_date")).scalar()).drop("order_date")
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    return usage.with_risk(star.ledger(spark, sf))
+    return usage.with_risk(_stored_ledger(spark, sf))
 
 
 # --- sources and sinks -----------------------------------------------------------
@@ -105,7 +113,7 @@ def s_profile(spark, sf):
 
 
 def s_export(spark, sf):
-    rows = history.score_rows(history.alerts(star.ledger(spark, sf), ordered=False), star.star_rules())
+    rows = history.score_rows(history.alerts(_stored_ledger(spark, sf), ordered=False), star.star_rules())
     return orders.action_table(rows, V.TOP_ACTIONS)
 
 
@@ -113,7 +121,7 @@ def s_export(spark, sf):
 
 
 def p_slice(spark, sf):
-    chosen = usage.slice_ledger(star.ledger(spark, sf), organization="ASIA", location="All", item="PROMO")
+    chosen = usage.slice_ledger(_stored_ledger(spark, sf), organization="ASIA", location="All", item="PROMO")
     return usage.with_average_usage(chosen).select(
         *DAY_KEY, "closing_stock", round_half_up(F.col("avg_usage"), 4).alias("avg_usage")
     )
@@ -137,7 +145,7 @@ def p_urg4(spark, sf):
 
 def p_reorder(spark, sf):
     quantity = f.reorder_qty(lead_days(), F.col("avg_usage"), closing())
-    return usage.with_average_usage(star.ledger(spark, sf)).select(
+    return usage.with_average_usage(_stored_ledger(spark, sf)).select(
         *DAY_KEY, round_half_up(quantity, 4).alias("reorder_qty")
     )
 
@@ -154,7 +162,7 @@ def p_score(spark, sf):
 
 def p_crit(spark, sf):
     rules = star.star_rule_rows(spark)
-    rows = criticality.with_criticality(star.ledger(spark, sf), rules, star.STAR_DEFAULT_SCORE)
+    rows = criticality.with_criticality(_stored_ledger(spark, sf), rules, star.STAR_DEFAULT_SCORE)
     return rows.select(*DAY_KEY, "criticality")
 
 
@@ -173,15 +181,12 @@ def p_action(spark, sf):
 
 
 def _calculator(spark, sf):
-    return history.calculator_rows(star.ledger(spark, sf), ordered=False)
+    return history.calculator_rows(_stored_ledger(spark, sf), ordered=False)
 
 
 def p_whatif(spark, sf):
     """Orders of the newest day projected on the latest stock; others get the default."""
-    placed = star.orders_tracking(spark, sf)
-    today = placed.filter(F.col("order_date") == placed.agg(F.max("order_date")).scalar())
-    wanted = today.select(*SERIES_KEY, F.col("ordered_qty").alias("order_qty"))
-    return orders.what_if(_stock(spark, sf), wanted).select(
+    return orders.what_if(_stock(spark, sf), _ordered_today(spark, sf)).select(
         *SERIES_KEY, "order_qty", "projected_stock", "current_days", "projected_days", "days_gained"
     )
 
@@ -226,7 +231,7 @@ def p_alerttype(spark, sf):
 
 
 def j_latest(spark, sf):
-    return history.latest_snapshot(star.ledger(spark, sf))
+    return history.latest_snapshot(_stored_ledger(spark, sf))
 
 
 def j_enrich(spark, sf):
@@ -238,7 +243,7 @@ def j_enrich(spark, sf):
 
 
 def _two_versions(spark, sf) -> tuple[DataFrame, DataFrame, Column]:
-    rows = staged(star.ledger(spark, sf), "ledger")
+    rows = _stored_ledger(spark, sf)
     previous, current = star.ledger_versions(rows)
     return previous, current, rows.agg(F.max("date")).scalar()
 
@@ -247,8 +252,7 @@ def _second_alert_run(spark, sf, dedupe: str) -> DataFrame:
     """Alerts of the current ledger version, after the previous one alerted that day."""
     previous, current, as_of = _two_versions(spark, sf)
     old, new = _staged_stock(previous, as_of), _staged_stock(current, as_of)
-    nothing = old.sparkSession.createDataFrame([], latest.alert_candidates(old, latest.reorder_recommendations(old), as_of).schema)
-    first = staged(latest.new_alerts(old, latest.reorder_recommendations(old), nothing, as_of), "alerts")
+    first = staged(latest.alert_candidates(old, latest.reorder_recommendations(old), as_of), "alerts")
     return latest.new_alerts(new, latest.reorder_recommendations(new), first, as_of, dedupe)
 
 
@@ -261,17 +265,17 @@ def t_alerts(spark, sf):
 
 
 def j_unordered(spark, sf):
-    return without_keys(_stock(spark, sf), _ordered_items(spark, sf), SERIES_KEY).select(*SERIES_KEY, "closing_stock")
+    return without_keys(_stock(spark, sf), _ordered_today(spark, sf), SERIES_KEY).select(*SERIES_KEY, "closing_stock")
 
 
 def j_ordered(spark, sf):
-    return flag_keys(_stock(spark, sf), _ordered_items(spark, sf), SERIES_KEY, "ordered").select(
+    return flag_keys(_stock(spark, sf), _ordered_today(spark, sf), SERIES_KEY, "ordered").select(
         *SERIES_KEY, "closing_stock", "ordered"
     )
 
 
 def j_ordered_list(spark, sf):
-    return history.ordered_alerts(star.ledger(spark, sf), star.star_rules(), _ordered_items(spark, sf))
+    return history.ordered_alerts(_stored_ledger(spark, sf), star.star_rules(), _ordered_today(spark, sf))
 
 
 def j_diff(spark, sf):
@@ -283,11 +287,11 @@ def j_diff(spark, sf):
 
 
 def q_overview(spark, sf):
-    return history.overview(star.ledger(spark, sf))
+    return history.overview(_stored_ledger(spark, sf))
 
 
 def q_high_series(spark, sf):
-    return history.high_risk_series(star.ledger(spark, sf))
+    return history.high_risk_series(_stored_ledger(spark, sf))
 
 
 def a_heat(spark, sf):
@@ -296,16 +300,16 @@ def a_heat(spark, sf):
 
 def a_pivot(spark, sf):
     # locations are the nations, a small dimension that names the columns
-    names = [r[0] for r in star.places(spark, sf).select("location").distinct().orderBy("location").collect()]
+    names = [r[0] for r in star.table(spark, sf, "nation").select("n_name").orderBy("n_name").collect()]
     return history.stock_grid(history.stock_heat(star.ledger(spark, sf)), names)
 
 
 def a_urgsum(spark, sf):
-    return history.urgency_summary(history.reorder_list(star.ledger(spark, sf), ordered=False))
+    return history.urgency_summary(history.reorder_list(_stored_ledger(spark, sf), ordered=False))
 
 
 def a_summary(spark, sf):
-    rows = star.ledger(spark, sf)
+    rows = _stored_ledger(spark, sf)
     as_of = latest.newest_date(rows)
     stock = _staged_stock(rows, as_of)
     return latest.analytics_summary(stock, latest.reorder_recommendations(stock), as_of)
@@ -356,12 +360,12 @@ def a_pending(spark, sf):
 
 
 def w_avgall(spark, sf):
-    rows = usage.with_average_usage(star.ledger(spark, sf))
+    rows = usage.with_average_usage(_stored_ledger(spark, sf))
     return rows.select(*DAY_KEY, round_half_up(F.col("avg_usage"), 4).alias("avg_usage"))
 
 
 def _rolling(spark, sf, **columns: Column) -> DataFrame:
-    rows = rolling.rolling_figures(staged(star.ledger(spark, sf), "ledger"))
+    rows = rolling.rolling_figures(_stored_ledger(spark, sf))
     return rows.select(*DAY_KEY, *[c.alias(name) for name, c in columns.items()])
 
 
@@ -389,27 +393,27 @@ def w_recent(spark, sf):
 
 
 def q_alerts(spark, sf):
-    return history.alerts(star.ledger(spark, sf))
+    return history.alerts(_stored_ledger(spark, sf))
 
 
 def q_alerts_page(spark, sf):
-    return history.scored_alerts(star.ledger(spark, sf), star.star_rules(), _ordered_items(spark, sf))
+    return history.scored_alerts(_stored_ledger(spark, sf), star.star_rules(), _ordered_today(spark, sf))
 
 
 def q_reorder(spark, sf):
-    return history.reorder_list(star.ledger(spark, sf))
+    return history.reorder_list(_stored_ledger(spark, sf))
 
 
 def q_actions(spark, sf):
-    return history.top_actions(star.ledger(spark, sf), star.star_rules(), _ordered_items(spark, sf))
+    return history.top_actions(_stored_ledger(spark, sf), star.star_rules(), _ordered_today(spark, sf))
 
 
 def q_calc(spark, sf):
-    return history.calculator_rows(star.ledger(spark, sf))
+    return history.calculator_rows(_stored_ledger(spark, sf))
 
 
 def m_stock(spark, sf):
-    rows = latest.stock_analytics(star.ledger(spark, sf))
+    rows = latest.stock_analytics(_stored_ledger(spark, sf))
     return rows.withColumn("last_updated", F.col("last_updated").cast("date"))
 
 
@@ -437,11 +441,11 @@ def q_rising(spark, sf):
 
 
 def o_sort(spark, sf):
-    return history.reorder_list(star.ledger(spark, sf), semantic_order=True)
+    return history.reorder_list(_stored_ledger(spark, sf), semantic_order=True)
 
 
 def o_topk(spark, sf):
-    rows = history.score_rows(history.alerts(star.ledger(spark, sf), ordered=False), star.star_rules())
+    rows = history.score_rows(history.alerts(_stored_ledger(spark, sf), ordered=False), star.star_rules())
     return history.top_rows(rows, V.TOP_ALERTS)
 
 
@@ -459,7 +463,7 @@ def o_last7(spark, sf):
 
 
 def o_distinct(spark, sf):
-    rows = star.ledger(spark, sf)
+    rows = _stored_ledger(spark, sf)
     lists = [history.name_list(rows, c).select(F.lit(c).alias("name_of"), F.col(c).alias("name")) for c in SERIES_KEY]
     return lists[0].unionByName(lists[1]).unionByName(lists[2])
 
@@ -557,7 +561,7 @@ def l_active(spark, sf):
 
 
 def l_pending(spark, sf):
-    placed = star.orders_tracking(spark, sf)
+    placed = staged(star.orders_tracking(spark, sf), "orders")
     return oplog.pending_orders(placed, oplog.newest(placed, "order_date"))
 
 
@@ -642,7 +646,7 @@ def t_recompute(spark, sf):
 
 
 def t_retain(spark, sf):
-    rows = star.ledger(spark, sf)
+    rows = _stored_ledger(spark, sf)
     return retention.retain(rows, "date", V.KEEP_ALERTS_DAYS, oplog.newest(rows, "date"))
 
 
@@ -681,7 +685,6 @@ def t_summary(spark, sf):
 
 
 def t_sessions(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet")
     path = new_folder(spark, "action-files")
     star.actions(spark, sf).repartitionByRange(4, "action_timestamp").write.parquet(path)
     schema = star.actions(spark, sf).schema

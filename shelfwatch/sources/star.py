@@ -26,30 +26,33 @@ def star_rule_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STAR_RULES, RULES)
 
 
-def places(spark: SparkSession, folder: str) -> DataFrame:
-    """Nations with their region as (nation key, organization, location)."""
-    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
-    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        "n_nationkey", F.col("r_name").alias("organization"), F.col("n_name").alias("location")
+def with_place(spark: SparkSession, folder: str, df: DataFrame, nation_key: str) -> DataFrame:
+    """Add organization (region) and location (nation) by nation key.
+
+    The two dimensions are joined one after the other, so each is small enough to
+    broadcast by its own file size.
+    """
+    return (
+        df.join(table(spark, folder, "nation"), F.col(nation_key) == F.col("n_nationkey"))
+        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .withColumnsRenamed({"r_name": "organization", "n_name": "location"})
     )
 
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily ledger: one row per ship date, region, nation and part type."""
-    part, supplier = table(spark, folder, "part"), table(spark, folder, "supplier")
-    sites = supplier.join(places(spark, folder), F.col("s_nationkey") == F.col("n_nationkey"))
+    """Daily ledger: one row per ship date, region, nation and part type.
+
+    Lines are summed per nation key before the names are joined.
+    """
+    part = table(spark, folder, "part").select("p_partkey", "p_type")
+    supplier = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     quantity, flag = F.col("l_quantity"), F.col("l_returnflag")
-    lead = 1 + (F.col("n_nationkey") * 7 + F.length("p_type")) % 14
+    lead = 1 + (F.col("s_nationkey") * 7 + F.length("p_type")) % 14
     days = (
         table(spark, folder, "lineitem")
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(sites, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(
-            F.col("l_shipdate").cast("date").alias("date"),
-            "organization",
-            "location",
-            F.col("p_type").alias("item"),
-        )
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy(F.col("l_shipdate").cast("date").alias("date"), "s_nationkey", F.col("p_type").alias("item"))
         .agg(
             F.sum(F.when(flag == "R", quantity).otherwise(0)).cast("long").alias("received"),
             F.sum(F.when(flag != "R", quantity).otherwise(0)).cast("long").alias("issued"),
@@ -58,7 +61,9 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     opening = F.col("closing_stock") - F.col("received") + F.col("issued")
-    return days.withColumn("opening_stock", opening).select(*LEDGER_COLUMNS)
+    return with_place(spark, folder, days, "s_nationkey").withColumn("opening_stock", opening).select(
+        *LEDGER_COLUMNS
+    )
 
 
 def ledger_text(rows: DataFrame) -> DataFrame:
@@ -97,13 +102,15 @@ def orders_tracking(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.min("p_type").alias("item"), F.sum("l_quantity").alias("ordered_qty"))
     )
     customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
-    buyers = customer.join(places(spark, folder), F.col("c_nationkey") == F.col("n_nationkey"))
     state, urgency = F.col("o_orderstatus"), F.col("o_orderpriority")
     ordered_on = F.col("o_orderdate").cast("date")
-    return (
+    placed = (
         table(spark, folder, "orders")
-        .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    )
+    return (
+        with_place(spark, folder, placed, "c_nationkey")
         .select(
             F.col("o_orderkey").alias("order_id"),
             *SERIES_KEY,
