@@ -41,7 +41,8 @@ def with_position(ledger: DataFrame, slabs: int | None = None) -> DataFrame:
     plus its rank inside its own slab.
     """
     order = SERIES_KEY + TIE_BREAK + ["row_id"]
-    numbered = ledger.withColumn("row_id", F.monotonically_increasing_id())
+    # stored before it is used, so a repeated task cannot number the rows anew
+    numbered = staged(ledger.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
     ranged = numbered.repartitionByRange(slabs, *order) if slabs else numbered.repartitionByRange(*order)
     placed = staged(ranged.withColumn("slab", F.spark_partition_id()), "slabs")
 

@@ -10,7 +10,7 @@ from shelfwatch.functions.text import action_sentence, alert_sentence
 from shelfwatch.operators.criticality import criticality
 from shelfwatch.operators.joins import add_by_key, flag_keys, with_keys, without_keys
 from shelfwatch.operators.usage import average_usage, with_risk
-from shelfwatch.schema import LEDGER_COLUMNS, SERIES_KEY
+from shelfwatch.schema import DAY_KEY, LEDGER_COLUMNS, SERIES_KEY
 from shelfwatch.staging import staged
 
 
@@ -35,9 +35,17 @@ def high_risk_series(ledger: DataFrame) -> DataFrame:
     return high.groupBy(*SERIES_KEY).agg(F.count(F.lit(1)).alias("high_rows"))
 
 
+# Further columns of a total sort. Without them, rows that tie on the report's own
+# order would all land in one sort task.
+TIES = ["closing_stock", "date", "issued", "received", "opening_stock"]
+
+
 def _rounded(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(
-        *SERIES_KEY,
+        *DAY_KEY,
+        "opening_stock",
+        "received",
+        "issued",
         "closing_stock",
         round_half_up(F.col("avg_usage"), 2).alias("avg_daily_usage"),
         round_half_up(F.col("days"), 2).alias("days_left"),
@@ -46,14 +54,20 @@ def _rounded(rows: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def _report(rows: DataFrame, *order) -> DataFrame:
+    """Sorted rows without the ledger columns a report leaves out."""
+    if order:
+        rows = rows.orderBy(*order, *SERIES_KEY, *TIES)
+    return rows.drop("date", "opening_stock", "received", "issued")
+
+
 def _high_rows(ledger: DataFrame) -> DataFrame:
     return _rounded(with_risk(ledger).filter(F.col("risk_status") == "HIGH"), "risk_status")
 
 
 def alerts(ledger: DataFrame, ordered: bool = True) -> DataFrame:
     """All HIGH ledger rows with rounded figures, shortest supply first."""
-    rows = _high_rows(ledger)
-    return rows.orderBy("days_left", *SERIES_KEY, "closing_stock") if ordered else rows
+    return _report(_high_rows(ledger), *(["days_left"] if ordered else []))
 
 
 def score_rows(rows: DataFrame, rules: dict) -> DataFrame:
@@ -65,7 +79,7 @@ def score_rows(rows: DataFrame, rules: dict) -> DataFrame:
 def scored_alerts(ledger: DataFrame, rules: dict, ordered_items: DataFrame) -> DataFrame:
     """HIGH rows with score and ordered flag, most urgent first."""
     flagged = flag_keys(score_rows(_high_rows(ledger), rules), ordered_items, SERIES_KEY, "ordered")
-    return flagged.orderBy(F.col("priority_score").desc(), *SERIES_KEY, "closing_stock")
+    return _report(flagged, F.col("priority_score").desc())
 
 
 def ordered_alerts(ledger: DataFrame, rules: dict, ordered_items: DataFrame) -> DataFrame:
@@ -83,7 +97,7 @@ def top_rows(rows: DataFrame, k: int, score: str = "priority_score") -> DataFram
 
 def top_actions(ledger: DataFrame, rules: dict, ordered_items: DataFrame, k: int = V.TOP_ACTIONS) -> DataFrame:
     """The ``k`` most urgent HIGH rows that nobody ordered yet, with a sentence."""
-    rows = without_keys(_high_rows(ledger).drop("risk_status"), ordered_items, SERIES_KEY)
+    rows = without_keys(alerts(ledger, ordered=False).drop("risk_status"), ordered_items, SERIES_KEY)
     sentence = action_sentence(F.col("item"), F.col("organization"), F.col("location"))
     return top_rows(score_rows(rows, rules), k).withColumn("action", sentence)
 
@@ -113,9 +127,9 @@ def reorder_list(ledger: DataFrame, semantic_order: bool = False, ordered: bool
     )
     result = _rounded(rows, "reorder_qty", "urgency_level")
     if not ordered:
-        return result
+        return _report(result)
     level = f.urgency_rank(F.col("urgency_level")) if semantic_order else F.col("urgency_level").desc()
-    return result.orderBy(level, "days_left", *SERIES_KEY, "closing_stock")
+    return _report(result, level, F.col("days_left"))
 
 
 def urgency_summary(reorders: DataFrame) -> DataFrame:
@@ -128,7 +142,7 @@ def urgency_summary(reorders: DataFrame) -> DataFrame:
 def calculator_rows(ledger: DataFrame, ordered: bool = True) -> DataFrame:
     """Rows whose stock ends within the lead time, shortest supply first."""
     rows = _rounded(with_risk(ledger).filter(F.col("days") <= lead_days()))
-    return rows.orderBy("days_left", *SERIES_KEY, "closing_stock") if ordered else rows
+    return _report(rows, *(["days_left"] if ordered else []))
 
 
 def stock_heat(ledger: DataFrame) -> DataFrame:

@@ -681,7 +681,7 @@ def t_summary(spark, sf):
     """The last summary row of the streamed refresh."""
     tables, batch = _streamed(spark, sf)
     rows = tables.summaries(spark).filter(F.col("summary_id") == batch)
-    return rows.drop("summary_id", "created_at", "batch_id")
+    return rows.drop("summary_id", "created_at")
 
 
 def t_sessions(spark, sf):

@@ -2,7 +2,7 @@
 
 import time
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,7 +25,9 @@ from shelfwatch.schema import ALERTS, LEDGER, RUN_LOG, SERIES_KEY, SUMMARY
 
 TAILS = T.StructType(LEDGER.fields + [T.StructField("recency", T.IntegerType())])
 
-BATCHED_ALERTS = T.StructType(ALERTS.fields + [T.StructField("batch_id", T.LongType())])
+BATCHED_ALERTS = T.StructType(
+    [x for x in ALERTS.fields if x.name != "alert_date"] + [T.StructField("batch_id", T.LongType())]
+)
 
 
 def ledger_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -61,8 +63,8 @@ class RefreshTables:
     def state(self, name: str, batch_id: int) -> str:
         return f"{self.root}/{name}/slot={batch_id % 2}"
 
-    def log(self, name: str, batch_id: int) -> str:
-        return f"{self.root}/{name}/batch_id={batch_id}"
+    def log(self, name: str, column: str, day: date, batch_id: int) -> str:
+        return f"{self.root}/{name}/{column}={day}/batch_id={batch_id}"
 
     def stock(self, spark: SparkSession, batch_id: int) -> DataFrame:
         return spark.read.parquet(self.state("stock", batch_id))
@@ -74,13 +76,13 @@ class RefreshTables:
         return spark.read.parquet(self.state("usage", batch_id))
 
     def summaries(self, spark: SparkSession) -> DataFrame:
-        return _read(spark, f"{self.root}/summaries", SUMMARY)
+        return _read(spark, f"{self.root}/summaries", SUMMARY).select(*SUMMARY.fieldNames())
 
     def alerts(self, spark: SparkSession) -> DataFrame:
-        return _read(spark, f"{self.root}/alerts", ALERTS)
+        return _read(spark, f"{self.root}/alerts", ALERTS).select(*ALERTS.fieldNames())
 
     def runs(self, spark: SparkSession) -> DataFrame:
-        return _read(spark, f"{self.root}/runs", RUN_LOG)
+        return _read(spark, f"{self.root}/runs", RUN_LOG).select(*RUN_LOG.fieldNames())
 
 
 def _save(df: DataFrame, path: str) -> DataFrame:
@@ -88,12 +90,11 @@ def _save(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _log_run(spark: SparkSession, tables: RefreshTables, task: str, batch_id: int, rows: int, begun: float) -> None:
+def _save_run(spark: SparkSession, path: str, task: str, batch_id: int, rows: int, begun: float) -> None:
     started = datetime.fromtimestamp(begun, timezone.utc)
     record = [(None, task, started, "SUCCESS", rows, None, time.time() - begun)]
     run = spark.createDataFrame(record, RUN_LOG)
-    run = run.withColumn("log_id", F.xxhash64("task_name", F.lit(batch_id)))
-    run.write.mode("overwrite").parquet(f"{tables.log('runs', batch_id)}/task={task}")
+    _save(run.withColumn("log_id", F.xxhash64("task_name", F.lit(batch_id))), f"{path}/task={task}")
 
 
 def refresh(batch: DataFrame, batch_id: int, tables: RefreshTables, dedupe: str = "all") -> None:
@@ -119,12 +120,13 @@ def refresh(batch: DataFrame, batch_id: int, tables: RefreshTables, dedupe: str
     advice = _save(reorder_recommendations(stock), tables.state("recommendations", batch_id))
     _save(usage_from_tails(figures, as_of), tables.state("usage", batch_id))
 
-    now = F.lit(as_of)
     summary = analytics_summary(stock, advice, as_of).withColumns(
-        {"summary_id": F.lit(batch_id).cast("long"), "created_at": now}
+        {"summary_id": F.lit(batch_id).cast("long"), "created_at": F.lit(as_of)}
     )
-    _save(summary.select(*SUMMARY.fieldNames()), tables.log("summaries", batch_id))
-    _log_run(spark, tables, "refresh_summary", batch_id, 1, begun)
+    summary = summary.select(*SUMMARY.fieldNames()).drop("summary_date")
+    _save(summary, tables.log("summaries", "summary_date", day, batch_id))
+    runs = tables.log("runs", "day", day, batch_id)
+    _save_run(spark, runs, "refresh_summary", batch_id, 1, begun)
 
     if batch_id > 0:
         # alerts only follow a change of the stock table
@@ -132,11 +134,13 @@ def refresh(batch: DataFrame, batch_id: int, tables: RefreshTables, dedupe: str
         if row_changes(old.drop("last_updated"), stock.drop("last_updated"), SERIES_KEY).isEmpty():
             return
     begun = time.time()
-    history = _read(spark, f"{tables.root}/alerts", BATCHED_ALERTS)
-    earlier = history.filter(F.col("batch_id") < batch_id).drop("batch_id")
+    # only the day's own folder can hold alerts that count as repeats
+    same_day = _read(spark, f"{tables.root}/alerts/alert_date={day}", BATCHED_ALERTS)
+    earlier = same_day.filter(F.col("batch_id") < batch_id).withColumn("alert_date", F.lit(day))
     fresh = with_alert_ids(new_alerts(stock, advice, earlier, as_of, dedupe), as_of)
-    written = _save(fresh.select(*ALERTS.fieldNames()), tables.log("alerts", batch_id))
-    _log_run(spark, tables, "generate_alerts", batch_id, written.count(), begun)
+    fresh = fresh.select(*ALERTS.fieldNames()).drop("alert_date")
+    written = _save(fresh, tables.log("alerts", "alert_date", day, batch_id))
+    _save_run(spark, runs, "generate_alerts", batch_id, written.count(), begun)
 
 
 def start_refresh(
