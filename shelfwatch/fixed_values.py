@@ -43,10 +43,8 @@ KEEP_SUMMARIES_DAYS = 90
 KEEP_ALERTS_DAYS = 180
 KEEP_RUNS_DAYS = 30
 
-# Refresh lags in minutes.
-STOCK_LAG_MINUTES = 5
-REORDER_LAG_MINUTES = 10
-USAGE_LAG_MINUTES = 15
+# Minutes between refreshes; the shortest lag any table is allowed.
+REFRESH_MINUTES = 5
 
 # Tolerance of the result comparison.
 PARITY_TOLERANCE = 0.01

@@ -40,22 +40,31 @@ def day(column: str = "date") -> Column:
     return F.expr(f"try_cast(`{column}` AS DATE)")
 
 
+def _num(column: str) -> Column:
+    return F.col(f"{column}_number")
+
+
+def with_values(df: DataFrame) -> DataFrame:
+    """Text rows with their parsed ``<column>_number`` and ``day``, parsed once for all rules."""
+    return df.withColumns({f"{c}_number": number(c) for c in QUANTITIES} | {"day": day()})
+
+
 def wrong_closing() -> Column:
     """True where closing is not opening + received - issued; unknowns count."""
-    expected = number("opening_stock") + number("received") - number("issued")
-    return F.coalesce(number("closing_stock") != expected, F.lit(True))
+    expected = _num("opening_stock") + _num("received") - _num("issued")
+    return F.coalesce(_num("closing_stock") != expected, F.lit(True))
 
 
 def rules(df: DataFrame) -> list[tuple[str, str, str, Column]]:
-    """Rules as (name, severity, column, condition for a broken row)."""
+    """Rules on :func:`with_values` rows as (name, severity, column, condition for a broken row)."""
     checks = [
-        ("bad_date", "error", "date", F.col("date").isNotNull() & day().isNull()),
+        ("bad_date", "error", "date", F.col("date").isNotNull() & F.col("day").isNull()),
         ("empty_date", "warning", "date", F.col("date").isNull()),
     ]
     for c in QUANTITIES:
-        checks.append(("not_numeric", "error", c, number(c).isNull()))
-        checks.append(("negative", "error", c, F.coalesce(number(c) < 0, F.lit(False))))
-        checks.append(("fraction", "warning", c, F.coalesce(number(c) != F.floor(number(c)), F.lit(False))))
+        checks.append(("not_numeric", "error", c, _num(c).isNull()))
+        checks.append(("negative", "error", c, F.coalesce(_num(c) < 0, F.lit(False))))
+        checks.append(("fraction", "warning", c, F.coalesce(_num(c) != F.floor(_num(c)), F.lit(False))))
     for c in SERIES_KEY:
         checks.append(("empty_name", "error", c, F.col(c).isNull()))
     checks.append(("closing_mismatch", "warning", "closing_stock", wrong_closing()))
@@ -80,11 +89,15 @@ def find_problems(df: DataFrame) -> DataFrame:
         )
         for i, (name, severity, column, _) in enumerate(checks)
     ]
-    return df.agg(*counts).select(F.inline(F.array(*cells))).filter(F.col("count") > 0)
+    found = with_values(df).agg(*counts).select(F.inline(F.array(*cells)))
+    return found.filter(F.col("count") > 0)
 
 
 def check_ledger(df: DataFrame) -> LedgerReport:
-    """Split uploaded text rows into valid and rejected ones and count findings."""
+    """Split uploaded text rows into valid and rejected ones and count findings.
+
+    The rows are read once per part of the report, so pass a stored table.
+    """
     missing = missing_columns(df)
     if missing:
         raise LedgerFormatError(f"Missing required columns: {', '.join(missing)}")
@@ -95,7 +108,9 @@ def check_ledger(df: DataFrame) -> LedgerReport:
     for _, severity, _, condition in rules(df):
         if severity == "error":
             broken = broken | condition
-    return LedgerReport(df.filter(~broken), df.filter(broken), find_problems(df))
+    values = with_values(df)
+    valid, rejected = (values.filter(c).select(*df.columns) for c in (~broken, broken))
+    return LedgerReport(valid, rejected, find_problems(df))
 
 
 def negative_closing(df: DataFrame) -> DataFrame:

@@ -598,6 +598,10 @@ ORACLES: dict[str, str] = {
        'Dashboard' AS source_page, 'SUCCESS' AS status FROM placed""",
         "placed",
     ),
+    "l_details": query(
+        "SELECT action_id, action_type, CAST(regexp_extract(action_details, '\"k\": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM actions",
+        "actions",
+    ),
     "l_runhist": query(
         f"""SELECT * REPLACE ({when('execution_time')} AS execution_time, COALESCE(error_message, '') AS error_message) FROM runs
  WHERE task_name = 'TASK_VIEW' AND {recently('runs', 'runs.execution_time', 24)}

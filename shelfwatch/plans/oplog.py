@@ -89,6 +89,12 @@ def complete_actions(requests: DataFrame, as_of: Column) -> DataFrame:
     return requests.select(*ACTIONS.fieldNames())
 
 
+def detail(name: str, kind: str) -> Column:
+    """One value of the JSON details of an action, NULL where it is absent."""
+    parsed = F.try_parse_json(F.col("action_details"))
+    return F.try_variant_get(parsed, f"$.{name}", kind)
+
+
 def append_actions(requests: DataFrame, path: str, as_of: Column) -> None:
     rows = complete_actions(requests, as_of)
     rows.withColumn("action_date", F.to_date("action_timestamp")).write.mode("append").partitionBy(

@@ -596,6 +596,11 @@ def l_actions(spark, sf):
     )
 
 
+def l_details(spark, sf):
+    """A value of every action's JSON details."""
+    return star.actions(spark, sf).select("action_id", "action_type", oplog.detail("k", "bigint").alias("k"))
+
+
 def l_runhist(spark, sf):
     log = star.runs(spark, sf)
     rows = oplog.run_history(log, "TASK_VIEW", oplog.newest(log, "execution_time"))
@@ -709,7 +714,7 @@ QUERIES: dict[str, Query] = {
         q_risktop, q_rectop, q_rising,
         o_sort, o_topk, o_preview, o_last7, o_distinct, o_logtail,
         v_date, v_num, v_neg, v_formula, v_blank, v_report, v_negclose, v_parity,
-        l_recent, l_sessions, l_close, l_active, l_pending, l_orders, l_order_actions, l_actions,
+        l_recent, l_sessions, l_close, l_active, l_pending, l_orders, l_order_actions, l_actions, l_details,
         l_runhist, l_fresh, l_health,
         t_cdc, t_acdc, t_recompute, t_alerts, t_retain, t_expired, t_refresh, t_summary, t_sessions,
     ]

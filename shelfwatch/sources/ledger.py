@@ -5,11 +5,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from shelfwatch.operators.quality import LedgerReport, check_ledger
+from shelfwatch.operators.quality import CORRUPT, LedgerReport, check_ledger
 from shelfwatch.schema import LEDGER, LEDGER_COLUMNS, QUANTITIES, SERIES_KEY
-
-CORRUPT = "_corrupt_record"
-
+from shelfwatch.staging import staged
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Typed ledger from a Parquet folder."""
@@ -80,10 +78,12 @@ def load_ledger_csv(
     """
     if on_error not in ("stop", "continue"):
         raise ValueError(f"unknown on_error {on_error!r}")
-    report: LedgerReport = check_ledger(read_ledger_csv(spark, csv_path))
-    if on_error == "stop" and not report.findings.filter(F.col("severity") == "error").isEmpty():
-        return LoadResult(report.findings, False)
+    # the text is parsed once; checking and loading read the staged columns
+    report: LedgerReport = check_ledger(staged(read_ledger_csv(spark, csv_path), "upload"))
+    findings = staged(report.findings, "findings")
+    if on_error == "stop" and not findings.filter(F.col("severity") == "error").isEmpty():
+        return LoadResult(findings, False)
     write_ledger(to_ledger(report.valid), table_path)
     if on_error == "continue" and quarantine_path:
         report.rejected.write.mode("overwrite").parquet(quarantine_path)
-    return LoadResult(report.findings, True)
+    return LoadResult(findings, True)

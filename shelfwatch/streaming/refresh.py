@@ -149,7 +149,7 @@ def start_refresh(
     checkpoint: str,
     dedupe: str = "all",
     once: bool = False,
-    minutes: int = V.STOCK_LAG_MINUTES,
+    minutes: int = V.REFRESH_MINUTES,
 ) -> StreamingQuery:
     """Start the refresh over a ledger stream.
 
