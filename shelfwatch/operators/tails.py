@@ -7,7 +7,7 @@ from shelfwatch.schema import SERIES_KEY
 
 # Newest first; the quantities settle rows that share a date.
 TIE_BREAK = ["date", "closing_stock", "issued", "received", "opening_stock"]
-SALTS = 16
+SALTS = 64
 
 
 def newest_first() -> list[Column]:
@@ -21,12 +21,12 @@ def oldest_first() -> list[Column]:
 def latest_rows(ledger: DataFrame, rows: int, salts: int = SALTS) -> DataFrame:
     """The newest ``rows`` of each series with their ``recency`` (1 = newest).
 
-    Ranks first inside salted slices of a series, then across the slices' winners.
-    Spark limits each group before both shuffles, so a hot series is ranked by
-    ``salts`` tasks and its last task sees at most ``salts * rows`` rows per input
-    partition of the second step.
+    Every input partition keeps at most ``rows`` of a series before the first
+    shuffle. A series found in very many partitions is then ranked in ``salts``
+    groups of partitions, whose winners (``salts * rows`` at most) meet in the
+    second step.
     """
-    salted = ledger.withColumn("salt", F.pmod(F.xxhash64(*TIE_BREAK), F.lit(salts)))
+    salted = ledger.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     within = Window.partitionBy(*SERIES_KEY, "salt").orderBy(*newest_first())
     winners = (
         salted.withColumn("recency", F.row_number().over(within))

@@ -665,13 +665,19 @@ def t_expired(spark, sf):
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
+def _arrivals(spark, rows: DataFrame, *order: str) -> tuple[str, int]:
+    """Files of ``rows`` in time order, and how many of them make half of the rows."""
+    files = max(4, spark.sparkContext.defaultParallelism)
+    path = new_folder(spark, "arrivals")
+    rows.repartitionByRange(files, *order).write.parquet(path)
+    return path, -(-files // 2)
+
+
 def _streamed(spark, sf) -> tuple[refresh.RefreshTables, int]:
-    """Run the refresh over the ledger, which arrives in files of a year each."""
-    rows = star.ledger(spark, sf)
-    source = new_folder(spark, "arrivals")
-    rows.repartitionByRange(*LEDGER_COLUMNS).write.partitionBy().option("maxRecordsPerFile", 100_000).parquet(source)
+    """Run the refresh over the ledger, which arrives in two batches of files."""
+    source, half = _arrivals(spark, star.ledger(spark, sf), *LEDGER_COLUMNS)
     root = new_folder(spark, "refresh")
-    stream = refresh.ledger_stream(spark, source, files_per_batch=4)
+    stream = refresh.ledger_stream(spark, source, files_per_batch=half)
     query = refresh.start_refresh(stream, root, new_folder(spark, "checkpoint"), once=True)
     query.awaitTermination()
     return refresh.RefreshTables(root), refresh.last_batch(query)
@@ -690,10 +696,9 @@ def t_summary(spark, sf):
 
 
 def t_sessions(spark, sf):
-    path = new_folder(spark, "action-files")
-    star.actions(spark, sf).repartitionByRange(4, "action_timestamp").write.parquet(path)
-    schema = star.actions(spark, sf).schema
-    arriving = spark.readStream.schema(schema).parquet(path)
+    log = star.actions(spark, sf)
+    source, half = _arrivals(spark, log, "action_timestamp", "action_id")
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", half).parquet(source)
     out = new_folder(spark, "sessions")
     sessions.start_sessions(arriving, out, new_folder(spark, "checkpoint"), once=True).awaitTermination()
     rows = spark.read.parquet(out)

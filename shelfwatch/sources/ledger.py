@@ -14,6 +14,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
+def ledger_table(spark: SparkSession, name: str) -> DataFrame:
+    """Typed ledger from a catalog table."""
+    return spark.table(name).select(*LEDGER_COLUMNS)
+
+
 def normalize_names(df: DataFrame) -> DataFrame:
     """Column names lowercased and without outer blanks."""
     return df.toDF(*[c.strip().lower() for c in df.columns])

@@ -90,11 +90,14 @@ def _save(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _save_run(spark: SparkSession, path: str, task: str, batch_id: int, rows: int, begun: float) -> None:
+def _run(task: str, rows: int, begun: float) -> tuple:
     started = datetime.fromtimestamp(begun, timezone.utc)
-    record = [(None, task, started, "SUCCESS", rows, None, time.time() - begun)]
-    run = spark.createDataFrame(record, RUN_LOG)
-    _save(run.withColumn("log_id", F.xxhash64("task_name", F.lit(batch_id))), f"{path}/task={task}")
+    return (None, task, started, "SUCCESS", rows, None, time.time() - begun)
+
+
+def _save_runs(spark: SparkSession, path: str, batch_id: int, runs: list[tuple]) -> None:
+    rows = spark.createDataFrame(runs, RUN_LOG)
+    _save(rows.withColumn("log_id", F.xxhash64("task_name", F.lit(batch_id))), path)
 
 
 def refresh(batch: DataFrame, batch_id: int, tables: RefreshTables, dedupe: str = "all") -> None:
@@ -125,22 +128,38 @@ def refresh(batch: DataFrame, batch_id: int, tables: RefreshTables, dedupe: str
     )
     summary = summary.select(*SUMMARY.fieldNames()).drop("summary_date")
     _save(summary, tables.log("summaries", "summary_date", day, batch_id))
-    runs = tables.log("runs", "day", day, batch_id)
-    _save_run(spark, runs, "refresh_summary", batch_id, 1, begun)
-
-    if batch_id > 0:
-        # alerts only follow a change of the stock table
-        old = _read(spark, tables.state("stock", batch_id - 1), stock.schema)
-        if row_changes(old.drop("last_updated"), stock.drop("last_updated"), SERIES_KEY).isEmpty():
-            return
-    begun = time.time()
+    runs = [_run("refresh_summary", 1, begun)]
+    if _stock_changed(stock, tables, batch_id):
+        begun = time.time()
+        written = _append_alerts(stock, advice, tables, batch_id, day, as_of, dedupe)
+        runs.append(_run("generate_alerts", written, begun))
+    _save_runs(spark, tables.log("runs", "day", day, batch_id), batch_id, runs)
+
+
+def _stock_changed(stock: DataFrame, tables: RefreshTables, batch_id: int) -> bool:
+    """Whether the stock table differs from the one of the batch before."""
+    if batch_id == 0:
+        return True
+    old = _read(stock.sparkSession, tables.state("stock", batch_id - 1), stock.schema)
+    return not row_changes(old.drop("last_updated"), stock.drop("last_updated"), SERIES_KEY).isEmpty()
+
+
+def _append_alerts(
+    stock: DataFrame,
+    advice: DataFrame,
+    tables: RefreshTables,
+    batch_id: int,
+    day: date,
+    as_of: datetime,
+    dedupe: str,
+) -> int:
+    spark = stock.sparkSession
     # only the day's own folder can hold alerts that count as repeats
     same_day = _read(spark, f"{tables.root}/alerts/alert_date={day}", BATCHED_ALERTS)
     earlier = same_day.filter(F.col("batch_id") < batch_id).withColumn("alert_date", F.lit(day))
     fresh = with_alert_ids(new_alerts(stock, advice, earlier, as_of, dedupe), as_of)
     fresh = fresh.select(*ALERTS.fieldNames()).drop("alert_date")
-    written = _save(fresh, tables.log("alerts", "alert_date", day, batch_id))
-    _save_run(spark, runs, "generate_alerts", batch_id, written.count(), begun)
+    return _save(fresh, tables.log("alerts", "alert_date", day, batch_id)).count()
 
 
 def start_refresh(

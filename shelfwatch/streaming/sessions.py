@@ -5,6 +5,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 GAP = "30 minutes"
 LATENESS = "1 hour"
+LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
 def session_counts(actions: DataFrame, gap: str = GAP, lateness: str = LATENESS) -> DataFrame:
@@ -45,6 +46,8 @@ def session_counts(actions: DataFrame, gap: str = GAP, lateness: str = LATENESS)
 
 def start_sessions(actions: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Append closed sessions of an action stream to a Parquet table."""
+    # combine the actions of a busy session before they are shuffled
+    actions.sparkSession.conf.set(LOCAL_MERGE, True)
     writer = (
         session_counts(actions)
         .writeStream.outputMode("append")

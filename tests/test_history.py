@@ -116,3 +116,14 @@ def test_empty_pattern_matches_every_location(spark):
     table = spark.createDataFrame([("location", "", 9)], RULES)
     rows = spark.createDataFrame([("a", "x"), ("b", "y")], "location string, item string")
     assert [r["criticality"] for r in criticality.with_criticality(rows, table, 3).collect()] == [9, 9]
+
+
+def test_shuffled_joins_give_the_same_rows(spark, random_ledger):
+    """Beyond the broadcast limit both sides are shuffled; one series holds most rows."""
+    small = sorted(map(tuple, history.alerts(random_ledger).collect()), key=repr)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = sorted(map(tuple, history.alerts(random_ledger.repartition(9)).collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert large == small and any(r[1] is None for r in large)

@@ -44,6 +44,8 @@ def test_full_load_replaces_the_table(spark, make_ledger, tmp_path):
     files.write_ledger(make_ledger([(d, "o", "l", "i", 0, 1, 5, 1) for d in range(5)]), path)
     files.write_ledger(make_ledger([(0, "o", "l", "i", 0, 1, 9, 1)]), path)
     assert [r["closing_stock"] for r in files.read_ledger(spark, path).collect()] == [9]
+    files.read_ledger(spark, path).write.saveAsTable("stored_ledger")
+    assert files.ledger_table(spark, "stored_ledger").count() == 1
 
 
 def test_profiles(spark, make_ledger, tmp_path):
