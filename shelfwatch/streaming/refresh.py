@@ -100,20 +100,41 @@ def _save_runs(spark: SparkSession, path: str, batch_id: int, runs: list[tuple])
     _save(rows.withColumn("log_id", F.xxhash64("task_name", F.lit(batch_id))), path)
 
 
+def _merge(rows: DataFrame, batch_id: int, tables: RefreshTables) -> DataFrame:
+    """Bring the newest rows of all series up to date and return their figures.
+
+    Only series with new rows are ranked and summed again; the rows and figures
+    of the others are copied as they are, without a shuffle while the list of
+    touched series is small enough to broadcast.
+    """
+    spark = rows.sparkSession
+    touched = _save(rows.select(*SERIES_KEY).distinct(), tables.state("touched", batch_id))
+    if batch_id > 0:
+        old_rows = spark.read.schema(TAILS).parquet(tables.state("tails", batch_id - 1)).select(*TAILS.fieldNames())
+        rows = rows.unionByName(with_keys(old_rows, touched, SERIES_KEY).drop("recency"))
+        kept = without_keys(old_rows, touched, SERIES_KEY)
+    else:
+        kept = spark.createDataFrame([], TAILS)
+    place = tables.state("tails", batch_id)
+    fresh = _save(latest_rows(rows, V.LONG_FRAME_ROWS), f"{place}/part=fresh")
+    _save(kept, f"{place}/part=kept")
+
+    figures = figures_of(fresh)
+    if batch_id > 0:
+        old_figures = spark.read.schema(figures.schema).parquet(tables.state("figures", batch_id - 1))
+        figures = figures.unionByName(without_keys(old_figures, touched, SERIES_KEY))
+    return _save(figures, tables.state("figures", batch_id))
+
+
 def refresh(batch: DataFrame, batch_id: int, tables: RefreshTables, dedupe: str = "all") -> None:
     """Take one batch of new ledger rows through all tables, in dependency order.
 
-    The only state is the newest 30 rows of each series, which the latest-row
-    tables need; old ledger rows are not read again.
+    The only state is the newest 30 rows of each series and their figures, which
+    the latest-row tables need; old ledger rows are not read again.
     """
     spark = batch.sparkSession
     begun = time.time()
-    rows = batch.select(*LEDGER.fieldNames())
-    if batch_id > 0:
-        before = spark.read.schema(TAILS).parquet(tables.state("tails", batch_id - 1))
-        rows = before.drop("recency").unionByName(rows)
-    tails = _save(latest_rows(rows, V.LONG_FRAME_ROWS), tables.state("tails", batch_id))
-    figures = _save(figures_of(tails), tables.state("figures", batch_id))
+    figures = _merge(batch.select(*LEDGER.fieldNames()), batch_id, tables)
 
     day = figures.agg(F.max("date")).first()[0]
     if day is None:
