@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfwatch.schema import LEDGER_COLUMNS, RULES, SERIES_KEY
+from shelfwatch.schema import LEDGER_COLUMNS, SERIES_KEY
 
 # Rules used with the derived ledger: (kind, value, score).
 STAR_RULES = [("location", "NATION_1", 12), ("item", "PROMO", 7), ("item", "ECONOMY", 5)]
@@ -23,7 +23,9 @@ def star_rules() -> dict:
 
 
 def star_rule_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STAR_RULES, RULES)
+    """The rule set as rows, small enough for the optimizer to know it."""
+    rows = [F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value"), F.lit(s).alias("score")) for k, v, s in STAR_RULES]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def with_place(spark: SparkSession, folder: str, df: DataFrame, nation_key: str) -> DataFrame:
