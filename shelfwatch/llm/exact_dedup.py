@@ -16,12 +16,14 @@ a row stays only where its whole group has none; empty tables give no rows.
 """
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfwatch.llm import binary_fuse
+from shelfwatch.llm.bitmap import bitmap_of, may_contain
 from shelfwatch.llm.common import SPACE, narrowed, new_folder, staged, text_of
 
 BUCKET_KEYS = 50_000  # digests a filter is built for, on average
@@ -70,11 +72,9 @@ def write_snapshot(classes: DataFrame, folder: str | None = None) -> Snapshot:
     classes = staged(classes, "classes")
     buckets = classes.count() // BUCKET_KEYS + 1
 
-    def fuse(key, group: pd.DataFrame) -> pd.DataFrame:
+    def fuse(group: pd.DataFrame) -> pd.DataFrame:
         seed, segment, count, slots = binary_fuse.build(np.unique(_keys(group["digest"])))
-        from decimal import Decimal
-
-        return pd.DataFrame({"bucket": [key[0]], "seed": [Decimal(seed)], "segment": [segment],
+        return pd.DataFrame({"bucket": group["bucket"].iloc[:1].to_list(), "seed": [Decimal(seed)], "segment": [segment],
                              "segments": [count], "slots": [slots]})
 
     bucketed = classes.select(_bucket(buckets), "digest", "first_id", "n_rows")
@@ -112,16 +112,16 @@ def confirmed(spark: SparkSession, snapshot: Snapshot, classes: DataFrame, old_d
     )
     found = staged(screen(spark, snapshot, classes).join(entries, "digest"), "positives")
 
-    def texts(docs: DataFrame, which: str, name: str) -> DataFrame:
-        wanted = found.select("digest", F.col(which).alias("doc_id"))
-        rows = narrowed(docs, "doc_id", "text").join(wanted, "doc_id")
-        rows = rows.select("digest", normalised(text_of()).alias(name))
+    def texts(docs: DataFrame, which: str) -> DataFrame:
+        wanted = staged(found.select("digest", F.col(which).alias("doc_id")), "wanted")
+        named = bitmap_of(wanted.select(F.xxhash64("doc_id").alias("key")), "key")
+        rows = narrowed(docs, "doc_id", "text").filter(may_contain(named, F.xxhash64("doc_id"))).join(wanted, "doc_id")
+        rows = rows.select("digest", normalised(text_of()).alias("norm"))
         # A doc_id may repeat with other texts; the one with this digest counts.
-        return rows.filter(F.sha2(F.col(name).cast("binary"), 256) == F.col("digest")).dropDuplicates(["digest", name])
+        return rows.filter(F.sha2(F.col("norm").cast("binary"), 256) == F.col("digest"))
 
-    pairs = texts(old_docs, "old_id", "old_text").join(texts(new_docs, "first_id", "new_text"), "digest")
-    differing = pairs.groupBy("digest").agg(F.max(F.col("old_text") == F.col("new_text")).alias("equal"))
-    differing = differing.filter(~F.col("equal"))
+    both = texts(old_docs, "old_id").unionByName(texts(new_docs, "first_id"))
+    differing = both.groupBy("digest").agg((F.min("norm") != F.max("norm")).alias("differs")).filter("differs")
     return found.join(differing, "digest", "left_anti").select("digest", "old_id", "old_rows")
 
 

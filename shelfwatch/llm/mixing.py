@@ -93,13 +93,13 @@ def fit_budget(sizes: list[int], counts: list[int], budget: int, table: int = TA
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Every row with what the mix takes of it: doc_id, source, size, source_size, target, taken.
+    """Every row with what the mix takes of it: doc_id, key, source, size, source_size, target, taken.
 
-    ``taken`` is 0, 1 or 2 times the size.
+    ``taken`` is 0, 1 or 2 times the size; ``key`` is a hash of doc_id, source and text.
     """
     rows = narrowed(docs, "doc_id", "source", "text").select(
         "doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id").alias("draw"),
+        F.xxhash64(F.lit(seed), "doc_id").alias("draw"), F.xxhash64("doc_id", "source", "text").alias("key"),
     )
     rows = staged(rows.withColumn("slice", F.pmod("draw", F.lit(SLICES)).cast("int")), "lengths")
     slices = staged(rows.groupBy("source", "size", "slice").agg(F.count(F.lit(1)).alias("n")), "slices")
@@ -133,7 +133,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
                & (F.col("r.slice") == F.col("q.slice")), "left")
         .join(g, F.col("r.source").eqNullSafe(F.col("g.source")))
         .select(
-            "r.doc_id", "r.source", "r.size", "g.source_size", "g.target",
+            "r.doc_id", "r.key", "r.source", "r.size", "g.source_size", "g.target",
             (F.col("r.size") * F.coalesce(F.col("base") + (F.col("nth") <= F.col("quota")).cast("long"), F.lit(0)))
             .alias("taken"),
         )
@@ -141,16 +141,17 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them.
+    """The rows of ``docs`` (columns of documents) as often as the mix takes them.
 
-    Rows that share a doc_id are repeated by their mean share, rounded up.
+    Rows that are equal in doc_id, source and text are repeated by their mean share,
+    rounded up.
     """
-    times = mix(docs, seed).filter("size > 0").groupBy("doc_id").agg(
+    known = docs.select(*[c for c in DOCUMENT if c in docs.columns]).withColumn("_key", F.xxhash64("doc_id", "source", "text"))
+    chosen = mix(docs, seed).filter("taken > 0").groupBy("key").agg(
         F.ceil(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_times")
     )
-    known = docs.select(*[c for c in DOCUMENT if c in docs.columns])
-    joined = known.join(staged(times.filter("_times > 0"), "times"), "doc_id")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*known.columns)
+    joined = known.join(staged(chosen.withColumnRenamed("key", "_key"), "times"), "_key")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_key", "_times", "_copy")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
