@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwatch.llm import windows as win
@@ -39,7 +40,7 @@ _U = np.uint64
 def identified(docs: DataFrame) -> DataFrame:
     """(doc, rid, text): the doc_id without nulls, a hash of the text, the text without nulls."""
     rows = narrowed(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), text_of().alias("text"))
-    return rows.withColumn("rid", F.xxhash64("text"))
+    return rows.withColumn("rid", F.hash("text").cast("long"))
 
 
 def doc_id() -> Column:
@@ -94,7 +95,7 @@ def _packed(runs: win.Runs, doc, rid, chosen) -> dict[str, bytes]:
         "firsts": runs.first[chosen].astype("<u4").tobytes(),
         "counts": runs.count[chosen].astype("u1").tobytes(),
         "docs": doc[row[head]].astype("<i8").tobytes(),
-        "rids": rid[row[head]].astype("<i8").tobytes(),
+        "rids": rid[row[head]].astype("<i4").tobytes(),
         "per_doc": np.diff(np.append(head, len(row))).astype("<u4").tobytes(),
     }
 
@@ -114,7 +115,7 @@ def _unpacked(group: pd.DataFrame) -> dict[str, np.ndarray]:
         per_doc = np.frombuffer(x.per_doc, "<u4")
         parts.append((_wide(x.keys, 5), _wide(x.contents, 6), np.frombuffer(x.firsts, "<u4"),
                       np.frombuffer(x.counts, "u1"), np.repeat(np.frombuffer(x.docs, "<i8"), per_doc),
-                      np.repeat(np.frombuffer(x.rids, "<i8"), per_doc)))
+                      np.repeat(np.frombuffer(x.rids, "<i4").astype(np.int64), per_doc)))
     return dict(zip(("key", "content", "first", "n", "doc", "rid"), map(np.concatenate, zip(*parts))))
 
 
@@ -175,7 +176,7 @@ def _repeated(group: pd.DataFrame) -> pd.DataFrame:
 
 def candidate_runs(docs: DataFrame, repeated: DataFrame, units: Units, gram: int) -> DataFrame:
     """(key, content, doc, rid, first, n): runs outside repeated chunks whose anchor others have too."""
-    buckets = 2 * shuffle_partitions(docs.sparkSession)
+    buckets = shuffle_partitions(docs.sparkSession)  # few: a document is named once in each
     rows = docs.join(by_document(repeated), ["doc", "rid"], "left").select("doc", "rid", "text", "ranges")
     packed = rows.mapInArrow(_anchor_rows(units, gram, buckets), _ANCHORS_DDL)
     found = packed.groupBy("bucket").applyInPandas(_repeated, "key long, content long, doc long, rid long, first long, n long")
@@ -188,20 +189,41 @@ def candidate_runs(docs: DataFrame, repeated: DataFrame, units: Units, gram: int
 def _contents(units: Units):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, wanted in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(),
-                                         batch.column("wanted").to_pylist()):
-                whole = units(text)
-                data = [whole[w["first"] : w["first"] + w["n"] + win.WINDOW - 1].tobytes() for w in wanted]
-                yield pa.RecordBatch.from_pydict({
-                    "key": pa.array([w["key"] for w in wanted], pa.int64()),
-                    "content": pa.array([w["content"] for w in wanted], pa.int64()),
-                    "many": pa.array([w["many"] for w in wanted], pa.bool_()),
-                    "doc": pa.array([doc] * len(wanted), pa.int64()), "units": pa.array(data, pa.binary()),
-                })
+            texts, wanted = batch.column("text"), batch.column("wanted")
+            for begin, end in _pieces_of(texts):
+                part = wanted.slice(begin, end - begin)
+                whole = [units(t) for t in texts.slice(begin, end - begin).to_pylist()]
+                found, per_doc = part.flatten(), np.diff(part.offsets.to_numpy())
+                if not len(found):
+                    continue
+                column = lambda n: found.field(n).to_numpy(zero_copy_only=False)
+                data = np.concatenate(whole)
+                size = np.array([len(w) for w in whole])
+                first = np.repeat(np.cumsum(size) - size, per_doc) + column("first")
+                length = column("n") + win.WINDOW - 1
+                ends = np.cumsum(length)
+                at = np.arange(ends[-1]) + np.repeat(first - (ends - length), length)
+                offsets = np.concatenate([[0], ends * data.itemsize]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [found.field("key"), found.field("content"), found.field("many"),
+                     pa.array(np.repeat(batch.column("doc").to_numpy()[begin:end], per_doc)),
+                     pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])],
+                    names=["key", "content", "many", "doc", "units"],
+                )
 
     return rows
 
 
+def _pieces_of(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of some megabytes together."""
+    size = np.asarray(pc.binary_length(texts))
+    begin = 0
+    for cut in np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1:
+        yield begin, int(cut)
+        begin = int(cut)
+    yield begin, len(texts)
+
+
 def parted(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents that may be among ``wanted`` (doc, rid), and those that surely are not."""
     named = wanted.select(F.xxhash64("doc", "rid").alias("key"))

@@ -30,7 +30,7 @@ from shelfwatch.llm.common import words_of
 CHUNK = 64  # window starts in a chunk, on average
 CHUNK_GRAM = 4
 GRAM = 12
-GROUP_LIMIT = 2000
+GROUP_LIMIT = 500
 
 
 def split_words(text: str) -> list[bytes]:
@@ -114,7 +114,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents
 ), s AS (
   SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50
