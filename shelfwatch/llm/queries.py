@@ -1,15 +1,18 @@
 """The corpus operators as queries, and their SQL where SQL can express them."""
 
 from shelfwatch.llm.decontaminate import op4_decontamination
-from shelfwatch.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from shelfwatch.llm.exact_dedup import op1_exact_dedup
 from shelfwatch.llm.jaccard_join import op9_jaccard_join
 from shelfwatch.llm.katz import op6_katz_scoring
 from shelfwatch.llm.langid import op8_language_id
 from shelfwatch.llm.mixing import op2_mixing
+from shelfwatch.llm.oracles import ORACLES
 from shelfwatch.llm.pii import op3_pii
 from shelfwatch.llm.prefix_doubling import op7_prefix_doubling
 from shelfwatch.llm.sharding import op10_sharding
-from shelfwatch.llm.suffix_trees import OP5_SQL, op5_substring_dedup
+from shelfwatch.llm.suffix_trees import op5_substring_dedup
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -23,5 +26,3 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_sharding": op10_sharding,
 }
-
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_substring_dedup": OP5_SQL}
