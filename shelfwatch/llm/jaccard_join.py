@@ -12,12 +12,14 @@ of frequent lines come last.
    one of its shingles, and members with the first of their group. These few pairs
    join most near copies into components.
 3. Then shingles are joined by component: two components that share a shingle and
-   could have similar sizes yield the pairs of groups between them that pass the
-   size filter, these are expanded to members, and all such pairs are verified. Pairs
-   within a component need no look, as they cannot change it. No link between
+   could have similar sizes yield the pairs of groups between them that pass the size
+   and position filters, these are expanded to members, and all such pairs are verified.
+   Pairs within a component need no look, as they cannot change it. No link between
    components is lost, and a large group of near copies never meets itself pair by pair.
 
-Sets are compared exactly, as sorted arrays of 64-bit shingle hashes.
+Before texts are fetched, pairs are screened by parity bitmaps of the sets: the bits in
+which two bitmaps differ are no more than the shingles in which the sets differ. Sets
+are then compared exactly, as sorted arrays of 64-bit shingle hashes.
 
 Defined results: a null or empty text has no shingles and is alone; a text of fewer
 words than a shingle is one shingle; rows that repeat a doc_id are nodes of their own
@@ -40,8 +42,9 @@ from shelfwatch.llm.components import components
 
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 90, 100
-CELLS = 1 << 20  # of the sketch: 4 MB, whatever the data
+CELLS = 1 << 22  # of the sketch: 16 MB, whatever the data
 STRIPES = 64  # the sketch is summed in so many parts
+MOST_BITS = 1 << 15  # of a parity bitmap
 _LAST = (1 << 63) - 1  # stands for a null doc_id
 _U = np.uint64
 
@@ -75,31 +78,58 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
+def parity(found: np.ndarray) -> bytes:
+    """A bit per residue of the hashes: set where an odd number of shingles falls.
+
+    Twice as many bits as shingles, rounded up to a power of two.
+    """
+    bits = min(MOST_BITS, max(8, 1 << (2 * len(found) - 1).bit_length()))
+    odd = np.bincount((found & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer one folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def may_link(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
+    """False is certain: linked sets differ in at most (1 - t) / (1 + t) of their sizes' sum."""
+    most = (DENOMINATOR - NUMERATOR) * (n_a + n_b) // (DENOMINATOR + NUMERATOR)
+    return differing(a, b) <= most
+
+
 # --- sets and their sketch ------------------------------------------------------------
 
 
 def _cells(found: np.ndarray) -> np.ndarray:
-    return (found >> _U(44)).astype(np.int64)
+    return (found >> _U(42)).astype(np.int64)
 
 
 def _described(size: int):
     """One row per document, and the sketch of the task in stripes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int32)
+        total, names = np.zeros(CELLS, np.int32), ["doc", "sig", "n", "bits", "stripe", "cells"]
         for batch in batches:
             sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
-            total += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS).astype(np.int32) if sets else 0
+            if sets:
+                cells, counts = np.unique(_cells(np.concatenate(sets)), return_counts=True)
+                total[cells] += counts.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), pa.array([signature(s) for s in sets], pa.string()),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
-                names=["doc", "sig", "n", "stripe", "cells"])
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()),
+                 pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
         if total.any():
-            parts = total.reshape(STRIPES, -1)
-            empty = [pa.nulls(STRIPES, t) for t in (pa.int64(), pa.string(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [*empty, pa.array(range(STRIPES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["doc", "sig", "n", "stripe", "cells"])
+            # a task's counts are small; the few that are not are told apart by a second byte
+            parts = np.minimum(total, 65535).astype("<u2").reshape(STRIPES, -1)
+            empty = [pa.nulls(STRIPES, t) for t in (pa.int64(), pa.string(), pa.int64(), pa.binary())]
+            low = [p.view(np.uint8).reshape(-1, 2).T.tobytes() for p in parts]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(range(STRIPES), pa.int32()), pa.array(low, pa.binary())], names=names)
 
     return rows
 
@@ -107,13 +137,16 @@ def _described(size: int):
 def _summed(group: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(CELLS // STRIPES, np.int64)
     for raw in group["cells"]:
-        total += np.frombuffer(raw, np.int32)
+        total += np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(2, -1).T).view("<u2").reshape(-1)
     cells = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
     return pd.DataFrame({"stripe": group["stripe"].iloc[:1].to_list(), "cells": [cells.tobytes()]})
 
 
 def sketch_of(described: DataFrame) -> np.ndarray:
-    """How many documents have a shingle of each cell; at most STRIPES rows reach the driver."""
+    """How many documents have a shingle of each cell; at most STRIPES rows reach the driver.
+
+    A task's counts saturate at 65,535, which only the order of very frequent shingles feels.
+    """
     rows = described.filter("stripe IS NOT NULL").select("stripe", "cells")
     summed = rows.groupBy("stripe").applyInPandas(_summed, "stripe int, cells binary").collect()
     sketch = np.zeros((STRIPES, CELLS // STRIPES), np.int32)
@@ -130,7 +163,7 @@ def _prefixes(size: int, sketch):
         counts = sketch.value
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
+            for text in batch.column("text").to_pylist():
                 found = shingles(text, size)
                 if len(found):
                     order = np.lexsort((found, counts[_cells(found)]))
@@ -144,60 +177,68 @@ def _prefixes(size: int, sketch):
     return rows
 
 
-def groups_of(docs: DataFrame, nodes: DataFrame, size: int, sketch: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(sig, n, gid) of every node, and (token, gid, n) of the prefix shingles that several groups share.
+def groups_of(docs: DataFrame, size: int, sketch: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(sig, n, gid, head) of every node, and (token, at, gid, n) of the prefix shingles that several groups share.
 
-    ``gid`` is the smallest signature of the nodes with the same prefix and size.
+    ``head`` is the smallest signature of the nodes with the same prefix and size.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 4 MB
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 16 MB
     found = docs.mapInArrow(_prefixes(size, shared), "sig string, n long, prefix array<long>, prefix_sig string")
     found = staged(found, "prefixes")
-    firsts = staged(found.groupBy("prefix_sig", "n").agg(F.min("sig").alias("gid")), "groups")
-    members = staged(found.select("sig", "n", "prefix_sig").distinct().join(firsts, ["prefix_sig", "n"]).select("sig", "n", "gid"), "members")
-    # The copies of a group's first node have its prefix too.
-    tokens = found.join(firsts, ["prefix_sig", "n"]).filter("sig = gid").select("gid", "n", F.explode("prefix").alias("token"))
-    tokens = staged(tokens.distinct(), "tokens")
+    groups = found.groupBy("prefix_sig", "n").agg(F.min("sig").alias("head"), F.first("prefix").alias("prefix"))
+    groups = staged(groups.withColumn("gid", F.xxhash64("prefix_sig", "n")), "groups")
+    nodes = found.select("sig", "n", "prefix_sig").distinct()
+    members = nodes.join(groups.select("prefix_sig", "n", "gid", "head"), ["prefix_sig", "n"]).select("sig", "n", "gid", "head")
+    tokens = groups.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
     several = tokens.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).filter("low < high")
-    return members, staged(tokens.join(staged(several.select("token"), "shared"), "token"), "shared-tokens")
+    return staged(members, "members"), staged(tokens.join(staged(several.select("token"), "shared"), "token"), "shared-tokens")
 
 
 # --- verification -----------------------------------------------------------------------
 
 
-def _sets(size: int):
+def _texts_verified(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
-            right = [signature(s) == sig for s, sig in zip(sets, batch.column("sig").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("sig"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "data"]
-            ).filter(pa.array(right))
+            held: dict[str, np.ndarray] = {}
+            good = []
+            for a, b, x, y in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "text_a", "text_b"))):
+                for sig, text in ((a, x), (b, y)):
+                    if sig not in held:
+                        held[sig] = shingles(text, size)
+                good.append(signature(held[a]) == a and signature(held[b]) == b and linked(held[a], held[b]))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return rows
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = [linked(np.frombuffer(x, _U), np.frombuffer(y, _U))
-                for x, y in zip(batch.column("data_a").to_pylist(), batch.column("data_b").to_pylist())]
+        good = [may_link(*x) for x in zip(*(batch.column(n).to_pylist() for n in ("bits_a", "bits_b", "n_a", "n_b")))]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) of signatures whose sets are similar enough.
 
-    ``nodes`` has (sig, doc) of one document for each set; only those that occur in a
-    pair are read again.
+    ``nodes`` has (sig, doc, n, bits) of one document for each set. Only documents of
+    pairs that pass the bitmaps are read again.
     """
     pairs = staged(pairs.filter("a <> b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+
+    def with_node(rows: DataFrame, x: str) -> DataFrame:
+        return rows.join(nodes.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+
+    near = with_node(with_node(pairs, "b"), "a").filter(_similar_sizes("n_a", "n_b"))
+    near = staged(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_screened, "a string, b string"), "near")
+    wanted = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct()
     wanted = staged(wanted.join(nodes, "sig").select("sig", "doc"), "wanted")
     named = bitmap_of(wanted.select(F.xxhash64("doc").alias("key")), "key")
-    rows = docs.filter(may_contain(named, F.xxhash64("doc"))).join(wanted, "doc").select("sig", "text")
-    sets = staged(rows.mapInArrow(_sets(size), "sig string, data binary").dropDuplicates(["sig"]), "sets")
-    both = pairs.join(sets.select(F.col("sig").alias("b"), F.col("data").alias("data_b")), "b")
-    both = both.join(sets.select(F.col("sig").alias("a"), F.col("data").alias("data_a")), "a")
-    return staged(both.select("a", "b", "data_a", "data_b").mapInArrow(_verified, "a string, b string"), "links")
+    texts = docs.filter(may_contain(named, F.xxhash64("doc"))).join(wanted, "doc").select("sig", "text")
+    texts = staged(texts, "texts")
+    both = near.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b")), "b")
+    both = both.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a")), "a")
+    return staged(both.select("a", "b", "text_a", "text_b").mapInArrow(_texts_verified(size), "a string, b string"), "links")
 
 
 # --- the join -----------------------------------------------------------------------------
@@ -208,27 +249,38 @@ def _similar_sizes(x: str, y: str) -> Column:
     return (F.col(x) * DENOMINATOR >= F.col(y) * NUMERATOR) & (F.col(y) * DENOMINATOR >= F.col(x) * NUMERATOR)
 
 
+def _positions_allow() -> Column:
+    """Whether the overlap that a shared shingle's places leave can reach the similarity."""
+    before = F.least("at_a", "at_b")
+    after = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    return (before + after) * (DENOMINATOR + NUMERATOR) >= (F.col("n_a") + F.col("n_b")) * NUMERATOR
+
+
 def first_pairs(members: DataFrame, tokens: DataFrame) -> DataFrame:
     """One pair for each group, with a group that it shares a shingle with, and one for each member."""
-    level = F.floor(F.log(F.col("n")) / F.log(F.lit(DENOMINATOR / NUMERATOR)))
-    rows = tokens.withColumn("level", level)
+    level = F.floor(F.log(F.col("n")) / F.log(F.lit(DENOMINATOR / NUMERATOR))).cast("int")
+    rows = tokens.select("token", "gid", level.alias("level"))
     hubs = staged(rows.groupBy("token", "level").agg(F.min("gid").alias("hub")), "hubs")
     pairs = rows.join(hubs, ["token", "level"]).filter("hub < gid").groupBy("gid").agg(F.min("hub").alias("hub"))
-    return pairs.select(F.col("hub").alias("a"), F.col("gid").alias("b")).unionByName(
-        members.filter("sig <> gid").select(F.col("gid").alias("a"), F.col("sig").alias("b"))
+    heads = staged(members.filter("sig = head").select("gid", "head"), "heads")
+    pairs = pairs.join(heads.select("gid", F.col("head").alias("b")), "gid").join(
+        heads.select(F.col("gid").alias("hub"), F.col("head").alias("a")), "hub"
+    )
+    return pairs.select("a", "b").unionByName(
+        members.filter("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b"))
     )
 
 
 def rest_pairs(members: DataFrame, tokens: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs of nodes of different components whose groups share a shingle and have similar sizes."""
-    placed = members.join(comps, F.col("sig") == F.col("node"), "left").select(
-        "sig", "n", "gid", F.coalesce("component", "sig").alias("comp")
-    )
-    placed = staged(placed, "placed")
-    held = staged(placed.select("gid", "n", "comp").distinct(), "group-components")
-    rows = staged(tokens.join(held, ["gid", "n"]), "token-components")
+    comp = F.xxhash64(F.coalesce("component", "sig")).alias("comp")
+    placed = staged(members.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "n", "gid", comp), "placed")
+    held = staged(placed.select("gid", "comp").distinct(), "group-components")
+    rows = staged(tokens.join(held, "gid"), "token-components")
     # Components that meet in a shingle, before any of their groups are paired.
-    spans = staged(rows.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most")), "spans")
+    spans = rows.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    several = spans.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    spans = staged(spans.join(several.select("token"), "token", "left_semi"), "spans")
     left = spans.select("token", F.col("comp").alias("comp_a"), F.col("least").alias("least_a"), F.col("most").alias("most_a"))
     right = spans.select("token", F.col("comp").alias("comp_b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"))
     meet = left.join(right, "token").filter("comp_a < comp_b").filter(
@@ -237,10 +289,11 @@ def rest_pairs(members: DataFrame, tokens: DataFrame, comps: DataFrame) -> DataF
     meet = staged(meet.select("token", "comp_a", "comp_b"), "meetings")
 
     def side(x: str) -> DataFrame:
-        return rows.select("token", F.col("comp").alias(f"comp_{x}"), F.col("gid").alias(f"gid_{x}"), F.col("n").alias(f"n_{x}"))
+        return rows.select("token", F.col("comp").alias(f"comp_{x}"), F.col("gid").alias(f"gid_{x}"), F.col("n").alias(f"n_{x}"),
+                           F.col("at").alias(f"at_{x}"))
 
-    groups = meet.join(side("a"), ["token", "comp_a"]).join(side("b"), ["token", "comp_b"]).filter(_similar_sizes("n_a", "n_b"))
-    groups = groups.select("gid_a", "comp_a", "gid_b", "comp_b").distinct()
+    groups = meet.join(side("a"), ["token", "comp_a"]).join(side("b"), ["token", "comp_b"])
+    groups = groups.filter(_similar_sizes("n_a", "n_b") & _positions_allow()).select("gid_a", "comp_a", "gid_b", "comp_b").distinct()
     # Members of one group that are still apart share its whole prefix.
     apart = held.select("gid", F.col("comp").alias("comp_a")).join(held.select("gid", F.col("comp").alias("comp_b")), "gid")
     apart = apart.filter("comp_a < comp_b").select(F.col("gid").alias("gid_a"), "comp_a", F.col("gid").alias("gid_b"), "comp_b")
@@ -255,11 +308,12 @@ def rest_pairs(members: DataFrame, tokens: DataFrame, comps: DataFrame) -> DataF
 def similar_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links."""
     rows = narrowed(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), text_of().alias("text"))
-    described = rows.mapInArrow(_described(size), "doc long, sig string, n long, stripe int, cells binary")
+    described = rows.mapInArrow(_described(size), "doc long, sig string, n long, bits binary, stripe int, cells binary")
     described = staged(described, "described")
     each = described.filter("stripe IS NULL").select("doc", "sig", "n")
-    nodes = staged(each.filter("n > 0").groupBy("sig").agg(F.min("doc").alias("doc")), "nodes")
-    members, tokens = groups_of(rows, nodes, size, sketch_of(described))
+    nodes = described.filter("n > 0").groupBy("sig").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = staged(nodes, "nodes")
+    members, tokens = groups_of(rows, size, sketch_of(described))
     links = verify(first_pairs(members, tokens), rows, nodes, size)
     more = verify(rest_pairs(members, tokens, components(links)), rows, nodes, size)
     comps = components(links.unionByName(more))
