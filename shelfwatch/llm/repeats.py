@@ -10,7 +10,8 @@ part (suffix trees, prefix doubling) and comes in as ``earliest_of``.
    one instance here, however many there are.
 2. In the chunks that go on, windows are gathered into runs with a common anchor.
    Anchors are dealt out by hash as packed arrays, an anchor of several documents of
-   one batch also by document; runs whose anchor occurs in one document only are done.
+   one batch also by document; runs whose anchor, with the units before or after it,
+   occurs in one document only are done.
 3. Of runs with equal content one goes on, with the smallest doc_id of its content;
    its units are fetched, and the smallest doc_id of each of its windows is found.
 4. Windows whose smallest doc_id is smaller than their own are repeats.
@@ -94,6 +95,8 @@ def _packed(runs: win.Runs, doc, rid, chosen) -> dict[str, bytes]:
         "contents": (runs.content[chosen] >> _U(16)).astype("<u8").view("u1").reshape(-1, 8)[:, :6].tobytes(),
         "firsts": runs.first[chosen].astype("<u4").tobytes(),
         "counts": runs.count[chosen].astype("u1").tobytes(),
+        "lefts": (runs.left[chosen] >> _U(56)).astype("u1").tobytes(),
+        "rights": (runs.right[chosen] >> _U(56)).astype("u1").tobytes(),
         "docs": doc[row[head]].astype("<i8").tobytes(),
         "rids": rid[row[head]].astype("<i4").tobytes(),
         "per_doc": np.diff(np.append(head, len(row))).astype("<u4").tobytes(),
@@ -106,7 +109,26 @@ def _wide(raw: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-_PACKED = ["keys", "contents", "firsts", "counts", "docs", "rids", "per_doc"]
+_PACKED = ["keys", "contents", "firsts", "counts", "lefts", "rights", "docs", "rids", "per_doc"]
+
+
+def _sides(key: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """40 bits of the anchor with 8 of the stretch on either side."""
+    return key << _U(8) | left, key << _U(8) | right
+
+
+def _shared(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether an entry's key occurs in several documents, and whether the entry is its key's first."""
+    order = np.argsort(key, kind="stable")
+    sorted_, own = key[order], doc[order]
+    begin = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+    differs = np.zeros(len(key), bool)
+    differs[1:] = ~begin[1:] & (own[1:] != own[:-1])
+    index = np.cumsum(begin) - 1
+    several, first = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    several[order] = (np.bincount(index, differs) > 0)[index]
+    first[order] = begin
+    return several, first
 
 
 def _unpacked(group: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -114,14 +136,15 @@ def _unpacked(group: pd.DataFrame) -> dict[str, np.ndarray]:
     for x in group.itertuples(index=False):
         per_doc = np.frombuffer(x.per_doc, "<u4")
         parts.append((_wide(x.keys, 5), _wide(x.contents, 6), np.frombuffer(x.firsts, "<u4"),
-                      np.frombuffer(x.counts, "u1"), np.repeat(np.frombuffer(x.docs, "<i8"), per_doc),
+                      np.frombuffer(x.counts, "u1"), np.frombuffer(x.lefts, "u1"), np.frombuffer(x.rights, "u1"), np.repeat(np.frombuffer(x.docs, "<i8"), per_doc),
                       np.repeat(np.frombuffer(x.rids, "<i4").astype(np.int64), per_doc)))
-    return dict(zip(("key", "content", "first", "n", "doc", "rid"), map(np.concatenate, zip(*parts))))
+    return dict(zip(("key", "content", "first", "n", "left", "right", "doc", "rid"), map(np.concatenate, zip(*parts))))
 
 
 def _anchor_rows(units: Units, gram: int, buckets: int):
-    """Packed runs by bucket. An anchor that several documents of a block share is known to
-    repeat; of it one run stays with the bucket of its hash, the others are spread by document."""
+    """Packed runs by bucket. An anchor that several documents of a block share, with the
+    stretch on one side, is known to repeat; of these the first stay with the bucket of the
+    anchor's hash, and the others are spread by document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,17 +153,11 @@ def _anchor_rows(units: Units, gram: int, buckets: int):
             texts = batch.column("text").to_pylist()
             found = (p for i, t in enumerate(texts) for p in win.pieces(i, units(t), skip[i]))
             for runs in win.anchors(found, gram):
-                order = np.argsort(runs.key, kind="stable")
-                key, own = runs.key[order], doc[runs.row[order]]
-                begin = np.concatenate([[True], key[1:] != key[:-1]])
-                group = np.cumsum(begin) - 1
-                differs = np.zeros(len(key), bool)
-                differs[1:] = ~begin[1:] & (own[1:] != own[:-1])
-                several = np.bincount(group, differs) > 0
-                known = np.zeros(len(key), bool)
-                known[order] = several[group]
-                spread = np.zeros(len(key), bool)
-                spread[order] = several[group] & ~begin
+                own = doc[runs.row]
+                by_left, by_right = _sides(runs.key >> _U(24), runs.left >> _U(56), runs.right >> _U(56))
+                (left, first_left), (right, first_right) = _shared(by_left, own), _shared(by_right, own)
+                known = left | right
+                spread = known & ~first_left & ~first_right
                 by = np.where(spread, runs.key ^ win.mixed(doc[runs.row].view(_U)), runs.key)
                 bucket = ((by >> _U(8)) % _U(buckets)).astype(np.int64) * 2 + known
                 order = np.argsort(bucket, kind="stable")
@@ -160,13 +177,16 @@ def _repeated(group: pd.DataFrame) -> pd.DataFrame:
     """Runs of a bucket whose key occurs in several documents."""
     runs = _unpacked(group)
     known = np.repeat(group["known"].to_numpy(bool), [len(c) for c in group["counts"]])
-    order = np.argsort(runs["key"], kind="stable")
-    key, doc = runs["key"][order], runs["doc"][order]
-    begin = np.concatenate([[True], key[1:] != key[:-1]])
-    index = np.cumsum(begin) - 1
-    differs = np.zeros(len(key), bool)
-    differs[1:] = ~begin[1:] & (doc[1:] != doc[:-1])
-    kept = order[(np.bincount(index, differs | known[order]) > 0)[index]]
+    sides = _sides(runs["key"], runs["left"].astype(_U), runs["right"].astype(_U))
+    kept = known.copy()
+    for side in sides:
+        kept |= _shared(side, runs["doc"])[0]
+        # what a block knew to be shared makes its equals elsewhere shared too
+        order = np.argsort(side, kind="stable")
+        begin = np.concatenate([[True], np.diff(side[order]) != 0])
+        index = np.cumsum(begin) - 1
+        kept[order] |= (np.bincount(index, known[order]) > 0)[index]
+    kept = np.flatnonzero(kept)
     return pd.DataFrame({
         "key": runs["key"][kept].view(np.int64), "content": runs["content"][kept].view(np.int64),
         "doc": runs["doc"][kept], "rid": runs["rid"][kept], "first": runs["first"][kept].astype(np.int64),

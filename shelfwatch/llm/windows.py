@@ -11,7 +11,7 @@ wherever they lie.
 """
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -96,13 +96,20 @@ def pieces(row: int, units: np.ndarray, without: Iterable[tuple[int, int]] = ())
 
 @dataclass(frozen=True)
 class Runs:
-    """Ranges of window starts: rows of the batch, first start, number, hash of all units, key."""
+    """Ranges of window starts: rows of the batch, first start, number, hash of all units, key.
+
+    ``left`` and ``right`` are hashes of the units before and after an anchor. Every
+    window holds one of the two stretches whole, so equal windows have equal anchors and
+    an equal ``left`` or ``right``.
+    """
 
     row: np.ndarray
     first: np.ndarray
     count: np.ndarray
     content: np.ndarray
     key: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
 
 
 def _blocks(found: Iterable[Piece]) -> Iterator[list[Piece]]:
@@ -130,13 +137,15 @@ def _laid_out(block: list[Piece]):
     return units, starts, owner, rows, shift
 
 
-def _runs(cut: np.ndarray, spans: Spans, starts, owner, rows, shift, keys=None) -> Runs:
+def _runs(cut: np.ndarray, spans: Spans, starts, owner, rows, shift) -> tuple[np.ndarray, Runs]:
+    """The cuts, and runs without anchors."""
     begin = np.flatnonzero(cut)
     count = np.diff(np.append(begin, len(starts)))
     first = starts[begin]
     content = spans.hashes(first, first + count + (WINDOW - 1))
     own = owner[begin]
-    return Runs(rows[own], first + shift[own], count, content, content if keys is None else keys[begin])
+    none = np.zeros(len(begin), _U)
+    return begin, Runs(rows[own], first + shift[own], count, content, content, none, none)
 
 
 def chunks(found: Iterable[Piece], mean: int, gram: int) -> Iterator[Runs]:
@@ -147,7 +156,7 @@ def chunks(found: Iterable[Piece], mean: int, gram: int) -> Iterator[Runs]:
         cut = spans.grams(gram)[starts] % _U(mean) == 0
         cut[0] = True
         cut[1:] |= owner[1:] != owner[:-1]
-        yield _runs(cut, spans, starts, owner, rows, shift)
+        yield _runs(cut, spans, starts, owner, rows, shift)[1]
 
 
 def anchors(found: Iterable[Piece], gram: int) -> Iterator[Runs]:
@@ -165,14 +174,12 @@ def anchors(found: Iterable[Piece], gram: int) -> Iterator[Runs]:
         least = (sliding_minimum(packed, width)[starts] & low).astype(np.int64)
         cut = np.ones(len(starts), bool)
         cut[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
-        yield _runs(cut, spans, starts, owner, rows, shift, grams[least])
-
-
-def joined(parts: list[Runs]) -> Runs:
-    empty = np.zeros(0, np.int64)
-    if not parts:
-        return Runs(empty, empty, empty, empty.astype(_U), empty.astype(_U))
-    return Runs(*(np.concatenate([getattr(p, n) for p in parts]) for n in ("row", "first", "count", "content", "key")))
+        begin, runs = _runs(cut, spans, starts, owner, rows, shift)
+        at, beside = least[begin], (WINDOW - gram) // 2
+        # windows that hold the stretch on one side exist only where it lies in the piece
+        from_, to = np.maximum(at - beside, 0), np.minimum(at + gram + beside, len(units))
+        left, right = spans.hashes(from_, at), spans.hashes(np.minimum(at + gram, to), to)
+        yield replace(runs, key=grams[at], left=left, right=right)
 
 
 def covered(length: int, firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
