@@ -8,8 +8,8 @@ seeds inside the scan. Around each hit the two token sequences are compared in p
 a document is contaminated by an item if, in some window of ``WINDOW`` aligned tokens
 (all of a shorter item), at least ``SIMILARITY`` of them are equal.
 
-Benchmark items need at least ``SPAN`` tokens. Hits are merged by document, item and
-diagonal before texts are fetched, and only documents with hits are fetched. A seed
+Benchmark items need at least ``SPAN`` tokens. Hits are merged by document and item
+before texts are fetched, and only documents with hits are fetched. A seed
 that many documents share is split by adaptive skew handling, as each document seed
 meets only the benchmark's own occurrences of it.
 
@@ -83,28 +83,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = staged(items.select("item_id", tokens(text_of()).alias("item_tokens")), "items")
     seeds = staged(benchmark_seeds(items), "seeds")
     hits = document_seeds(docs, bitmap_of(seeds, "seed")).join(seeds, "seed")
-    hits = hits.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
-        F.count(F.lit(1)).alias("seeds")
-    )
+    # one row per document and item; the shifts are no more than the tokens of both
+    hits = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("shifts"))
     hits = staged(hits, "hits")
     named = hits.select(F.xxhash64("doc_id").alias("key"))
     found = docs.filter(may_contain(bitmap_of(named, "key"), F.xxhash64("doc_id")))
     found = found.select("doc_id", tokens(text_of()).alias("doc_tokens"))
     pairs = hits.join(found, "doc_id").join(items, "item_id")
-    shift, n = F.col("shift"), F.size("item_tokens")
-    # The item's positions that lie over the document at this shift.
-    over = F.sequence(F.greatest(F.lit(0), -shift), F.least(n, F.size("doc_tokens") - shift) - 1)
-    equal = F.transform(over, lambda i: (F.get("doc_tokens", i + shift) == F.get("item_tokens", i)).cast("int"))
+    n = F.size("item_tokens")
     window = F.least(F.lit(WINDOW), n)
-    judged = pairs.select(
-        "doc_id", "item_id", window.alias("window"), n.alias("item_length"), equal.alias("equal")
-    ).select(
-        "doc_id", "item_id", "window", "item_length", _window_matches(F.col("window"), F.col("equal")).alias("matches"),
-        F.aggregate("equal", F.lit(0), lambda total, x: total + x).alias("overlap"),
-    )
-    return judged.filter(F.col("matches") >= F.ceil(F.col("window") * SIMILARITY)).groupBy("doc_id", "item_id").agg(
-        F.max("window").alias("window"), F.max("matches").alias("matches"), F.max("overlap").alias("overlap"),
-        F.max("item_length").alias("item_length"),
+    rows = pairs.withColumn("window", window).withColumn("least", F.ceil(window * SIMILARITY).cast("int"))
+
+    def equal_at(shift: Column) -> Column:
+        """0 or 1 for the item's positions that lie over the document at this shift."""
+        over = F.sequence(F.greatest(F.lit(0), -shift), F.least(n, F.size("doc_tokens") - shift) - 1)
+        return F.transform(over, lambda i: (F.get("doc_tokens", i + shift) == F.get("item_tokens", i)).cast("int"))
+
+    def judged(best: Column, shift: Column) -> Column:
+        """The better of ``best`` and this shift, if it matches; one shift is laid out at a time."""
+        laid = F.transform(F.array(equal_at(shift)), lambda equal: F.struct(
+            _window_matches(F.col("window"), equal).alias("matches"),
+            F.aggregate(equal, F.lit(0), lambda total, x: total + x).alias("overlap"),
+        ))
+        return F.get(F.transform(laid, lambda x: F.when(
+            x["matches"] >= F.col("least"),
+            F.struct(F.greatest(best["matches"], x["matches"]).alias("matches"), F.greatest(best["overlap"], x["overlap"]).alias("overlap")),
+        ).otherwise(best)), 0)
+
+    none = F.struct(F.lit(0).alias("matches"), F.lit(0).alias("overlap"))
+    rows = rows.withColumn("best", F.aggregate("shifts", none, judged)).filter("best.matches > 0")
+    return rows.groupBy("doc_id", "item_id").agg(  # rows that repeat a doc_id
+        *[F.max(F.col(c).cast("long")).alias(a) for c, a in (
+            ("window", "window"), ("best.matches", "matches"), ("best.overlap", "overlap"))],
+        F.max(n.cast("long")).alias("item_length"),
     )
 
 

@@ -127,8 +127,8 @@ def recognised(docs: DataFrame, least: float = LEAST) -> DataFrame:
     probability under ``least``.
     """
     rows = docs.select(*DOCUMENT)
-    schema = rows.schema.add("lang_pred", "string").add("score", "double")
-    found = rows.mapInArrow(_labelled(fit(rows), DOCUMENT), schema)
+    fields = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
+    found = rows.mapInArrow(_labelled(fit(rows), DOCUMENT), f"{fields}, lang_pred string, score double")
     return found.filter((F.col("lang_pred") != NONE) & (F.col("score") >= least)).select(*DOCUMENT)
 
 
