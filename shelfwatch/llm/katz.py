@@ -180,6 +180,8 @@ def _bigrams(items: Iterator[tuple[int, bytes]]) -> Iterator[tuple[bytes]]:
     def merged() -> tuple:
         parts = [*([found] if found else []), *held]
         h, w, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        if not len(h):  # held-out entries only
+            return h, w, n
         order = np.argsort(pair := _pair_hash(h, w), kind="stable")
         begin = np.flatnonzero(np.concatenate([[True], np.diff(pair[order]) != 0]))
         first = order[begin]
