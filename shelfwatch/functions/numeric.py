@@ -2,7 +2,8 @@
 
 from pyspark.sql import Column, functions as F
 
-EXACT = "decimal(38,6)"
+# Holds the digits of a double of 16 digits before the point, so it is rounded once only.
+EXACT = "decimal(38,20)"
 
 
 def round_half_up(value: Column, places: int = 0) -> Column:

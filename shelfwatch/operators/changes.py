@@ -1,32 +1,47 @@
 """Row changes between two versions of a table."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from shelfwatch.operators.joins import add_by_key, same_key
 
 
+def _net(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """Rows of which one version has more: ``net`` is positive for added, negative for removed ones.
+
+    Equal rows combine map-side, and unchanged ones drop out here.
+    """
+    columns = current.columns
+    signed = previous.select(*columns, F.lit(-1).alias("sign")).unionByName(
+        current.select(*columns, F.lit(1).alias("sign"))
+    )
+    return signed.groupBy(*columns).agg(F.sum("sign").alias("net")).filter(F.col("net") != 0)
+
+
 def row_changes(previous: DataFrame, current: DataFrame, key: list[str]) -> DataFrame:
-    """INSERT, UPDATE and DELETE rows between two versions with a unique ``key``.
+    """INSERT, UPDATE and DELETE rows between two versions; keys may repeat.
 
+    Equal rows cancel first. What is left of a key is numbered in the order of its
+    values on each side, and removed and added rows of one number are an UPDATE.
     Result: ``op``, the key, and every other column as ``old_*`` and ``new_*``.
-    For tables that repeat a key, use :func:`change_feed`.
     """
     values = [c for c in current.columns if c not in key]
-    before = previous.withColumn("here", F.lit(True)).alias("o")
-    after = current.withColumn("here", F.lit(True)).alias("n")
-    both = before.join(after, same_key(key, "o", "n"), "full_outer")
-    same = F.lit(True)
-    for c in values:
-        same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
+    net = _net(previous, current)
+    times = F.sequence(F.lit(1).cast("long"), F.abs(F.col("net")))
+    each = net.withColumn("added", F.col("net") > 0).withColumn("copy", F.explode(times)).drop("net")
+    nth = F.row_number().over(Window.partitionBy(*key, "added").orderBy(*values, "copy"))
+    each = each.withColumn("nth", nth)
+    before = each.filter(~F.col("added")).alias("o")
+    after = each.filter("added").alias("n")
+    both = before.join(after, same_key([*key, "nth"], "o", "n"), "full_outer")
     op = (
-        F.when(F.col("o.here").isNull(), F.lit("INSERT"))
-        .when(F.col("n.here").isNull(), F.lit("DELETE"))
-        .when(~same, F.lit("UPDATE"))
+        F.when(F.col("o.nth").isNull(), F.lit("INSERT"))
+        .when(F.col("n.nth").isNull(), F.lit("DELETE"))
+        .otherwise(F.lit("UPDATE"))
     )
     keys = [F.coalesce(F.col(f"n.{k}"), F.col(f"o.{k}")).alias(k) for k in key]
     olds = [F.col(f"o.{c}").alias(f"old_{c}") for c in values]
     news = [F.col(f"n.{c}").alias(f"new_{c}") for c in values]
-    return both.select(op.alias("op"), *keys, *olds, *news).filter(F.col("op").isNotNull())
+    return both.select(op.alias("op"), *keys, *olds, *news)
 
 
 def change_feed(previous: DataFrame, current: DataFrame, key: list[str]) -> DataFrame:
@@ -36,15 +51,11 @@ def change_feed(previous: DataFrame, current: DataFrame, key: list[str]) -> Data
     added rows. Equal rows combine map-side, unchanged ones drop out before the
     keys are compared.
     """
-    columns = current.columns
-    signed = previous.select(*columns, F.lit(-1).alias("sign")).unionByName(
-        current.select(*columns, F.lit(1).alias("sign"))
-    )
-    net = signed.groupBy(*columns).agg(F.sum("sign").alias("net")).filter(F.col("net") != 0)
+    net = _net(previous, current)
     per_key = net.groupBy(*key).agg(((F.min("net") < 0) & (F.max("net") > 0)).alias("is_update"))
     action = F.when(F.col("net") > 0, F.lit("INSERT")).otherwise(F.lit("DELETE"))
     return add_by_key(net, per_key, key).select(
-        action.alias("action"), "is_update", F.abs(F.col("net")).alias("rows"), *columns
+        action.alias("action"), "is_update", F.abs(F.col("net")).alias("rows"), *current.columns
     )
 
 

@@ -24,12 +24,12 @@ def add_by_key(df: DataFrame, per_key: DataFrame, key: list[str], how: str = "in
 
 def without_keys(df: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``df`` whose key is not listed in ``keys``."""
-    return df.alias("l").join(keys.select(*key).distinct().alias("r"), same_key(key, "l", "r"), "left_anti")
+    return df.alias("l").join(keys.select(*key).alias("r"), same_key(key, "l", "r"), "left_anti")
 
 
 def with_keys(df: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``df`` whose key is listed in ``keys``."""
-    return df.alias("l").join(keys.select(*key).distinct().alias("r"), same_key(key, "l", "r"), "left_semi")
+    return df.alias("l").join(keys.select(*key).alias("r"), same_key(key, "l", "r"), "left_semi")
 
 
 def flag_keys(df: DataFrame, keys: DataFrame, key: list[str], flag: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfwatch import fixed_values as V
 from shelfwatch.operators.joins import same_key
 from shelfwatch.schema import LEDGER_COLUMNS, QUANTITIES, SERIES_KEY
+from shelfwatch.staging import staged
 
 CORRUPT = "_corrupt_record"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -79,7 +80,15 @@ def find_problems(df: DataFrame) -> DataFrame:
     All rules are counted by one aggregation over the rows.
     """
     checks = rules(df)
+    return _findings(_count_rules(with_values(df), checks), checks)
+
+
+def _count_rules(rows: DataFrame, checks: list[tuple[str, str, str, Column]]) -> DataFrame:
     counts = [F.sum(F.when(broken, 1).otherwise(0)).alias(f"n{i}") for i, (*_, broken) in enumerate(checks)]
+    return rows.agg(F.count(F.lit(1)).alias("_rows"), *counts)
+
+
+def _findings(counts: DataFrame, checks: list[tuple[str, str, str, Column]]) -> DataFrame:
     cells = [
         F.struct(
             F.lit(name).alias("rule"),
@@ -89,28 +98,31 @@ def find_problems(df: DataFrame) -> DataFrame:
         )
         for i, (name, severity, column, _) in enumerate(checks)
     ]
-    found = with_values(df).agg(*counts).select(F.inline(F.array(*cells)))
-    return found.filter(F.col("count") > 0)
+    return counts.select(F.inline(F.array(*cells))).filter(F.col("count") > 0)
 
 
 def check_ledger(df: DataFrame) -> LedgerReport:
     """Split uploaded text rows into valid and rejected ones and count findings.
 
-    The rows are read once per part of the report, so pass a stored table.
+    The cells are parsed once; the parts of the report read the stored result.
     """
     missing = missing_columns(df)
     if missing:
-        raise LedgerFormatError(f"Missing required columns: {', '.join(missing)}")
+        raise LedgerFormatError(f"ledger upload has columns {df.columns}; not among them: {', '.join(missing)}")
     df = df.toDF(*[c.strip().lower() for c in df.columns])
-    if df.isEmpty():
-        raise LedgerFormatError("CSV file is empty (no data rows)")
+    checks = rules(df)
     broken = F.lit(False)
-    for _, severity, _, condition in rules(df):
+    for _, severity, _, condition in checks:
         if severity == "error":
             broken = broken | condition
-    values = with_values(df)
-    valid, rejected = (values.filter(c).select(*df.columns) for c in (~broken, broken))
-    return LedgerReport(valid, rejected, find_problems(df))
+    # parsed once: the stored rows carry what the report needs
+    flags = [condition.alias(f"_rule{i}") for i, (*_, condition) in enumerate(checks)]
+    judged = staged(with_values(df).select(*df.columns, broken.alias("_broken"), *flags), "judged")
+    counts = _count_rules(judged, [(*c[:3], F.col(f"_rule{i}")) for i, c in enumerate(checks)])
+    if counts.first()["_rows"] == 0:
+        raise LedgerFormatError("ledger upload has a header but no rows below it")
+    valid, rejected = (judged.filter(c).select(*df.columns) for c in (~F.col("_broken"), F.col("_broken")))
+    return LedgerReport(valid, rejected, _findings(counts, checks))
 
 
 def negative_closing(df: DataFrame) -> DataFrame:

@@ -1,28 +1,67 @@
 """Rolling 7- and 30-row figures on every ledger row."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfwatch import fixed_values as V
-from shelfwatch.operators.joins import add_by_key
-from shelfwatch.operators.tails import TIE_BREAK, oldest_first
+from shelfwatch.operators.joins import same_key
+from shelfwatch.operators.tails import newest_first, oldest_first
 from shelfwatch.schema import SERIES_KEY
-from shelfwatch.staging import staged
 
-MAX_SERIES_ROWS = 2_000_000
 HALO = V.LONG_FRAME_ROWS - 1
+MONTH = SERIES_KEY + ["month"]
 
 
-def largest_series(ledger: DataFrame) -> int:
-    """Row count of the longest series; only one number reaches the driver."""
-    counts = ledger.groupBy(*SERIES_KEY).count()
-    return counts.agg(F.max("count")).first()[0] or 0
+def month_of(day: Column) -> Column:
+    """Months since year 0; NULL where the date is."""
+    return (F.year(day) * 12 + F.month(day)).cast("int")
 
 
-def _frames(rows: DataFrame, group: list[str], order: list) -> DataFrame:
-    ordered = Window.partitionBy(*group).orderBy(*order)
+def handovers(ledger: DataFrame) -> DataFrame:
+    """(series, month, target, need): how many newest rows of a month a later month's frames reach.
+
+    Built from one count per series and month, which is combined before it is
+    shuffled. A month is followed by at most ``HALO + 1`` months that need it, as each
+    of them has a row.
+    """
+    counts = ledger.groupBy(*SERIES_KEY, month_of(F.col("date")).alias("month")).agg(F.count(F.lit(1)).alias("rows"))
+    # one small array per series; an unknown month sorts first, as unknown dates do
+    months = counts.groupBy(*SERIES_KEY).agg(F.sort_array(F.collect_list(F.struct("month", "rows"))).alias("m"))
+    each = months.select(*SERIES_KEY, "m", F.posexplode("m").alias("at", "source"))
+    later = F.slice(F.col("m"), F.col("at") + 2, HALO + 1)
+    # rows of the months between this one and each later one
+    between = F.transform(
+        later, lambda x, i: F.aggregate(F.slice(later, F.lit(1), i), F.lit(0).cast("long"), lambda total, y: total + y["rows"])
+    )
+    needs = F.arrays_zip(F.transform(later, lambda x: x["month"]).alias("target"), between.alias("between"))
+    found = each.select(*SERIES_KEY, F.col("source.month").alias("month"), F.explode(needs).alias("n"))
+    return found.select(*MONTH, F.col("n.target").alias("target"), (F.lit(HALO) - F.col("n.between")).alias("need")).filter("need > 0")
+
+
+def with_halo(ledger: DataFrame) -> DataFrame:
+    """Every row in its month (``own``) and the copies that later months' frames need."""
+    rows = ledger.withColumn("month", month_of(F.col("date")))
+    newest = Window.partitionBy(*MONTH).orderBy(*newest_first())
+    tails = rows.withColumn("recency", F.row_number().over(newest)).filter(F.col("recency") <= HALO)
+    wanted = handovers(ledger)
+    copies = tails.alias("l").join(
+        wanted.alias("r"), same_key(MONTH, "l", "r") & (F.col("l.recency") <= F.col("r.need"))
+    ).select("l.*", F.col("r.target").alias("frame"))
+    return rows.withColumn("frame", F.col("month")).withColumn("own", F.lit(True)).unionByName(
+        copies.drop("recency").withColumn("own", F.lit(False))
+    )
+
+
+def rolling_figures(ledger: DataFrame) -> DataFrame:
+    """Rolling figures on every ledger row, in time order of its series.
+
+    Each series is cut into months, and a month gets copies of the last rows before it,
+    so the work of one task is one series' month whatever the length of the series.
+    When only the newest row of a series matters, use ``tails.tail_figures``.
+    """
+    ordered = Window.partitionBy(*SERIES_KEY, "frame").orderBy(*oldest_first())
     short = ordered.rowsBetween(-(V.SHORT_FRAME_ROWS - 1), 0)
     long = ordered.rowsBetween(-HALO, 0)
-    return rows.withColumns(
+    figures = with_halo(ledger).withColumns(
         {
             "avg_short": F.avg("issued").over(short),
             "avg_long": F.avg("issued").over(long),
@@ -31,62 +70,4 @@ def _frames(rows: DataFrame, group: list[str], order: list) -> DataFrame:
             "stddev_short": F.stddev_samp("issued").over(short),
         }
     )
-
-
-def with_position(ledger: DataFrame, slabs: int | None = None) -> DataFrame:
-    """Number the rows of each series from 0, oldest first, without one task per series.
-
-    Rows are range-partitioned by series and time into slabs, so a long series
-    spans many slabs. A row's position is the size of the series' earlier slabs
-    plus its rank inside its own slab.
-    """
-    order = SERIES_KEY + TIE_BREAK + ["row_id"]
-    # stored before it is used, so a repeated task cannot number the rows anew
-    numbered = staged(ledger.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
-    ranged = numbered.repartitionByRange(slabs, *order) if slabs else numbered.repartitionByRange(*order)
-    placed = staged(ranged.withColumn("slab", F.spark_partition_id()), "slabs")
-
-    earlier = Window.partitionBy(*SERIES_KEY).orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy(*SERIES_KEY, "slab").count()
-    starts = starts.select(
-        *SERIES_KEY, "slab", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start")
-    )
-    inside = Window.partitionBy(*SERIES_KEY, "slab").orderBy(*oldest_first(), "row_id")
-    ranked = placed.withColumn("rank", F.row_number().over(inside))
-    return (
-        add_by_key(ranked, starts, SERIES_KEY + ["slab"])
-        .withColumn("position", F.col("start") + F.col("rank") - 1)
-        .drop("row_id", "slab", "start", "rank")
-    )
-
-
-def rolling_in_chunks(ledger: DataFrame, chunk_rows: int = MAX_SERIES_ROWS, slabs: int | None = None) -> DataFrame:
-    """Rolling figures with every series cut into chunks of at most ``chunk_rows``.
-
-    The last rows of a chunk are also sent to the next one, where they only fill
-    the frames of its first rows.
-    """
-    if chunk_rows <= HALO:
-        raise ValueError(f"chunk_rows must exceed {HALO}")
-    chunk = F.floor(F.col("position") / chunk_rows).cast("long")
-    reaches_next = F.col("position") % chunk_rows >= chunk_rows - HALO
-    copies = F.when(reaches_next, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array(F.col("own")))
-    rows = (
-        with_position(ledger, slabs)
-        .withColumn("own", chunk)
-        .withColumn("chunk", F.explode(copies))
-    )
-    figures = _frames(rows, SERIES_KEY + ["chunk"], [F.col("position")])
-    return figures.filter(F.col("chunk") == F.col("own")).drop("position", "own", "chunk")
-
-
-def rolling_figures(ledger: DataFrame, max_series_rows: int = MAX_SERIES_ROWS) -> DataFrame:
-    """Rolling figures on every ledger row, in time order of its series.
-
-    Series of ordinary length are one sort group each. If the longest one exceeds
-    ``max_series_rows``, the exact chunked form is used instead. When only the
-    newest row of a series matters, use ``tails.tail_figures``.
-    """
-    if largest_series(ledger) <= max_series_rows:
-        return _frames(ledger, SERIES_KEY, oldest_first())
-    return rolling_in_chunks(ledger, max_series_rows)
+    return figures.filter("own").drop("month", "frame", "own")

@@ -6,12 +6,24 @@ KEY = "organization, location, item"
 DAY = "date, organization, location, item"
 
 
+def digits(value: str) -> str:
+    """The decimal digits of a double, so that it is rounded once."""
+    return f"CAST(CAST(CAST({value} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,20))"
+
+
 def rnd(value: str, places: int = 2) -> str:
-    return f"CAST(ROUND(CAST({value} AS DECIMAL(38,6)), {places}) AS DOUBLE)"
+    return f"CAST(ROUND({digits(value)}, {places}) AS DOUBLE)"
 
 
 def text1(value: str) -> str:
-    return f"CAST(CAST(ROUND(CAST({value} AS DECIMAL(38,6)), 1) AS DECIMAL(38,1)) AS VARCHAR)"
+    return f"CAST(CAST(ROUND({digits(value)}, 1) AS DECIMAL(38,1)) AS VARCHAR)"
+
+
+def sentence(wording: str, *values: str) -> str:
+    """The fixed wording as a concatenation, each ``%s`` replaced by a value."""
+    texts = [f"'{t}'" for t in wording.split("%s")]
+    parts = [texts[0], *(x for pair in zip(values, texts[1:]) for x in pair)]
+    return " || ".join(p for p in parts if p != "''")
 
 
 def when(moment: str) -> str:
@@ -147,6 +159,15 @@ def alerts_of(stock: str, advice: str) -> str:
  WHERE risk_status = 'HIGH' OR s.days_left <= 3"""
 
 
+BATCHES = range(4)
+for n in BATCHES:
+    arrived = f"LEAST(3, GREATEST(0, YEAR(date) - 1998)) <= {n}"
+    part(f"ledger_b{n}", f"SELECT * FROM ledger WHERE {arrived}", "ledger")
+    part(f"rolled_b{n}", newest_rows(f"ledger_b{n}"), f"ledger_b{n}")
+    part(f"stock_b{n}", stock_of(f"rolled_b{n}"), f"rolled_b{n}")
+    part(f"advice_b{n}", f"SELECT * FROM ({reorders_of(f'stock_b{n}')}) WHERE reorder_qty > 0", f"stock_b{n}")
+    part(f"alerted_b{n}", alerts_of(f"stock_b{n}", f"advice_b{n}"), f"stock_b{n}", f"advice_b{n}")
+
 part("alerted", alerts_of("stock", "advice"), "stock", "advice")
 part("alerted_old", alerts_of("stock_old", "advice_old"), "stock_old", "advice_old")
 part("alerted_new", alerts_of("stock_new", "advice_new"), "stock_new", "advice_new")
@@ -166,6 +187,16 @@ part(
     "ledger_old",
     "ledger_new",
 )
+QUANTITIES = ["opening_stock", "received", "issued", "closing_stock", "lead_time_days"]
+MONTHLY = "SELECT * REPLACE (CAST(DATE_TRUNC('month', date) AS DATE) AS date) FROM ledger_{}"
+for name, one, other in (("gone_rows", "old", "new"), ("come_rows", "new", "old")):
+    part(
+        name,
+        f"""SELECT *, ROW_NUMBER() OVER (PARTITION BY {DAY} ORDER BY {', '.join(QUANTITIES)}) AS nth
+  FROM ({MONTHLY.format(one)} EXCEPT ALL {MONTHLY.format(other)})""",
+        "ledger_old",
+        "ledger_new",
+    )
 part(
     "stock_diffed",
     f"""SELECT CASE WHEN o.risk_status IS NULL THEN 'INSERT' WHEN n.risk_status IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS op,
@@ -240,7 +271,7 @@ part(
     "site",
     "lines",
 )
-part("today", "SELECT * FROM placed WHERE order_date = (SELECT MAX(order_date) FROM placed)", "placed")
+part("today", "SELECT * FROM placed WHERE order_date = (SELECT MAX(CAST(o_orderdate AS DATE)) FROM orders)", "placed")
 part("ordered_items", f"SELECT DISTINCT {KEY} FROM today", "today")
 
 part(
@@ -304,12 +335,21 @@ MONTH_ORDER = "GREATEST(10, CAST(TRUNC(avg_daily_usage * 30) AS BIGINT) - closin
 
 
 def projected(source: str, wanted: str) -> str:
-    bounded = f"LEAST(GREATEST({wanted}, 0), 10000)"
     return f"""SELECT *, closing_stock + order_qty AS projected_stock,
        CASE WHEN avg_daily_usage > 0 THEN closing_stock / avg_daily_usage ELSE 9999e0 END AS before,
        CASE WHEN avg_daily_usage > 0 THEN (closing_stock + order_qty) / avg_daily_usage ELSE 9999e0 END AS after
-  FROM (SELECT *, CAST({bounded} AS BIGINT) AS order_qty FROM {source})"""
+  FROM (SELECT *, CAST({wanted} AS BIGINT) AS order_qty FROM {source})"""
+
 
+BAD_LINE = "(closing % 89 = 3 OR closing % 83 = 2)"
+SOUND = "(day IS NOT NULL AND location IS NOT NULL AND opening >= 0 AND got >= 0 AND used >= 0 AND closing >= 0 AND lead >= 0)"
+part(
+    "all_rules",
+    """SELECT 'location' AS kind, n_name AS value, CAST(n_nationkey % 17 AS INTEGER) AS score FROM nation
+ UNION ALL SELECT 'item', type, CAST(first_key % 20 AS INTEGER)
+  FROM (SELECT MIN(p_partkey) AS first_key, UNNEST(LIST(DISTINCT p_type)) AS type FROM part GROUP BY p_name, p_brand)""",
+)
+part("file_rules", "SELECT * FROM all_rules WHERE score BETWEEN 1 AND 15", "all_rules")
 
 ROLLED = f"SELECT {DAY}, {{}} FROM rolled"
 GRID = ", ".join(
@@ -324,9 +364,23 @@ ORACLES: dict[str, str] = {
     "s_badrows": query(
         f"""SELECT day AS date, {KEY}, CAST(opening AS BIGINT) AS opening_stock, CAST(got AS BIGINT) AS received,
        CAST(used AS BIGINT) AS issued, CAST(closing AS BIGINT) AS closing_stock, CAST(lead AS BIGINT) AS lead_time_days
-  FROM typed WHERE day IS NOT NULL AND location IS NOT NULL AND opening >= 0 AND got >= 0 AND used >= 0 AND closing >= 0 AND lead >= 0""",
+  FROM typed WHERE NOT {BAD_LINE} AND {SOUND}""",
+        "typed",
+    ),
+    "s_rejected": query(
+        f"""SELECT {BAD_LINE} AS bad_line, COUNT(*) AS rows FROM typed WHERE {BAD_LINE} OR NOT COALESCE({SOUND}, FALSE) GROUP BY 1""",
         "typed",
     ),
+    "s_profile_rejected": "SELECT r_name AS organization, 'no goods_type' AS reason FROM region WHERE r_regionkey = 3",
+    "s_rules": query(
+        f"""SELECT {DAY}, GREATEST(3, COALESCE(place_score, 0), COALESCE(item_score, 0)) AS criticality
+  FROM ledger LEFT JOIN (SELECT n_name AS location, MAX(score) AS place_score
+                           FROM nation JOIN file_rules ON kind = 'location' AND CONTAINS(n_name, value) GROUP BY n_name) USING (location)
+       LEFT JOIN (SELECT value AS item, MAX(score) AS item_score FROM file_rules WHERE kind = 'item' GROUP BY value) USING (item)""",
+        "ledger",
+        "file_rules",
+    ),
+    "s_rules_rejected": query("SELECT * FROM all_rules WHERE score NOT BETWEEN 1 AND 15", "all_rules"),
     "s_profile": query(
         f"""SELECT {KEY}, closing_stock,
        CASE WHEN r_regionkey = 3 THEN '' ELSE ['Hospital', 'NGO', 'Government', 'Private', 'Other'][r_regionkey + 1] END AS sector,
@@ -356,30 +410,27 @@ ORACLES: dict[str, str] = {
     "p_crit": query(f"SELECT {DAY}, {CRITICALITY} AS criticality FROM ledger", "ledger"),
     "p_scorec": query(f"SELECT {KEY}, {SCORED} AS priority_score FROM stock", "stock"),
     "p_explain": query(
-        f"""SELECT {KEY}, item || ' at ' || organization || ' – ' || location || ' is at high risk of stock-out. Average daily usage is '
-       || {text1('avg_daily_usage')} || ' units with a supplier lead time of ' || lead_time_days
-       || ' days. Current stock will last approximately ' || {text1('days_left')}
-       || ' days, which is insufficient to cover the lead time period.' AS explanation
+        f"""SELECT {KEY}, {sentence(V.ALERT_SENTENCE, 'item', 'organization', 'location', text1('avg_daily_usage'), 'lead_time_days', text1('days_left'))} AS explanation
   FROM stock WHERE risk_status = 'HIGH'""",
         "stock",
     ),
     "p_action": query(
-        f"""SELECT {KEY}, 'Reorder ' || item || ' at ' || organization || ' – ' || location
-       || '. High daily usage and long supplier lead time make this the most urgent action.' AS action
+        f"""SELECT {KEY}, {sentence(V.ACTION_SENTENCE, 'item', 'organization', 'location')} AS action
   FROM stock WHERE risk_status = 'HIGH'""",
         "stock",
     ),
     "p_whatif": query(
-        f"""SELECT {KEY}, order_qty, projected_stock, {rnd('before')} AS current_days, {rnd('after')} AS projected_days,
+        f"""SELECT {KEY}, order_qty, COALESCE(asked NOT BETWEEN 0 AND 10000, FALSE) AS qty_out_of_range,
+       projected_stock, {rnd('before')} AS current_days, {rnd('after')} AS projected_days,
        {rnd('after - before')} AS days_gained
-  FROM ({projected(f'(SELECT * FROM stock LEFT JOIN (SELECT {KEY}, CAST(SUM(ordered_qty) AS BIGINT) AS asked FROM today GROUP BY {KEY}) USING ({KEY}))', f'COALESCE(asked, {MONTH_ORDER})')})""",
+  FROM ({projected(f'(SELECT * FROM stock LEFT JOIN (SELECT {KEY}, CAST(SUM(ordered_qty) * 100 AS BIGINT) AS asked FROM today GROUP BY {KEY}) USING ({KEY}))', f'COALESCE(asked, {MONTH_ORDER})')})""",
         "stock",
         "today",
     ),
     "p_cover": query(
         f"""SELECT {KEY}, closing_stock, order_qty, {rnd('after')} AS projected_days,
        CASE WHEN after > lead_time_days * 2 THEN 'SAFE' WHEN after > lead_time_days THEN 'MODERATE' ELSE 'HIGH' END AS cover_level
-  FROM ({projected('high', MONTH_ORDER)})""",
+  FROM ({projected('(SELECT * REPLACE (avg_daily_usage * 1000 AS avg_daily_usage) FROM high)', MONTH_ORDER)})""",
         "high",
     ),
     "p_target": query(
@@ -422,6 +473,13 @@ ORACLES: dict[str, str] = {
         "ordered_items",
     ),
     "j_diff": query("SELECT * FROM diffed", "diffed"),
+    "j_diff_repeated": query(
+        f"""SELECT CASE WHEN o.nth IS NULL THEN 'INSERT' WHEN n.nth IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS op, {DAY},
+       {', '.join(f'{side}.{c} AS {name}_{c}' for side, name in (('o', 'old'), ('n', 'new')) for c in QUANTITIES)}
+  FROM gone_rows o FULL JOIN come_rows n USING ({DAY}, nth)""",
+        "gone_rows",
+        "come_rows",
+    ),
     "q_overview": query(
         """SELECT COUNT(DISTINCT organization) AS total_organizations, COUNT(DISTINCT item) AS total_items,
        CAST(SUM(CASE WHEN days <= lead_time_days THEN 1 ELSE 0 END) AS BIGINT) AS high_risk_count FROM judged""",
@@ -496,8 +554,7 @@ ORACLES: dict[str, str] = {
     ),
     "q_reorder": query("SELECT * FROM needed", "needed"),
     "q_actions": query(
-        f"""SELECT * EXCLUDE (risk_status), 'Reorder ' || item || ' at ' || organization || ' – ' || location
-       || '. High daily usage and long supplier lead time make this the most urgent action.' AS action
+        f"""SELECT * EXCLUDE (risk_status), {sentence(V.ACTION_SENTENCE, 'item', 'organization', 'location')} AS action
   FROM scored ANTI JOIN ordered_items USING ({KEY}) ORDER BY priority_score DESC, {KEY}, closing_stock LIMIT {V.TOP_ACTIONS}""",
         "scored",
         "ordered_items",
@@ -521,7 +578,11 @@ ORACLES: dict[str, str] = {
   FROM usage WHERE trend_direction = 'INCREASING' ORDER BY avg_daily_usage_7d DESC, {KEY} LIMIT {V.TOP_LIST}""",
         "usage",
     ),
-    "o_sort": query("SELECT * FROM needed", "needed"),
+    "o_sort": query(
+        f"""SELECT *, ROW_NUMBER() OVER (ORDER BY CASE urgency_level WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 ELSE 3 END,
+       days_left, {KEY}, closing_stock, reorder_qty) AS place FROM needed""",
+        "needed",
+    ),
     "o_topk": query(f"SELECT * FROM scored ORDER BY priority_score DESC, {KEY}, closing_stock LIMIT {V.TOP_ALERTS}", "scored"),
     "o_preview": query(f"SELECT * FROM ledger ORDER BY {DAY}, closing_stock LIMIT {V.PREVIEW_ROWS}", "ledger"),
     "o_last7": query(
@@ -578,15 +639,17 @@ ORACLES: dict[str, str] = {
     ),
     "l_pending": query(
         f"""SELECT order_id, {KEY}, order_date, ordered_qty, priority_level, expected_delivery_date,
-       DATE_DIFF('day', (SELECT MAX(order_date) FROM placed), expected_delivery_date) AS days_until_delivery
+       DATE_DIFF('day', (SELECT MAX(CAST(o_orderdate AS DATE)) FROM orders), expected_delivery_date) AS days_until_delivery
   FROM placed WHERE status IN ('PENDING', 'SHIPPED')""",
         "placed",
     ),
     "l_orders": query(
         f"""SELECT order_id, {KEY}, DATE '2001-12-01' AS order_date, '2001-12-01 08:30:00.000000' AS order_timestamp,
-       'user_' || order_id AS ordered_by, ordered_qty, 'PENDING' AS status, priority_level FROM placed""",
+       'user_' || order_id AS ordered_by, ordered_qty, 'PENDING' AS status, priority_level,
+       '2001-12-01 08:30:00.000000' AS created_at FROM placed""",
         "placed",
     ),
+    "l_equal_orders": query("SELECT 2 * COUNT(*) AS orders, 2 * COUNT(*) AS ids, 2 * COUNT(*) AS replayed FROM placed", "placed"),
     "l_order_actions": query(
         f"""SELECT 'ORDER_PLACED' AS action_type, 'user_' || order_id AS user_name, {KEY},
        '{{"order_id":' || order_id || ',"quantity":' || CAST(ordered_qty AS VARCHAR) || '}}' AS action_details FROM placed""",
@@ -650,14 +713,38 @@ ORACLES: dict[str, str] = {
     ),
     "t_sessions": query(
         f"""SELECT session_id, MAX(user_name) AS user_name, {when('MIN(action_timestamp)')} AS session_start,
-       {when('MAX(action_timestamp)')} AS last_activity, COUNT(*) AS actions_count, {COUNTERS}
+       {when('MAX(action_timestamp)')} AS last_activity, COUNT(*) AS actions_count, {COUNTERS},
+       MAX(action_timestamp) + INTERVAL 30 MINUTE >= (SELECT MAX(action_timestamp) FROM actions) AS is_open
   FROM (SELECT *, SUM(fresh) OVER (PARTITION BY session_id ORDER BY action_timestamp, action_id) AS visit
           FROM (SELECT *, CASE WHEN action_timestamp - LAG(action_timestamp) OVER (PARTITION BY session_id ORDER BY action_timestamp, action_id)
-                                    < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM actions))
- GROUP BY session_id, visit
-HAVING MAX(action_timestamp) + INTERVAL 30 MINUTE <= (SELECT MAX(action_timestamp) FROM actions) - INTERVAL 1 HOUR""",
+                                    <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM actions))
+ GROUP BY session_id, visit""",
         "actions",
     ),
 }
 ORACLES["t_refresh"] = ORACLES["m_stock"]
-ORACLES["t_summary"] = ORACLES["a_summary"]
+ORACLES["t_reorder"] = ORACLES["m_reorder"]
+ORACLES["t_usage"] = ORACLES["m_usage"]
+ORACLES["t_summary"] = query(
+    " UNION ALL ".join(
+        f"""SELECT {n} AS summary_id, (SELECT MAX(date) FROM ledger_b{n}) AS summary_date, 0 AS summary_hour,
+       COUNT(DISTINCT organization) AS total_organizations, COUNT(DISTINCT item) AS total_items,
+       COUNT(*) FILTER (risk_status = 'HIGH') AS high_risk_count, COUNT(*) FILTER (s.days_left <= 0) AS critical_risk_count,
+       COALESCE(SUM(reorder_qty), 0e0) AS total_reorder_qty
+  FROM stock_b{n} s LEFT JOIN advice_b{n} a USING ({KEY})"""
+        for n in BATCHES
+    ),
+    *[f"advice_b{n}" for n in BATCHES],
+)
+ALL_ALERTS = " UNION ALL ".join(
+    f"SELECT * EXCLUDE (risk_status), (SELECT MAX(date) FROM ledger_b{n}) AS alert_date FROM alerted_b{n}" for n in BATCHES
+)
+ORACLES["t_alert_log"] = query(ALL_ALERTS, *[f"alerted_b{n}" for n in BATCHES])
+ORACLES["t_runs"] = query(
+    f"""SELECT 'refresh_summary' AS task_name, 'SUCCESS' AS status, 4 AS runs, 4 AS records_processed
+ UNION ALL SELECT 'generate_alerts', 'SUCCESS', 4, COUNT(*) FROM ({ALL_ALERTS})""",
+    *[f"alerted_b{n}" for n in BATCHES],
+)
+ORACLES["t_retain_tables"] = query(
+    "SELECT (SELECT MAX(date) FROM ledger) AS alert_date, COUNT(*) AS alerts FROM alerted_b3", "alerted_b3"
+)

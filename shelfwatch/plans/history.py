@@ -154,8 +154,17 @@ def stock_heat(ledger: DataFrame) -> DataFrame:
     )
 
 
+GRID_COLUMNS = 1000
+
+
 def stock_grid(heat: DataFrame, locations: list[str]) -> DataFrame:
-    """Heat rows as an item by location grid; missing cells are 0."""
+    """Heat rows as an item by location grid of the named locations; missing cells are 0.
+
+    A grid has a column per location and takes at most ``GRID_COLUMNS``; the heat rows
+    are the form for more.
+    """
+    if len(locations) > GRID_COLUMNS:
+        raise ValueError(f"{len(locations)} locations; a grid takes {GRID_COLUMNS} columns at most")
     grid = heat.groupBy("item").pivot("location", locations).agg(F.sum("total_closing_stock"))
     return grid.na.fill(0)
 
@@ -171,6 +180,13 @@ def name_list(ledger: DataFrame, column: str) -> DataFrame:
     return ledger.select(column).distinct().orderBy(column)
 
 
+def name_lists(ledger: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct names (name_of, name) of several columns, sorted, from one pass over the ledger."""
+    keys = ledger.select(*columns).distinct()
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name_of"), F.col(c).alias("name")) for c in columns]))
+    return keys.select(each.alias("n")).select("n.*").distinct().orderBy("name_of", "name")
+
+
 def preview(ledger: DataFrame, rows: int = V.PREVIEW_ROWS) -> DataFrame:
     """The first rows in date and series order."""
     return ledger.orderBy("date", *SERIES_KEY, "closing_stock").limit(rows)

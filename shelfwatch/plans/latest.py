@@ -7,10 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfwatch import fixed_values as V
 from shelfwatch.functions import formulas as f
 from shelfwatch.functions.names import closing, lead_days
+from shelfwatch.functions.ids import hashed_id
 from shelfwatch.functions.numeric import round_half_up
 from shelfwatch.operators.joins import add_by_key, same_key, without_keys
 from shelfwatch.operators.tails import tail_figures
 from shelfwatch.schema import SERIES_KEY
+from shelfwatch.staging import staged
 
 
 def newest_date(ledger: DataFrame) -> Column:
@@ -39,22 +41,41 @@ def stock_from_tails(tails: DataFrame, as_of: Column | datetime) -> DataFrame:
 
 def stock_analytics(ledger: DataFrame, as_of: Column | datetime | None = None) -> DataFrame:
     """Newest stock, 7-row usage, days left and risk of every series."""
-    return stock_from_tails(tail_figures(ledger), newest_date(ledger) if as_of is None else as_of)
+    return stock_from_tails(*_timed_figures(ledger, as_of))
+
+
+def _timed_figures(ledger: DataFrame, as_of: Column | datetime | None) -> tuple[DataFrame, Column | datetime]:
+    """Figures of all series and the clock: by default the newest date among the figures.
+
+    The figures, one row per series, are stored once and read for both.
+    """
+    figures = tail_figures(ledger)
+    if as_of is not None:
+        return figures, as_of
+    figures = staged(figures, "figures")
+    return figures, newest_date(figures)
+
+
+def advice_columns() -> dict[str, Column]:
+    """Reorder quantities, urgency and score from the rounded stock analytics."""
+    usage = F.col("avg_daily_usage")
+    return {
+        "reorder_qty": f.reorder_qty_latest(lead_days(), usage, closing()),
+        "reorder_qty_with_safety": f.reorder_qty_with_safety(lead_days(), usage, closing()),
+        "urgency_level": f.urgency4(F.col("days_left"), lead_days()),
+        "priority_score": f.priority_score(lead_days(), usage, closing()),
+    }
 
 
 def classify_reorders(stock: DataFrame) -> DataFrame:
     """Reorder quantities, urgency and score of every series, unfiltered."""
-    usage = F.col("avg_daily_usage")
     return stock.select(
         *SERIES_KEY,
         "closing_stock",
         "avg_daily_usage",
         "days_left",
         "lead_time_days",
-        f.reorder_qty_latest(lead_days(), usage, closing()).alias("reorder_qty"),
-        f.reorder_qty_with_safety(lead_days(), usage, closing()).alias("reorder_qty_with_safety"),
-        f.urgency4(F.col("days_left"), lead_days()).alias("urgency_level"),
-        f.priority_score(lead_days(), usage, closing()).alias("priority_score"),
+        *[value.alias(name) for name, value in advice_columns().items()],
         "last_updated",
     )
 
@@ -90,7 +111,7 @@ def usage_from_tails(tails: DataFrame, as_of: Column | datetime) -> DataFrame:
 
 def usage_stats(ledger: DataFrame, as_of: Column | datetime | None = None) -> DataFrame:
     """Rolling usage, trend and demand pattern of every series' newest row."""
-    return usage_from_tails(tail_figures(ledger), newest_date(ledger) if as_of is None else as_of)
+    return usage_from_tails(*_timed_figures(ledger, as_of))
 
 
 def riskiest(stock: DataFrame, k: int = V.TOP_LIST) -> DataFrame:
@@ -125,10 +146,30 @@ def stock_with_recommendations(stock: DataFrame, recommendations: DataFrame) ->
     return add_by_key(stock, extra, SERIES_KEY, "left")
 
 
+def with_advice(stock: DataFrame) -> DataFrame:
+    """:func:`stock_with_recommendations` without a join.
+
+    A recommendation is a function of its stock row, so it is computed beside it and
+    NULL where there is none.
+    """
+    columns = advice_columns()
+    needed = columns["reorder_qty"] > 0
+    return stock.withColumns({name: F.when(needed, value) for name, value in columns.items()})
+
+
+def summary_of_stock(stock: DataFrame, as_of: Column | datetime) -> DataFrame:
+    """:func:`analytics_summary` of a stock table and its own recommendations, in one scan."""
+    return _summary(with_advice(stock), as_of)
+
+
 def analytics_summary(stock: DataFrame, recommendations: DataFrame, as_of: Column | datetime) -> DataFrame:
     """One row of totals for the hour of ``as_of``."""
+    return _summary(stock_with_recommendations(stock, recommendations), as_of)
+
+
+def _summary(rows: DataFrame, as_of: Column | datetime) -> DataFrame:
     now = as_time(as_of)
-    totals = stock_with_recommendations(stock, recommendations).agg(
+    totals = rows.agg(
         F.countDistinct("organization").alias("total_organizations"),
         F.countDistinct("item").alias("total_items"),
         F.sum(F.when(F.col("risk_status") == "HIGH", 1).otherwise(0)).alias("high_risk_count"),
@@ -140,11 +181,13 @@ def analytics_summary(stock: DataFrame, recommendations: DataFrame, as_of: Colum
     )
 
 
-def alert_candidates(stock: DataFrame, recommendations: DataFrame, as_of: Column | datetime) -> DataFrame:
-    """Series that are HIGH or nearly out of stock, typed as alerts of the day."""
-    rows = stock_with_recommendations(stock, recommendations).filter(
-        (F.col("risk_status") == "HIGH") | (F.col("days_left") <= V.ALERT_DAYS)
-    )
+def alert_candidates(stock: DataFrame, recommendations: DataFrame | None, as_of: Column | datetime) -> DataFrame:
+    """Series that are HIGH or nearly out of stock, typed as alerts of the day.
+
+    Without ``recommendations`` the stock's own are computed in place.
+    """
+    rows = with_advice(stock) if recommendations is None else stock_with_recommendations(stock, recommendations)
+    rows = rows.filter((F.col("risk_status") == "HIGH") | (F.col("days_left") <= V.ALERT_DAYS))
     kind = f.alert_type(F.col("days_left"), F.col("risk_status"), F.col("urgency_level"))
     return rows.select(
         *SERIES_KEY,
@@ -160,7 +203,7 @@ def alert_candidates(stock: DataFrame, recommendations: DataFrame, as_of: Column
 
 def new_alerts(
     stock: DataFrame,
-    recommendations: DataFrame,
+    recommendations: DataFrame | None,
     history: DataFrame,
     as_of: Column | datetime,
     dedupe: str = "all",
@@ -176,14 +219,14 @@ def new_alerts(
         fresh = without_keys(rows, today, SERIES_KEY)
     elif dedupe == "literal":
         repeated = same_key(SERIES_KEY, "l", "r") & (F.col("l.risk_status") != "HIGH")
-        fresh = rows.alias("l").join(today.distinct().alias("r"), repeated, "left_anti")
+        fresh = rows.alias("l").join(today.alias("r"), repeated, "left_anti")
     else:
         raise ValueError(f"unknown dedupe mode {dedupe!r}")
     return fresh.drop("risk_status")
 
 
 def with_alert_ids(alerts: DataFrame, as_of: Column | datetime) -> DataFrame:
-    """Add the id (a hash of series and day) and creation time of alert rows."""
-    return alerts.withColumn("alert_id", F.xxhash64(*SERIES_KEY, "alert_date")).withColumn(
+    """Add the id (a hash of series and day, NULLs included) and creation time of alert rows."""
+    return alerts.withColumn("alert_id", hashed_id([*SERIES_KEY, "alert_date"])).withColumn(
         "created_at", as_time(as_of)
     )

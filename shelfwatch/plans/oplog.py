@@ -7,9 +7,10 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfwatch import fixed_values as V
+from shelfwatch.functions.ids import with_request_ids
 from shelfwatch.functions.numeric import minute_boundaries, round_half_up
 from shelfwatch.operators.changes import pending_changes
-from shelfwatch.schema import ACTIONS, RUN_LOG, SERIES_KEY
+from shelfwatch.schema import ACTIONS, ORDERS, RUN_LOG, SERIES_KEY
 
 
 def newest(df: DataFrame, column: str) -> Column:
@@ -63,11 +64,11 @@ def highest_id(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.max(column).alias("last_id"))
 
 
-def complete_actions(requests: DataFrame, as_of: Column) -> DataFrame:
+def complete_actions(requests: DataFrame, as_of: Column, batch: Column | None = None) -> DataFrame:
     """Action requests as full log rows with defaults and ids.
 
-    The id hashes all given fields, so a repeated write of one batch gives the
-    same ids.
+    The id hashes all fields, ``batch`` and the number of the action among equal ones,
+    so a repeated write of one batch gives the same ids and equal actions differ.
     """
     defaults = {
         "action_timestamp": as_of,
@@ -85,7 +86,7 @@ def complete_actions(requests: DataFrame, as_of: Column) -> DataFrame:
         requests = requests.withColumn(field.name, value.cast(field.dataType))
     if "action_id" not in requests.columns:
         given = [c for c in ACTIONS.fieldNames() if c != "action_id"]
-        requests = requests.withColumn("action_id", F.xxhash64(*given))
+        requests = with_request_ids(requests, "action_id", given, as_of if batch is None else batch)
     return requests.select(*ACTIONS.fieldNames())
 
 
@@ -95,8 +96,9 @@ def detail(name: str, kind: str) -> Column:
     return F.try_variant_get(parsed, f"$.{name}", kind)
 
 
-def append_actions(requests: DataFrame, path: str, as_of: Column) -> None:
-    rows = complete_actions(requests, as_of)
+def append_actions(requests: DataFrame, path: str, as_of: Column, batch: Column | None = None) -> None:
+    """Append a batch of actions; ``batch`` names it, by default its time."""
+    rows = complete_actions(requests, as_of, batch)
     rows.withColumn("action_date", F.to_date("action_timestamp")).write.mode("append").partitionBy(
         "action_date"
     ).parquet(path)
@@ -156,27 +158,30 @@ def active_sessions(closed: DataFrame, as_of: Column) -> DataFrame:
 # --- orders ------------------------------------------------------------------
 
 
-def place_orders(requests: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+def place_orders(requests: DataFrame, as_of: Column, batch: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Turn order requests into order rows and the matching log rows.
 
     Requests carry the series, ordered_qty, user_name and priority, and may carry
-    an order_id; otherwise the id hashes the request.
+    an order_id and any other field of an order. Without an order_id it hashes the
+    request, ``batch`` (by default ``as_of``) and its number among equal requests.
     """
     now = as_of.cast("timestamp")
     if "order_id" not in requests.columns:
-        requests = requests.withColumn(
-            "order_id", F.xxhash64(*SERIES_KEY, "ordered_qty", "user_name", "priority", now)
-        )
-    orders = requests.select(
-        "order_id",
-        *SERIES_KEY,
-        now.cast("date").alias("order_date"),
-        now.alias("order_timestamp"),
-        F.col("user_name").alias("ordered_by"),
-        F.col("ordered_qty").cast("double").alias("ordered_qty"),
-        F.lit("PENDING").alias("status"),
-        F.coalesce("priority", F.lit("MEDIUM")).alias("priority_level"),
-    )
+        asked = [*SERIES_KEY, "ordered_qty", "user_name", "priority"]
+        requests = with_request_ids(requests, "order_id", asked, now if batch is None else batch)
+    made = {
+        "order_date": now.cast("date"),
+        "order_timestamp": now,
+        "ordered_by": F.col("user_name"),
+        "status": F.lit("PENDING"),
+        "priority_level": F.coalesce("priority", F.lit("MEDIUM")),
+        "created_at": now,
+    }
+    fields = []
+    for field in ORDERS.fields:
+        value = F.col(field.name) if field.name in requests.columns else F.lit(None)
+        fields.append(made.get(field.name, value).cast(field.dataType).alias(field.name))
+    orders = requests.select(*fields)
     details = F.to_json(F.struct("order_id", F.col("ordered_qty").cast("double").alias("quantity")))
     actions = requests.select(
         F.lit("ORDER_PLACED").alias("action_type"),
@@ -187,6 +192,16 @@ def place_orders(requests: DataFrame, as_of: Column) -> tuple[DataFrame, DataFra
     return orders, actions
 
 
+def append_orders(orders: DataFrame, path: str) -> None:
+    """Append order rows to a table partitioned by order date."""
+    rows = orders.select(*ORDERS.fieldNames())
+    rows.write.mode("append").partitionBy("order_date").parquet(path)
+
+
+def read_orders(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ORDERS).parquet(path).select(*ORDERS.fieldNames())
+
+
 def pending_orders(orders: DataFrame, as_of: Column) -> DataFrame:
     """Open orders with days until delivery; priority sorts by name, descending."""
     return (

@@ -15,18 +15,19 @@ def what_if(rows: DataFrame, orders: DataFrame | None = None) -> DataFrame:
 
     ``rows`` carry closing_stock, avg_daily_usage and lead_time_days. ``orders``
     (series key, order_qty) may leave series out; those get the default quantity.
-    Quantities are brought into the allowed range.
+    Given quantities outside the input range are kept and flagged ``qty_out_of_range``;
+    the default has no range.
     """
     stock, usage, lead = F.col("closing_stock"), F.col("avg_daily_usage"), F.col("lead_time_days")
     default = f.default_order_qty(usage, stock)
     if orders is None:
-        rows = rows.withColumn("order_qty", default)
+        rows = rows.withColumn("order_qty", default).withColumn("qty_out_of_range", F.lit(False))
     else:
         wanted = orders.groupBy(*SERIES_KEY).agg(F.sum("order_qty").alias("order_qty"))
         rows = add_by_key(rows, wanted, SERIES_KEY, "left")
+        inside = F.col("order_qty").between(V.ORDER_QTY_MIN, V.ORDER_QTY_MAX)
+        rows = rows.withColumn("qty_out_of_range", F.coalesce(~inside, F.lit(False)))
         rows = rows.withColumn("order_qty", F.coalesce(F.col("order_qty").cast("long"), default))
-    bounded = F.least(F.greatest(F.col("order_qty"), F.lit(V.ORDER_QTY_MIN)), F.lit(V.ORDER_QTY_MAX))
-    rows = rows.withColumn("order_qty", bounded.cast("long"))
     current = f.projected_days(stock, usage)
     projected = f.projected_days(stock + F.col("order_qty"), usage)
     return rows.withColumns(

@@ -3,9 +3,11 @@
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from shelfwatch import fixed_values as V
-from shelfwatch.staging import staged
+from shelfwatch.staging import file_system, staged
+from shelfwatch.streaming.state import folders, remove
 
 # Table kind -> (time column, days kept)
 RETENTION = {
@@ -13,17 +15,82 @@ RETENTION = {
     "alerts": ("alert_date", V.KEEP_ALERTS_DAYS),
     "runs": ("execution_time", V.KEEP_RUNS_DAYS),
 }
+# Table kind -> partition column that holds the day
+DAY_FOLDERS = {"summaries": "summary_date", "alerts": "alert_date", "runs": "day"}
+
+
+def _old(column: str, days: int, as_of: Column) -> Column:
+    """Whether a row is past its days; an unknown time never is."""
+    return F.coalesce(F.col(column) < as_of - F.expr(f"INTERVAL {days} DAYS"), F.lit(False))
 
 
 def retain(df: DataFrame, column: str, days: int, as_of: Column) -> DataFrame:
-    """Rows not older than ``days`` before ``as_of``."""
-    return df.filter(F.col(column) >= as_of - F.expr(f"INTERVAL {days} DAYS"))
+    """Rows not older than ``days`` before ``as_of``; rows without a time stay."""
+    return df.filter(~_old(column, days, as_of))
 
 
 def expired_count(df: DataFrame, column: str, days: int, as_of: Column) -> DataFrame:
     """Number of rows that :func:`retain` drops, as one row."""
-    old = F.col(column) < as_of - F.expr(f"INTERVAL {days} DAYS")
-    return df.agg(F.count_if(old).alias("expired"))
+    return df.agg(F.count_if(_old(column, days, as_of)).alias("expired"))
+
+
+def expired_by_kind(df: DataFrame, column: str, as_of: Column) -> DataFrame:
+    """Rows past the days of each table kind, counted in one pass."""
+    counts = [F.count_if(_old(column, days, as_of)).alias(kind) for kind, (_, days) in RETENTION.items()]
+    cells = [F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("expired")) for kind in RETENTION]
+    return df.agg(*counts).select(F.inline(F.array(*cells)))
+
+
+def _day_of(folder: str) -> date | None:
+    """Day of a ``column=value`` folder; None for the folder of unknown days."""
+    try:
+        return date.fromisoformat(folder.split("=", 1)[1])
+    except (IndexError, ValueError):
+        return None
+
+
+def expire_folder(
+    spark: SparkSession, path: str, schema: T.StructType, column: str, day_column: str, days: int, as_of: datetime
+) -> int:
+    """Delete the expired rows of a table of day folders and return how many there were.
+
+    ``path`` holds folders ``day_column=<day>``, with any folders below. Folders of
+    days wholly past the limit are removed; of them only the rows are counted. In the
+    folder of the limit's own day the rows that stay are written anew first, and then
+    take the place of the old ones. Rows without a day stay. Only expired days are
+    listed or touched.
+    """
+    limit = as_of - timedelta(days=days)
+    named = [(d, name) for name in folders(spark, path) if (d := _day_of(name)) is not None]
+    past = [name for d, name in named if d < limit.date()]
+    expired = 0
+    if past:
+        held = spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{name}" for name in past])
+        expired += held.count()
+        for name in past:
+            remove(spark, f"{path}/{name}")
+    by_time = {f.name: f.dataType for f in schema.fields}.get(column) == T.TimestampType()
+    for name in [name for d, name in named if d == limit.date() and by_time]:
+        rows = spark.read.schema(schema).parquet(f"{path}/{name}")
+        late = F.coalesce(F.col(column) < F.lit(limit), F.lit(False))
+        old = rows.filter(late).count()
+        if old:
+            kept = staged(rows.filter(~late), "retained")
+            fresh = f"{path}/_kept-{name}"
+            kept.write.mode("overwrite").parquet(f"{fresh}/batch_id=kept")
+            system, target = file_system(spark, f"{path}/{name}")
+            system.delete(target, True)
+            system.rename(file_system(spark, fresh)[1], target)
+            expired += old
+    return expired
+
+
+def expire_tables(spark: SparkSession, root: str, schemas: dict[str, T.StructType], as_of: datetime) -> dict[str, int]:
+    """Apply the retention of every kind to the tables of a refresh below ``root``: kind -> rows deleted."""
+    return {
+        kind: expire_folder(spark, f"{root}/{kind}", schemas[kind], column, DAY_FOLDERS[kind], days, as_of)
+        for kind, (column, days) in RETENTION.items()
+    }
 
 
 def expire_table(
@@ -36,27 +103,50 @@ def expire_table(
 ) -> int:
     """Delete a catalog table's expired rows and return how many there were.
 
-    The table is partitioned by the day of ``column`` (by ``column`` itself when
-    that is a date). Whole days are dropped as partitions without reading them
-    again; only the day the limit falls into is rewritten.
+    The table's first partition column is the day of ``column`` (``column`` itself when
+    that is a date); further ones are fine. Whole days are dropped as partitions without
+    reading them again; the day of the limit is overwritten by its rows that stay in
+    one insert. Rows without a day stay.
     """
     partition = partition or column
     limit = as_of - timedelta(days=days)
     first_day: date = limit.date()
     rows = spark.table(table)
     bound = F.lit(first_day) if dict(rows.dtypes)[column] == "date" else F.lit(limit)
-    old = F.col(column) < bound
+    old = F.coalesce(F.col(column) < bound, F.lit(False))
     expired = rows.filter((F.col(partition) <= F.lit(first_day)) & old).count()
     if expired == 0:
         return 0
-    spec = spark.sql(f"SHOW PARTITIONS {table}").collect()
-    for row in spec:
-        name, value = row[0].split("=", 1)
-        if date.fromisoformat(value) < first_day:
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({name}=DATE'{value}')")
+    listed = [row[0].split("/") for row in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+
+    def drop(wanted) -> None:
+        for levels in listed:
+            day = _day_of(levels[0])
+            if day is not None and wanted(day):
+                parts = ", ".join(_literal(x) for x in levels)
+                spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({parts})")
+
+    drop(lambda day: day < first_day)
     edge = spark.table(table).filter(F.col(partition) == F.lit(first_day))
     if not edge.filter(old).isEmpty():
-        kept = staged(edge.filter(~old), "retained")
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition}=DATE'{first_day}')")
-        kept.select(*rows.columns).write.insertInto(table)
+        kept = staged(edge.filter(~old).select(*rows.columns), "retained")
+        names = ", ".join(f"`{c}`" for c in kept.columns if c != partition)
+        if not kept.isEmpty():
+            kept.createOrReplaceTempView("_kept_rows")
+            others = [c for c in _partition_columns(spark, table) if c != partition]
+            spec = ", ".join([f"{partition}=DATE'{first_day}'", *others])
+            spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({spec}) SELECT {names} FROM _kept_rows")
+            spark.catalog.dropTempView("_kept_rows")
+        else:
+            drop(lambda day: day == first_day)
     return expired
+
+
+def _literal(level: str) -> str:
+    """One level of a listed partition as SQL."""
+    name, value = level.split("=", 1)
+    return f"`{name}`=NULL" if value == "__HIVE_DEFAULT_PARTITION__" else f"`{name}`='{value}'"
+
+
+def _partition_columns(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]

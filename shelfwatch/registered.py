@@ -4,8 +4,9 @@ Each query takes (session, table folder). Inputs are derived by ``sources.star``
 """
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shelfwatch import fixed_values as V
 from shelfwatch.functions import formulas as f
@@ -14,10 +15,10 @@ from shelfwatch.functions.numeric import round_half_up
 from shelfwatch.operators import changes, criticality, quality, rolling, tails, usage
 from shelfwatch.operators.joins import flag_keys, without_keys
 from shelfwatch.plans import history, latest, oplog, orders, retention
-from shelfwatch.schema import DAY_KEY, LEDGER_COLUMNS, SERIES_KEY
+from shelfwatch.schema import ALERTS, DAY_KEY, LEDGER_COLUMNS, RUN_LOG, SERIES_KEY, SUMMARY
 from shelfwatch.sources import ledger as ledger_files
-from shelfwatch.sources import profiles, star
-from shelfwatch.staging import new_folder, staged
+from shelfwatch.sources import profiles, rules, star
+from shelfwatch.staging import file_system, new_folder, staged
 from shelfwatch.streaming import refresh, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,17 +41,32 @@ def _staged_stock(rows: DataFrame, as_of: Column) -> DataFrame:
 
 
 def _stored_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """The ledger as a stored table, for queries that read it more than once."""
-    return staged(star.ledger(spark, sf), "ledger")
+    """The ledger as a stored table, for queries that read it more than once.
+
+    Stored once per session and table folder.
+    """
+    held = _stored.get((spark.sparkContext.applicationId, sf))
+    if held is None or not _readable(held):
+        held = _stored[spark.sparkContext.applicationId, sf] = staged(star.ledger(spark, sf), "ledger")
+    return held
+
+
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def _readable(df: DataFrame) -> bool:
+    system, place = file_system(df.sparkSession, df.inputFiles()[0])
+    return system.exists(place)
 
 
 def _ordered_today(spark: SparkSession, sf: str) -> DataFrame:
-    """Series ordered on the newest order date, with the quantity."""
-    per_day = star.orders_tracking(spark, sf).groupBy(*SERIES_KEY, "order_date").agg(
-        F.sum("ordered_qty").alias("order_qty")
-    )
-    per_day = staged(per_day, "ordered")
-    return per_day.filter(F.col("order_date") == per_day.agg(F.max("order_date")).scalar()).drop("order_date")
+    """Series ordered on the newest order date, with the quantity; see FIXTURES.md.
+
+    The date is found first, so only the lines of that day's orders are summed.
+    """
+    day = star.newest_order_date(spark, sf)
+    rows = star.orders_tracking(spark, sf, F.col("o_orderdate").cast("date") == day)
+    return staged(rows.groupBy(*SERIES_KEY).agg(F.sum("ordered_qty").alias("order_qty")), "ordered")
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,28 +104,84 @@ def s_normcols(spark, sf):
     return ledger_files.to_ledger(ledger_files.read_ledger_csv(spark, _csv_of(spark, shouted)))
 
 
+def _faulty_upload(spark, sf) -> str:
+    """CSV lines of a faulty upload; some have a cell too few or too many."""
+    cells = star.ledger_text(star.ledger(spark, sf))
+    names = LEDGER_COLUMNS
+    quoted = [F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit('"'), F.col(c), F.lit('"'))) for c in names]
+    line = F.concat_ws(",", *quoted)
+    stock = F.try_to_number(F.col("closing_stock"), F.lit("999999999999"))
+    line = F.when(stock % 89 == 3, F.concat_ws(",", *quoted[:-1])).when(stock % 83 == 2, F.concat(line, F.lit(",more"))).otherwise(line)
+    path = new_folder(spark, "upload")
+    parts = cells.select(line.alias("value"))
+    parts.write.text(f"{path}/lines")
+    # every part needs the header line
+    spark.read.text(f"{path}/lines", wholetext=True).select(
+        F.concat(F.lit(",".join(names) + "\n"), F.col("value")).alias("value")
+    ).write.text(f"{path}/files")
+    return f"{path}/files"
+
+
+def _load_faulty(spark, sf) -> tuple[str, ledger_files.LoadResult]:
+    path = new_folder(spark, "ledger")
+    return path, ledger_files.load_ledger_csv(spark, _faulty_upload(spark, sf), path, on_error="continue")
+
+
 def s_badrows(spark, sf):
     """A faulty upload loaded with ``on_error="continue"``: the rows that stay."""
-    source = _csv_of(spark, star.ledger_text(star.ledger(spark, sf)))
-    path = new_folder(spark, "ledger")
-    ledger_files.load_ledger_csv(spark, source, path, new_folder(spark, "quarantine"), "continue")
+    path, _ = _load_faulty(spark, sf)
     return ledger_files.read_ledger(spark, path)
 
 
+def s_rejected(spark, sf):
+    """The rows of the same upload that were set aside, counted by what they have."""
+    _, result = _load_faulty(spark, sf)
+    rows = spark.read.parquet(result.rejected_path)
+    bad = F.col(quality.CORRUPT).isNotNull()
+    return rows.groupBy(bad.alias("bad_line")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def s_profile_rejected(spark, sf):
+    """Profiles that are not complete, with the reason."""
+    saved = _saved_profiles(spark, sf)
+    return profiles.rejected_profiles(saved, F.lit("2001-01-01 00:00:00")).select("organization", "reason")
+
+
+def _rule_path(spark, sf) -> str:
+    path = new_folder(spark, "rules")
+    star.rule_file(spark, sf).write.json(path)
+    return path
+
+
+def s_rules(spark, sf):
+    """Criticality of every row by rules read from a JSON file with hundreds of patterns."""
+    found = staged(rules.read_rule_rows(spark, _rule_path(spark, sf)), "rules")
+    rows = criticality.with_criticality(_stored_ledger(spark, sf), found, star.STAR_DEFAULT_SCORE)
+    return rows.select(*DAY_KEY, "criticality")
+
+
+def s_rules_rejected(spark, sf):
+    """The rules of the file whose scores are out of bounds."""
+    return rules.rejected_rules(rules.read_rule_file(spark, _rule_path(spark, sf)))
+
+
 def s_profile(spark, sf):
     """Latest stock with the profile of its organization."""
+    complete = profiles.complete_profiles(_saved_profiles(spark, sf), F.lit("2001-01-01 00:00:00"))
+    rows = profiles.with_profile(_stock(spark, sf), complete)
+    return rows.select(*SERIES_KEY, "closing_stock", F.coalesce("sector", F.lit("")).alias("sector"),
+                       F.coalesce("region", F.lit("")).alias("region"))
+
+
+def _saved_profiles(spark, sf) -> DataFrame:
     region = star.table(spark, sf, "region")
     sector = F.element_at(F.array(*[F.lit(s) for s in V.SECTORS]), F.col("r_regionkey") + 1)
-    saved = region.select(
+    return region.select(
         F.col("r_name").alias("organization"),
         sector.alias("sector"),
         F.concat(F.lit("Region "), "r_regionkey").alias("region"),
         F.when(F.col("r_regionkey") != 3, "Parts").otherwise("").alias("goods_type"),
     )
-    complete = profiles.complete_profiles(saved, F.lit("2001-01-01 00:00:00"))
-    rows = profiles.with_profile(_stock(spark, sf), complete)
-    return rows.select(*SERIES_KEY, "closing_stock", F.coalesce("sector", F.lit("")).alias("sector"),
-                       F.coalesce("region", F.lit("")).alias("region"))
 
 
 def s_export(spark, sf):
@@ -121,7 +193,8 @@ def s_export(spark, sf):
 
 
 def p_slice(spark, sf):
-    chosen = usage.slice_ledger(_stored_ledger(spark, sf), organization="ASIA", location="All", item="PROMO")
+    chosen = usage.slice_ledger(star.ledger(spark, sf), organization="ASIA", location="All", item="PROMO")
+    chosen = staged(chosen, "slice")
     return usage.with_average_usage(chosen).select(
         *DAY_KEY, "closing_stock", round_half_up(F.col("avg_usage"), 4).alias("avg_usage")
     )
@@ -185,14 +258,17 @@ def _calculator(spark, sf):
 
 
 def p_whatif(spark, sf):
-    """Orders of the newest day projected on the latest stock; others get the default."""
-    return orders.what_if(_stock(spark, sf), _ordered_today(spark, sf)).select(
-        *SERIES_KEY, "order_qty", "projected_stock", "current_days", "projected_days", "days_gained"
+    """Orders of the newest day, a hundredfold, projected on the latest stock; others get the default."""
+    wanted = _ordered_today(spark, sf).withColumn("order_qty", F.col("order_qty") * 100)
+    return orders.what_if(_stock(spark, sf), wanted).select(
+        *SERIES_KEY, "order_qty", "qty_out_of_range", "projected_stock", "current_days", "projected_days", "days_gained"
     )
 
 
 def p_cover(spark, sf):
-    return orders.what_if(_calculator(spark, sf)).select(
+    """Default orders at a thousandfold usage, where they exceed every input range."""
+    busy = _calculator(spark, sf).withColumn("avg_daily_usage", F.col("avg_daily_usage") * 1000)
+    return orders.what_if(busy).select(
         *SERIES_KEY, "closing_stock", "order_qty", "projected_days", "cover_level"
     )
 
@@ -221,8 +297,7 @@ def p_pattern(spark, sf):
 
 
 def p_alerttype(spark, sf):
-    stock = staged(_stock(spark, sf), "stock")
-    return latest.alert_candidates(stock, latest.reorder_recommendations(stock), F.lit("2001-12-01")).select(
+    return latest.alert_candidates(_stock(spark, sf), None, F.lit("2001-12-01")).select(
         *SERIES_KEY, "alert_type", "days_left"
     )
 
@@ -251,9 +326,8 @@ def _two_versions(spark, sf) -> tuple[DataFrame, DataFrame, Column]:
 def _second_alert_run(spark, sf, dedupe: str) -> DataFrame:
     """Alerts of the current ledger version, after the previous one alerted that day."""
     previous, current, as_of = _two_versions(spark, sf)
-    old, new = _staged_stock(previous, as_of), _staged_stock(current, as_of)
-    first = staged(latest.alert_candidates(old, latest.reorder_recommendations(old), as_of), "alerts")
-    return latest.new_alerts(new, latest.reorder_recommendations(new), first, as_of, dedupe)
+    old, new = latest.stock_analytics(previous, as_of), latest.stock_analytics(current, as_of)
+    return latest.new_alerts(new, None, latest.alert_candidates(old, None, as_of), as_of, dedupe)
 
 
 def j_notalerted(spark, sf):
@@ -283,6 +357,17 @@ def j_diff(spark, sf):
     return changes.row_changes(previous, current, DAY_KEY)
 
 
+def _by_month(rows: DataFrame) -> DataFrame:
+    """A ledger version that repeats its keys: days become the first of their month."""
+    return rows.withColumn("date", F.trunc("date", "month"))
+
+
+def j_diff_repeated(spark, sf):
+    """Row changes of versions in which a key has many rows."""
+    previous, current, _ = _two_versions(spark, sf)
+    return changes.row_changes(_by_month(previous), _by_month(current), DAY_KEY)
+
+
 # --- aggregations ----------------------------------------------------------------------
 
 
@@ -309,10 +394,9 @@ def a_urgsum(spark, sf):
 
 
 def a_summary(spark, sf):
-    rows = _stored_ledger(spark, sf)
-    as_of = latest.newest_date(rows)
-    stock = _staged_stock(rows, as_of)
-    return latest.analytics_summary(stock, latest.reorder_recommendations(stock), as_of)
+    figures = staged(tails.tail_figures(star.ledger(spark, sf)), "figures")
+    as_of = latest.newest_date(figures)
+    return latest.summary_of_stock(latest.stock_from_tails(figures, as_of), as_of)
 
 
 def _with_clock(rows: DataFrame, column: str) -> tuple[DataFrame, Column]:
@@ -413,7 +497,7 @@ def q_calc(spark, sf):
 
 
 def m_stock(spark, sf):
-    rows = latest.stock_analytics(_stored_ledger(spark, sf))
+    rows = latest.stock_analytics(star.ledger(spark, sf))
     return rows.withColumn("last_updated", F.col("last_updated").cast("date"))
 
 
@@ -441,7 +525,11 @@ def q_rising(spark, sf):
 
 
 def o_sort(spark, sf):
-    return history.reorder_list(_stored_ledger(spark, sf), semantic_order=True)
+    """The reorder list, most urgent first, with the place of each row in that order."""
+    rows = history.reorder_list(_stored_ledger(spark, sf), semantic_order=True)
+    # the query's own check: rows that tie on all shown columns are equal, so places are defined
+    place = Window.orderBy(f.urgency_rank(F.col("urgency_level")), "days_left", *SERIES_KEY, "closing_stock", "reorder_qty")
+    return rows.withColumn("place", F.row_number().over(place))
 
 
 def o_topk(spark, sf):
@@ -463,9 +551,7 @@ def o_last7(spark, sf):
 
 
 def o_distinct(spark, sf):
-    rows = _stored_ledger(spark, sf)
-    lists = [history.name_list(rows, c).select(F.lit(c).alias("name_of"), F.col(c).alias("name")) for c in SERIES_KEY]
-    return lists[0].unionByName(lists[1]).unionByName(lists[2])
+    return history.name_lists(star.ledger(spark, sf), SERIES_KEY)
 
 
 def o_logtail(spark, sf):
@@ -561,8 +647,9 @@ def l_active(spark, sf):
 
 
 def l_pending(spark, sf):
-    placed = staged(star.orders_tracking(spark, sf), "orders")
-    return oplog.pending_orders(placed, oplog.newest(placed, "order_date"))
+    """Open orders; the state is filtered before the lines are summed."""
+    as_of = star.newest_order_date(spark, sf)
+    return oplog.pending_orders(star.orders_tracking(spark, sf, F.col("o_orderstatus").isin("O", "P")), as_of)
 
 
 def _placed(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -577,8 +664,30 @@ def _placed(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 def l_orders(spark, sf):
+    """Orders appended to the order table and read back."""
     rows, _ = _placed(spark, sf)
-    return rows.withColumn("order_timestamp", time_text(F.col("order_timestamp")))
+    path = new_folder(spark, "orders")
+    oplog.append_orders(rows, path)
+    return oplog.read_orders(spark, path).select(
+        "order_id", *SERIES_KEY, "order_date", time_text(F.col("order_timestamp")).alias("order_timestamp"), "ordered_by",
+        "ordered_qty", "status", "priority_level", time_text(F.col("created_at")).alias("created_at"),
+    )
+
+
+def l_equal_orders(spark, sf):
+    """Every request sent twice without an id: as many ids as rows, and the same ids on a replay."""
+    asked = star.orders_tracking(spark, sf).select(
+        *SERIES_KEY, "ordered_qty", F.lit("ann").alias("user_name"), F.col("priority_level").alias("priority")
+    )
+    twice = asked.unionByName(asked)
+    first, _ = oplog.place_orders(twice, F.lit("2001-12-01 08:30:00"))
+    again, _ = oplog.place_orders(twice, F.lit("2001-12-01 08:30:00"))
+    ids = first.select("order_id", F.lit(1).alias("run")).unionByName(again.select("order_id", F.lit(2).alias("run")))
+    each = ids.groupBy("order_id").agg(F.count_if(F.col("run") == 1).alias("first"), F.count_if(F.col("run") == 2).alias("again"))
+    return each.agg(
+        F.sum("first").alias("orders"), F.count(F.lit(1)).alias("ids"),
+        F.count_if(F.col("first") == F.col("again")).alias("replayed"),
+    )
 
 
 def l_order_actions(spark, sf):
@@ -656,31 +765,44 @@ def t_retain(spark, sf):
 
 
 def t_expired(spark, sf):
+    """Ledger days past each kind's limit, counted in one pass."""
     rows = staged(star.ledger(spark, sf).select("date"), "days")
-    as_of = oplog.newest(rows, "date")
-    counted = [
-        retention.expired_count(rows, "date", days, as_of).select(F.lit(kind).alias("kind"), "expired")
-        for kind, (_, days) in retention.RETENTION.items()
-    ]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+    return retention.expired_by_kind(rows, "date", oplog.newest(rows, "date"))
 
 
-def _arrivals(spark, rows: DataFrame, *order: str) -> tuple[str, int]:
-    """Files of ``rows`` in time order, and how many of them make half of the rows."""
-    files = max(4, spark.sparkContext.defaultParallelism)
-    path = new_folder(spark, "arrivals")
-    rows.repartitionByRange(files, *order).write.parquet(path)
-    return path, -(-files // 2)
+def t_retain_tables(spark, sf):
+    """Alerts of the streamed refresh after the retention ran on its tables, so long after that only the last batch's stay."""
+    tables, _ = _streamed(spark, sf)
+    kept = tables.alerts(spark)
+    days = [r[0] for r in kept.select("alert_date").distinct().orderBy("alert_date").collect()]  # one per batch at most
+    as_of = datetime.combine(days[-1], datetime.min.time()) + timedelta(days=V.KEEP_ALERTS_DAYS)
+    retention.expire_tables(spark, tables.root, {"summaries": SUMMARY, "alerts": ALERTS, "runs": RUN_LOG}, as_of)
+    return tables.alerts(spark).groupBy("alert_date").agg(F.count(F.lit(1)).alias("alerts"))
+
+
+BATCHES = 4
 
 
 def _streamed(spark, sf) -> tuple[refresh.RefreshTables, int]:
-    """Run the refresh over the ledger, which arrives in two batches of files."""
-    source, half = _arrivals(spark, star.ledger(spark, sf), *LEDGER_COLUMNS)
+    """Run the refresh over the ledger, which arrives in four batches in time order.
+
+    A batch is one file; batch ``n`` holds the days up to the ``n``-th quarter of the
+    period, so its summary and alerts are those of a known part of the ledger.
+    """
+    path = new_folder(spark, "arrivals")
+    rows = star.ledger(spark, sf).withColumn("batch", _quarter())
+    for n in range(BATCHES):
+        rows.filter(F.col("batch") == n).drop("batch").coalesce(1).write.mode("append").parquet(path)
     root = new_folder(spark, "refresh")
-    stream = refresh.ledger_stream(spark, source, files_per_batch=half)
-    query = refresh.start_refresh(stream, root, new_folder(spark, "checkpoint"), once=True)
+    stream = refresh.ledger_stream(spark, path, files_per_batch=1)
+    query = refresh.start_refresh(stream, root, new_folder(spark, "checkpoint"), once=True, buckets=8)
     query.awaitTermination()
-    return refresh.RefreshTables(root), refresh.last_batch(query)
+    return refresh.RefreshTables(root, 8), refresh.last_batch(query)
+
+
+def _quarter() -> Column:
+    """Arrival batch of a ledger row, by year."""
+    return F.least(F.lit(BATCHES - 1), F.greatest(F.lit(0), F.year("date") - 1998)).cast("int")
 
 
 def t_refresh(spark, sf):
@@ -688,30 +810,61 @@ def t_refresh(spark, sf):
     return tables.stock(spark, batch).withColumn("last_updated", F.col("last_updated").cast("date"))
 
 
-def t_summary(spark, sf):
-    """The last summary row of the streamed refresh."""
+def t_reorder(spark, sf):
+    """Recommendations of the streamed refresh."""
     tables, batch = _streamed(spark, sf)
-    rows = tables.summaries(spark).filter(F.col("summary_id") == batch)
-    return rows.drop("summary_id", "created_at")
+    return tables.recommendations(spark, batch).drop("last_updated")
+
+
+def t_usage(spark, sf):
+    """Usage statistics of the streamed refresh."""
+    tables, batch = _streamed(spark, sf)
+    return tables.usage(spark, batch).drop("last_updated")
+
+
+def t_summary(spark, sf):
+    """All summary rows of the streamed refresh."""
+    tables, _ = _streamed(spark, sf)
+    return tables.summaries(spark).drop("created_at")
+
+
+def t_alert_log(spark, sf):
+    """All alerts of the streamed refresh."""
+    tables, _ = _streamed(spark, sf)
+    return tables.alerts(spark).drop("alert_id", "created_at")
+
+
+def t_runs(spark, sf):
+    """Runs of the streamed refresh; the alerts run only where the stock changed."""
+    tables, _ = _streamed(spark, sf)
+    rows = tables.runs(spark)
+    return rows.groupBy("task_name", "status").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("records_processed").alias("records_processed")
+    )
 
 
 def t_sessions(spark, sf):
+    """Sessions of an action log whose files arrive out of time order, in four batches or more."""
     log = star.actions(spark, sf)
-    source, half = _arrivals(spark, log, "action_timestamp", "action_id")
-    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", half).parquet(source)
+    source = new_folder(spark, "arrivals")
+    log.repartition(BATCHES, F.xxhash64("action_id")).write.parquet(source)
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
     out = new_folder(spark, "sessions")
-    sessions.start_sessions(arriving, out, new_folder(spark, "checkpoint"), once=True).awaitTermination()
-    rows = spark.read.parquet(out)
+    query = sessions.start_sessions(arriving, out, new_folder(spark, "checkpoint"), once=True)
+    query.awaitTermination()
+    rows = sessions.sessions_table(out).read(spark, refresh.last_batch(query))
+    rows = sessions.open_sessions(rows, oplog.newest(log, "action_timestamp"))
     return rows.withColumns({c: time_text(F.col(c)) for c in ("session_start", "last_activity")})
 
 
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in [
-        s_ledger, s_fullload, s_csv, s_normcols, s_badrows, s_profile, s_export,
+        s_ledger, s_fullload, s_csv, s_normcols, s_badrows, s_rejected, s_profile, s_profile_rejected, s_rules,
+        s_rules_rejected, s_export,
         p_slice, p_daysleft, p_risk, p_urg3, p_urg4, p_reorder, p_safety, p_score, p_crit, p_scorec,
         p_explain, p_action, p_whatif, p_cover, p_target, p_trend, p_cv, p_pattern, p_alerttype,
-        j_latest, j_enrich, j_notalerted, j_unordered, j_ordered, j_ordered_list, j_diff,
+        j_latest, j_enrich, j_notalerted, j_unordered, j_ordered, j_ordered_list, j_diff, j_diff_repeated,
         q_overview, q_high_series, a_heat, a_pivot, a_urgsum, a_summary, a_runperf, a_runrate, a_actstats,
         a_actusers, a_resp, a_avguse, a_maxid, a_pending,
         w_avgall, w_avg7, w_avg30, w_minmax7, w_std7, w_recent,
@@ -719,8 +872,9 @@ QUERIES: dict[str, Query] = {
         q_risktop, q_rectop, q_rising,
         o_sort, o_topk, o_preview, o_last7, o_distinct, o_logtail,
         v_date, v_num, v_neg, v_formula, v_blank, v_report, v_negclose, v_parity,
-        l_recent, l_sessions, l_close, l_active, l_pending, l_orders, l_order_actions, l_actions, l_details,
+        l_recent, l_sessions, l_close, l_active, l_pending, l_orders, l_equal_orders, l_order_actions, l_actions, l_details,
         l_runhist, l_fresh, l_health,
-        t_cdc, t_acdc, t_recompute, t_alerts, t_retain, t_expired, t_refresh, t_summary, t_sessions,
+        t_cdc, t_acdc, t_recompute, t_alerts, t_retain, t_expired, t_retain_tables, t_refresh, t_reorder, t_usage,
+        t_summary, t_alert_log, t_runs, t_sessions,
     ]
 }

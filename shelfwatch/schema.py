@@ -72,6 +72,30 @@ RUN_LOG = T.StructType(
     ]
 )
 
+ORDERS = T.StructType(
+    [T.StructField("order_id", T.LongType())]
+    + [T.StructField(c, T.StringType()) for c in SERIES_KEY]
+    + [
+        T.StructField("order_date", T.DateType()),
+        T.StructField("order_timestamp", T.TimestampType()),
+        T.StructField("ordered_by", T.StringType()),
+        T.StructField("current_stock", T.LongType()),
+        T.StructField("recommended_qty", T.DoubleType()),
+        T.StructField("ordered_qty", T.DoubleType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("priority_level", T.StringType()),
+        T.StructField("expected_delivery_date", T.DateType()),
+        T.StructField("actual_delivery_date", T.DateType()),
+        T.StructField("supplier", T.StringType()),
+        T.StructField("unit_cost", T.DoubleType()),
+        T.StructField("total_cost", T.DoubleType()),
+        T.StructField("created_at", T.TimestampType()),
+        T.StructField("modified_at", T.TimestampType()),
+        T.StructField("modified_by", T.StringType()),
+        T.StructField("notes", T.StringType()),
+    ]
+)
+
 ACTIONS = T.StructType(
     [
         T.StructField("action_id", T.LongType()),

@@ -1,5 +1,6 @@
 """Ledger sources and sinks: tables, headered CSV, full load."""
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -7,11 +8,23 @@ from pyspark.sql import types as T
 
 from shelfwatch.operators.quality import CORRUPT, LedgerReport, check_ledger
 from shelfwatch.schema import LEDGER, LEDGER_COLUMNS, QUANTITIES, SERIES_KEY
-from shelfwatch.staging import staged
+from shelfwatch.staging import file_system, staged
+
+CURRENT = "current.txt"
+
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Typed ledger from a Parquet folder."""
-    return spark.read.schema(LEDGER).parquet(path)
+    """Typed ledger from a folder that :func:`write_ledger` made, or from plain Parquet files."""
+    version = _current(spark, path)
+    return spark.read.schema(LEDGER).parquet(f"{path}/{version}" if version else path).select(*LEDGER_COLUMNS)
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    """Name of the version that a ledger folder points to."""
+    system, place = file_system(spark, f"{path}/{CURRENT}")
+    if not system.exists(place):
+        return None
+    return spark.read.text(f"{path}/{CURRENT}").first()[0]
 
 
 def ledger_table(spark: SparkSession, name: str) -> DataFrame:
@@ -24,14 +37,15 @@ def normalize_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns])
 
 
-def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_ledger_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """All cells of headered CSV files as text, under normalized names.
 
     Empty cells are NULL. A line with too few or too many cells keeps its text in
     ``_corrupt_record``. The header of the first file names the columns; a file
-    with another header stops the read.
+    with another header stops the read. ``line_breaks`` allows line breaks inside
+    quotes; such files cannot be split, so each is read by one task.
     """
-    options = {"header": True, "escape": '"', "encoding": "UTF-8"}
+    options = {"header": True, "escape": '"', "encoding": "UTF-8", "multiLine": line_breaks}
     names = spark.read.options(**options).csv(path).columns
     cells = T.StructType([T.StructField(n, T.StringType()) for n in names + [CORRUPT]])
     raw = (
@@ -54,19 +68,37 @@ def to_ledger(raw: DataFrame) -> DataFrame:
 
 
 def write_ledger(ledger: DataFrame, path: str) -> None:
-    """Replace the whole ledger table, clustered by date for pruned reads."""
-    rows = ledger.select(*LEDGER_COLUMNS)
-    rows.repartitionByRange(*LEDGER_COLUMNS).sortWithinPartitions("date", *SERIES_KEY).write.mode(
-        "overwrite"
-    ).parquet(path)
+    """Replace the whole ledger table, partitioned by month and clustered by date.
+
+    The rows go to a new version folder, and then one small file is replaced to point to
+    it. Until then readers see the old version, also if the job fails; afterwards
+    versions before the last two are deleted.
+    """
+    spark = ledger.sparkSession
+    before = _current(spark, path)
+    version = f"version-{uuid.uuid4().hex}"
+    rows = ledger.select(*LEDGER_COLUMNS).withColumn("month", F.date_format("date", "yyyy-MM"))
+    rows.repartitionByRange(*LEDGER_COLUMNS).sortWithinPartitions("date", *SERIES_KEY).write.partitionBy("month").parquet(
+        f"{path}/{version}"
+    )
+    system, pointer = file_system(spark, f"{path}/{CURRENT}")
+    stream = system.create(pointer, True)
+    stream.write(bytearray(f"{version}\n".encode()))
+    stream.close()
+    for status in system.listStatus(pointer.getParent()):
+        name = status.getPath().getName()
+        if name.startswith("version-") and name not in (version, before):
+            system.delete(status.getPath(), True)
 
 
 @dataclass
 class LoadResult:
-    """Outcome of a CSV load: the rule findings and whether rows were written."""
+    """Outcome of a CSV load: the rule findings, whether rows were written, and the rejected rows."""
 
     findings: DataFrame
     loaded: bool
+    rejected: DataFrame
+    rejected_path: str | None = None
 
 
 def load_ledger_csv(
@@ -75,20 +107,23 @@ def load_ledger_csv(
     table_path: str,
     quarantine_path: str | None = None,
     on_error: str = "stop",
+    line_breaks: bool = False,
 ) -> LoadResult:
     """Check CSV files and replace the ledger with their rows.
 
     ``on_error="stop"`` writes nothing if any row breaks a rule. ``"continue"``
-    loads the valid rows and writes the others to ``quarantine_path``.
+    loads the valid rows and writes the others to ``quarantine_path``, by default
+    ``<table_path>-rejected``.
     """
     if on_error not in ("stop", "continue"):
         raise ValueError(f"unknown on_error {on_error!r}")
     # the text is parsed once; checking and loading read the staged columns
-    report: LedgerReport = check_ledger(staged(read_ledger_csv(spark, csv_path), "upload"))
+    report: LedgerReport = check_ledger(read_ledger_csv(spark, csv_path, line_breaks))
     findings = staged(report.findings, "findings")
     if on_error == "stop" and not findings.filter(F.col("severity") == "error").isEmpty():
-        return LoadResult(findings, False)
-    write_ledger(to_ledger(report.valid), table_path)
-    if on_error == "continue" and quarantine_path:
+        return LoadResult(findings, False, report.rejected)
+    if on_error == "continue":
+        quarantine_path = quarantine_path or f"{table_path}-rejected"
         report.rejected.write.mode("overwrite").parquet(quarantine_path)
-    return LoadResult(findings, True)
+    write_ledger(to_ledger(report.valid), table_path)
+    return LoadResult(findings, True, report.rejected, quarantine_path)

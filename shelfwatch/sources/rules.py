@@ -1,6 +1,8 @@
 """Criticality rules from a JSON file."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
@@ -37,43 +39,8 @@ RULE_FILE = T.StructType(
 )
 
 
-def _check(score: int, bounds: tuple[int, int], what: str) -> None:
-    low, high = bounds
-    if not low <= score <= high:
-        raise ValueError(f"{what} score {score} is outside {low}..{high}")
-
-
-def check_rules(rules: dict) -> dict:
-    """Raise if a score is out of bounds."""
-    for rule in rules["location_rules"] + rules["item_rules"]:
-        _check(rule["score"], V.RULE_SCORE_RANGE, "rule")
-    _check(rules["default_score"], V.DEFAULT_SCORE_RANGE, "default")
-    return rules
-
-
-def load_rules(spark: SparkSession, path: str | None) -> dict:
-    """Rule set of one JSON file; the fallback set if it is absent or unreadable."""
-    if path is None:
-        return V.FALLBACK_RULES
-    try:
-        row = spark.read.schema(RULE_FILE).option("multiLine", True).json(path).first()
-    except AnalysisException:
-        row = None
-    if row is None or row["default_score"] is None:
-        return V.FALLBACK_RULES
-    found = row.asDict(recursive=True)
-    return check_rules(
-        {
-            "location_rules": found["location_rules"] or [],
-            "item_rules": found["item_rules"] or [],
-            "default_score": found["default_score"],
-        }
-    )
-
-
-def rule_rows(file: DataFrame) -> DataFrame:
-    """Rows (kind, value, score) of a rule file, out-of-bounds scores dropped."""
-    low, high = V.RULE_SCORE_RANGE
+def _all_rules(file: DataFrame) -> DataFrame:
+    """Rows (kind, value, score) of every rule and the default, from all documents."""
     locations = file.select(F.inline("location_rules")).select(
         F.lit("location").alias("kind"), F.col("pattern").alias("value"), "score"
     )
@@ -82,8 +49,64 @@ def rule_rows(file: DataFrame) -> DataFrame:
         .select(F.explode("items").alias("value"), "score")
         .select(F.lit("item").alias("kind"), "value", "score")
     )
-    return locations.unionByName(items).filter(F.col("score").between(low, high))
+    default = file.filter("default_score IS NOT NULL").select(
+        F.lit("default").alias("kind"), F.lit("").alias("value"), F.col("default_score").alias("score")
+    )
+    return locations.unionByName(items).unionByName(default)
+
+
+def _in_bounds() -> Column:
+    """Whether a rule row can be used; an unknown value or score cannot."""
+    rule = F.col("score").between(*V.RULE_SCORE_RANGE)
+    default = F.col("score").between(*V.DEFAULT_SCORE_RANGE)
+    return F.coalesce(F.when(F.col("kind") == "default", default).otherwise(rule) & F.col("value").isNotNull(), F.lit(False))
+
+
+def rule_rows(file: DataFrame) -> DataFrame:
+    """Rules (kind, value, score) that can be used; see :func:`rejected_rules` for the others."""
+    return _all_rules(file).filter((F.col("kind") != "default") & _in_bounds())
+
+
+def rejected_rules(file: DataFrame) -> DataFrame:
+    """Rules and defaults without a value or with a score out of bounds."""
+    return _all_rules(file).filter(~_in_bounds())
+
+
+def read_rule_file(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a JSON rule file, or of a folder of them."""
+    return spark.read.schema(RULE_FILE).option("multiLine", True).json(path)
 
 
 def read_rule_rows(spark: SparkSession, path: str) -> DataFrame:
-    return rule_rows(spark.read.schema(RULE_FILE).option("multiLine", True).json(path))
+    return rule_rows(read_rule_file(spark, path))
+
+
+def load_rules(spark: SparkSession, path: str | None) -> dict:
+    """Rule set of a JSON file as configuration: the usable rules of all its documents.
+
+    Rules out of bounds are listed under ``rejected`` and warned of. The fallback set
+    is returned, with a warning, if there is no file or no readable default. A rule set
+    is configuration; use :func:`read_rule_rows` for one too large for the driver.
+    """
+    if path is None:
+        return V.FALLBACK_RULES
+    try:
+        file = read_rule_file(spark, path)
+        found = _all_rules(file).withColumn("usable", _in_bounds()).collect()
+    except AnalysisException as error:
+        warnings.warn(f"rules at {path} cannot be read ({error.getCondition()}); using the fallback rules", stacklevel=2)
+        return V.FALLBACK_RULES
+    usable = [r for r in found if r["usable"]]
+    rejected = [{"kind": r["kind"], "value": r["value"], "score": r["score"]} for r in found if not r["usable"]]
+    if rejected:
+        warnings.warn(f"{len(rejected)} rules at {path} are out of bounds and left out", stacklevel=2)
+    defaults = sorted(r["score"] for r in usable if r["kind"] == "default")
+    if not defaults:
+        warnings.warn(f"rules at {path} have no usable default score; using the fallback rules", stacklevel=2)
+        return {**V.FALLBACK_RULES, "rejected": rejected} if rejected else V.FALLBACK_RULES
+    return {
+        "location_rules": [{"pattern": r["value"], "score": r["score"]} for r in usable if r["kind"] == "location"],
+        "item_rules": [{"items": [r["value"]], "score": r["score"]} for r in usable if r["kind"] == "item"],
+        "default_score": defaults[0],
+        "rejected": rejected,
+    }

@@ -22,6 +22,32 @@ def star_rules() -> dict:
     }
 
 
+def rule_file(spark: SparkSession, folder: str) -> DataFrame:
+    """A rule set as one document: a rule for every nation and for every part name and brand.
+
+    That makes more than a thousand rules, some with scores out of bounds.
+    """
+    places = table(spark, folder, "nation").agg(
+        F.collect_list(
+            F.struct(
+                F.col("n_name").alias("pattern"), (F.col("n_nationkey") % 17).cast("int").alias("score"),
+                F.lit("nation").alias("description"),
+            )
+        ).alias("location_rules")
+    )
+    names = table(spark, folder, "part").groupBy("p_name", "p_brand").agg(
+        F.collect_set("p_type").alias("items"), F.min("p_partkey").alias("p_key")
+    )
+    items = names.agg(
+        F.collect_list(
+            F.struct("items", (F.col("p_key") % 20).cast("int").alias("score"), F.col("p_name").alias("description"))
+        ).alias("item_rules")
+    )
+    # one row each, paired by a constant
+    both = places.withColumn("one", F.lit(1)).join(items.withColumn("one", F.lit(1)), "one").drop("one")
+    return both.withColumn("default_score", F.lit(STAR_DEFAULT_SCORE))
+
+
 def star_rule_rows(spark: SparkSession) -> DataFrame:
     """The rule set as rows, small enough for the optimizer to know it."""
     rows = [F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value"), F.lit(s).alias("score")) for k, v, s in STAR_RULES]
@@ -94,12 +120,24 @@ def ledger_versions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return previous, current.select(*LEDGER_COLUMNS)
 
 
-def orders_tracking(spark: SparkSession, folder: str) -> DataFrame:
-    """Order rows with the smallest part type and the quantity of their lines."""
+def newest_order_date(spark: SparkSession, folder: str) -> Column:
+    """The newest order date as a scalar."""
+    return table(spark, folder, "orders").agg(F.max(F.col("o_orderdate").cast("date"))).scalar()
+
+
+def orders_tracking(spark: SparkSession, folder: str, chosen: Column | None = None) -> DataFrame:
+    """Order rows with the smallest part type and the quantity of their lines.
+
+    ``chosen`` is a condition on the orders table; lines of other orders are dropped
+    before they are summed.
+    """
     part = table(spark, folder, "part").select("p_partkey", "p_type")
+    orders, lineitem = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    if chosen is not None:
+        orders = orders.filter(chosen)
+        lineitem = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     lines = (
-        table(spark, folder, "lineitem")
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("l_orderkey")
         .agg(F.min("p_type").alias("item"), F.sum("l_quantity").alias("ordered_qty"))
     )
@@ -107,8 +145,7 @@ def orders_tracking(spark: SparkSession, folder: str) -> DataFrame:
     state, urgency = F.col("o_orderstatus"), F.col("o_orderpriority")
     ordered_on = F.col("o_orderdate").cast("date")
     placed = (
-        table(spark, folder, "orders")
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     )
     return (

@@ -6,20 +6,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDER_SETTING = "spark.checkpoint.dir"
-_local_folders: dict[str, str] = {}
+
+
+_chosen: dict[str, str] = {}
+
+
+def use_local_folder(spark: SparkSession) -> None:
+    """Choose a temporary folder for a local session that names none, as in tests."""
+    if spark.conf.get(FOLDER_SETTING, None) or not spark.sparkContext.master.startswith("local["):
+        return
+    app = spark.sparkContext.applicationId
+    if app not in _chosen:
+        _chosen[app] = tempfile.mkdtemp(prefix="shelfwatch-")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by the session; local test sessions get a temporary one."""
-    folder = spark.conf.get(FOLDER_SETTING, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder that the session names for intermediate tables."""
+    folder = spark.conf.get(FOLDER_SETTING, None) or _chosen.get(spark.sparkContext.applicationId)
+    if not folder:
         raise RuntimeError(f"set {FOLDER_SETTING} to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="shelfwatch-")
-    return _local_folders[app]
+    return folder
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def _own_folder(spark: SparkSession) -> str:
@@ -46,5 +58,5 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete all folders this application has staged; results read from them are gone."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    system, path = file_system(spark, _own_folder(spark))
+    system.delete(path, True)

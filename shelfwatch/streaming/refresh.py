@@ -1,6 +1,8 @@
 """Change-driven refresh of the latest-row tables, the summary and the alerts."""
 
 import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
@@ -10,24 +12,51 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfwatch import fixed_values as V
+from shelfwatch.functions.ids import hashed_id
 from shelfwatch.operators.changes import row_changes
 from shelfwatch.operators.joins import with_keys, without_keys
 from shelfwatch.operators.tails import figures_of, latest_rows
 from shelfwatch.plans.latest import (
-    analytics_summary,
     new_alerts,
     reorder_recommendations,
     stock_from_tails,
+    summary_of_stock,
     usage_from_tails,
     with_alert_ids,
 )
 from shelfwatch.schema import ALERTS, LEDGER, RUN_LOG, SERIES_KEY, SUMMARY
+from shelfwatch.streaming.state import BUCKETS, BucketedTable, bucket_of, folders, remove
 
 TAILS = T.StructType(LEDGER.fields + [T.StructField("recency", T.IntegerType())])
-
+_KEY_FIELDS = [T.StructField(c, T.StringType()) for c in SERIES_KEY]
+STOCK = T.StructType(
+    _KEY_FIELDS
+    + [
+        T.StructField("closing_stock", T.LongType()),
+        T.StructField("lead_time_days", T.LongType()),
+        T.StructField("avg_daily_usage", T.DoubleType()),
+        T.StructField("days_left", T.DoubleType()),
+        T.StructField("risk_status", T.StringType()),
+    ]
+)
+USAGE = T.StructType(
+    _KEY_FIELDS
+    + [
+        T.StructField("last_data_date", T.DateType()),
+        T.StructField("avg_daily_usage_7d", T.DoubleType()),
+        T.StructField("avg_daily_usage_30d", T.DoubleType()),
+        T.StructField("min_usage_7d", T.LongType()),
+        T.StructField("max_usage_7d", T.LongType()),
+        T.StructField("usage_stddev_7d", T.DoubleType()),
+        T.StructField("trend_direction", T.StringType()),
+        T.StructField("usage_volatility_pct", T.DoubleType()),
+        T.StructField("demand_pattern", T.StringType()),
+    ]
+)
 BATCHED_ALERTS = T.StructType(
     [x for x in ALERTS.fields if x.name != "alert_date"] + [T.StructField("batch_id", T.LongType())]
 )
+_CLOCK = "newest date"
 
 
 def ledger_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -38,7 +67,7 @@ def ledger_stream(spark: SparkSession, path: str, files_per_batch: int | None =
     return reader.parquet(path)
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A table that may not exist yet."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -48,32 +77,59 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _save(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class RefreshTables:
-    """Folders of the refreshed tables below ``root``.
+    """Tables of the refresh below ``root``.
 
-    A batch reads the state of the batch before it and writes its own, in two
-    folders used in turn. A replayed batch finds its input unchanged and replaces
-    its own output. Summaries, alerts and runs get one folder per batch, which a
-    replay replaces too.
+    The newest rows of each series (``tails``), ``stock`` and ``usage`` are bucketed by
+    series: a batch rewrites the buckets of the series that it touches. Recommendations
+    are a row function of the stock. Summaries, alerts and runs get one folder per
+    batch, which a replay replaces; a failed attempt keeps its run row in a folder of
+    its own. ``last_updated`` is the newest date that had arrived, one value per batch.
     """
 
     root: str
+    buckets: int = BUCKETS
+
+    def _bucketed(self, name: str, schema: T.StructType) -> BucketedTable:
+        return BucketedTable(f"{self.root}/{name}", schema, tuple(SERIES_KEY), self.buckets)
+
+    @property
+    def tails(self) -> BucketedTable:
+        return self._bucketed("tails", TAILS)
+
+    @property
+    def stock_rows(self) -> BucketedTable:
+        return self._bucketed("stock", STOCK)
+
+    @property
+    def usage_rows(self) -> BucketedTable:
+        return self._bucketed("usage", USAGE)
+
+    def log(self, name: str, column: str, day: date | None, batch_id: int | str) -> str:
+        return f"{self.root}/{name}/{column}={day or '__HIVE_DEFAULT_PARTITION__'}/batch_id={batch_id}"
 
-    def state(self, name: str, batch_id: int) -> str:
-        return f"{self.root}/{name}/slot={batch_id % 2}"
+    def newest(self, spark: SparkSession, batch_id: int) -> date | None:
+        """The newest date in the ledger after a batch."""
+        rows = _read(spark, f"{self.root}/clock/batch={batch_id}", f"`{_CLOCK}` date")
+        return rows.agg(F.max(_CLOCK)).first()[0]
 
-    def log(self, name: str, column: str, day: date, batch_id: int) -> str:
-        return f"{self.root}/{name}/{column}={day}/batch_id={batch_id}"
+    def _timed(self, spark: SparkSession, rows: DataFrame, batch_id: int) -> DataFrame:
+        return rows.withColumn("last_updated", F.lit(self.newest(spark, batch_id)).cast("timestamp"))
 
     def stock(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        return spark.read.parquet(self.state("stock", batch_id))
+        return self._timed(spark, self.stock_rows.read(spark, batch_id), batch_id)
 
     def recommendations(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        return spark.read.parquet(self.state("recommendations", batch_id))
+        return reorder_recommendations(self.stock(spark, batch_id))
 
     def usage(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        return spark.read.parquet(self.state("usage", batch_id))
+        return self._timed(spark, self.usage_rows.read(spark, batch_id), batch_id)
 
     def summaries(self, spark: SparkSession) -> DataFrame:
         return _read(spark, f"{self.root}/summaries", SUMMARY).select(*SUMMARY.fieldNames())
@@ -85,101 +141,114 @@ class RefreshTables:
         return _read(spark, f"{self.root}/runs", RUN_LOG).select(*RUN_LOG.fieldNames())
 
 
-def _save(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _run(task: str, rows: int, begun: float) -> tuple:
+def _run_row(task: str, begun: float, rows: int = 0, error: str | None = None) -> tuple:
     started = datetime.fromtimestamp(begun, timezone.utc)
-    return (None, task, started, "SUCCESS", rows, None, time.time() - begun)
+    return (None, task, started, "SUCCESS" if error is None else "FAILED", rows, error, time.time() - begun)
 
 
-def _save_runs(spark: SparkSession, path: str, batch_id: int, runs: list[tuple]) -> None:
+def _save_runs(spark: SparkSession, tables: RefreshTables, label: str, runs: list[tuple]) -> None:
+    """Write the run rows of a batch under the day it ran on; a replay on another day replaces them too."""
+    place = f"{tables.root}/runs"
+    for day in folders(spark, place):
+        remove(spark, f"{place}/{day}/batch_id={label}")
     rows = spark.createDataFrame(runs, RUN_LOG)
-    _save(rows.withColumn("log_id", F.xxhash64("task_name", F.lit(batch_id))), path)
+    rows = rows.withColumn("log_id", hashed_id(["task_name", "execution_time"]))
+    _save(rows, tables.log("runs", "day", runs[0][2].date(), label))
+
+
+def _touched_buckets(keys: DataFrame, tables: RefreshTables) -> list[int]:
+    found = keys.select(bucket_of(SERIES_KEY, tables.buckets).alias("bucket")).distinct().collect()
+    return sorted(r["bucket"] for r in found)  # at most ``buckets``
 
 
-def _merge(rows: DataFrame, batch_id: int, tables: RefreshTables) -> DataFrame:
-    """Bring the newest rows of all series up to date and return their figures.
+def _merge(batch: DataFrame, batch_id: int, tables: RefreshTables) -> tuple[DataFrame, list[int]]:
+    """Bring the touched series up to date: (their keys, their buckets).
 
-    Only series with new rows are ranked and summed again; the rows and figures
-    of the others are copied as they are, without a shuffle while the list of
-    touched series is small enough to broadcast.
+    Only buckets with touched series are read and written, and only touched series
+    are ranked again; the other rows of these buckets are copied.
     """
-    spark = rows.sparkSession
-    touched = _save(rows.select(*SERIES_KEY).distinct(), tables.state("touched", batch_id))
-    if batch_id > 0:
-        old_rows = spark.read.schema(TAILS).parquet(tables.state("tails", batch_id - 1)).select(*TAILS.fieldNames())
-        rows = rows.unionByName(with_keys(old_rows, touched, SERIES_KEY).drop("recency"))
-        kept = without_keys(old_rows, touched, SERIES_KEY)
-    else:
-        kept = spark.createDataFrame([], TAILS)
-    place = tables.state("tails", batch_id)
-    fresh = _save(latest_rows(rows, V.LONG_FRAME_ROWS), f"{place}/part=fresh")
-    _save(kept, f"{place}/part=kept")
-
-    figures = figures_of(fresh)
-    if batch_id > 0:
-        old_figures = spark.read.schema(figures.schema).parquet(tables.state("figures", batch_id - 1))
-        figures = figures.unionByName(without_keys(old_figures, touched, SERIES_KEY))
-    return _save(figures, tables.state("figures", batch_id))
+    spark = batch.sparkSession
+    rows = _save(batch.select(*LEDGER.fieldNames()), f"{tables.root}/arrived/batch={batch_id}")
+    touched = _save(rows.select(*SERIES_KEY).distinct(), f"{tables.root}/touched/batch={batch_id}")
+    buckets = _touched_buckets(touched, tables)
+    old = tables.tails.read(spark, batch_id - 1, buckets)
+    merged = rows.unionByName(with_keys(old, touched, SERIES_KEY).drop("recency"))
+    fresh = latest_rows(merged, V.LONG_FRAME_ROWS).select(*TAILS.fieldNames())
+    tails = tables.tails.write(fresh.unionByName(without_keys(old, touched, SERIES_KEY)), batch_id, buckets)
+
+    figures = figures_of(with_keys(tails, touched, SERIES_KEY))
+    figures = _save(figures, f"{tables.root}/figures/batch={batch_id}")
+    for table, build in ((tables.stock_rows, stock_from_tails), (tables.usage_rows, usage_from_tails)):
+        others = without_keys(table.read(spark, batch_id - 1, buckets), touched, SERIES_KEY)
+        table.write(build(figures, F.lit(None)).drop("last_updated").unionByName(others), batch_id, buckets)
+    day = rows.agg(F.max("date").alias(_CLOCK))
+    known = tables.newest(spark, batch_id - 1)
+    day = day.select(F.greatest(F.col(_CLOCK), F.lit(known).cast("date")).alias(_CLOCK))
+    _save(day, f"{tables.root}/clock/batch={batch_id}")
+    for name in ("arrived", "touched", "figures", "clock"):
+        remove(spark, f"{tables.root}/{name}/batch={batch_id - 2}")
+    return touched, buckets
+
+
+def _logged(spark: SparkSession, tables: RefreshTables, batch_id: int, task: str, work: Callable[[], int]) -> tuple:
+    """Run a task and return its run row; a failure is recorded, then raised, so the batch is replayed."""
+    begun = time.time()
+    try:
+        return _run_row(task, begun, work())
+    except Exception as failure:
+        attempt = f"{batch_id}.failed-{uuid.uuid4().hex}"
+        _save_runs(spark, tables, attempt, [_run_row(task, begun, 0, str(failure))])
+        raise
 
 
 def refresh(batch: DataFrame, batch_id: int, tables: RefreshTables, dedupe: str = "all") -> None:
     """Take one batch of new ledger rows through all tables, in dependency order.
 
-    The only state is the newest 30 rows of each series and their figures, which
-    the latest-row tables need; old ledger rows are not read again.
+    The only state is the newest 30 rows of each series, their stock and their usage;
+    old ledger rows are not read again.
     """
     spark = batch.sparkSession
-    begun = time.time()
-    figures = _merge(batch.select(*LEDGER.fieldNames()), batch_id, tables)
 
-    day = figures.agg(F.max("date")).first()[0]
-    if day is None:
+    def summarize() -> int:
+        touched, buckets = _merge(batch, batch_id, tables)
+        day = tables.newest(spark, batch_id)
+        if day is None:
+            return 0
+        as_of = datetime(day.year, day.month, day.day)
+        summary = summary_of_stock(tables.stock(spark, batch_id), as_of).withColumns(
+            {"summary_id": F.lit(batch_id).cast("long"), "created_at": F.lit(as_of)}
+        )
+        summary = summary.select(*SUMMARY.fieldNames()).drop("summary_date")
+        _save(summary, tables.log("summaries", "summary_date", day, batch_id))
+        state.update(changed=_stock_changed(spark, tables, batch_id, touched, buckets), day=day, as_of=as_of)
+        return 1
+
+    def alert() -> int:
+        return _append_alerts(spark, tables, batch_id, state["day"], state["as_of"], dedupe)
+
+    state: dict = {"changed": False}
+    runs = [_logged(spark, tables, batch_id, "refresh_summary", summarize)]
+    if "day" not in state:
         return
-    as_of = datetime(day.year, day.month, day.day)
-    stock = _save(stock_from_tails(figures, as_of), tables.state("stock", batch_id))
-    advice = _save(reorder_recommendations(stock), tables.state("recommendations", batch_id))
-    _save(usage_from_tails(figures, as_of), tables.state("usage", batch_id))
-
-    summary = analytics_summary(stock, advice, as_of).withColumns(
-        {"summary_id": F.lit(batch_id).cast("long"), "created_at": F.lit(as_of)}
-    )
-    summary = summary.select(*SUMMARY.fieldNames()).drop("summary_date")
-    _save(summary, tables.log("summaries", "summary_date", day, batch_id))
-    runs = [_run("refresh_summary", 1, begun)]
-    if _stock_changed(stock, tables, batch_id):
-        begun = time.time()
-        written = _append_alerts(stock, advice, tables, batch_id, day, as_of, dedupe)
-        runs.append(_run("generate_alerts", written, begun))
-    _save_runs(spark, tables.log("runs", "day", day, batch_id), batch_id, runs)
+    if state["changed"]:
+        runs.append(_logged(spark, tables, batch_id, "generate_alerts", alert))
+    _save_runs(spark, tables, str(batch_id), runs)
 
 
-def _stock_changed(stock: DataFrame, tables: RefreshTables, batch_id: int) -> bool:
-    """Whether the stock table differs from the one of the batch before."""
-    if batch_id == 0:
-        return True
-    old = _read(stock.sparkSession, tables.state("stock", batch_id - 1), stock.schema)
-    return not row_changes(old.drop("last_updated"), stock.drop("last_updated"), SERIES_KEY).isEmpty()
+def _stock_changed(spark: SparkSession, tables: RefreshTables, batch_id: int, touched: DataFrame, buckets: list[int]) -> bool:
+    """Whether the stock of the touched series differs from what it was."""
+    old, new = (with_keys(tables.stock_rows.read(spark, n, buckets), touched, SERIES_KEY) for n in (batch_id - 1, batch_id))
+    return not row_changes(old, new, SERIES_KEY).isEmpty()
 
 
 def _append_alerts(
-    stock: DataFrame,
-    advice: DataFrame,
-    tables: RefreshTables,
-    batch_id: int,
-    day: date,
-    as_of: datetime,
-    dedupe: str,
+    spark: SparkSession, tables: RefreshTables, batch_id: int, day: date, as_of: datetime, dedupe: str
 ) -> int:
-    spark = stock.sparkSession
     # only the day's own folder can hold alerts that count as repeats
     same_day = _read(spark, f"{tables.root}/alerts/alert_date={day}", BATCHED_ALERTS)
     earlier = same_day.filter(F.col("batch_id") < batch_id).withColumn("alert_date", F.lit(day))
-    fresh = with_alert_ids(new_alerts(stock, advice, earlier, as_of, dedupe), as_of)
-    fresh = fresh.select(*ALERTS.fieldNames()).drop("alert_date")
+    fresh = new_alerts(tables.stock(spark, batch_id), None, earlier, as_of, dedupe)
+    fresh = with_alert_ids(fresh, as_of).select(*ALERTS.fieldNames()).drop("alert_date")
     return _save(fresh, tables.log("alerts", "alert_date", day, batch_id)).count()
 
 
@@ -190,13 +259,15 @@ def start_refresh(
     dedupe: str = "all",
     once: bool = False,
     minutes: int = V.REFRESH_MINUTES,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Start the refresh over a ledger stream.
 
     A trigger without new files runs no batch. ``once`` processes what is there
-    and stops; otherwise a batch starts every ``minutes``.
+    and stops; otherwise a batch starts every ``minutes``. ``buckets`` is fixed for
+    the life of the tables; take about one per core of the cluster.
     """
-    tables = RefreshTables(root)
+    tables = RefreshTables(root, buckets)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
         lambda batch, batch_id: refresh(batch, batch_id, tables, dedupe)
     )

@@ -1,59 +1,97 @@
 """Continuous session counters from the action stream."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-GAP = "30 minutes"
-LATENESS = "1 hour"
-LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+from shelfwatch.streaming.state import BucketedTable, bucket_of
 
+GAP = "30 minutes"
+LOCAL_MERGE = "spark.sql.sessionWindow.merge.sessions.in.local.partition"
+COUNTERS = {
+    "items_reviewed": "ITEM_REVIEWED",
+    "items_ordered": "ORDER_PLACED",
+    "pdfs_exported": "PDF_EXPORTED",
+    "data_uploads": "DATA_UPLOADED",
+}
+SESSIONS = T.StructType(
+    [
+        T.StructField("session_id", T.StringType()),
+        T.StructField("user_name", T.StringType()),
+        T.StructField("session_start", T.TimestampType()),
+        T.StructField("last_activity", T.TimestampType()),
+        T.StructField("actions_count", T.LongType()),
+    ]
+    + [T.StructField(c, T.LongType()) for c in COUNTERS]
+)
 
-def session_counts(actions: DataFrame, gap: str = GAP, lateness: str = LATENESS) -> DataFrame:
-    """Sessions of a stream or table of actions, split where nothing happens for ``gap``.
 
-    In append mode a session is emitted once the watermark has passed its end.
-    """
+def session_counts(actions: DataFrame, gap: str = GAP) -> DataFrame:
+    """Sessions of a table of actions, split where nothing happens for longer than ``gap``."""
 
     def of_type(name: str) -> Column:
-        return F.sum(F.when(F.col("action_type") == name, 1).otherwise(0))
+        return F.count_if(F.col("action_type") == name)
 
     timed = actions.withColumn("at", F.col("action_timestamp").cast("timestamp"))
     return (
-        timed.withWatermark("at", lateness)
-        .groupBy("session_id", F.session_window("at", gap).alias("w"))
+        timed.groupBy("session_id", F.session_window("at", gap).alias("w"))
         .agg(
             F.max("user_name").alias("user_name"),
             F.max("at").alias("last_activity"),
             F.count(F.lit(1)).alias("actions_count"),
-            of_type("ITEM_REVIEWED").alias("items_reviewed"),
-            of_type("ORDER_PLACED").alias("items_ordered"),
-            of_type("PDF_EXPORTED").alias("pdfs_exported"),
-            of_type("DATA_UPLOADED").alias("data_uploads"),
-        )
-        .select(
-            "session_id",
-            "user_name",
-            F.col("w.start").alias("session_start"),
-            "last_activity",
-            "actions_count",
-            "items_reviewed",
-            "items_ordered",
-            "pdfs_exported",
-            "data_uploads",
+            *[of_type(name).alias(c) for c, name in COUNTERS.items()],
         )
+        .withColumn("session_start", F.col("w.start"))
+        .select(*SESSIONS.fieldNames())
     )
 
 
+def merge_sessions(parts: DataFrame, gap: str = GAP) -> DataFrame:
+    """Join sessions of one id that lie no more than ``gap`` apart, in whatever order they came."""
+    in_order = Window.partitionBy("session_id").orderBy("session_start", "last_activity")
+    so_far = F.max("last_activity").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("session_start") > so_far + F.expr(f"INTERVAL {gap}"), F.lit(True))
+    visit = F.sum("apart").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = parts.withColumn("apart", apart.cast("int")).withColumn("visit", visit)
+    return rows.groupBy("session_id", "visit").agg(
+        F.max("user_name").alias("user_name"),
+        F.min("session_start").alias("session_start"),
+        F.max("last_activity").alias("last_activity"),
+        *[F.sum(c).alias(c) for c in ("actions_count", *COUNTERS)],
+    ).select(*SESSIONS.fieldNames())
+
+
+def sessions_table(path: str) -> BucketedTable:
+    return BucketedTable(path, SESSIONS, ("session_id",))
+
+
+def update_sessions(actions: DataFrame, batch_id: int, table: BucketedTable, gap: str = GAP) -> None:
+    """Take a batch of actions into the sessions; only its buckets are read and written.
+
+    An action counts whenever it arrives: one that is late may open a session in the
+    past, lengthen one or join two. Actions without a time or session have none.
+    """
+    spark = actions.sparkSession
+    # this session belongs to the query; combine a busy session's actions before the shuffle
+    spark.conf.set(LOCAL_MERGE, True)
+    fresh = session_counts(actions, gap)
+    ids = fresh.select(bucket_of(["session_id"], table.buckets).alias("bucket")).distinct()
+    touched = [r["bucket"] for r in ids.collect()]  # at most ``buckets``
+    if touched or batch_id == 0:
+        table.write(merge_sessions(fresh.unionByName(table.read(spark, batch_id - 1, touched)), gap), batch_id, touched)
+    else:
+        table.write(spark.createDataFrame([], SESSIONS), batch_id, [])
+
+
+def open_sessions(sessions: DataFrame, as_of: Column, gap: str = GAP) -> DataFrame:
+    """Sessions with ``is_open``: whether an action at ``as_of`` would still belong to them."""
+    return sessions.withColumn("is_open", F.col("last_activity") + F.expr(f"INTERVAL {gap}") >= as_of)
+
+
 def start_sessions(actions: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Append closed sessions of an action stream to a Parquet table."""
-    # combine the actions of a busy session before they are shuffled
-    actions.sparkSession.conf.set(LOCAL_MERGE, True)
-    writer = (
-        session_counts(actions)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("checkpointLocation", checkpoint)
+    """Keep the sessions of an action stream below ``path``; read them with ``sessions_table``."""
+    table = sessions_table(path)
+    writer = actions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, batch_id: update_sessions(batch, batch_id, table)
     )
-    if once:
-        writer = writer.trigger(availableNow=True)
-    return writer.start(path)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -4,6 +4,7 @@ Usage: python tests/check_oracles.py [table folder] [query ...]
 """
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -13,7 +14,8 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = """region nation customer supplier part orders lineitem events
+documents embeddings pages benchmark labels conversations""".split()
 
 
 def session(name: str = "check") -> SparkSession:
@@ -24,6 +26,7 @@ def session(name: str = "check") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="oracles-"))
         .getOrCreate()
     )
 
@@ -61,7 +64,7 @@ def compare(spark: SparkSession, db, folder: str, name: str) -> tuple[int, list[
 
 if __name__ == "__main__":
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    chosen = sys.argv[2:] or list(queries())
+    chosen = sys.argv[2:] or list(oracle_sql())
     spark = session()
     spark.sparkContext.setLogLevel("ERROR")
     db = connect(folder)

@@ -14,6 +14,16 @@ def test_row_changes(make_ledger):
     assert pending_changes(changes).first()[0] == 3
 
 
+def test_repeated_keys_pair_what_is_left(make_ledger):
+    """Equal rows cancel; the others of a key are paired by number, never multiplied."""
+    row = lambda closing: (0, "o", "l", "i", 0, 1, closing, 1)
+    old, new = make_ledger([row(1), row(2), row(2), row(3)]), make_ledger([row(2), row(4), row(5), row(5), row(6)])
+    found = sorted((r["op"], r["old_closing_stock"], r["new_closing_stock"]) for r in row_changes(old, new, DAY_KEY).collect() if r["op"] == "UPDATE")
+    assert found == [("UPDATE", 1, 4), ("UPDATE", 2, 5), ("UPDATE", 3, 5)]
+    assert row_changes(old, new, DAY_KEY).filter("op = 'INSERT'").first()["new_closing_stock"] == 6
+    assert row_changes(old, old, DAY_KEY).isEmpty()
+
+
 def test_no_change_gives_no_rows(make_ledger):
     assert row_changes(make_ledger(OLD), make_ledger(OLD), DAY_KEY).isEmpty()
     assert change_feed(make_ledger(OLD), make_ledger(OLD), DAY_KEY).isEmpty()

@@ -93,11 +93,24 @@ def test_what_if_levels(spark):
     assert orders.with_coverage(rows).first()["qty_90_days"] == 875.0
 
 
-def test_what_if_keeps_quantities_in_range(spark):
+def test_what_if_flags_quantities_out_of_range(spark):
     rows = spark.createDataFrame(
-        [("o", "l", "a", 0, 1000.0, 5), ("o", "l", "b", 7, 0.0, 5)],
+        [("o", "l", "a", 100, 1000.0, 5), ("o", "l", "b", 7, 0.0, 5), ("o", "l", "c", 7, 1.0, 5)],
         "organization string, location string, item string, closing_stock long, avg_daily_usage double, lead_time_days long",
     )
     found = {r["item"]: r for r in orders.what_if(rows).collect()}
-    assert found["a"]["order_qty"] == 10000
+    # the default has no range
+    assert (found["a"]["order_qty"], found["a"]["projected_days"], found["a"]["cover_level"]) == (29900, 30.0, "SAFE")
     assert (found["b"]["order_qty"], found["b"]["projected_days"], found["b"]["days_gained"]) == (10, 9999.0, 0.0)
+    wanted = spark.createDataFrame(
+        [("o", "l", "a", 10001), ("o", "l", "b", -1), ("o", "l", "c", 10000)],
+        "organization string, location string, item string, order_qty long",
+    )
+    found = {r["item"]: (r["order_qty"], r["qty_out_of_range"]) for r in orders.what_if(rows, wanted).collect()}
+    assert found == {"a": (10001, True), "b": (-1, True), "c": (10000, False)}
+
+
+def test_numbers_are_rounded_once(spark):
+    assert value(spark, round_half_up(F.lit(0.0049999996), 2)) == 0.0
+    assert value(spark, round_half_up(F.lit(2.4999999), 0)) == 2.0
+    assert value(spark, round_half_up(F.lit(2.5), 0)) == 3.0

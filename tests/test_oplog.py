@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwatch.plans import latest, oplog, retention
-from shelfwatch.schema import ACTIONS, ALERTS, RUN_LOG, SERIES_KEY
+from shelfwatch.schema import ACTIONS, ALERTS, ORDERS, RUN_LOG, SERIES_KEY
 
 NOW = datetime(2024, 3, 1, 12, 0)
 KEYS = ", ".join(f"{k} string" for k in SERIES_KEY)
@@ -64,6 +64,40 @@ def test_orders_come_with_log_rows(spark):
     assert details["j"] == f'{{"order_id":{rows["j"]["order_id"]},"quantity":2.5}}'
 
 
+def test_equal_requests_get_ids_of_their_own(spark, tmp_path):
+    asked = [("o", None, "i", 5.0, "ann", "HIGH")] * 3 + [(None, "o", "i", 5.0, "ann", "HIGH")]
+    requests = spark.createDataFrame(asked, f"{KEYS}, ordered_qty double, user_name string, priority string")
+    first, actions = oplog.place_orders(requests, F.lit(NOW))
+    again, _ = oplog.place_orders(requests, F.lit(NOW))
+    other, _ = oplog.place_orders(requests, F.lit(NOW), F.lit("another batch"))
+    ids = [{r["order_id"] for r in df.collect()} for df in (first, again, other)]
+    assert len(ids[0]) == 4 and ids[0] == ids[1] and not ids[0] & ids[2]
+    path = str(tmp_path / "orders")
+    oplog.append_orders(first, path)
+    stored = oplog.read_orders(spark, path)
+    assert {r["order_id"] for r in stored.collect()} == ids[0] and stored.columns == ORDERS.fieldNames()
+    log = str(tmp_path / "log")
+    same = actions.withColumn("action_details", F.lit("{}"))
+    oplog.append_actions(same, log, F.lit(NOW))
+    assert spark.read.parquet(log).select("action_id").distinct().count() == 4
+
+
+def test_unknown_times_are_kept(spark):
+    rows = spark.createDataFrame([(NOW,), (NOW - timedelta(days=40),), (None,)], "t timestamp")
+    assert retention.retain(rows, "t", 30, F.lit(NOW)).count() == 2
+    assert retention.expired_count(rows, "t", 30, F.lit(NOW)).first()[0] == 1
+
+
+def test_expired_partitions_of_two_levels(spark):
+    days = [NOW - timedelta(days=d, hours=h) for d in (29, 30, 31) for h in (0, 2)] + [None]
+    rows = spark.createDataFrame([(t, str(t)) for t in days], "execution_time timestamp, name string")
+    rows = rows.withColumn("day", F.to_date("execution_time")).withColumn("batch_id", F.lit(1))
+    rows.write.partitionBy("day", "batch_id").saveAsTable("deep_rows")
+    assert retention.expire_table(spark, "deep_rows", "execution_time", 30, NOW, "day") == 3
+    kept = {r["name"] for r in spark.table("deep_rows").collect()}
+    assert kept == {str(t) for t in days if t is None or t >= NOW - timedelta(days=30)}
+
+
 def test_appended_actions_get_defaults(spark, tmp_path):
     path = str(tmp_path / "actions")
     requests = spark.createDataFrame([("DATA_UPLOADED", "ann", None), ("PDF_EXPORTED", "bob", "Data")], "action_type string, user_name string, source_page string")

@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwatch import fixed_values as V
-from shelfwatch.operators import criticality, tails
+from shelfwatch.operators import criticality, rolling, tails
 from shelfwatch.operators.usage import slice_ledger, with_average_usage
 from shelfwatch.plans import history, latest
 from shelfwatch.schema import RULES, SERIES_KEY
 from shelfwatch.sources import ledger as files
+from shelfwatch.sources import star
 from shelfwatch.staging import drop_staged, shared_folder, staged
 
 
@@ -32,6 +33,24 @@ def test_series_are_limited_before_each_shuffle(stored):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def test_rolling_frames_never_sort_a_whole_series(stored):
+    plan = plan_of(rolling.rolling_figures(stored))
+    windows = re.findall(r"windowspecdefinition\(([^)]*)", plan)
+    assert windows and all("month" in w or "frame" in w for w in windows)
+
+
+def test_dates_and_states_reach_the_orders_before_lines_are_summed(spark):
+    folder = "/root/testdata/sf0.001"
+    plan = plan_of(star.orders_tracking(spark, folder, F.col("o_orderstatus").isin("O", "P")))
+    lines = plan[plan.index("lineitem") - 4000 : plan.index("lineitem")] if "lineitem" in plan else plan
+    assert "LeftSemi" in plan and plan.count("In(o_orderstatus, [O,P])") == 2, lines
+
+
+def test_latest_tables_read_the_ledger_once(spark, stored):
+    plan = plan_of(latest.stock_analytics(stored))
+    assert "ledger" not in plan.split("figures")[0] or plan.count("FileScan") <= 2
+
+
 def test_mean_usage_needs_no_window_and_no_ledger_shuffle(stored):
     plan = plan_of(with_average_usage(stored))
     assert "Window" not in plan and "Exchange hashpartitioning" not in plan

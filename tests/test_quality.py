@@ -77,13 +77,25 @@ def test_continue_loads_valid_rows_and_keeps_the_rest(spark, upload, tmp_path):
     assert result.loaded and len(loaded) == 5
     assert (loaded["fraction"]["opening_stock"], loaded["fraction"]["closing_stock"]) == (10, 12)
     assert loaded["no date"]["date"] is None
-    assert spark.read.parquet(aside).count() == len(BAD)
+    assert spark.read.parquet(aside).count() == len(BAD) == result.rejected.count()
+
+
+def test_rejected_rows_are_always_kept(spark, upload, tmp_path):
+    path = str(tmp_path / "table")
+    result = files.load_ledger_csv(spark, upload([GOOD, *BAD]), path, on_error="continue")
+    assert result.rejected_path == f"{path}-rejected" and spark.read.parquet(result.rejected_path).count() == len(BAD)
+
+
+def test_line_breaks_inside_quotes(spark, upload):
+    path = upload(['2024-01-01,City,ER,"two\nlines",10,5,3,12,7', GOOD])
+    report = quality.check_ledger(files.read_ledger_csv(spark, path, line_breaks=True))
+    assert {r["item"] for r in report.valid.collect()} == {"two\nlines", "Kit (Soap, Paste)"}
 
 
 def test_missing_columns_and_empty_files_stop(spark, upload):
     with pytest.raises(quality.LedgerFormatError, match="received, lead_time_days"):
         quality.check_ledger(files.read_ledger_csv(spark, upload(["a"], "date,organization,location,item,opening_stock,issued,closing_stock")))
-    with pytest.raises(quality.LedgerFormatError, match="empty"):
+    with pytest.raises(quality.LedgerFormatError, match="no rows"):
         quality.check_ledger(files.read_ledger_csv(spark, upload([], name="e.csv")))
 
 

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwatch.operators.changes import change_feed
-from shelfwatch.plans import latest
-from shelfwatch.schema import DAY_KEY
+from shelfwatch.plans import latest, retention
+from shelfwatch.schema import ALERTS, DAY_KEY, RUN_LOG, SUMMARY
 from shelfwatch.streaming import refresh, sessions
 
 
@@ -103,16 +103,85 @@ def test_restated_history(spark, random_ledger):
     assert rows_of(mended) == rows_of(latest.stock_analytics(current, as_of))
 
 
-def test_sessions_close_after_the_watermark(spark, tmp_path):
+def test_failed_runs_leave_a_row(spark, series, stream, monkeypatch):
+    stream.add(series([10] * 4, closing=5))
+    real = refresh._append_alerts
+    monkeypatch.setattr(refresh, "_append_alerts", lambda *a: 1 // 0)
+    with pytest.raises(Exception, match="division"):
+        stream.run()
+    monkeypatch.setattr(refresh, "_append_alerts", real)
+    assert stream.run() == 0
+    rows = {(r["task_name"], r["status"]) for r in stream.tables.runs(spark).collect()}
+    assert rows == {("generate_alerts", "FAILED"), ("refresh_summary", "SUCCESS"), ("generate_alerts", "SUCCESS")}
+    assert stream.tables.alerts(spark).count() == 1
+
+
+def test_untouched_buckets_keep_their_files(spark, make_ledger, tmp_path):
+    tables = refresh.RefreshTables(str(tmp_path / "tables"))
+    everyone = make_ledger([(d, "o", "l", f"i{n}", 0, 5, 9, 7) for d in range(3) for n in range(40)])
+    refresh.refresh(everyone, 0, tables)
+    before = tables.tails.manifest(spark, 0)
+    refresh.refresh(make_ledger([(4, "o", "l", "i7", 0, 5, 1, 7)]), 1, tables)
+    after = tables.tails.manifest(spark, 1)
+    assert set(after) == set(before) and sum(after[b] != before[b] for b in before) == 1
+    assert tables.stock(spark, 1).filter("closing_stock = 1").count() == 1 and tables.stock(spark, 1).count() == 40
+    # the older version stays whole until the next batch
+    assert tables.stock_rows.read(spark, 0).filter("closing_stock = 1").isEmpty()
+    refresh.refresh(make_ledger([(5, "o", "l", "i8", 0, 5, 1, 7)]), 2, tables)
+    assert tables.stock(spark, 2).filter("closing_stock = 1").count() == 2
+    assert tables.stock(spark, 2).count() == 40 and tables.tails.manifest(spark, 0) == {}
+
+
+def test_retention_of_the_engines_own_tables(spark, make_ledger, tmp_path):
+    tables = refresh.RefreshTables(str(tmp_path / "tables"))
+    for n, day in enumerate((0, 100, 200, 400)):
+        refresh.refresh(make_ledger([(day, "o", "l", f"i{n}", 0, 5, 1, 7)]), n, tables)
+    schemas = {"summaries": SUMMARY, "alerts": ALERTS, "runs": RUN_LOG}
+    as_of = datetime(2024, 1, 1) + timedelta(days=400)
+    deleted = retention.expire_tables(spark, tables.root, schemas, as_of)
+    assert deleted["summaries"] == 3 and deleted["runs"] == 0
+    assert {r["summary_id"] for r in tables.summaries(spark).collect()} == {3}
+    assert tables.alerts(spark).select("alert_date").distinct().count() == 1
+    assert retention.expire_tables(spark, tables.root, schemas, as_of) == {"summaries": 0, "alerts": 0, "runs": 0}
+    later = datetime.now() + timedelta(days=31)
+    assert retention.expire_tables(spark, tables.root, schemas, later)["runs"] == 8
+
+
+def test_edge_day_and_unknown_days_of_a_folder(spark, tmp_path):
+    now = datetime(2024, 3, 1, 12, 0)
+    times = [now - timedelta(days=d, hours=h) for d in (29, 30, 31) for h in (0, 2)] + [None]
+    rows = spark.createDataFrame([(t, str(t)) for t in times], "execution_time timestamp, name string")
+    rows = rows.withColumn("day", F.to_date("execution_time")).withColumn("batch_id", F.lit(1))
+    path = str(tmp_path / "runs")
+    rows.write.partitionBy("day", "batch_id").parquet(path)
+    schema = spark.createDataFrame([], "execution_time timestamp, name string").schema
+    assert retention.expire_folder(spark, path, schema, "execution_time", "day", 30, now) == 3
+    kept = {r["name"] for r in spark.read.schema(schema).parquet(path).collect()}
+    assert kept == {str(t) for t in times if t is None or t >= now - timedelta(days=30)}
+
+
+MINUTES = [("a", 0), ("a", 20), ("a", 49), ("a", 120), ("b", 10), ("z", 600), ("a", 79), ("c", 5), ("c", 34), ("c", 64)]
+
+
+@pytest.mark.parametrize("order", [1, -1, 7])
+def test_sessions_count_late_actions(spark, tmp_path, order):
     start = datetime(2024, 1, 1)
-    at = [("a", 0), ("a", 20), ("a", 49), ("a", 120), ("b", 10), ("z", 600)]
+    at = MINUTES[::order] if order < 7 else sorted(MINUTES, key=lambda x: x[1] % 7)
+    schema = "session_id string, user_name string, action_timestamp timestamp, action_type string"
+    source, out = str(tmp_path / "actions"), str(tmp_path / "sessions")
     rows = [(s, f"user {s}", start + timedelta(minutes=m), "ORDER_PLACED") for s, m in at]
-    source = str(tmp_path / "actions")
-    actions = spark.createDataFrame(rows, "session_id string, user_name string, action_timestamp timestamp, action_type string")
-    actions.write.parquet(source)
-    out = str(tmp_path / "sessions")
-    arriving = spark.readStream.schema(actions.schema).parquet(source)
-    sessions.start_sessions(arriving, out, str(tmp_path / "checkpoint"), once=True).awaitTermination()
-    found = sorted((r["session_id"], r["actions_count"], r["items_ordered"]) for r in spark.read.parquet(out).collect())
-    assert found == [("a", 1, 1), ("a", 3, 3), ("b", 1, 1)]
-    assert sessions.session_counts(actions).count() == 4
+    everything = spark.createDataFrame(rows, schema)
+    for row in rows:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(source)
+    arriving = spark.readStream.schema(everything.schema).option("maxFilesPerTrigger", 3).parquet(source)
+    query = sessions.start_sessions(arriving, out, str(tmp_path / "checkpoint"), once=True)
+    query.awaitTermination()
+    assert refresh.last_batch(query) == 3
+    found = sessions.sessions_table(out).read(spark, 3)
+    assert rows_of(found) == rows_of(sessions.session_counts(everything))
+    assert found.agg(F.sum("actions_count")).first()[0] == len(rows)
+    counts = sorted((r["session_id"], r["actions_count"], r["items_ordered"]) for r in found.collect())
+    # minute 79 is 30 after minute 49 and still belongs to it, as 64 does to 34
+    assert counts == [("a", 1, 1), ("a", 4, 4), ("b", 1, 1), ("c", 3, 3), ("z", 1, 1)]
+    opened = sessions.open_sessions(found, F.lit(start + timedelta(minutes=601))).filter("is_open").collect()
+    assert [r["session_id"] for r in opened] == ["z"]

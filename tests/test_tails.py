@@ -39,29 +39,32 @@ def test_partitioning_does_not_change_results(random_ledger):
     assert rows_of(latest.usage_stats(shuffled)) == rows_of(latest.usage_stats(random_ledger))
 
 
-@pytest.mark.parametrize("chunk", [30, 37, 1000])
-def test_chunked_frames_equal_plain_frames(random_ledger, chunk):
-    plain = rolling.rolling_figures(random_ledger)
-    chunked = rolling.rolling_in_chunks(random_ledger, chunk, slabs=5)
-    # rows that tie on every order column may swap, their lead time is the same
-    assert rows_of(rounded(chunked, *random_ledger.columns)) == rows_of(rounded(plain, *random_ledger.columns))
-
-
-def test_long_series_take_the_chunked_form(random_ledger, monkeypatch):
-    called = []
-    original = rolling.rolling_in_chunks
-    monkeypatch.setattr(rolling, "rolling_in_chunks", lambda *a: called.append(a) or original(*a))
-    assert rolling.largest_series(random_ledger) == 400
-    rolling.rolling_figures(random_ledger, max_series_rows=400)
-    assert not called
-    rolling.rolling_figures(random_ledger, max_series_rows=399)
-    assert called
-
-
-def test_positions_count_from_the_oldest_row(random_ledger):
-    placed = rolling.with_position(random_ledger, slabs=6).groupBy(*SERIES_KEY)
-    for r in placed.agg(F.sort_array(F.collect_list("position")).alias("p")).collect():
-        assert r["p"] == list(range(len(r["p"])))
+def plain_figures(ledger):
+    """The frames over whole series, as a check of the monthly cut."""
+    ordered = Window.partitionBy(*SERIES_KEY).orderBy(*tails.oldest_first())
+    short, long = ordered.rowsBetween(-6, 0), ordered.rowsBetween(-29, 0)
+    return ledger.withColumns({
+        "avg_short": F.avg("issued").over(short), "avg_long": F.avg("issued").over(long), "min_short": F.min("issued").over(short),
+        "max_short": F.max("issued").over(short), "stddev_short": F.stddev_samp("issued").over(short),
+    })
+
+
+def test_monthly_frames_equal_whole_series(random_ledger):
+    undated = random_ledger.withColumn("date", F.when(F.col("issued") != 7, F.col("date")))
+    for ledger in (random_ledger, undated):
+        found = rolling.rolling_figures(ledger)
+        assert rows_of(rounded(found, *ledger.columns)) == rows_of(rounded(plain_figures(ledger), *ledger.columns))
+
+
+def test_one_series_with_most_rows(make_ledger):
+    rows = [(d // 3, "o", "l", "busy", 0, d % 11, d % 17, 5) for d in range(1800)]
+    rows += [(40 * d, "o", "l", f"calm{d % 5}", 0, d % 7, 9, 5) for d in range(200)]
+    ledger = make_ledger(rows)
+    found = rolling.rolling_figures(ledger)
+    assert rows_of(rounded(found, *ledger.columns)) == rows_of(rounded(plain_figures(ledger), *ledger.columns))
+    # no frame copies more than the 29 rows before it
+    halo = rolling.with_halo(ledger).filter("NOT own").groupBy(*SERIES_KEY, "frame").count()
+    assert halo.agg(F.max("count")).first()[0] <= 29
 
 
 def test_frames_hold_seven_and_thirty_rows(series):
