@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfwatch.staging import new_folder, staged
+from shelfwatch import staging
 
 __all__ = ["DOCUMENT", "SPACE", "WORD", "documents", "table", "text_of", "words_of", "word_hashes", "staged",
            "new_folder", "shuffle_partitions", "narrowed"]
@@ -14,6 +14,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the session's shared folder and read back; local sessions may name none."""
+    staging.use_local_folder(df.sparkSession)
+    return staging.staged(df, label)
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    staging.use_local_folder(spark)
+    return staging.new_folder(spark, label)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
