@@ -39,10 +39,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from shelfwatch.llm.common import narrowed, shuffle_partitions, staged, text_of
 from shelfwatch.llm.windows import mixed
 
-STORED = 2  # least count of a bigram in the table
+STORED = 3  # least count of a bigram in the table
 DISCOUNTED = 5  # largest count that is discounted
 START, END = 1, 2
-PACK_WORDS = 3_000_000  # entries packed at once
+PACK_WORDS = 1_000_000  # entries packed at once
 _U = np.uint64
 
 
