@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from shelfwatch.operators.quality import CORRUPT, LedgerReport, check_ledger
 from shelfwatch.schema import LEDGER, LEDGER_COLUMNS, QUANTITIES, SERIES_KEY
-from shelfwatch.staging import file_system, staged
+from shelfwatch.staging import file_system, read_text, staged, write_text
 
 CURRENT = "current.txt"
 
@@ -21,10 +21,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def _current(spark: SparkSession, path: str) -> str | None:
     """Name of the version that a ledger folder points to."""
-    system, place = file_system(spark, f"{path}/{CURRENT}")
-    if not system.exists(place):
-        return None
-    return spark.read.text(f"{path}/{CURRENT}").first()[0]
+    return read_text(spark, f"{path}/{CURRENT}")
 
 
 def ledger_table(spark: SparkSession, name: str) -> DataFrame:
@@ -81,11 +78,9 @@ def write_ledger(ledger: DataFrame, path: str) -> None:
     rows.repartitionByRange(*LEDGER_COLUMNS).sortWithinPartitions("date", *SERIES_KEY).write.partitionBy("month").parquet(
         f"{path}/{version}"
     )
-    system, pointer = file_system(spark, f"{path}/{CURRENT}")
-    stream = system.create(pointer, True)
-    stream.write(bytearray(f"{version}\n".encode()))
-    stream.close()
-    for status in system.listStatus(pointer.getParent()):
+    write_text(spark, f"{path}/{CURRENT}", version)
+    system, place = file_system(spark, path)
+    for status in system.listStatus(place):
         name = status.getPath().getName()
         if name.startswith("version-") and name not in (version, before):
             system.delete(status.getPath(), True)

@@ -34,6 +34,26 @@ def file_system(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file in the shared folder, None if there is none; no Spark job."""
+    system, place = file_system(spark, path)
+    if not system.exists(place):
+        return None
+    stream = system.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small text file."""
+    system, place = file_system(spark, path)
+    stream = system.create(place, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
 def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/shelfwatch/{spark.sparkContext.applicationId}"
 

@@ -25,6 +25,7 @@ from shelfwatch.plans.latest import (
     with_alert_ids,
 )
 from shelfwatch.schema import ALERTS, LEDGER, RUN_LOG, SERIES_KEY, SUMMARY
+from shelfwatch.staging import read_text, write_text
 from shelfwatch.streaming.state import BUCKETS, BucketedTable, bucket_of, folders, remove
 
 TAILS = T.StructType(LEDGER.fields + [T.StructField("recency", T.IntegerType())])
@@ -56,7 +57,6 @@ USAGE = T.StructType(
 BATCHED_ALERTS = T.StructType(
     [x for x in ALERTS.fields if x.name != "alert_date"] + [T.StructField("batch_id", T.LongType())]
 )
-_CLOCK = "newest date"
 
 
 def ledger_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -116,8 +116,15 @@ class RefreshTables:
 
     def newest(self, spark: SparkSession, batch_id: int) -> date | None:
         """The newest date in the ledger after a batch."""
-        rows = _read(spark, f"{self.root}/clock/batch={batch_id}", f"`{_CLOCK}` date")
-        return rows.agg(F.max(_CLOCK)).first()[0]
+        text = read_text(spark, self._clock(batch_id)) if batch_id >= 0 else None
+        return date.fromisoformat(text) if text else None
+
+    def _clock(self, batch_id: int) -> str:
+        return f"{self.root}/clock/{batch_id}.txt"
+
+    def set_newest(self, spark: SparkSession, batch_id: int, day: date | None) -> None:
+        write_text(spark, self._clock(batch_id), day.isoformat() if day else "")
+        remove(spark, self._clock(batch_id - 2))
 
     def _timed(self, spark: SparkSession, rows: DataFrame, batch_id: int) -> DataFrame:
         return rows.withColumn("last_updated", F.lit(self.newest(spark, batch_id)).cast("timestamp"))
@@ -181,11 +188,9 @@ def _merge(batch: DataFrame, batch_id: int, tables: RefreshTables) -> tuple[Data
     for table, build in ((tables.stock_rows, stock_from_tails), (tables.usage_rows, usage_from_tails)):
         others = without_keys(table.read(spark, batch_id - 1, buckets), touched, SERIES_KEY)
         table.write(build(figures, F.lit(None)).drop("last_updated").unionByName(others), batch_id, buckets)
-    day = rows.agg(F.max("date").alias(_CLOCK))
-    known = tables.newest(spark, batch_id - 1)
-    day = day.select(F.greatest(F.col(_CLOCK), F.lit(known).cast("date")).alias(_CLOCK))
-    _save(day, f"{tables.root}/clock/batch={batch_id}")
-    for name in ("arrived", "touched", "figures", "clock"):
+    days = [d for d in (rows.agg(F.max("date")).first()[0], tables.newest(spark, batch_id - 1)) if d is not None]
+    tables.set_newest(spark, batch_id, max(days, default=None))
+    for name in ("arrived", "touched", "figures"):
         remove(spark, f"{tables.root}/{name}/batch={batch_id - 2}")
     return touched, buckets
 

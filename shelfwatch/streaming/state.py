@@ -7,15 +7,15 @@ replaces its own output. Files that neither of the two newest manifests names ar
 deleted.
 """
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from shelfwatch.staging import file_system
+from shelfwatch.staging import file_system, read_text, write_text
 
 BUCKETS = 64
-_MANIFEST = "bucket int, batch long"
 
 
 def folders(spark: SparkSession, path: str) -> list[str]:
@@ -48,11 +48,11 @@ class BucketedTable:
 
     def manifest(self, spark: SparkSession, batch_id: int) -> dict[int, int]:
         """Bucket -> batch, as of ``batch_id``; at most ``buckets`` entries."""
-        place = f"{self.path}/manifest/batch={batch_id}"
-        system, found = file_system(spark, place)
-        if batch_id < 0 or not system.exists(found):
-            return {}
-        return {r["bucket"]: r["batch"] for r in spark.read.schema(_MANIFEST).parquet(place).collect()}
+        text = read_text(spark, self._manifest(batch_id)) if batch_id >= 0 else None
+        return {int(bucket): batch for bucket, batch in json.loads(text or "{}").items()}
+
+    def _manifest(self, batch_id: int) -> str:
+        return f"{self.path}/manifest/{batch_id}.json"
 
     def _place(self, bucket: int, batch_id: int) -> str:
         return f"{self.path}/data/batch={batch_id}/bucket={bucket}"
@@ -74,8 +74,7 @@ class BucketedTable:
         placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(place)
         written = [int(f.split("=")[1]) for f in folders(spark, place) if f.startswith("bucket=")]
         held = {b: n for b, n in held.items() if b not in touched} | dict.fromkeys(written, batch_id)
-        listed = spark.createDataFrame(sorted(held.items()), _MANIFEST)
-        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={batch_id}")
+        write_text(spark, self._manifest(batch_id), json.dumps(held))
         self._clean(spark, batch_id, held)
         return self.read(spark, batch_id, written)
 
@@ -85,4 +84,4 @@ class BucketedTable:
         for bucket, batch in older.items():
             if last.get(bucket) != batch and held.get(bucket) != batch:
                 remove(spark, self._place(bucket, batch))
-        remove(spark, f"{self.path}/manifest/batch={batch_id - 2}")
+        remove(spark, self._manifest(batch_id - 2))
