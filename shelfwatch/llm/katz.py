@@ -1,18 +1,18 @@
 """Language-model scoring by a Katz backoff bigram model over words.
 
-Good-Turing discounts take probability from counts up to ``DISCOUNTED``; what they and
-the left-out rare bigrams leave goes to words by their unigram probability, with a
-backoff weight per history that makes every distribution sum to exactly 1 over the
-training words, the end and one unknown word. Bigrams seen less than ``STORED`` times
-count as unseen.
+Good-Turing discounts take probability from counts up to ``DISCOUNTED``; what they leave
+goes to words by their unigram probability, with a backoff weight per history that makes
+every distribution sum to exactly 1 over the training words, the end and one unknown
+word. Every bigram counts from ``STORED`` on, which is its first occurrence.
 
 1. Words are counted (merged in each task, then by Spark): the unigram table.
 2. Every token of every text is one entry (history, word, document). Entries are packed
    as arrays and dealt once to buckets by history; histories with more than a fourth
    of a bucket's even share are dealt by history and word. Buckets count training
    entries and write the stored bigrams.
-3. Discounts, unigram probabilities and backoff weights are joined in tables
-   partitioned by history or word, and dealt to the same buckets.
+3. Bigrams get their word's count by a join and are dealt to the same buckets. A bucket
+   has all bigrams of a history and weighs it itself; the few histories that are dealt
+   by word too are weighed by an aggregation.
 4. Each bucket evaluates its entries: the stored bigram, else the weight of the history
    and the unigram. Partial sums are added by document.
 
@@ -39,10 +39,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from shelfwatch.llm.common import narrowed, shuffle_partitions, staged, text_of
 from shelfwatch.llm.windows import mixed
 
-STORED = 3  # least count of a bigram in the table
+STORED = 1  # least count of a bigram in the table
 DISCOUNTED = 5  # largest count that is discounted
 START, END = 1, 2
 PACK_WORDS = 1_000_000  # entries packed at once
+PACK_BIGRAMS = 200_000  # bigrams that leave a bucket at once
 _U = np.uint64
 
 
@@ -196,8 +197,11 @@ def _bigrams(items: Iterator[tuple[int, bytes]]) -> Iterator[tuple[bytes]]:
             found, held, size = merged(), [], 0
     if held or found:
         h, w, n = merged() if size or not found else found
-        kept = n >= STORED
-        yield (pickle.dumps((h[kept].astype(np.int64), w[kept].astype(np.int64), n[kept])),)
+        kept = np.flatnonzero(n >= STORED)
+        kept = kept[np.argsort(h[kept], kind="stable")]  # equal histories side by side are stored small
+        for at in range(0, len(kept), PACK_BIGRAMS):
+            i = kept[at : at + PACK_BIGRAMS]
+            yield (pickle.dumps((h[i].astype(np.int64), w[i].astype(np.int64), n[i])),)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +216,8 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def good_turing(counts: dict[int, int], least: int) -> dict[int, float]:
     """Katz's discount of each count from ``least`` to ``DISCOUNTED``.
 
-    Where the counts of counts give no discount between 0 and 1, half a count is taken.
+    Where the counts of counts give no discount between 0 and 1, nothing is taken from a
+    count that Good-Turing estimates as at least itself, and half a count from others.
     """
     k, found = DISCOUNTED, {}
     n = lambda r: counts.get(r, 0)
@@ -220,7 +225,7 @@ def good_turing(counts: dict[int, int], least: int) -> dict[int, float]:
     for r in range(least, k + 1):
         share = (r + 1) * n(r + 1) / (r * n(r)) if n(r) else 0.0
         d = (share - common) / (1 - common) if common < 1 else 0.0
-        found[r] = d if 0 < d < 1 else (r - 0.5) / r
+        found[r] = d if 0 < d < 1 else 1.0 if share >= 1 else (r - 0.5) / r
     return found
 
 
@@ -231,6 +236,13 @@ def _discounted(n: Column, discounts: dict[int, float]) -> Column:
     return out
 
 
+def _discounted_of(n: np.ndarray, discounts: dict[int, float]) -> np.ndarray:
+    out = n.astype(np.float64)
+    for r, d in discounts.items():
+        out[n == r] = r * d
+    return out
+
+
 def _counts_of_counts(rows: DataFrame) -> dict[int, int]:
     found = rows.filter(F.col("n") <= DISCOUNTED + 1).groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()
     return {r["n"]: r["m"] for r in found}
@@ -243,6 +255,14 @@ class Totals:
     scale: float  # of unigram probabilities
     unknown: float  # probability of the unknown word
     starts: int
+    discounts: dict[int, float]  # of words
+
+    def p(self, n: Column) -> Column:
+        """Unigram probability of a word by its count."""
+        return _discounted(n, self.discounts) * (self.scale / max(1, self.tokens))
+
+    def p_of(self, n: np.ndarray) -> np.ndarray:
+        return _discounted_of(n, self.discounts) * (self.scale / max(1, self.tokens))
 
 
 def unigram_model(words: DataFrame, starts: int) -> tuple[DataFrame, Totals]:
@@ -252,31 +272,46 @@ def unigram_model(words: DataFrame, starts: int) -> tuple[DataFrame, Totals]:
     tokens, distinct, kept = words.agg(F.sum("n"), F.count(F.lit(1)), F.sum(mass)).first()
     tokens, kept = tokens or 0, kept or 0.0
     scale = min(1.0, tokens * (1 - 0.5 / (tokens + 1)) / kept) if kept else 1.0
-    totals = Totals(tokens, distinct, scale, 1 - scale * kept / tokens if tokens else 1.0, starts)
-    return words.select("word", "n", (mass * (scale / max(1, tokens))).alias("p")), totals
+    totals = Totals(tokens, distinct, scale, 1 - scale * kept / tokens if tokens else 1.0, starts, discounts)
+    return words.select("word", "n", totals.p(F.col("n")).alias("p")), totals
 
 
-def bigram_model(bigrams: DataFrame, words: DataFrame, totals: Totals) -> tuple[DataFrame, DataFrame]:
-    """(history, word, gain) of the stored bigrams and (history, weight) of their histories.
+def weighed(mass: np.ndarray, p: np.ndarray, total: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scale and log10 of the backoff weight of histories.
 
-    ``weight`` is log10 of the backoff weight; ``gain`` is what a stored bigram adds to
-    the weight and the word's unigram.
+    ``mass`` and ``p`` are the sums of their bigrams' discounted counts and words'
+    probabilities, ``total`` how often they occur.
     """
+    scale = np.minimum(1.0, (1 - 0.5 / (total + 1)) * total / mass)
+    return scale, np.log10((1 - scale * mass / total) / np.maximum(1 - p, unknown))
+
+
+@dataclass(frozen=True)
+class Hot:
+    """The histories of ``Deal.hot``, which no bucket has whole."""
+
+    total: np.ndarray
+    scale: np.ndarray
+    weight: np.ndarray
+
+
+def bigram_model(bigrams: DataFrame, words: DataFrame, totals: Totals, deal: Deal) -> tuple[DataFrame, dict[int, float], Hot]:
+    """(history, word, n, c) of the stored bigrams with their words' counts c, their discounts, and the hot histories."""
+    spark = bigrams.sparkSession
     discounts = good_turing(_counts_of_counts(bigrams), STORED)
-    histories = words.filter(F.col("word") != END).select(F.col("word").alias("history"), F.col("n").alias("total"))
-    rows = bigrams.withColumn("mass", _discounted(F.col("n"), discounts)).join(words.select("word", "p"), "word")
-    rows = rows.join(histories, "history", "left")
-    total = F.coalesce("total", F.lit(totals.starts)).alias("total")
-    rows = staged(rows.select("history", "word", "p", "mass", total), "bigram-masses")
-    sums = rows.groupBy("history").agg(F.sum("mass").alias("mass"), F.sum("p").alias("p"), F.first("total").alias("total"))
-    reserve = 0.5 / (F.col("total") + 1)
-    scale = F.least(F.lit(1.0), (1 - reserve) * F.col("total") / F.col("mass"))
-    sums = sums.withColumn("scale", scale).select(
-        "history", "scale", F.log10((1 - F.col("scale") * F.col("mass") / F.col("total")) / (1 - F.col("p"))).alias("weight")
-    )
-    sums = staged(sums, "weights")
-    gain = F.log10(F.col("scale") * F.col("mass") / F.col("total")) - F.col("weight") - F.log10("p")
-    return rows.join(sums, "history").select("history", "word", gain.alias("gain")), sums.select("history", "weight")
+    rows = staged(bigrams.join(words.select("word", F.col("n").alias("c")), "word").select("history", "word", "n", "c"), "bigram-words")
+    hot = spark.createDataFrame([(int(h),) for h in deal.hot], "history long")
+    counts = {r["word"]: r["n"] for r in words.join(hot, F.col("word") == F.col("history")).select("word", "n").collect()}
+    counts[START] = totals.starts
+    sums = rows.join(hot, "history").groupBy("history").agg(
+        F.sum(_discounted(F.col("n"), discounts)).alias("mass"), F.sum(totals.p(F.col("c"))).alias("p"))
+    found = {r["history"]: (r["mass"], r["p"]) for r in sums.collect()}
+    total = np.array([counts.get(int(h), 0) for h in deal.hot], np.float64)
+    scale, weight = np.ones(len(total)), np.zeros(len(total))
+    there = np.array([int(h) in found for h in deal.hot], bool)
+    mass, p = np.array([found[int(h)] for h in deal.hot[there]], np.float64).reshape(-1, 2).T
+    scale[there], weight[there] = weighed(mass, p, total[there], totals.unknown)
+    return rows, discounts, Hot(total, scale, weight)
 
 
 # --- 4. evaluation ------------------------------------------------------------------------
@@ -298,6 +333,8 @@ def _dealt(deal: Deal, kind: str, names: list[str]):
                 common = np.flatnonzero(hot)
                 parts = [(b, np.append(np.flatnonzero(bucket == b), common)) for b in
                          (range(deal.buckets) if len(common) else np.unique(bucket))]
+            # hashes in 7 bytes, counts in as few as they need
+            data = [x.astype(np.min_scalar_type(x.max(initial=0))) if n in ("n", "c") else _narrow(x) for n, x in zip(names, data)]
             out = [(int(b), pickle.dumps((kind, *(x[i] for x in data)), protocol=5)) for b, i in parts]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())],
                                              names=["bucket", "pack"])
@@ -305,10 +342,12 @@ def _dealt(deal: Deal, kind: str, names: list[str]):
     return rows
 
 
-def _evaluated(totals: Totals):
+def _evaluated(totals: Totals, discounts: dict[int, float], deal: Deal, hot: Hot):
     """Partial sums of a bucket's entries; parameters come first."""
-    least = math.log10(0.1 / (totals.tokens + 0.1 * (totals.words + 1)))
+    smooth = totals.tokens + 0.1 * (totals.words + 1)
+    least = math.log10(0.1 / smooth)
     unknown = math.log10(totals.unknown)
+    start = hot.weight[np.searchsorted(deal.hot, _U(START))]
 
     def look_up(table, keys):
         """Row of each key in a sorted table, and whether it is there."""
@@ -317,6 +356,36 @@ def _evaluated(totals: Totals):
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
         return at, table[at] == keys
 
+    def modelled(tables: dict[str, list]):
+        """Sorted words with score (weight included) and base, and sorted bigrams with what they add to it."""
+        word = np.concatenate([np.zeros(0, _U), *(_widen(p[0]) for p in tables["word"])])
+        count = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in tables["word"])])
+        order = np.argsort(word)
+        word, count = word[order], count[order]
+        own, base = np.log10(totals.p_of(count)), np.log10((count + 0.1) / smooth)
+        at, there = look_up(deal.hot, word)
+        own += np.where(there, hot.weight[at], 0.0)
+        h, w = (np.concatenate([np.zeros(0, _U), *(_widen(p[i]) for p in tables["bigram"])]) for i in (0, 1))
+        n, c = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in tables["bigram"])]) for i in (2, 3))
+        tables.clear()
+        if not len(h):
+            return word, own, base, np.zeros(0, _U), np.zeros(0)
+        order = np.argsort(h, kind="stable")
+        h, w, mass, p = h[order], w[order], _discounted_of(n[order], discounts), totals.p_of(c[order])
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        each = np.diff(np.append(begin, len(h)))
+        heads = h[begin]
+        at, is_hot = look_up(deal.hot, heads)
+        place, _ = look_up(word, heads)  # every history but hot ones has its count here
+        total = np.where(is_hot, hot.total[at], count[place] if len(word) else 0.0)
+        scale, weight = weighed(np.add.reduceat(mass, begin), np.add.reduceat(p, begin), total, totals.unknown)
+        own[place[~is_hot]] += weight[~is_hot]
+        scale, weight = np.where(is_hot, hot.scale[at], scale), np.where(is_hot, hot.weight[at], weight)
+        gain = np.log10(mass * np.repeat(scale / total, each)) - np.repeat(weight, each) - np.log10(p)
+        pair = _pair_hash(h, w)
+        order = np.argsort(pair)
+        return word, own, base, pair[order], gain[order]
+
     def rows(items: Iterator[tuple[int, bytes]]) -> Iterator[tuple[bytes]]:
         tables: dict[str, list] = {"word": [], "bigram": []}
         ready = None
@@ -326,23 +395,15 @@ def _evaluated(totals: Totals):
                 tables[pack[0]].append(pack[1:])
                 continue
             if ready is None:
-                join = lambda kind, i, t: np.concatenate([np.zeros(0, t), *(p[i] for p in tables[kind])])
-                word = join("word", 0, np.int64).astype(_U)
-                order = np.argsort(word)
-                word, own, base, known = word[order], *(join("word", i, np.float64)[order] for i in (1, 2, 3))
-                pair = _pair_hash(join("bigram", 0, np.int64).astype(_U), join("bigram", 1, np.int64).astype(_U))
-                order = np.argsort(pair)
-                pair, gain = pair[order], join("bigram", 2, np.float64)[order]
-                ready = True
-                tables.clear()
+                ready = word, own, base, pair, gain = modelled(tables)
             heads, per_head, words, per_pair, index, keys, _ = pack
             h = _widen(heads)
             at, there = look_up(word, h)
             started = h == _U(START)
             some = len(word) > 0
-            score = np.where(there, own[at], np.where(started, 0.0, unknown)) if some else np.where(started, 0.0, unknown)
+            score = np.where(there, own[at], np.where(started, start, unknown)) if some else np.where(started, start, unknown)
             plain = np.where(there, base[at], np.where(started, 0.0, least)) if some else np.where(started, 0.0, least)
-            known_h = np.where(there, known[at], 0.0) if some else np.zeros(len(h))
+            known_h = there.astype(np.float64)
             at, there = look_up(pair, _pair_hash(np.repeat(h, per_head), _widen(words)))
             extra = np.where(there, gain[at], 0.0) if len(pair) else np.zeros(len(words))
             each = lambda x: np.repeat(np.repeat(x, per_head), per_pair)
@@ -376,19 +437,14 @@ def score(docs: DataFrame) -> DataFrame:
     deal = Deal(buckets, np.array(sorted({START, *(r["word"] for r in hot)}), _U))
     dealt = entries(rows, deal)
     bigrams = spark.createDataFrame(dealt.mapPartitions(_bigrams), "pack binary").mapInArrow(_decoded, "history long, word long, n long")
-    gains, weights = bigram_model(staged(bigrams, "bigrams"), words, totals)
-
+    bigrams, discounts, weights = bigram_model(staged(bigrams, "bigrams"), words, totals, deal)
     smooth = totals.tokens + 0.1 * (totals.words + 1)
-    own = words.filter(F.col("word") != END).join(weights.withColumnRenamed("history", "word"), "word", "full").select(
-        "word", (F.coalesce(F.log10("p"), F.lit(0.0)) + F.coalesce("weight", F.lit(0.0))).alias("own"),
-        F.when(F.col("word") == START, 0.0).otherwise(F.log10((F.col("n") + 0.1) / smooth)).alias("base"),
-        F.when(F.col("word") == START, 0.0).otherwise(1.0).alias("known"),
-    )
-    own = own.mapInArrow(_dealt(deal, "word", ["word", "own", "base", "known"]), "bucket int, pack binary")
-    gains = gains.mapInArrow(_dealt(deal, "bigram", ["history", "word", "gain"]), "bucket int, pack binary")
+    own = words.filter(F.col("word") != END).select("word", "n")
+    own = own.mapInArrow(_dealt(deal, "word", ["word", "n"]), "bucket int, pack binary")
+    gains = bigrams.mapInArrow(_dealt(deal, "bigram", ["history", "word", "n", "c"]), "bucket int, pack binary")
     given = own.unionByName(gains).rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(buckets)
     # Same partitioner: each partition gets its parameters, then its entries, without a shuffle.
-    parts = spark.createDataFrame(given.union(dealt).mapPartitions(_evaluated(totals)), "pack binary")
+    parts = spark.createDataFrame(given.union(dealt).mapPartitions(_evaluated(totals, discounts, deal, weights)), "pack binary")
     parts = parts.mapInArrow(_sums, "key long, tokens long, known long, base double, score double")
     # Equal rows share a key, and so its sums.
     total = parts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("tokens", "known", "base", "score")))

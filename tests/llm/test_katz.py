@@ -90,3 +90,17 @@ def test_discounts():
     found = katz.good_turing({1: 1000, 2: 400, 3: 200, 4: 120, 5: 80, 6: 50}, 1)
     assert set(found) == {1, 2, 3, 4, 5} and all(0 < d < 1 for d in found.values())
     assert katz.good_turing({}, 1)[1] == 0.5
+
+
+def test_every_training_bigram_counts(docs_of, prose):
+    rows = prose(120, 5, vocabulary=150)
+    train = [tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    seen = Counter(p for line in train for p in zip(["<s>", *line], [*line, None]))
+    assert {1, 2} < set(seen.values())
+    assert check(docs_of(rows), rows).pairs == {p: n for p, n in seen.items() if n >= 1}
+
+
+def test_many_packs_of_bigrams(docs_of, prose, monkeypatch):
+    monkeypatch.setattr(katz, "PACK_BIGRAMS", 3)
+    rows = prose(30, 6)
+    check(docs_of(rows), rows)
