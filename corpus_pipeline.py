@@ -17,8 +17,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id."""
-    return jaccard_join.one_of_each(docs.select(*DOCUMENT))
+    """Of each group of similar documents (five-word shingles, 0.8) the one with the smallest doc_id."""
+    return jaccard_join.one_of_each(docs.select(*DOCUMENT), jaccard_join.COMMON_SHINGLE, jaccard_join.COMMON_SIMILARITY)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

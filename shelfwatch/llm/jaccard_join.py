@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a grouped prefix join, and the components of its links.
 
 A document is the set of its distinct word shingles; two documents link when their
-Jaccard similarity is at least ``NUMERATOR / DENOMINATOR``. Linked sets share a shingle
+Jaccard similarity is at least a given ``Ratio`` t. Linked sets share a shingle
 among the first ``n - ceil(t * n) + 1`` of each in any common order. The order is rare
 shingles first, by a count sketch of fixed size over all documents, so that shingles
 of frequent lines come last.
@@ -28,6 +28,7 @@ an empty table gives no rows.
 """
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,8 +41,17 @@ from shelfwatch.llm.bitmap import bitmap_of, may_contain
 from shelfwatch.llm.common import narrowed, staged, text_of
 from shelfwatch.llm.components import components
 
-SHINGLE = 3
-NUMERATOR, DENOMINATOR = 90, 100
+@dataclass(frozen=True)
+class Ratio:
+    """A similarity as a fraction; 0 < numerator < denominator."""
+
+    numerator: int
+    denominator: int
+
+
+# What op9 takes, and what callers without a contract of their own take.
+SHINGLE, SIMILARITY = 3, Ratio(90, 100)
+COMMON_SHINGLE, COMMON_SIMILARITY = 5, Ratio(80, 100)
 CELLS = 1 << 22  # of the sketch: 16 MB, whatever the data
 STRIPES = 64  # the sketch is summed in so many parts
 MOST_BITS = 1 << 15  # of a parity bitmap
@@ -66,16 +76,16 @@ def signature(found: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(found.tobytes())
 
 
-def needed(n: int) -> int:
+def needed(n: int, t: Ratio = SIMILARITY) -> int:
     """The least overlap that a set of ``n`` needs to link with anything."""
-    return -(-NUMERATOR * n // DENOMINATOR)
+    return -(-t.numerator * n // t.denominator)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if not len(a) or not len(b) or min(len(a), len(b)) * DENOMINATOR < NUMERATOR * max(len(a), len(b)):
+def linked(a: np.ndarray, b: np.ndarray, t: Ratio = SIMILARITY) -> bool:
+    if not len(a) or not len(b) or min(len(a), len(b)) * t.denominator < t.numerator * max(len(a), len(b)):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
+    return t.denominator * both >= t.numerator * (len(a) + len(b) - both)
 
 
 def parity(found: np.ndarray) -> bytes:
@@ -97,9 +107,9 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def may_link(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
+def may_link(a: bytes, b: bytes, n_a: int, n_b: int, t: Ratio = SIMILARITY) -> bool:
     """False is certain: linked sets differ in at most (1 - t) / (1 + t) of their sizes' sum."""
-    most = (DENOMINATOR - NUMERATOR) * (n_a + n_b) // (DENOMINATOR + NUMERATOR)
+    most = (t.denominator - t.numerator) * (n_a + n_b) // (t.denominator + t.numerator)
     return differing(a, b) <= most
 
 
@@ -158,7 +168,7 @@ def sketch_of(described: DataFrame) -> np.ndarray:
 # --- prefixes and groups ----------------------------------------------------------------
 
 
-def _prefixes(size: int, sketch):
+def _prefixes(size: int, t: Ratio, sketch):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for batch in batches:
@@ -167,7 +177,7 @@ def _prefixes(size: int, sketch):
                 found = shingles(text, size)
                 if len(found):
                     order = np.lexsort((found, counts[_cells(found)]))
-                    prefix = found[order[: len(found) - needed(len(found)) + 1]]
+                    prefix = found[order[: len(found) - needed(len(found), t) + 1]]
                     out.append((signature(found), len(found), prefix.view(np.int64), signature(prefix)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()),
@@ -177,13 +187,13 @@ def _prefixes(size: int, sketch):
     return rows
 
 
-def groups_of(docs: DataFrame, size: int, sketch: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def groups_of(docs: DataFrame, size: int, t: Ratio, sketch: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """(sig, n, gid, head) of every node, and (token, at, gid, n) of the prefix shingles that several groups share.
 
     ``head`` is the smallest signature of the nodes with the same prefix and size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 16 MB
-    found = docs.mapInArrow(_prefixes(size, shared), "sig string, n long, prefix array<long>, prefix_sig string")
+    found = docs.mapInArrow(_prefixes(size, t, shared), "sig string, n long, prefix array<long>, prefix_sig string")
     found = staged(found, "prefixes")
     groups = found.groupBy("prefix_sig", "n").agg(F.min("sig").alias("head"), F.first("prefix").alias("prefix"))
     groups = staged(groups.withColumn("gid", F.xxhash64("prefix_sig", "n")), "groups")
@@ -197,7 +207,7 @@ def groups_of(docs: DataFrame, size: int, sketch: np.ndarray) -> tuple[DataFrame
 # --- verification -----------------------------------------------------------------------
 
 
-def _texts_verified(size: int):
+def _texts_verified(size: int, t: Ratio):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict[str, np.ndarray] = {}
@@ -206,19 +216,22 @@ def _texts_verified(size: int):
                 for sig, text in ((a, x), (b, y)):
                     if sig not in held:
                         held[sig] = shingles(text, size)
-                good.append(signature(held[a]) == a and signature(held[b]) == b and linked(held[a], held[b]))
+                good.append(signature(held[a]) == a and signature(held[b]) == b and linked(held[a], held[b], t))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return rows
 
 
-def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = [may_link(*x) for x in zip(*(batch.column(n).to_pylist() for n in ("bits_a", "bits_b", "n_a", "n_b")))]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+def _screened(t: Ratio):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [may_link(*x, t) for x in zip(*(batch.column(n).to_pylist() for n in ("bits_a", "bits_b", "n_a", "n_b")))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return rows
 
 
-def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, t: Ratio) -> DataFrame:
     """The pairs (a, b) of signatures whose sets are similar enough.
 
     ``nodes`` has (sig, doc, n, bits) of one document for each set. Only documents of
@@ -229,8 +242,8 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> Da
     def with_node(rows: DataFrame, x: str) -> DataFrame:
         return rows.join(nodes.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
 
-    near = with_node(with_node(pairs, "b"), "a").filter(_similar_sizes("n_a", "n_b"))
-    near = staged(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_screened, "a string, b string"), "near")
+    near = with_node(with_node(pairs, "b"), "a").filter(_similar_sizes("n_a", "n_b", t))
+    near = staged(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_screened(t), "a string, b string"), "near")
     wanted = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct()
     wanted = staged(wanted.join(nodes, "sig").select("sig", "doc"), "wanted")
     named = bitmap_of(wanted.select(F.xxhash64("doc").alias("key")), "key")
@@ -238,27 +251,27 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> Da
     texts = staged(texts, "texts")
     both = near.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a")), "a")
-    return staged(both.select("a", "b", "text_a", "text_b").mapInArrow(_texts_verified(size), "a string, b string"), "links")
+    return staged(both.select("a", "b", "text_a", "text_b").mapInArrow(_texts_verified(size, t), "a string, b string"), "links")
 
 
 # --- the join -----------------------------------------------------------------------------
 
 
-def _similar_sizes(x: str, y: str) -> Column:
+def _similar_sizes(x: str, y: str, t: Ratio) -> Column:
     """Whether sets of these sizes can reach the similarity."""
-    return (F.col(x) * DENOMINATOR >= F.col(y) * NUMERATOR) & (F.col(y) * DENOMINATOR >= F.col(x) * NUMERATOR)
+    return (F.col(x) * t.denominator >= F.col(y) * t.numerator) & (F.col(y) * t.denominator >= F.col(x) * t.numerator)
 
 
-def _positions_allow() -> Column:
+def _positions_allow(t: Ratio) -> Column:
     """Whether the overlap that a shared shingle's places leave can reach the similarity."""
     before = F.least("at_a", "at_b")
     after = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    return (before + after) * (DENOMINATOR + NUMERATOR) >= (F.col("n_a") + F.col("n_b")) * NUMERATOR
+    return (before + after) * (t.denominator + t.numerator) >= (F.col("n_a") + F.col("n_b")) * t.numerator
 
 
-def first_pairs(members: DataFrame, tokens: DataFrame) -> DataFrame:
+def first_pairs(members: DataFrame, tokens: DataFrame, t: Ratio) -> DataFrame:
     """One pair for each group, with a group that it shares a shingle with, and one for each member."""
-    level = F.floor(F.log(F.col("n")) / F.log(F.lit(DENOMINATOR / NUMERATOR))).cast("int")
+    level = F.floor(F.log(F.col("n")) / F.log(F.lit(t.denominator / t.numerator))).cast("int")
     rows = tokens.select("token", "gid", level.alias("level"))
     hubs = staged(rows.groupBy("token", "level").agg(F.min("gid").alias("hub")), "hubs")
     pairs = rows.join(hubs, ["token", "level"]).filter("hub < gid").groupBy("gid").agg(F.min("hub").alias("hub"))
@@ -271,7 +284,7 @@ def first_pairs(members: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
-def rest_pairs(members: DataFrame, tokens: DataFrame, comps: DataFrame) -> DataFrame:
+def rest_pairs(members: DataFrame, tokens: DataFrame, comps: DataFrame, t: Ratio) -> DataFrame:
     """Pairs of nodes of different components whose groups share a shingle and have similar sizes."""
     comp = F.xxhash64(F.coalesce("component", "sig")).alias("comp")
     placed = staged(members.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "n", "gid", comp), "placed")
@@ -284,7 +297,7 @@ def rest_pairs(members: DataFrame, tokens: DataFrame, comps: DataFrame) -> DataF
     left = spans.select("token", F.col("comp").alias("comp_a"), F.col("least").alias("least_a"), F.col("most").alias("most_a"))
     right = spans.select("token", F.col("comp").alias("comp_b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"))
     meet = left.join(right, "token").filter("comp_a < comp_b").filter(
-        (F.col("most_a") * DENOMINATOR >= F.col("least_b") * NUMERATOR) & (F.col("most_b") * DENOMINATOR >= F.col("least_a") * NUMERATOR)
+        (F.col("most_a") * t.denominator >= F.col("least_b") * t.numerator) & (F.col("most_b") * t.denominator >= F.col("least_a") * t.numerator)
     )
     meet = staged(meet.select("token", "comp_a", "comp_b"), "meetings")
 
@@ -293,7 +306,7 @@ def rest_pairs(members: DataFrame, tokens: DataFrame, comps: DataFrame) -> DataF
                            F.col("at").alias(f"at_{x}"))
 
     groups = meet.join(side("a"), ["token", "comp_a"]).join(side("b"), ["token", "comp_b"])
-    groups = groups.filter(_similar_sizes("n_a", "n_b") & _positions_allow()).select("gid_a", "comp_a", "gid_b", "comp_b").distinct()
+    groups = groups.filter(_similar_sizes("n_a", "n_b", t) & _positions_allow(t)).select("gid_a", "comp_a", "gid_b", "comp_b").distinct()
     # Members of one group that are still apart share its whole prefix.
     apart = held.select("gid", F.col("comp").alias("comp_a")).join(held.select("gid", F.col("comp").alias("comp_b")), "gid")
     apart = apart.filter("comp_a < comp_b").select(F.col("gid").alias("gid_a"), "comp_a", F.col("gid").alias("gid_b"), "comp_b")
@@ -305,7 +318,7 @@ def rest_pairs(members: DataFrame, tokens: DataFrame, comps: DataFrame) -> DataF
     return groups.join(member("a"), ["gid_a", "comp_a"]).join(member("b"), ["gid_b", "comp_b"]).select("a", "b")
 
 
-def similar_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def similar_documents(docs: DataFrame, size: int = SHINGLE, t: Ratio = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links."""
     rows = narrowed(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), text_of().alias("text"))
     described = rows.mapInArrow(_described(size), "doc long, sig string, n long, bits binary, stripe int, cells binary")
@@ -313,9 +326,9 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     each = described.filter("stripe IS NULL").select("doc", "sig", "n")
     nodes = described.filter("n > 0").groupBy("sig").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = staged(nodes, "nodes")
-    members, tokens = groups_of(rows, size, sketch_of(described))
-    links = verify(first_pairs(members, tokens), rows, nodes, size)
-    more = verify(rest_pairs(members, tokens, components(links)), rows, nodes, size)
+    members, tokens = groups_of(rows, size, t, sketch_of(described))
+    links = verify(first_pairs(members, tokens, t), rows, nodes, size, t)
+    more = verify(rest_pairs(members, tokens, components(links), t), rows, nodes, size, t)
     comps = components(links.unionByName(more))
     placed = nodes.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "sig").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("doc").alias("component"))
@@ -326,9 +339,9 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return out.select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(alone).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = SHINGLE, t: Ratio = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component; a null doc_id stays."""
-    gone = similar_documents(docs).filter("component_id < doc_id").select("doc_id").distinct()
+    gone = similar_documents(docs, size, t).filter("component_id < doc_id").select("doc_id").distinct()
     return docs.join(staged(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
 
 

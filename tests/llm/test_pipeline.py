@@ -1,3 +1,5 @@
+import itertools
+import random
 import zlib
 
 import corpus_pipeline
@@ -35,3 +37,36 @@ def test_awkward_rows_pass_every_stage(spark, awkward, empty):
     for docs in (awkward, empty):
         for name, stage in corpus_pipeline.STAGES:
             docs = staged(stage(spark, docs, SF), f"awkward-{name}")
+
+
+def kept_by_five_words(rows):
+    """The doc_ids that are the smallest of their component, all pairs compared."""
+    sets = {}
+    for i, text in rows:
+        w = text.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    least = {i: i for i in sets}
+    for _ in sets:
+        for a, b in itertools.combinations(sets, 2):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                least[a] = least[b] = min(least[a], least[b])
+    return sorted(i for i in sets if least[i] == i)
+
+
+def test_near_copies_of_five_words_leave(spark, docs_of):
+    rng = random.Random(4)
+    rows = []
+    for base in range(8):
+        words = [f"w{rng.randrange(400)}" for _ in range(100)]
+        for edits in (0, 1, 2, 3, 4):  # each edit spoils five shingles of 96: similarity from 1 down to about 0.65
+            copy = list(words)
+            for e in range(edits):
+                copy[10 + 20 * e] = f"edit{base}.{edits}.{e}"
+            rows.append((len(rows), " ".join(copy)))
+    rng.shuffle(rows)
+    expected = kept_by_five_words(rows)
+    found = corpus_pipeline.near_duplicates(spark, docs_of(rows), SF)
+    assert 8 <= len(expected) < len(rows) and sorted(r.doc_id for r in found.collect()) == expected
+    three = jaccard_join.one_of_each(docs_of(rows))
+    assert sorted(r.doc_id for r in three.collect()) != expected
