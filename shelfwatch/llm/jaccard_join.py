@@ -124,20 +124,20 @@ def _described(size: int):
     """One row per document, and the sketch of the task in stripes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, names = np.zeros(CELLS, np.int32), ["doc", "sig", "n", "bits", "stripe", "cells"]
+        total, names = np.zeros(CELLS, np.int32), ["doc", "content", "sig", "n", "bits", "stripe", "cells"]
         for batch in batches:
             sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
             if sets:
                 cells, counts = np.unique(_cells(np.concatenate(sets)), return_counts=True)
                 total[cells] += counts.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array([signature(s) for s in sets], pa.string()),
+                [batch.column("doc"), batch.column("content"), pa.array([signature(s) for s in sets], pa.string()),
                  pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()),
                  pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
         if total.any():
             # a task's counts are small; the few that are not are told apart by a second byte
             parts = np.minimum(total, 65535).astype("<u2").reshape(STRIPES, -1)
-            empty = [pa.nulls(STRIPES, t) for t in (pa.int64(), pa.string(), pa.int64(), pa.binary())]
+            empty = [pa.nulls(STRIPES, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())]
             low = [p.view(np.uint8).reshape(-1, 2).T.tobytes() for p in parts]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(range(STRIPES), pa.int32()), pa.array(low, pa.binary())], names=names)
 
@@ -210,13 +210,13 @@ def groups_of(docs: DataFrame, size: int, t: Ratio, sketch: np.ndarray) -> tuple
 def _texts_verified(size: int, t: Ratio):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[str, np.ndarray] = {}
+            held: dict[str, np.ndarray] = {}  # sets that have their signature only
             good = []
             for a, b, x, y in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "text_a", "text_b"))):
                 for sig, text in ((a, x), (b, y)):
-                    if sig not in held:
-                        held[sig] = shingles(text, size)
-                good.append(signature(held[a]) == a and signature(held[b]) == b and linked(held[a], held[b], t))
+                    if sig not in held and signature(found := shingles(text, size)) == sig:
+                        held[sig] = found
+                good.append(a in held and b in held and linked(held[a], held[b], t))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return rows
@@ -234,8 +234,8 @@ def _screened(t: Ratio):
 def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, t: Ratio) -> DataFrame:
     """The pairs (a, b) of signatures whose sets are similar enough.
 
-    ``nodes`` has (sig, doc, n, bits) of one document for each set. Only documents of
-    pairs that pass the bitmaps are read again.
+    ``nodes`` has (sig, row, n, bits) of one document for each set, its ``row`` a struct of
+    doc and content. Only documents of pairs that pass the bitmaps are read again.
     """
     pairs = staged(pairs.filter("a <> b").distinct(), "pairs")
 
@@ -245,10 +245,11 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, t: Ra
     near = with_node(with_node(pairs, "b"), "a").filter(_similar_sizes("n_a", "n_b", t))
     near = staged(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_screened(t), "a string, b string"), "near")
     wanted = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct()
-    wanted = staged(wanted.join(nodes, "sig").select("sig", "doc"), "wanted")
-    named = bitmap_of(wanted.select(F.xxhash64("doc").alias("key")), "key")
-    texts = docs.filter(may_contain(named, F.xxhash64("doc"))).join(wanted, "doc").select("sig", "text")
-    texts = staged(texts, "texts")
+    wanted = staged(wanted.join(nodes, "sig").select("sig", "row.doc", "row.content"), "wanted")
+    named = bitmap_of(wanted.select(F.xxhash64("doc", "content").alias("key")), "key")
+    texts = docs.filter(may_contain(named, F.xxhash64("doc", "content"))).join(wanted, ["doc", "content"])
+    # Equal rows give their text once.
+    texts = staged(texts.groupBy("doc", "content", "sig").agg(F.first("text").alias("text")).select("sig", "text"), "texts")
     both = near.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a")), "a")
     return staged(both.select("a", "b", "text_a", "text_b").mapInArrow(_texts_verified(size, t), "a string, b string"), "links")
@@ -321,16 +322,17 @@ def rest_pairs(members: DataFrame, tokens: DataFrame, comps: DataFrame, t: Ratio
 def similar_documents(docs: DataFrame, size: int = SHINGLE, t: Ratio = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links."""
     rows = narrowed(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), text_of().alias("text"))
-    described = rows.mapInArrow(_described(size), "doc long, sig string, n long, bits binary, stripe int, cells binary")
+    rows = rows.withColumn("content", F.xxhash64("text"))
+    described = rows.mapInArrow(_described(size), "doc long, content long, sig string, n long, bits binary, stripe int, cells binary")
     described = staged(described, "described")
     each = described.filter("stripe IS NULL").select("doc", "sig", "n")
-    nodes = described.filter("n > 0").groupBy("sig").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = described.filter("n > 0").groupBy("sig").agg(F.min(F.struct("doc", "content")).alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = staged(nodes, "nodes")
     members, tokens = groups_of(rows, size, t, sketch_of(described))
     links = verify(first_pairs(members, tokens, t), rows, nodes, size, t)
     more = verify(rest_pairs(members, tokens, components(links), t), rows, nodes, size, t)
     comps = components(links.unionByName(more))
-    placed = nodes.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "sig").alias("comp"))
+    placed = nodes.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "row.doc", F.coalesce("component", "sig").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("doc").alias("component"))
     placed = staged(placed.join(staged(least, "least"), "comp").select("sig", "component"), "components")
     out = each.join(placed, "sig", "left")

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 
 from shelfwatch.llm import jaccard_join as j
@@ -84,6 +85,26 @@ def test_awkward_rows(awkward, empty):
     assert kept == sorted([1, 2, 3, None, 4, 4, 6, 6, 7, 8, 9, None], key=str)
 
 
+def test_rows_that_share_an_id_or_have_none(docs_of):
+    rng = random.Random(12)
+    rows = []
+    for i in range(30):  # under one id, and under none, many texts; each with a near copy
+        words = [f"s{rng.randrange(500)}" for _ in range(120)]
+        rows += [(7 if i % 2 else None, " ".join(words)), (100 + i if i % 3 else None, " ".join(edited(rng, words, 1)))]
+    rng.shuffle(rows)
+    for order in (rows, rows[::-1], sorted(rows, key=str)):
+        assert found(docs_of(order)) == brute(order)
+
+
+def test_a_wrong_text_is_not_kept():
+    texts = [" ".join(f"{x}{k}" for k in range(60)) for x in "ab"]
+    near = texts[0] + " more"
+    sig = [j.signature(j.shingles(t)) for t in (texts[0], near)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in ([sig[0]] * 2, [sig[1]] * 2, [texts[1], texts[0]], [near, near])], names=["a", "b", "text_a", "text_b"])
+    assert sum(len(b) for b in j._texts_verified(3, j.SIMILARITY)([batch])) == 1
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(f"{rng.randrange(300):04}", f"{rng.randrange(300):04}") for _ in range(200)]
