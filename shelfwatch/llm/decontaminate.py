@@ -1,14 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing, in native expressions only.
 
 Texts are lower-cased and cut into runs of letters and digits. Fixed masks pick some
-of the tokens in each span of ``SPAN`` and ignore the others, so a changed word spoils
-only the seeds that look at it. Seeds of the benchmark and of the documents are joined
+of the tokens in a span and ignore the others, so a changed word spoils only the seeds
+that look at it. ``SEEDS`` has masks for every length of a window, such that each choice
+of words that may change leaves one seed of it whole. Seeds of the benchmark and of the documents are joined
 on their hash; a bounded bitmap of the benchmark's seeds drops nearly all document
 seeds inside the scan. Around each hit the two token sequences are compared in place:
 a document is contaminated by an item if, in some window of ``WINDOW`` aligned tokens
 (all of a shorter item), at least ``SIMILARITY`` of them are equal.
 
-Benchmark items need at least ``SPAN`` tokens. Hits are merged by document and item
+Only the masks that the benchmark's lengths need are laid over documents. Hits are merged by document and item
 before texts are fetched, and only documents with hits are fetched. A seed
 that many documents share is split by adaptive skew handling, as each document seed
 meets only the benchmark's own occurrences of it.
@@ -23,8 +24,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from shelfwatch.llm.bitmap import bitmap_of, may_contain
 from shelfwatch.llm.common import narrowed, staged, table, text_of
 
-# Fixed masks: 1 is a token that counts, 0 one that is ignored.
-MASKS = ("1110100111", "1101110101")
+# Fixed masks by window length: 1 is a token that counts, 0 one that is ignored. Windows of
+# 5 to 9 tokens may have one other token, longer ones two; shorter ones are equal whole.
+SEEDS = {
+    1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("111", "1101"), 6: ("1111", "11011"), 7: ("11011",),
+    8: ("111011", "110111"), 9: ("111011",), 10: ("111011", "1101011", "1110011"), 11: ("1101011", "1110011"),
+    12: ("111011", "11010011"), 13: ("11101011", "110100111"),
+}
+# What the definition itself asks of an alignment before its windows are judged: one equal
+# token. Oracle and brute force lay out all of these.
+MASKS = ("1",)
 SPAN = len(MASKS[0])
 WINDOW = 13
 SIMILARITY = 0.8
@@ -37,21 +46,34 @@ def tokens(text: Column) -> Column:
 
 
 def _seeds(hashes: Column, mask: str) -> Column:
-    """The seed of every position that has a whole span."""
+    """The seed of every position that has the mask's whole span."""
     used = [i for i, c in enumerate(mask) if c == "1"]
-    positions = F.sequence(F.lit(0), F.size(hashes) - SPAN)
+    positions = F.sequence(F.lit(0), F.size(hashes) - len(mask))
     seed = F.transform(positions, lambda i: F.xxhash64(F.lit(mask), *[F.get(hashes, i + k) for k in used]))
-    return F.when(F.size(hashes) >= SPAN, seed).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(hashes) >= len(mask), seed).otherwise(F.array().cast("array<bigint>"))
 
 
-def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """(seed, item_id, item_at) of the items' positions under all masks."""
-    rows = items.select("item_id", "item_tokens")
-    parts = [rows.select("item_id", F.posexplode(_seeds(F.col("item_tokens"), m)).alias("item_at", "seed")) for m in MASKS]
-    return parts[0].unionByName(parts[1]).select("seed", "item_id", "item_at")
+def _window() -> Column:
+    return F.least(F.lit(WINDOW), F.size("item_tokens"))
 
 
-def document_seeds(docs: DataFrame, bitmap: Column) -> DataFrame:
+def masks_of(items: DataFrame) -> list[str]:
+    """The masks that the items' lengths need; their windows have at most ``WINDOW`` lengths."""
+    lengths = [r["n"] for r in items.select(_window().alias("n")).distinct().collect()]
+    return sorted({m for n in lengths for m in SEEDS.get(n, ())}) or list(SEEDS[WINDOW])
+
+
+def benchmark_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
+    """(seed, item_id, item_at) of the items' positions, each under the masks of its length."""
+    found = F.concat(*(
+        F.when(_window().isin([n for n in SEEDS if m in SEEDS[n]]),
+               F.transform(_seeds(F.col("item_tokens"), m), lambda seed, at: F.struct(at.alias("item_at"), seed.alias("seed"))))
+        .otherwise(F.array().cast("array<struct<item_at:int,seed:bigint>>")) for m in masks
+    ))
+    return items.select("item_id", F.explode(found).alias("hit")).select("hit.seed", "item_id", "hit.item_at")
+
+
+def document_seeds(docs: DataFrame, bitmap: Column, masks: list[str]) -> DataFrame:
     """(doc_id, doc_at, seed) of the positions whose seed may be one of the benchmark's."""
     rows = docs.select("doc_id", tokens(text_of()).alias("hashes"))
 
@@ -61,7 +83,7 @@ def document_seeds(docs: DataFrame, bitmap: Column) -> DataFrame:
             lambda seed, at: F.when(may_contain(bitmap, seed), F.struct(at.alias("doc_at"), seed.alias("seed"))),
         ))
 
-    return rows.select("doc_id", F.explode(F.concat(*map(kept, MASKS))).alias("hit")).select("doc_id", "hit.*")
+    return rows.select("doc_id", F.explode(F.concat(*map(kept, masks))).alias("hit")).select("doc_id", "hit.*")
 
 
 def _window_matches(length: Column, equal: Column) -> Column:
@@ -81,8 +103,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = narrowed(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
     items = narrowed(benchmark, "item_id", "text").filter("item_id IS NOT NULL")
     items = staged(items.select("item_id", tokens(text_of()).alias("item_tokens")), "items")
-    seeds = staged(benchmark_seeds(items), "seeds")
-    hits = document_seeds(docs, bitmap_of(seeds, "seed")).join(seeds, "seed")
+    masks = masks_of(items)
+    seeds = staged(benchmark_seeds(items, masks), "seeds")
+    hits = document_seeds(docs, bitmap_of(seeds, "seed"), masks).join(seeds, "seed")
     # one row per document and item; the shifts are no more than the tokens of both
     hits = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("shifts"))
     hits = staged(hits, "hits")
@@ -91,8 +114,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.select("doc_id", tokens(text_of()).alias("doc_tokens"))
     pairs = hits.join(found, "doc_id").join(items, "item_id")
     n = F.size("item_tokens")
-    window = F.least(F.lit(WINDOW), n)
-    rows = pairs.withColumn("window", window).withColumn("least", F.ceil(window * SIMILARITY).cast("int"))
+    rows = pairs.withColumn("window", _window()).withColumn("least", F.ceil(_window() * SIMILARITY).cast("int"))
 
     def equal_at(shift: Column) -> Column:
         """0 or 1 for the item's positions that lie over the document at this shift."""

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -83,3 +84,30 @@ def test_awkward_rows(awkward, empty, items):
 def test_main_path_is_native(docs_of, items):
     plan = d.contaminated(docs_of([(1, "a b")]), items([(1, "a b")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_every_allowed_change_leaves_a_seed():
+    assert set(d.SEEDS) == set(range(1, d.WINDOW + 1))
+    for n, masks in d.SEEDS.items():
+        spans = [{at + k for k, c in enumerate(m) if c == "1"} for m in masks for at in range(n - len(m) + 1)]
+        for changed in itertools.combinations(range(n), n - -(-n * 8 // 10)):
+            assert any(not span & set(changed) for span in spans), (n, changed)
+
+
+def test_short_items_and_all_allowed_changes(docs_of, items):
+    bench = [(n, " ".join(f"i{n}t{k}" for k in range(n))) for n in range(1, 14)]
+    docs, expected = [], set()
+    for n, text in bench:
+        most = n - -(-n * 8 // 10)
+        for changed in range(most + 2):  # one more than allowed, too
+            for places in itertools.combinations(range(n), min(changed, n)):
+                words = ["x" if k in places else w for k, w in enumerate(text.split())]
+                docs.append((len(docs), " ".join(["before", *words, "after"])))
+                if changed <= most:
+                    expected.add((len(docs) - 1, n))
+    long = [f"l{k}" for k in range(30)]  # 13 of 30 tokens, two of them changed
+    for places in itertools.combinations(range(13), 2):
+        docs.append((len(docs), "before " + " ".join("x" if k in places else w for k, w in enumerate(long[9:22])) + " after"))
+        expected.add((len(docs) - 1, 30))
+    # one more change than allowed may still leave other short items whole: none share tokens here
+    assert pairs(docs_of(docs), items([*bench, (30, " ".join(long))])) == expected
