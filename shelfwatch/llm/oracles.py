@@ -2,6 +2,8 @@
 
 from shelfwatch.llm import decontaminate as d
 from shelfwatch.llm.exact_dedup import OP1_SQL
+from shelfwatch.llm.filter_audit import OP11_SQL
+from shelfwatch.llm.grid_order import OP12_SQL
 from shelfwatch.llm.suffix_trees import OP5_SQL
 
 
@@ -97,4 +99,6 @@ ORACLES = {
     "op5_substring_dedup": OP5_SQL,
     "op7_prefix_doubling": OP7_SQL,
     "op9_jaccard_join": OP9_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_grid_order": OP12_SQL,
 }
