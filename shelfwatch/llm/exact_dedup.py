@@ -158,7 +158,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the others: half the ids are the snapshot, half the incoming batch."""
     docs = narrowed(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     stored = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    return dedup(docs.filter(stored), docs.filter(~stored))
+    return dedup(docs.filter(stored), docs.filter(~stored)).drop("in_snapshot")
 
 
 OP1_SQL = r"""

@@ -151,16 +151,18 @@ def block_pairs(blocked: DataFrame, blocks: int, width: int) -> DataFrame:
     while blocks > FAN:
         blocks = -(-blocks // FAN)
         levels.append(staged(_box(levels[-1], F.floor(F.col("id") / FAN), "low", "high", width), "boxes"))
-    pairs = blocked.sparkSession.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    pairs = None
     for level in reversed(levels):
         level = level.withColumn("above", F.floor(F.col("id") / FAN))
-        pairs = (
-            pairs.join(level.alias("x"), F.col("a") == F.col("x.above"))
-            .join(level.alias("y"), (F.col("b") == F.col("y.above")) & (F.col("x.id") <= F.col("y.id")))
-            .filter(_are_near("x", "y"))
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        )
-        pairs = staged(pairs, "interval-pairs")
+        left = level.alias("x")
+        if pairs is None:  # at most FAN intervals below the whole sequence
+            both = left.join(level.alias("y"), (F.col("x.above") == F.col("y.above")) & (F.col("x.id") <= F.col("y.id")))
+        else:
+            both = pairs.join(left, F.col("a") == F.col("x.above")).join(
+                level.alias("y"), (F.col("b") == F.col("y.above")) & (F.col("x.id") <= F.col("y.id"))
+            )
+        both = both.filter(_are_near("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        pairs = staged(both, "interval-pairs")
     return pairs
 
 

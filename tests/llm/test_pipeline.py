@@ -20,7 +20,8 @@ def test_stages_apply_their_decisions(spark):
     ids = lambda t: sorted(r.doc_id for r in t.select("doc_id").collect())
     accepted = langid.predict(start, langid.fit(start)).filter(f"lang_pred <> 'und' AND score >= {langid.LEAST}")
     assert ids(known) == ids(accepted)
-    first = jaccard_join.similar_documents(known).filter("component_id = doc_id")
+    alike = jaccard_join.similar_documents(known, jaccard_join.COMMON_SHINGLE, jaccard_join.COMMON_SIMILARITY)
+    first = alike.filter("component_id = doc_id")
     assert ids(single) == ids(first)
     bad = {r.doc_id for r in decontaminate.contaminated(single, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert bad and ids(clean) == [i for i in ids(single) if i not in bad]
