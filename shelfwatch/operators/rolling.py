@@ -1,64 +1,61 @@
 """Rolling 7- and 30-row figures on every ledger row."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from shelfwatch import fixed_values as V
 from shelfwatch.operators.joins import same_key
-from shelfwatch.operators.tails import newest_first, oldest_first
+from shelfwatch.operators.ordering import in_sequence
+from shelfwatch.operators.tails import TIE_BREAK
 from shelfwatch.schema import SERIES_KEY
 
 HALO = V.LONG_FRAME_ROWS - 1
-MONTH = SERIES_KEY + ["month"]
+PIECE = SERIES_KEY + ["part"]
 
 
-def month_of(day: Column) -> Column:
-    """Months since year 0; NULL where the date is."""
-    return (F.year(day) * 12 + F.month(day)).cast("int")
+def handovers(ordered: DataFrame) -> DataFrame:
+    """(series, part, last, target, need): how many newest rows of a piece a later piece's frames reach.
 
-
-def handovers(ledger: DataFrame) -> DataFrame:
-    """(series, month, target, need): how many newest rows of a month a later month's frames reach.
-
-    Built from one count per series and month, which is combined before it is
-    shuffled. A month is followed by at most ``HALO + 1`` months that need it, as each
-    of them has a row.
+    A piece is what one part of the sequence holds of a series; ``last`` is its newest
+    row. Few series lie in more than one part, one for each border of parts at most, and
+    a piece is followed by at most ``HALO + 1`` pieces that need it.
     """
-    counts = ledger.groupBy(*SERIES_KEY, month_of(F.col("date")).alias("month")).agg(F.count(F.lit(1)).alias("rows"))
-    # one small array per series; an unknown month sorts first, as unknown dates do
-    months = counts.groupBy(*SERIES_KEY).agg(F.sort_array(F.collect_list(F.struct("month", "rows"))).alias("m"))
-    each = months.select(*SERIES_KEY, "m", F.posexplode("m").alias("at", "source"))
-    later = F.slice(F.col("m"), F.col("at") + 2, HALO + 1)
-    # rows of the months between this one and each later one
+    pieces = ordered.groupBy(*PIECE).agg(F.count(F.lit(1)).alias("rows"), F.max("pos").alias("last"))
+    split = pieces.groupBy(*SERIES_KEY).agg(F.sort_array(F.collect_list(F.struct("part", "rows", "last"))).alias("p"))
+    each = split.filter(F.size("p") > 1).select(*SERIES_KEY, "p", F.posexplode("p").alias("at", "source"))
+    later = F.slice(F.col("p"), F.col("at") + 2, HALO + 1)
+    # rows of the pieces between this one and each later one
     between = F.transform(
         later, lambda x, i: F.aggregate(F.slice(later, F.lit(1), i), F.lit(0).cast("long"), lambda total, y: total + y["rows"])
     )
-    needs = F.arrays_zip(F.transform(later, lambda x: x["month"]).alias("target"), between.alias("between"))
-    found = each.select(*SERIES_KEY, F.col("source.month").alias("month"), F.explode(needs).alias("n"))
-    return found.select(*MONTH, F.col("n.target").alias("target"), (F.lit(HALO) - F.col("n.between")).alias("need")).filter("need > 0")
+    needs = F.arrays_zip(F.transform(later, lambda x: x["part"]).alias("target"), between.alias("between"))
+    found = each.select(
+        *SERIES_KEY, F.col("source.part").alias("part"), F.col("source.last").alias("last"), F.explode(needs).alias("n")
+    )
+    need = F.lit(HALO) - F.col("n.between")
+    return found.select(*PIECE, "last", F.col("n.target").alias("target"), need.alias("need")).filter("need > 0")
 
 
 def with_halo(ledger: DataFrame) -> DataFrame:
-    """Every row in its month (``own``) and the copies that later months' frames need."""
-    rows = ledger.withColumn("month", month_of(F.col("date")))
-    newest = Window.partitionBy(*MONTH).orderBy(*newest_first())
-    tails = rows.withColumn("recency", F.row_number().over(newest)).filter(F.col("recency") <= HALO)
-    wanted = handovers(ledger)
-    copies = tails.alias("l").join(
-        wanted.alias("r"), same_key(MONTH, "l", "r") & (F.col("l.recency") <= F.col("r.need"))
+    """Every row in its part of the sequence (``own``) and the copies that later parts' frames need."""
+    ordered = in_sequence(ledger, [F.col(c) for c in [*SERIES_KEY, *TIE_BREAK]])
+    copies = ordered.alias("l").join(
+        handovers(ordered).alias("r"), same_key(PIECE, "l", "r") & (F.col("l.pos") > F.col("r.last") - F.col("r.need"))
     ).select("l.*", F.col("r.target").alias("frame"))
-    return rows.withColumn("frame", F.col("month")).withColumn("own", F.lit(True)).unionByName(
-        copies.drop("recency").withColumn("own", F.lit(False))
+    return ordered.withColumn("frame", F.col("part")).withColumn("own", F.lit(True)).unionByName(
+        copies.withColumn("own", F.lit(False))
     )
 
 
 def rolling_figures(ledger: DataFrame) -> DataFrame:
     """Rolling figures on every ledger row, in time order of its series.
 
-    Each series is cut into months, and a month gets copies of the last rows before it,
-    so the work of one task is one series' month whatever the length of the series.
-    When only the newest row of a series matters, use ``tails.tail_figures``.
+    The ledger is sorted once by series and time, into parts of about one size; a long
+    series is cut wherever a part ends, also within a date, and its piece gets copies of
+    the last rows before it. No task sorts more than a part, however the rows are
+    spread over series and dates. When only the newest row of a series matters, use
+    ``tails.tail_figures``.
     """
-    ordered = Window.partitionBy(*SERIES_KEY, "frame").orderBy(*oldest_first())
+    ordered = Window.partitionBy(*SERIES_KEY, "frame").orderBy("pos")
     short = ordered.rowsBetween(-(V.SHORT_FRAME_ROWS - 1), 0)
     long = ordered.rowsBetween(-HALO, 0)
     figures = with_halo(ledger).withColumns(
@@ -70,4 +67,4 @@ def rolling_figures(ledger: DataFrame) -> DataFrame:
             "stddev_short": F.stddev_samp("issued").over(short),
         }
     )
-    return figures.filter("own").drop("month", "frame", "own")
+    return figures.filter("own").drop("part", "pos", "frame", "own")

@@ -722,6 +722,9 @@ ORACLES: dict[str, str] = {
         "actions",
     ),
 }
+ORACLES["sql_reorders"] = ORACLES["m_reorder"]
+ORACLES["sql_history"] = ORACLES["l_runhist"]
+ORACLES["sql_status"] = ORACLES["l_fresh"]
 ORACLES["t_refresh"] = ORACLES["m_stock"]
 ORACLES["t_reorder"] = ORACLES["m_reorder"]
 ORACLES["t_usage"] = ORACLES["m_usage"]

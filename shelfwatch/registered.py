@@ -6,14 +6,15 @@ Each query takes (session, table folder). Inputs are derived by ``sources.star``
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfwatch import fixed_values as V
-from shelfwatch.functions import formulas as f
+from shelfwatch.functions import catalog, formulas as f
 from shelfwatch.functions.names import closing, lead_days
 from shelfwatch.functions.numeric import round_half_up
 from shelfwatch.operators import changes, criticality, quality, rolling, tails, usage
 from shelfwatch.operators.joins import flag_keys, without_keys
+from shelfwatch.operators.ordering import numbered
 from shelfwatch.plans import history, latest, oplog, orders, retention
 from shelfwatch.schema import ALERTS, DAY_KEY, LEDGER_COLUMNS, RUN_LOG, SERIES_KEY, SUMMARY
 from shelfwatch.sources import ledger as ledger_files
@@ -526,10 +527,9 @@ def q_rising(spark, sf):
 
 def o_sort(spark, sf):
     """The reorder list, most urgent first, with the place of each row in that order."""
-    rows = history.reorder_list(_stored_ledger(spark, sf), semantic_order=True)
-    # the query's own check: rows that tie on all shown columns are equal, so places are defined
-    place = Window.orderBy(f.urgency_rank(F.col("urgency_level")), "days_left", *SERIES_KEY, "closing_stock", "reorder_qty")
-    return rows.withColumn("place", F.row_number().over(place))
+    rows = history.reorder_list(_stored_ledger(spark, sf), ordered=False)
+    order = ["days_left", *SERIES_KEY, "closing_stock", "reorder_qty"]
+    return numbered(rows, [f.urgency_rank(F.col("urgency_level")), *[F.col(c) for c in order]], "place")
 
 
 def o_topk(spark, sf):
@@ -735,6 +735,44 @@ def l_health(spark, sf):
     return oplog.system_health(star.runs(spark, sf), feeds, ["TASK_CLICK", "TASK_VIEW"])
 
 
+# --- the same in SQL, by the functions of the session catalog ---------------------------------------------------
+
+
+def sql_reorders(spark, sf):
+    """Recommendations, written in SQL over the stock table alone."""
+    catalog.register_formulas(spark)
+    _stock(spark, sf).createOrReplaceTempView("latest_stock")
+    return spark.sql(
+        """SELECT organization, location, item, closing_stock, avg_daily_usage, days_left, lead_time_days,
+                  reorder_qty_latest(lead_time_days, avg_daily_usage, closing_stock) AS reorder_qty,
+                  reorder_qty_with_safety(lead_time_days, avg_daily_usage, closing_stock) AS reorder_qty_with_safety,
+                  urgency4(days_left, lead_time_days) AS urgency_level,
+                  priority_score(lead_time_days, avg_daily_usage, closing_stock) AS priority_score
+             FROM latest_stock
+            WHERE reorder_qty_latest(lead_time_days, avg_daily_usage, closing_stock) > 0"""
+    )
+
+
+def sql_history(spark, sf):
+    """Run history of one task by a SQL table function."""
+    catalog.register_run_lookups(spark, star.runs(spark, sf))
+    return spark.sql(
+        """SELECT log_id, task_name, date_format(execution_time, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS execution_time, status,
+                  records_processed, coalesce(error_message, '') AS error_message, execution_duration_seconds
+             FROM task_history('TASK_VIEW', (SELECT max(execution_time) FROM task_runs))"""
+    )
+
+
+def sql_status(spark, sf):
+    """Newest run of every task by a SQL table function."""
+    catalog.register_run_lookups(spark, star.runs(spark, sf))
+    return spark.sql(
+        """SELECT task_name, state, date_format(last_refresh_start, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS last_refresh_start,
+                  date_format(last_refresh_end, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS last_refresh_end
+             FROM refresh_status()"""
+    )
+
+
 # --- change feeds, retention and streams ------------------------------------------------------------------
 
 
@@ -873,7 +911,7 @@ QUERIES: dict[str, Query] = {
         o_sort, o_topk, o_preview, o_last7, o_distinct, o_logtail,
         v_date, v_num, v_neg, v_formula, v_blank, v_report, v_negclose, v_parity,
         l_recent, l_sessions, l_close, l_active, l_pending, l_orders, l_equal_orders, l_order_actions, l_actions, l_details,
-        l_runhist, l_fresh, l_health,
+        l_runhist, l_fresh, l_health, sql_reorders, sql_history, sql_status,
         t_cdc, t_acdc, t_recompute, t_alerts, t_retain, t_expired, t_retain_tables, t_refresh, t_reorder, t_usage,
         t_summary, t_alert_log, t_runs, t_sessions,
     ]
