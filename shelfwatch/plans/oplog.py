@@ -1,13 +1,14 @@
 """Operational tables: actions, sessions, orders and task runs."""
 
 import time
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfwatch import fixed_values as V
-from shelfwatch.functions.ids import with_request_ids
+from shelfwatch.functions.ids import hashed_id, with_request_ids
 from shelfwatch.functions.numeric import minute_boundaries, round_half_up
 from shelfwatch.operators.changes import pending_changes
 from shelfwatch.schema import ACTIONS, ORDERS, RUN_LOG, SERIES_KEY
@@ -222,23 +223,38 @@ def pending_orders(orders: DataFrame, as_of: Column) -> DataFrame:
 # --- task runs ---------------------------------------------------------------
 
 
-def run_logged(spark: SparkSession, task_name: str, work: Callable[[], int], path: str) -> str:
-    """Run ``work`` and append one run row: rows processed, or the error.
+def run_row(task_name: str, begun: float, ended: float, rows: int = 0, error: str | None = None) -> tuple:
+    """A run as a RUN_LOG row without id; times are seconds since 1970."""
+    started = datetime.fromtimestamp(begun, timezone.utc)
+    return (None, task_name, started, "SUCCESS" if error is None else "FAILED", rows, error, ended - begun)
 
-    An error is recorded, not raised; the return value is the run's status.
+
+def save_runs(spark: SparkSession, path: str, label: str, runs: list[tuple]) -> None:
+    """Write run rows below the day of the first, in a folder named ``label``, in place of earlier ones there.
+
+    The id hashes the task, its time and the label, so equal tasks of one moment differ.
+    """
+    rows = spark.createDataFrame(runs, RUN_LOG).withColumn("_label", F.lit(label))
+    rows = rows.withColumn("log_id", hashed_id(["task_name", "execution_time", "_label"])).drop("_label")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/day={runs[0][2].date()}/batch_id={label}")
+
+
+def run_logged(spark: SparkSession, task_name: str, work: Callable[[], int], path: str, raising: bool = False) -> str:
+    """Run ``work`` and add one run row: rows processed, or the error.
+
+    An error is recorded, and raised again only if ``raising``; the return value is the
+    run's status.
     """
-    started = datetime.now(timezone.utc)
-    clock = time.monotonic()
-    status, rows, error = "SUCCESS", 0, None
+    begun = time.time()
     try:
-        rows = work()
-    except Exception as failure:  # every failure of a task is a FAILED row
-        status, error = "FAILED", str(failure)
-    seconds = time.monotonic() - clock
-    record = [(None, task_name, started, status, rows, error, seconds)]
-    run = spark.createDataFrame(record, RUN_LOG)
-    run.withColumn("log_id", F.xxhash64("task_name", "execution_time")).write.mode("append").parquet(path)
-    return status
+        rows, failure = work(), None
+    except Exception as caught:  # every failure of a task is a FAILED row
+        rows, failure = 0, caught
+    run = run_row(task_name, begun, time.time(), rows, None if failure is None else str(failure))
+    save_runs(spark, path, uuid.uuid4().hex, [run])
+    if failure is not None and raising:
+        raise failure
+    return run[3]
 
 
 def _successes() -> Column:

@@ -4,7 +4,7 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import date, datetime, timezone
+from datetime import date, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfwatch import fixed_values as V
-from shelfwatch.functions.ids import hashed_id
 from shelfwatch.operators.changes import row_changes
 from shelfwatch.operators.joins import with_keys, without_keys
 from shelfwatch.operators.tails import figures_of, latest_rows
@@ -24,6 +23,7 @@ from shelfwatch.plans.latest import (
     usage_from_tails,
     with_alert_ids,
 )
+from shelfwatch.plans.oplog import run_row, save_runs
 from shelfwatch.schema import ALERTS, LEDGER, RUN_LOG, SERIES_KEY, SUMMARY
 from shelfwatch.staging import read_text, write_text
 from shelfwatch.streaming.state import BUCKETS, BucketedTable, bucket_of, folders, remove
@@ -148,19 +148,12 @@ class RefreshTables:
         return _read(spark, f"{self.root}/runs", RUN_LOG).select(*RUN_LOG.fieldNames())
 
 
-def _run_row(task: str, begun: float, rows: int = 0, error: str | None = None) -> tuple:
-    started = datetime.fromtimestamp(begun, timezone.utc)
-    return (None, task, started, "SUCCESS" if error is None else "FAILED", rows, error, time.time() - begun)
-
-
 def _save_runs(spark: SparkSession, tables: RefreshTables, label: str, runs: list[tuple]) -> None:
     """Write the run rows of a batch under the day it ran on; a replay on another day replaces them too."""
     place = f"{tables.root}/runs"
     for day in folders(spark, place):
         remove(spark, f"{place}/{day}/batch_id={label}")
-    rows = spark.createDataFrame(runs, RUN_LOG)
-    rows = rows.withColumn("log_id", hashed_id(["task_name", "execution_time"]))
-    _save(rows, tables.log("runs", "day", runs[0][2].date(), label))
+    save_runs(spark, place, label, runs)
 
 
 def _touched_buckets(keys: DataFrame, tables: RefreshTables) -> list[int]:
@@ -199,10 +192,11 @@ def _logged(spark: SparkSession, tables: RefreshTables, batch_id: int, task: str
     """Run a task and return its run row; a failure is recorded, then raised, so the batch is replayed."""
     begun = time.time()
     try:
-        return _run_row(task, begun, work())
+        rows = work()
+        return run_row(task, begun, time.time(), rows)
     except Exception as failure:
         attempt = f"{batch_id}.failed-{uuid.uuid4().hex}"
-        _save_runs(spark, tables, attempt, [_run_row(task, begun, 0, str(failure))])
+        _save_runs(spark, tables, attempt, [run_row(task, begun, time.time(), 0, str(failure))])
         raise
 
 

@@ -144,7 +144,9 @@ def test_retention_of_the_engines_own_tables(spark, make_ledger, tmp_path):
     assert tables.alerts(spark).select("alert_date").distinct().count() == 1
     assert retention.expire_tables(spark, tables.root, schemas, as_of) == {"summaries": 0, "alerts": 0, "runs": 0}
     later = datetime.now() + timedelta(days=31)
-    assert retention.expire_tables(spark, tables.root, schemas, later)["runs"] == 8
+    # with the two clean-ups' own rows
+    assert retention.expire_tables(spark, tables.root, schemas, later)["runs"] == 8 + 2
+    assert [(r.task_name, r.status) for r in tables.runs(spark).collect()] == [("daily_cleanup", "SUCCESS")]
 
 
 def test_edge_day_and_unknown_days_of_a_folder(spark, tmp_path):
