@@ -40,6 +40,7 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame
     for part, count in counts:
         offsets.append((part, total))
         total += count
-    offsets = rows.sparkSession.createDataFrame(offsets, "part int, offset long")
+    # stored, so that its size is known and it is broadcast
+    offsets = staged(rows.sparkSession.createDataFrame(offsets, "part int, offset long").coalesce(1), "offsets")
     place = F.col("offset") + row_of(F.col("pos")) + 1
     return ordered.join(offsets, "part").withColumn(name, place).drop("part", "pos", "offset").orderBy(name)

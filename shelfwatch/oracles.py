@@ -722,6 +722,34 @@ ORACLES: dict[str, str] = {
         "actions",
     ),
 }
+ORACLES["l_runlog"] = query(
+    "SELECT 'keep_actions' AS task_name, 'SUCCESS' AS status, COUNT(*) AS records_processed, 0 AS incomplete FROM actions", "actions"
+)
+ORACLES["v_cols"] = query(
+    "SELECT 'missing_column' AS rule, 'error' AS severity, \"column\", 1 AS count FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\" FROM upload HAVING COUNT(*) > COUNT({c})" for c in f"{DAY}, {', '.join(QUANTITIES)}".split(", "))
+    + ")",
+    "upload",
+)
+ORACLES["v_empty"] = query(
+    "SELECT 'no_rows' AS rule, 'error' AS severity, '' AS \"column\", 1 AS count FROM upload WHERE date > '9999' HAVING COUNT(*) = 0", "upload"
+)
+part("months_old", "SELECT * REPLACE (CAST(DATE_TRUNC('month', date) AS DATE) AS date) FROM ledger_old", "ledger_old")
+part("months_new", "SELECT * REPLACE (CAST(DATE_TRUNC('month', date) AS DATE) AS date) FROM ledger_new", "ledger_new")
+ORACLES["v_parity_repeated"] = query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CAST(SUM(alike) AS BIGINT) AS matching, CAST(SUM(most - alike) AS BIGINT) AS mismatching
+  FROM (SELECT SUM(LEAST(o, n)) AS alike, GREATEST(SUM(o), SUM(n)) AS most
+          FROM (SELECT {DAY}, {c}, SUM(o) AS o, SUM(n) AS n
+                  FROM (SELECT {DAY}, {c}, 1 AS o, 0 AS n FROM months_old UNION ALL SELECT {DAY}, {c}, 0, 1 FROM months_new)
+                 GROUP BY {DAY}, {c})
+         GROUP BY {DAY})"""
+        for c in ("issued", "closing_stock")
+    ),
+    "months_old",
+    "months_new",
+)
+ORACLES["t_closed"] = ORACLES["l_close"]
 ORACLES["sql_reorders"] = ORACLES["m_reorder"]
 ORACLES["sql_history"] = ORACLES["l_runhist"]
 ORACLES["sql_status"] = ORACLES["l_fresh"]

@@ -21,6 +21,7 @@ from shelfwatch.sources import ledger as ledger_files
 from shelfwatch.sources import profiles, rules, star
 from shelfwatch.staging import file_system, new_folder, staged
 from shelfwatch.streaming import refresh, sessions
+from shelfwatch.streaming.runs import RunLogListener
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,15 +45,27 @@ def _staged_stock(rows: DataFrame, as_of: Column) -> DataFrame:
 def _stored_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """The ledger as a stored table, for queries that read it more than once.
 
-    Stored once per session and table folder.
+    Stored once per session and state of the tables: files that are written anew, or
+    others, make it be derived again.
     """
-    held = _stored.get((spark.sparkContext.applicationId, sf))
-    if held is None or not _readable(held):
-        held = _stored[spark.sparkContext.applicationId, sf] = staged(star.ledger(spark, sf), "ledger")
+    rows = star.ledger(spark, sf)
+    made_from = tuple(_stamp(spark, name) for name in sorted(rows.inputFiles()))
+    place = (spark.sparkContext.applicationId, sf)
+    files, held = _stored.get(place, (None, None))
+    if files != made_from or not _readable(held):
+        held = staged(rows, "ledger")
+        _stored[place] = (made_from, held)
     return held
 
 
-_stored: dict[tuple[str, str], DataFrame] = {}
+_stored: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
+
+
+def _stamp(spark: SparkSession, name: str) -> tuple[str, int, int]:
+    """A file's name, size and time of change."""
+    system, place = file_system(spark, name)
+    status = system.getFileStatus(place)
+    return name, status.getLen(), status.getModificationTime()
 
 
 def _readable(df: DataFrame) -> bool:
@@ -608,6 +621,26 @@ def v_parity(spark, sf):
     )
 
 
+def v_parity_repeated(spark, sf):
+    """Two ledger versions by month, where a key has many rows: their quantities matched as bags."""
+    previous, current, _ = _two_versions(spark, sf)
+    months = [_by_month(rows).select(*DAY_KEY, "issued", "closing_stock") for rows in (previous, current)]
+    return quality.compare_results(*months, DAY_KEY, ["issued", "closing_stock"])
+
+
+def v_cols(spark, sf):
+    """An upload that lacks the columns which are empty in some row of the faulty one, with its missing columns."""
+    rows = star.ledger_text(star.ledger(spark, sf))
+    gaps = rows.agg(*[F.bool_or(F.col(c).isNull()).alias(c) for c in LEDGER_COLUMNS]).first().asDict()
+    return quality.shape_problems(rows.drop(*[c for c, has in gaps.items() if has]))
+
+
+def v_empty(spark, sf):
+    """An upload cut down to days that the ledger does not have: a header and no row."""
+    rows = star.ledger_text(star.ledger(spark, sf)).filter(F.col("date") > F.lit("9999"))
+    return quality.shape_problems(rows)
+
+
 # --- operational tables ------------------------------------------------------------------------------
 
 
@@ -819,20 +852,21 @@ def t_retain_tables(spark, sf):
 
 
 BATCHES = 4
+FILES = 4
 
 
 def _streamed(spark, sf) -> tuple[refresh.RefreshTables, int]:
     """Run the refresh over the ledger, which arrives in four batches in time order.
 
-    A batch is one file; batch ``n`` holds the days up to the ``n``-th quarter of the
+    A batch is FILES files; batch ``n`` holds the days up to the ``n``-th quarter of the
     period, so its summary and alerts are those of a known part of the ledger.
     """
     path = new_folder(spark, "arrivals")
-    rows = star.ledger(spark, sf).withColumn("batch", _quarter())
+    rows = _stored_ledger(spark, sf).withColumn("batch", _quarter())
     for n in range(BATCHES):
-        rows.filter(F.col("batch") == n).drop("batch").coalesce(1).write.mode("append").parquet(path)
+        rows.filter(F.col("batch") == n).drop("batch").repartition(FILES).write.mode("append").parquet(path)
     root = new_folder(spark, "refresh")
-    stream = refresh.ledger_stream(spark, path, files_per_batch=1)
+    stream = refresh.ledger_stream(spark, path, files_per_batch=FILES)
     query = refresh.start_refresh(stream, root, new_folder(spark, "checkpoint"), once=True, buckets=8)
     query.awaitTermination()
     return refresh.RefreshTables(root, 8), refresh.last_batch(query)
@@ -881,20 +915,50 @@ def t_runs(spark, sf):
     )
 
 
-def t_sessions(spark, sf):
-    """Sessions of an action log whose files arrive out of time order, in four batches or more."""
+def l_runlog(spark, sf):
+    """Runs of a stream over the action log as its listener writes them; each file is a run."""
+    log = star.actions(spark, sf)
+    source, path = new_folder(spark, "arrivals"), new_folder(spark, "runs")
+    log.repartition(BATCHES, F.xxhash64("action_id")).write.parquet(source)
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    with RunLogListener(spark, path) as runs:
+        writer = arriving.writeStream.queryName("keep_actions").option("checkpointLocation", new_folder(spark, "checkpoint"))
+        query = writer.trigger(availableNow=True).start(new_folder(spark, "actions"), format="parquet")
+        runs.wait(query)
+    rows = spark.read.schema(RUN_LOG).parquet(path)
+    good = (F.col("execution_duration_seconds") > 0) & F.col("log_id").isNotNull()
+    return rows.groupBy("task_name", "status").agg(
+        F.sum("records_processed").alias("records_processed"), F.count_if(~good).alias("incomplete")
+    )
+
+
+def _streamed_sessions(spark, sf, **how) -> tuple[DataFrame, DataFrame]:
+    """The action log, and its sessions by a stream whose files arrive out of time order, in four batches or more."""
     log = star.actions(spark, sf)
     source = new_folder(spark, "arrivals")
     log.repartition(BATCHES, F.xxhash64("action_id")).write.parquet(source)
     arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
     out = new_folder(spark, "sessions")
-    query = sessions.start_sessions(arriving, out, new_folder(spark, "checkpoint"), once=True)
+    query = sessions.start_sessions(arriving, out, new_folder(spark, "checkpoint"), once=True, **how)
     query.awaitTermination()
-    rows = sessions.sessions_table(out).read(spark, refresh.last_batch(query))
-    rows = sessions.open_sessions(rows, oplog.newest(log, "action_timestamp"))
+    return log, sessions.SessionsTable(out).read(spark, refresh.last_batch(query))
+
+
+def t_sessions(spark, sf):
+    """Sessions split where nothing happens for half an hour."""
+    log, rows = _streamed_sessions(spark, sf)
+    rows = sessions.open_sessions(rows.drop("session_end"), oplog.newest(log, "action_timestamp"))
     return rows.withColumns({c: time_text(F.col(c)) for c in ("session_start", "last_activity")})
 
 
+def t_closed(spark, sf):
+    """Sessions closed in the stream by their last configuration change; an id is one session."""
+    _, rows = _streamed_sessions(spark, sf, gap="2 days", closing="CONFIG_CHANGED")
+    return sessions.closed_sessions(rows).select(
+        "session_id", time_text(F.col("session_end")).alias("session_end"), "is_active", "session_duration_minutes"
+    )
+
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in [
@@ -909,10 +973,10 @@ QUERIES: dict[str, Query] = {
         q_alerts, q_alerts_page, q_reorder, q_actions, q_calc, m_stock, m_reorder, m_usage,
         q_risktop, q_rectop, q_rising,
         o_sort, o_topk, o_preview, o_last7, o_distinct, o_logtail,
-        v_date, v_num, v_neg, v_formula, v_blank, v_report, v_negclose, v_parity,
+        v_date, v_num, v_neg, v_formula, v_blank, v_report, v_negclose, v_parity, v_parity_repeated, v_cols, v_empty,
         l_recent, l_sessions, l_close, l_active, l_pending, l_orders, l_equal_orders, l_order_actions, l_actions, l_details,
         l_runhist, l_fresh, l_health, sql_reorders, sql_history, sql_status,
         t_cdc, t_acdc, t_recompute, t_alerts, t_retain, t_expired, t_retain_tables, t_refresh, t_reorder, t_usage,
-        t_summary, t_alert_log, t_runs, t_sessions,
+        t_summary, t_alert_log, t_runs, t_sessions, t_closed, l_runlog,
     ]
 }

@@ -1,13 +1,23 @@
-"""Continuous session counters from the action stream."""
+"""Continuous session counters from the action stream, kept as keyed state."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from shelfwatch.streaming.state import BucketedTable, bucket_of
+from shelfwatch.functions.numeric import minute_boundaries
+from shelfwatch.streaming.state import folders, remove
 
 GAP = "30 minutes"
-LOCAL_MERGE = "spark.sql.sessionWindow.merge.sessions.in.local.partition"
+COMPACT = 32  # batches of changes that one base replaces
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 COUNTERS = {
     "items_reviewed": "ITEM_REVIEWED",
     "items_ordered": "ORDER_PLACED",
@@ -20,67 +30,146 @@ SESSIONS = T.StructType(
         T.StructField("user_name", T.StringType()),
         T.StructField("session_start", T.TimestampType()),
         T.StructField("last_activity", T.TimestampType()),
+        T.StructField("session_end", T.TimestampType()),
         T.StructField("actions_count", T.LongType()),
     ]
     + [T.StructField(c, T.LongType()) for c in COUNTERS]
 )
+TIMES = ["session_start", "last_activity", "session_end"]
+COUNTS = ["actions_count", *COUNTERS]
+# A visit: the same with times in microseconds, without the session.
+VISIT = ["user_name", *TIMES, *COUNTS]
+# How two visits that meet become one; nulls give way.
+JOIN = {"user_name": "max", "session_start": "min", "last_activity": "max", "session_end": "max"} | dict.fromkeys(COUNTS, "sum")
+
+
+def single_actions(actions: DataFrame, closing: str | None = None) -> DataFrame:
+    """Every action with a time and a session as a visit of its own; one of type ``closing`` ends it."""
+    at = F.unix_micros(F.col("action_timestamp").cast("timestamp"))
+    kind = F.col("action_type")
+    ends = F.when(kind == F.lit(closing), at)
+    rows = actions.select(
+        "session_id", "user_name", at.alias("session_start"), at.alias("last_activity"), ends.alias("session_end"),
+        F.lit(1).cast("long").alias("actions_count"),
+        *[F.coalesce((kind == name).cast("long"), F.lit(0)).alias(c) for c, name in COUNTERS.items()],
+    )
+    return rows.filter("session_start IS NOT NULL AND session_id IS NOT NULL")
 
 
-def session_counts(actions: DataFrame, gap: str = GAP) -> DataFrame:
-    """Sessions of a table of actions, split where nothing happens for longer than ``gap``."""
+def joined_visits(visits: pd.DataFrame, gap: int) -> pd.DataFrame:
+    """Visits of one session that lie no more than ``gap`` microseconds apart become one."""
+    visits = visits.sort_values(["session_id", "session_start"], ignore_index=True)
+    until = visits.groupby("session_id", sort=False)["last_activity"].cummax()
+    before = until.groupby(visits["session_id"], sort=False).shift()
+    visit = (before.isna() | (visits["session_start"] > before + gap)).cumsum().rename("_visit")
+    return visits.groupby(["session_id", visit], sort=False).agg(JOIN).reset_index()
 
-    def of_type(name: str) -> Column:
-        return F.count_if(F.col("action_type") == name)
 
-    timed = actions.withColumn("at", F.col("action_timestamp").cast("timestamp"))
-    return (
-        timed.groupBy("session_id", F.session_window("at", gap).alias("w"))
-        .agg(
-            F.max("user_name").alias("user_name"),
-            F.max("at").alias("last_activity"),
-            F.count(F.lit(1)).alias("actions_count"),
-            *[of_type(name).alias(c) for c, name in COUNTERS.items()],
-        )
-        .withColumn("session_start", F.col("w.start"))
-        .select(*SESSIONS.fieldNames())
-    )
+def _typed(visits: pd.DataFrame) -> pd.DataFrame:
+    """With types that know nulls."""
+    return visits.astype({"user_name": "string"} | dict.fromkeys([*TIMES, *COUNTS], "Int64"))
+
+
+def combined(visits: DataFrame, gap: int) -> DataFrame:
+    """(session_id, visit): visits as JSON arrays, joined within each batch of rows of a task.
+
+    A busy session is few rows when it is shuffled, and one column costs the state
+    function less than ten.
+    """
+
+    def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            rows = joined_visits(_typed(rows), gap)
+            values = rows[VISIT].astype(object).where(rows[VISIT].notna(), None)
+            yield pd.DataFrame({"session_id": rows["session_id"], "visit": [json.dumps(v) for v in values.values.tolist()]})
+
+    return visits.mapInPandas(of_task, "session_id string, visit string")
 
 
-def merge_sessions(parts: DataFrame, gap: str = GAP) -> DataFrame:
-    """Join sessions of one id that lie no more than ``gap`` apart, in whatever order they came."""
-    in_order = Window.partitionBy("session_id").orderBy("session_start", "last_activity")
-    so_far = F.max("last_activity").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.coalesce(F.col("session_start") > so_far + F.expr(f"INTERVAL {gap}"), F.lit(True))
-    visit = F.sum("apart").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = parts.withColumn("apart", apart.cast("int")).withColumn("visit", visit)
-    return rows.groupBy("session_id", "visit").agg(
-        F.max("user_name").alias("user_name"),
-        F.min("session_start").alias("session_start"),
-        F.max("last_activity").alias("last_activity"),
-        *[F.sum(c).alias(c) for c in ("actions_count", *COUNTERS)],
-    ).select(*SESSIONS.fieldNames())
+def _larger(a, b):
+    return b if a is None else a if b is None else max(a, b)
 
 
-def sessions_table(path: str) -> BucketedTable:
-    return BucketedTable(path, SESSIONS, ("session_id",))
+def merged(visits: list[list], gap: int) -> list[list]:
+    """The same for the visits of one session as lists of VISIT values."""
+    out: list[list] = []
+    for visit in sorted(visits, key=lambda v: v[1]):
+        if out and visit[1] <= out[-1][2] + gap:
+            user, start, last, end, *counts = out[-1]
+            counts = [x + y for x, y in zip(counts, visit[4:])]
+            out[-1] = [_larger(user, visit[0]), start, max(last, visit[2]), _larger(end, visit[3]), *counts]
+        else:
+            out.append(visit)
+    return out
 
 
-def update_sessions(actions: DataFrame, batch_id: int, table: BucketedTable, gap: str = GAP) -> None:
-    """Take a batch of actions into the sessions; only its buckets are read and written.
+def session_updates(gap: int):
+    """The state function: takes the fresh visits of a session in and returns all of its visits."""
 
-    An action counts whenever it arrives: one that is late may open a session in the
-    past, lengthen one or join two. Actions without a time or session have none.
+    def updated(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        visits = json.loads(state.get[0]) if state.exists else []
+        for rows in chunks:
+            visits = merged(visits + [json.loads(v) for v in rows["visit"]], gap)
+        text = json.dumps(visits)
+        state.update((text,))
+        yield pd.DataFrame({"session_id": [key[0]], "visits": [text]})
+
+    return updated
+
+
+class SessionsTable:
+    """Sessions below ``path``: a base and the changes of the batches after it.
+
+    A batch adds the sessions that had actions in it, whole, in a folder of its own that
+    a replay replaces; after COMPACT batches a new base takes them in.
     """
-    spark = actions.sparkSession
-    # this session belongs to the query; combine a busy session's actions before the shuffle
-    spark.conf.set(LOCAL_MERGE, True)
-    fresh = session_counts(actions, gap)
-    ids = fresh.select(bucket_of(["session_id"], table.buckets).alias("bucket")).distinct()
-    touched = [r["bucket"] for r in ids.collect()]  # at most ``buckets``
-    if touched or batch_id == 0:
-        table.write(merge_sessions(fresh.unionByName(table.read(spark, batch_id - 1, touched)), gap), batch_id, touched)
-    else:
-        table.write(spark.createDataFrame([], SESSIONS), batch_id, [])
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _numbers(self, spark: SparkSession, kind: str) -> list[int]:
+        return sorted(int(f.split("=")[1]) for f in folders(spark, f"{self.path}/{kind}") if f.startswith("batch_id="))
+
+    def read(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The sessions after a batch: of each the rows of its newest change."""
+        bases = [n for n in self._numbers(spark, "base") if n <= batch_id]
+        since = bases[-1] if bases else -1
+        places = [f"{self.path}/changes/batch_id={n}" for n in self._numbers(spark, "changes") if since < n <= batch_id]
+        places += [f"{self.path}/base/batch_id={since}"] if bases else []
+        if not places:
+            return spark.createDataFrame([], SESSIONS)
+        schema = T.StructType([*SESSIONS.fields, T.StructField("_batch", T.LongType())])
+        rows = spark.read.schema(schema).parquet(*places)
+        newest = F.max("_batch").over(Window.partitionBy("session_id"))
+        return rows.withColumn("_newest", newest).filter("_batch = _newest").select(*SESSIONS.fieldNames())
+
+    def add(self, changed: DataFrame, batch_id: int) -> None:
+        spark = changed.sparkSession
+        each = F.explode(F.from_json("visits", "array<array<string>>"))
+        rows = changed.select("session_id", each.alias("v"), F.lit(batch_id).cast("long").alias("_batch"))
+        values = {c: F.col("v")[i] if c == "user_name" else F.col("v")[i].cast("long") for i, c in enumerate(VISIT)}
+        values |= {c: F.timestamp_micros(values[c]) for c in TIMES}
+        rows = rows.select("session_id", *[v.alias(c) for c, v in values.items()], "_batch").select(*SESSIONS.fieldNames(), "_batch")
+        rows.write.mode("overwrite").parquet(f"{self.path}/changes/batch_id={batch_id}")
+        if (batch_id + 1) % COMPACT == 0:
+            self._compact(spark, batch_id)
+
+    def _compact(self, spark: SparkSession, batch_id: int) -> None:
+        """Write a base; then the bases and changes that the base before it had taken in go."""
+        older = [n for n in self._numbers(spark, "base") if n < batch_id]
+        rows = self.read(spark, batch_id).withColumn("_batch", F.lit(batch_id).cast("long"))
+        rows.write.mode("overwrite").parquet(f"{self.path}/base/batch_id={batch_id}")
+        for kind in ("base", "changes"):
+            for n in self._numbers(spark, kind):
+                if older and (n < older[-1] or n == older[-1] and kind == "changes"):
+                    remove(spark, f"{self.path}/{kind}/batch_id={n}")
+
+
+def micros(gap: str) -> int:
+    """An interval such as ``30 minutes`` in microseconds."""
+    number, unit = gap.split()
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.removesuffix("s")]
+    return int(number) * seconds * 1_000_000
 
 
 def open_sessions(sessions: DataFrame, as_of: Column, gap: str = GAP) -> DataFrame:
@@ -88,10 +177,37 @@ def open_sessions(sessions: DataFrame, as_of: Column, gap: str = GAP) -> DataFra
     return sessions.withColumn("is_open", F.col("last_activity") + F.expr(f"INTERVAL {gap}") >= as_of)
 
 
-def start_sessions(actions: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep the sessions of an action stream below ``path``; read them with ``sessions_table``."""
-    table = sessions_table(path)
-    writer = actions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: update_sessions(batch, batch_id, table)
+def closed_sessions(sessions: DataFrame) -> DataFrame:
+    """Sessions that a closing action ended, with their length in minutes."""
+    minutes = minute_boundaries(F.col("session_start"), F.col("session_end"))
+    ended = sessions.filter("session_end IS NOT NULL").withColumn("is_active", F.lit(False))
+    return ended.withColumn("session_duration_minutes", minutes)
+
+
+def start_sessions(
+    actions: DataFrame, path: str, checkpoint: str, once: bool = False, gap: str = GAP, closing: str | None = None
+) -> StreamingQuery:
+    """Keep the sessions of an action stream below ``path``; read them with ``SessionsTable``.
+
+    Sessions of one id are split where nothing happens for longer than ``gap``. An action
+    counts whenever it arrives: one that is late may open a session in the past, lengthen
+    one or join two. Actions without a time or session have none. An action of type
+    ``closing`` ends its session; the newest one counts. State lives in RocksDB with a
+    changelog: a batch reads and writes only the sessions that it has actions of. The
+    session's number of shuffle partitions at the first start is that of the state for
+    good.
+    """
+    spark, table = actions.sparkSession, SessionsTable(path)
+    visits = combined(single_actions(actions, closing), micros(gap))
+    changed = visits.groupBy("session_id").applyInPandasWithState(
+        session_updates(micros(gap)), "session_id string, visits string", "visits string", "update", GroupStateTimeout.NoTimeout
     )
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    writer = changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(table.add)
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+    try:  # the query takes its settings as it starts
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,60 @@ def test_compare_results(spark):
     # 2.01 - 2.0 is a little under the tolerance in binary
     row = quality.compare_results(a, b, ["k"], ["v"], tolerance=0.0101).first()
     assert (row["matching"], row["mismatching"]) == (4, 4)
+
+
+def most_pairs(left, right, tolerance):
+    """Size of a largest matching, by trying all partners (augmenting paths)."""
+    partner = {}
+
+    def found(i, seen):
+        for j, y in enumerate(right):
+            if j not in seen and abs(left[i] - y) <= tolerance:
+                seen.add(j)
+                if j not in partner or found(partner[j], seen):
+                    partner[j] = i
+                    return True
+        return False
+
+    return sum(found(i, set()) for i in range(len(left)))
+
+
+def test_repeated_keys_are_matched_as_bags(spark):
+    rng = random.Random(11)
+    schema, tolerance, expected, a, b = "k string, v double", 0.25, [0, 0], [], []
+    for k in range(40):
+        values = [float("inf"), None, None] + [x / 8 for x in range(rng.choice([3, 12, 30]))]
+        left, right = ([rng.choice(values) for _ in range(rng.randrange(9))] for _ in range(2))
+        rows = max(len(left), len(right))
+        filled = [side + [None] * (rows - len(side)) for side in (left, right)]
+        plain = [[v for v in side if v is not None and v != float("inf")] for side in filled]
+        hits = most_pairs(*plain, tolerance) + sum(min(filled[0].count(x), filled[1].count(x)) for x in (None, float("inf")))
+        expected = [expected[0] + hits, expected[1] + rows - hits]
+        name = None if k == 7 else f"k{k}"
+        a += [(name, v) for v in left]
+        b += [(name, v) for v in right]
+    row = quality.compare_results(*(spark.createDataFrame(x, schema) for x in (a, b)), ["k"], ["v"], tolerance).first()
+    assert [row["matching"], row["mismatching"]] == expected
+    none = spark.createDataFrame([], schema)
+    assert [tuple(r) for r in quality.compare_results(none, none, ["k"], ["v"]).collect()] == [("v", 0, 0)]
+
+
+def test_a_load_reads_its_upload_once(spark, monkeypatch):
+    rows = spark.createDataFrame([("2024-01-01", "o", "l", "i", "1", "2", "1", "2", "5"), ("x", "o", "l", "i", "1", "a", "-1", "2", "5")], LEDGER_COLUMNS)
+    writes = []
+    real = quality.staged
+    monkeypatch.setattr(quality, "staged", lambda df, label: writes.append(label) or real(df, label))
+    report = quality.check_ledger(rows)
+    assert writes == ["judged"]
+    # counts come from that write: the findings are rows, not a plan over the upload
+    plan = report.findings._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Aggregate" not in plan
+    assert sorted(map(tuple, report.findings.collect())) == sorted(map(tuple, quality.find_problems(rows).collect()))
+    assert (report.valid.count(), report.rejected.count()) == (1, 1)
+
+
+def test_shape_of_an_upload(spark):
+    full = spark.createDataFrame([], ", ".join(f"{c} string" for c in LEDGER_COLUMNS))
+    assert [tuple(r) for r in quality.shape_problems(full).collect()] == [("no_rows", "error", "", 1)]
+    short = full.drop("issued", "item").withColumnRenamed("date", " DATE ")
+    assert sorted(r["column"] for r in quality.shape_problems(short).collect()) == ["issued", "item"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from shelfwatch.operators.changes import change_feed
 from shelfwatch.plans import latest, retention
 from shelfwatch.schema import ALERTS, DAY_KEY, RUN_LOG, SUMMARY
-from shelfwatch.streaming import refresh, sessions
+from shelfwatch.streaming import refresh
 
 
 def rows_of(df):
@@ -160,30 +160,3 @@ def test_edge_day_and_unknown_days_of_a_folder(spark, tmp_path):
     assert retention.expire_folder(spark, path, schema, "execution_time", "day", 30, now) == 3
     kept = {r["name"] for r in spark.read.schema(schema).parquet(path).collect()}
     assert kept == {str(t) for t in times if t is None or t >= now - timedelta(days=30)}
-
-
-MINUTES = [("a", 0), ("a", 20), ("a", 49), ("a", 120), ("b", 10), ("z", 600), ("a", 79), ("c", 5), ("c", 34), ("c", 64)]
-
-
-@pytest.mark.parametrize("order", [1, -1, 7])
-def test_sessions_count_late_actions(spark, tmp_path, order):
-    start = datetime(2024, 1, 1)
-    at = MINUTES[::order] if order < 7 else sorted(MINUTES, key=lambda x: x[1] % 7)
-    schema = "session_id string, user_name string, action_timestamp timestamp, action_type string"
-    source, out = str(tmp_path / "actions"), str(tmp_path / "sessions")
-    rows = [(s, f"user {s}", start + timedelta(minutes=m), "ORDER_PLACED") for s, m in at]
-    everything = spark.createDataFrame(rows, schema)
-    for row in rows:
-        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(source)
-    arriving = spark.readStream.schema(everything.schema).option("maxFilesPerTrigger", 3).parquet(source)
-    query = sessions.start_sessions(arriving, out, str(tmp_path / "checkpoint"), once=True)
-    query.awaitTermination()
-    assert refresh.last_batch(query) == 3
-    found = sessions.sessions_table(out).read(spark, 3)
-    assert rows_of(found) == rows_of(sessions.session_counts(everything))
-    assert found.agg(F.sum("actions_count")).first()[0] == len(rows)
-    counts = sorted((r["session_id"], r["actions_count"], r["items_ordered"]) for r in found.collect())
-    # minute 79 is 30 after minute 49 and still belongs to it, as 64 does to 34
-    assert counts == [("a", 1, 1), ("a", 4, 4), ("b", 1, 1), ("c", 3, 3), ("z", 1, 1)]
-    opened = sessions.open_sessions(found, F.lit(start + timedelta(minutes=601))).filter("is_open").collect()
-    assert [r["session_id"] for r in opened] == ["z"]
