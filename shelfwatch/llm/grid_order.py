@@ -118,7 +118,7 @@ def numbered_blocks(ordered: DataFrame) -> tuple[DataFrame, int]:
     for row in sorted(ends):
         starts.append((row.part, blocks))
         blocks += row.last // BLOCK + 1
-    starts = ordered.sparkSession.createDataFrame(starts, "part int, start long")
+    starts = staged(ordered.sparkSession.createDataFrame(starts, "part int, start long").coalesce(1), "block-starts")
     found = ordered.withColumn("part", part.cast("int")).join(starts, "part").drop("part")
     return found.withColumn("block", F.col("start") + (place / BLOCK).cast("long")).drop("start"), blocks
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfwatch.llm import windows as win
 from shelfwatch.llm.bitmap import bitmap_of, may_contain
-from shelfwatch.llm.common import narrowed, staged, text_of
+from shelfwatch.llm.common import narrowed, staged, text_of, text_pieces
 from shelfwatch.llm.components import components
 
 @dataclass(frozen=True)
@@ -125,7 +125,7 @@ def _described(size: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, names = np.zeros(CELLS, np.int32), ["doc", "content", "sig", "n", "bits", "stripe", "cells"]
-        for batch in batches:
+        for batch in text_pieces(batches, "text"):
             sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
             if sets:
                 cells, counts = np.unique(_cells(np.concatenate(sets)), return_counts=True)
@@ -136,10 +136,10 @@ def _described(size: int):
                  pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
         if total.any():
             # a task's counts are small; the few that are not are told apart by a second byte
-            parts = np.minimum(total, 65535).astype("<u2").reshape(STRIPES, -1)
-            empty = [pa.nulls(STRIPES, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())]
-            low = [p.view(np.uint8).reshape(-1, 2).T.tobytes() for p in parts]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array(range(STRIPES), pa.int32()), pa.array(low, pa.binary())], names=names)
+            for stripe, part in enumerate(total.reshape(STRIPES, -1)):
+                empty = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())]
+                low = np.minimum(part, 65535).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+                yield pa.RecordBatch.from_arrays([*empty, pa.array([stripe], pa.int32()), pa.array([low], pa.binary())], names=names)
 
     return rows
 
@@ -171,7 +171,7 @@ def sketch_of(described: DataFrame) -> np.ndarray:
 def _prefixes(size: int, t: Ratio, sketch):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
-        for batch in batches:
+        for batch in text_pieces(batches, "text"):
             out = []
             for text in batch.column("text").to_pylist():
                 found = shingles(text, size)
@@ -209,7 +209,7 @@ def groups_of(docs: DataFrame, size: int, t: Ratio, sketch: np.ndarray) -> tuple
 
 def _texts_verified(size: int, t: Ratio):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_pieces(batches, "text_a", "text_b"):
             held: dict[str, np.ndarray] = {}  # sets that have their signature only
             good = []
             for a, b, x, y in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "text_a", "text_b"))):

@@ -120,3 +120,19 @@ def test_components(spark):
         parent[max(root(a), root(b))] = min(root(a), root(b))
     rows = components(spark.createDataFrame(edges, "a string, b string")).collect()
     assert {r.node: r.component for r in rows} == {x: root(x) for x in parent if root(x) != x}
+
+
+def test_text_pieces_hold_every_row_once():
+    import pyarrow as pa
+
+    from shelfwatch.llm.common import text_pieces
+
+    texts = ["", "x" * 50, None, "y" * 7, "z" * 3, "", "w" * 9, "é" * 20]
+    batch = pa.RecordBatch.from_pydict({"n": list(range(8)), "text": texts, "other": texts[::-1]})
+    for columns in (("text",), ("text", "other")):
+        for most in (1, 10, 60, 10_000):
+            pieces = list(text_pieces(iter([batch, batch.slice(0, 0)]), *columns, most=most))
+            assert [n for p in pieces for n in p.column("n").to_pylist()] == list(range(8))
+            for p in pieces:
+                size = sum(len((v or "").encode()) for c in columns for v in p.column(c).to_pylist())
+                assert size <= most or p.num_rows == 1
