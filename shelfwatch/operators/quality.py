@@ -5,7 +5,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from shelfwatch import fixed_values as V
-from shelfwatch.operators.joins import same_key
 from shelfwatch.schema import LEDGER_COLUMNS, QUANTITIES, SERIES_KEY
 from shelfwatch.staging import staged
 

@@ -725,6 +725,16 @@ ORACLES: dict[str, str] = {
 ORACLES["l_runlog"] = query(
     "SELECT 'keep_actions' AS task_name, 'SUCCESS' AS status, COUNT(*) AS records_processed, 0 AS incomplete FROM actions", "actions"
 )
+part(
+    "restated",
+    "SELECT * FROM ledger WHERE DATE_TRUNC('month', date) = DATE '1998-03-01' AND closing_stock % 53 = 0",
+    "ledger",
+)
+ORACLES["t_cdc_leaves"] = query(
+    "SELECT 'DELETE' AS action, TRUE AS is_update, 1 AS rows, * FROM restated"
+    " UNION ALL SELECT 'INSERT', TRUE, 1, * REPLACE (issued + 1 AS issued) FROM restated",
+    "restated",
+)
 ORACLES["v_cols"] = query(
     "SELECT 'missing_column' AS rule, 'error' AS severity, \"column\", 1 AS count FROM ("
     + " UNION ALL ".join(f"SELECT '{c}' AS \"column\" FROM upload HAVING COUNT(*) > COUNT({c})" for c in f"{DAY}, {', '.join(QUANTITIES)}".split(", "))

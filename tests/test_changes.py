@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
+from shelfwatch.operators import changes
 from shelfwatch.operators.changes import change_feed, pending_changes, row_changes
-from shelfwatch.schema import DAY_KEY
+from shelfwatch.schema import DAY_KEY, SERIES_KEY
 
 OLD = [(0, "o", "l", "same", 0, 1, 5, 1), (0, "o", "l", "moved", 0, 1, 5, 1), (0, "o", None, "gone", 0, 1, 5, 1)]
 NEW = [(0, "o", "l", "same", 0, 1, 5, 1), (0, "o", "l", "moved", 0, 1, 6, 1), (0, "o", None, "new", 0, 1, 5, 1)]
@@ -52,3 +53,28 @@ def test_numbers_that_turn_null_are_updates(make_ledger):
     new = old.withColumn("issued", F.lit(None).cast("long"))
     assert row_changes(old, new, DAY_KEY).first()["op"] == "UPDATE"
     assert change_feed(old, new, DAY_KEY).count() == 2
+
+
+def test_only_changed_leaves_are_compared(spark, random_ledger, tmp_path):
+    path = str(tmp_path / "ledger")
+    random_ledger.withColumn("date", F.when(F.col("issued") != 7, F.col("date"))).write.parquet(path)
+    old = spark.read.parquet(path)
+    month = F.trunc("date", "month")
+    touched = (F.col("item") == "Item 6") & (F.col("date") == old.filter("item = 'Item 6'").agg(F.max("date")).first()[0])
+    new = old.withColumn("closing_stock", F.col("closing_stock") + F.when(touched, 5).otherwise(0)).unionByName(old.filter("item = 'Item 3'").limit(1))
+    new = new.filter(~((F.col("item") == "Item 4") & F.col("date").isNull()))
+    key = ["date", *SERIES_KEY]
+    trees = [changes.hash_tree(rows, month, SERIES_KEY) for rows in (old, new)]
+    leaves = changes.changed_leaves(*trees).collect()
+    assert 2 <= len(leaves) <= 3 < trees[0].count()
+    assert changes.changed_leaves(trees[0], trees[0]).count() == 0
+    # the order of rows and their partitions do not matter, repeated rows do
+    assert changes.changed_leaves(trees[0], changes.hash_tree(old.repartition(5), month, SERIES_KEY)).count() == 0
+    assert changes.changed_leaves(trees[0], changes.hash_tree(old.unionByName(old), month, SERIES_KEY)).count() == trees[0].count()
+    found = changes.changes_by_leaves(old, new, key, month, SERIES_KEY)
+    same = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert same(found) == same(changes.change_feed(old, new, key)) and found.count() >= 3
+    read = changes.rows_of_leaves(old, spark.createDataFrame(leaves), month, SERIES_KEY)
+    assert read.count() < old.count() / 4
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2  # rows of other leaves end there, before any exchange of rows

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from shelfwatch.operators import quality
 from shelfwatch.schema import LEDGER_COLUMNS
