@@ -150,14 +150,6 @@ _DOT_WORD = re.compile(r"(?<=[A-Za-z0-9])\s+(?:dot|point)\s+(?=[A-Za-z0-9])", re
 _NUMBER = "|".join(sorted(SPELLED, key=len, reverse=True))
 _SPELLED = re.compile(rf"\b(?:plus[\s,-]+)?(?:{_NUMBER})(?:[\s,-]+(?:(?:dot|point)[\s,-]+)?(?:{_NUMBER})){{2,}}\b", re.I)
 _SIGN_WORD = re.compile(r"[^\s,-]+")
-# What makes a text worth normalising.
-_DISGUISED = re.compile(
-    "[\u00ad\u0370-\U0010ffff]" r"|[(\[{<]\s*(?:at|dot|@|\.)\s*[)\]}>]|[_*-]at[_*-]|\sdot\s"
-    r"|\b(?:one|two|three|four|five|six|seven|eight|nine|zwei|drei|vier|fünf|sechs|sieben|neun|trois|quatre|cinq|sept"
-    r"|huit|neuf|cuatro|cinco|seis|siete|ocho|nueve)\b", re.I,
-)
-
-
 def _latin(m: re.Match) -> str:
     """One character for one: look-alikes, foreign digits and full-width forms."""
     char = m.group()
@@ -174,21 +166,28 @@ def _digits(m: re.Match) -> str:
     return "".join(SPELLED.get(w, signs.get(w, "")) for w in map(str.lower, _SIGN_WORD.findall(m.group())))
 
 
+# The transducers in the order in which they are applied.
+_RULES = [
+    (_UNSEEN, lambda m: ""), (_FOREIGN, _latin), (_SPELLED, _digits), (_AT, lambda m: "@"), (_DOT, lambda m: "."),
+    (_AT_WORD, lambda m: "@"), (_DOT_WORD, lambda m: "."),
+]
+
+
 def normalised(text: str) -> Tape:
     tape = Tape(text)
-    tape.rewrite(_UNSEEN, lambda m: "")
-    tape.rewrite(_FOREIGN, _latin)
-    tape.rewrite(_SPELLED, _digits)
-    tape.rewrite(_AT, lambda m: "@")
-    tape.rewrite(_DOT, lambda m: ".")
-    tape.rewrite(_AT_WORD, lambda m: "@")
-    tape.rewrite(_DOT_WORD, lambda m: ".")
+    for pattern, written in _RULES:
+        tape.rewrite(pattern, written)
     return tape
 
 
+def is_disguised(text: str) -> bool:
+    """Whether a transducer has anything to rewrite; if none has in the text itself, none gets to."""
+    return any(pattern.search(text) for pattern, _ in _RULES)
+
+
 def all_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """The base spans and those that only the normalised text shows."""
-    if not _DISGUISED.search(text):
+    if not is_disguised(text):
         return base
     tape = normalised(text)
     if tape.text == text:

@@ -73,3 +73,20 @@ def test_contract(docs_of, awkward, empty):
     assert rows[1].base_sha256 == hashlib.sha256(b"").hexdigest() and rows[1].spans == ""
     assert pii.find_personal_data(awkward).count() == 13
     assert pii.find_personal_data(empty).count() == 0
+
+
+def test_what_looks_plain_needs_no_transducer():
+    """Spans with the test for disguises are those without it."""
+    rng = random.Random(12)
+    words = [*pii.SPELLED, "plus", "dot", "point", "at", "(at)", "[dot]", "bob", "example", "com", "@", ".", "plain", "\u200b", "е", "7", "-", "ſeven"]
+    disguised = 0
+    for _ in range(3000):
+        text = rng.choice(["", " ", "  "]).join(rng.choice(words) + rng.choice(["", " ", " ", "-"]) for _ in range(rng.randrange(1, 14)))
+        base = pii.plain_spans(text)
+        spans = pii.all_spans(text, base)
+        if not pii.is_disguised(text):
+            assert pii.normalised(text).text == text and spans == base
+        disguised += spans != base
+    assert disguised > 5
+    for text, kind in (("bob@example point com", "email"), ("plus acht eins null acht eins null acht eins null acht", "phone"), ("zero oh " * 7, "card")):
+        assert pii.all_spans(text, pii.plain_spans(text))[kind]
