@@ -46,6 +46,9 @@ KEEP_RUNS_DAYS = 30
 # Minutes between refreshes; the shortest lag any table is allowed.
 REFRESH_MINUTES = 5
 
+# Minutes that each refreshed table may lag behind the ledger.
+TABLE_LAGS = {"stock": 5, "recommendations": 10, "usage": 15}
+
 # Tolerance of the result comparison.
 PARITY_TOLERANCE = 0.01
 

@@ -167,14 +167,21 @@ def analytics_summary(stock: DataFrame, recommendations: DataFrame, as_of: Colum
     return _summary(stock_with_recommendations(stock, recommendations), as_of)
 
 
+def summary_sums() -> list[Column]:
+    """The totals of :func:`with_advice` rows that add up over parts of the stock."""
+    return [
+        F.sum(F.when(F.col("risk_status") == "HIGH", 1).otherwise(0)).alias("high_risk_count"),
+        F.sum(F.when(F.col("days_left") <= 0, 1).otherwise(0)).alias("critical_risk_count"),
+        F.coalesce(F.sum("reorder_qty"), F.lit(0.0)).alias("total_reorder_qty"),
+    ]
+
+
 def _summary(rows: DataFrame, as_of: Column | datetime) -> DataFrame:
     now = as_time(as_of)
     totals = rows.agg(
         F.countDistinct("organization").alias("total_organizations"),
         F.countDistinct("item").alias("total_items"),
-        F.sum(F.when(F.col("risk_status") == "HIGH", 1).otherwise(0)).alias("high_risk_count"),
-        F.sum(F.when(F.col("days_left") <= 0, 1).otherwise(0)).alias("critical_risk_count"),
-        F.coalesce(F.sum("reorder_qty"), F.lit(0.0)).alias("total_reorder_qty"),
+        *summary_sums(),
     )
     return totals.select(
         now.cast("date").alias("summary_date"), F.hour(now).alias("summary_hour"), *totals.columns

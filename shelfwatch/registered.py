@@ -5,6 +5,7 @@ Each query takes (session, table folder). Inputs are derived by ``sources.star``
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -867,7 +868,9 @@ def _streamed(spark, sf) -> tuple[refresh.RefreshTables, int]:
     """Run the refresh over the ledger, which arrives in four batches in time order.
 
     A batch is FILES files; batch ``n`` holds the days up to the ``n``-th quarter of the
-    period, so its summary and alerts are those of a known part of the ledger.
+    period, so its summary and alerts are those of a known part of the ledger. By the
+    clock a batch comes every REFRESH_MINUTES, so the tables with longer lags skip some;
+    they catch up at the end.
     """
     path = new_folder(spark, "arrivals")
     rows = _stored_ledger(spark, sf).withColumn("batch", _quarter())
@@ -875,9 +878,14 @@ def _streamed(spark, sf) -> tuple[refresh.RefreshTables, int]:
         rows.filter(F.col("batch") == n).drop("batch").repartition(FILES).write.mode("append").parquet(path)
     root = new_folder(spark, "refresh")
     stream = refresh.ledger_stream(spark, path, files_per_batch=FILES)
-    query = refresh.start_refresh(stream, root, new_folder(spark, "checkpoint"), once=True, buckets=8)
+    ticks = count(step=60 * V.REFRESH_MINUTES)
+    query = refresh.start_refresh(
+        stream, root, new_folder(spark, "checkpoint"), once=True, buckets=8, lags=V.TABLE_LAGS, clock=lambda: next(ticks)
+    )
     query.awaitTermination()
-    return refresh.RefreshTables(root, 8), refresh.last_batch(query)
+    tables, batch = refresh.RefreshTables(root, 8), refresh.last_batch(query)
+    refresh.catch_up(spark, tables, batch)
+    return tables, batch
 
 
 def _quarter() -> Column:

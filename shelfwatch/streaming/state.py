@@ -78,6 +78,12 @@ class BucketedTable:
         self._clean(spark, batch_id, held)
         return self.read(spark, batch_id, written)
 
+    def carry(self, spark: SparkSession, batch_id: int) -> None:
+        """Name the rows of the batch before as those of ``batch_id``; nothing is read or written anew."""
+        held = self.manifest(spark, batch_id - 1)
+        write_text(spark, self._manifest(batch_id), json.dumps(held))
+        self._clean(spark, batch_id, held)
+
     def _clean(self, spark: SparkSession, batch_id: int, held: dict[int, int]) -> None:
         """Drop what only manifests before the last one name."""
         last, older = self.manifest(spark, batch_id - 1), self.manifest(spark, batch_id - 2)

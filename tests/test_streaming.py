@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -132,6 +133,122 @@ def test_untouched_buckets_keep_their_files(spark, make_ledger, tmp_path):
     assert tables.stock(spark, 2).count() == 40 and tables.tails.manifest(spark, 0) == {}
 
 
+LAGS = {"stock": 5, "recommendations": 10, "usage": 15}
+
+
+def test_tables_are_refreshed_by_their_own_lags(spark, random_ledger, tmp_path):
+    tables = refresh.RefreshTables(str(tmp_path / "tables"), 4)
+    parts = [random_ledger.filter(F.pmod(F.xxhash64("date", "issued"), F.lit(5)) == n) for n in range(5)]
+    counts = []
+    for n, part in enumerate(parts):  # a batch every five minutes
+        refresh.refresh(part, n, tables, lags=LAGS, now=300.0 * n)
+        counts.append({name: held["refreshes"] for name, held in tables.freshness(spark, n).items()})
+    assert [c["stock"] for c in counts] == [1, 2, 3, 4, 5]
+    assert [c["recommendations"] for c in counts] == [1, 1, 2, 2, 3]
+    assert [c["usage"] for c in counts] == [1, 1, 1, 2, 2]
+
+    def day_of(rows):
+        newest = rows.agg(F.max("date")).first()[0]
+        return datetime(newest.year, newest.month, newest.day)
+
+    def upto(n):
+        rows = parts[0]
+        for part in parts[1 : n + 1]:
+            rows = rows.unionByName(part)
+        return rows
+
+    as_of = day_of(random_ledger)
+    stock = latest.stock_analytics(random_ledger, as_of)
+    assert rows_of(tables.stock(spark, 4)) == rows_of(stock)
+    assert rows_of(tables.recommendations(spark, 4)) == rows_of(latest.reorder_recommendations(stock))
+    # the usage is that of the fourth batch until it is due again, then takes the fifth too
+    third = upto(3)
+    assert rows_of(tables.usage(spark, 4)) == rows_of(latest.usage_stats(third, day_of(third)))
+    refresh.catch_up(spark, tables, 4, lags=LAGS, now=300.0 * 5)
+    assert tables.freshness(spark, 4)["usage"]["batch"] == 3
+    refresh.catch_up(spark, tables, 4, lags=LAGS, now=300.0 * 6)
+    assert tables.freshness(spark, 4)["usage"] == {"batch": 4, "at": 1800.0, "newest": as_of.date().isoformat(), "refreshes": 3}
+    assert rows_of(tables.usage(spark, 4)) == rows_of(latest.usage_stats(random_ledger, as_of))
+    # nothing is behind now, and the next batch goes on from there
+    before = tables.freshness(spark, 4)
+    refresh.catch_up(spark, tables, 4)
+    assert tables.freshness(spark, 4) == before
+    refresh.refresh(parts[0], 5, tables)
+    assert [r["batch"] for r in tables.freshness(spark, 5).values()] == [5, 5, 5]
+
+
+def test_stock_that_lags_brings_summary_and_alerts_later(spark, make_ledger, tmp_path):
+    tables = refresh.RefreshTables(str(tmp_path / "tables"), 4)
+    for n in range(3):
+        refresh.refresh(make_ledger([(n, "o", "l", f"i{n}", 0, 5, 1, 7)]), n, tables, lags={"stock": 60}, now=60.0 * n)
+    assert [r["summary_id"] for r in tables.summaries(spark).collect()] == [0]
+    assert tables.stock(spark, 2).count() == tables.alerts(spark).count() == 1
+    refresh.catch_up(spark, tables, 2)
+    assert tables.stock(spark, 2).count() == tables.recommendations(spark, 2).count() == 3
+    latest_row = tables.summaries(spark).filter("summary_id = 2").first()
+    assert (latest_row["total_items"], latest_row["high_risk_count"]) == (3, 3)
+    assert tables.alerts(spark).filter("alert_date = '2024-01-03'").count() == 3
+
+
+def test_summary_reads_only_touched_buckets(spark, make_ledger, tmp_path, monkeypatch):
+    tables = refresh.RefreshTables(str(tmp_path / "tables"))
+    everyone = make_ledger([(d, f"o{n % 3}", "l", f"i{n}", 0, 5, 9, 7) for d in range(3) for n in range(40)] + [(0, None, "l", None, 0, 5, 9, 7)])
+    refresh.refresh(everyone, 0, tables)
+    read, whole = [], refresh.BucketedTable.read
+
+    def watched(table, session, batch_id, buckets=None):
+        read.append((table.path.split("/")[-1], buckets))
+        return whole(table, session, batch_id, buckets)
+
+    monkeypatch.setattr(refresh.BucketedTable, "read", watched)
+    monkeypatch.setattr(refresh, "_append_alerts", lambda *a: 0)  # a new day's alerts look at all stock
+    refresh.refresh(make_ledger([(4, "o1", "l", "i7", 0, 5, 1, 7), (4, "o9", "l", "i7", 0, 5, 1, 7)]), 1, tables)
+    monkeypatch.undo()
+    assert {"stock", "names"} <= {name for name, _ in read}
+    assert all(buckets is not None and len(buckets) <= 2 for _, buckets in read)
+    day = datetime(2024, 1, 5)
+    wanted = latest.summary_of_stock(tables.stock(spark, 1), day).first()
+    got = tables.summaries(spark).filter("summary_id = 1").first()
+    assert {c: got[c] for c in wanted.asDict()} == wanted.asDict()
+    assert (got["total_organizations"], got["total_items"]) == (4, 40)
+
+
+def test_names_that_leave_the_stock_are_not_counted(spark, make_ledger, tmp_path):
+    tables = refresh.RefreshTables(str(tmp_path / "tables"), 2)
+    refresh.refresh(make_ledger([(0, "o", "l", "i", 0, 5, 1, 7), (0, "p", "l", "i", 0, 5, 1, 7)]), 0, tables)
+    rows = tables.stock_rows.read(spark, 0)
+    tables.stock_rows.write(rows.filter("organization = 'o'"), 1, [0, 1])
+    tables.names.carry(spark, 1)
+    refresh._count_stock(spark, tables, 1, [0, 1])
+    assert tables.noted(spark, "totals", 1)["distinct"] == {"organization": 1, "item": 1}
+
+
+def test_idle_query_catches_up(spark, make_ledger, tmp_path):
+    source, tables = str(tmp_path / "source"), refresh.RefreshTables(str(tmp_path / "tables"), 2)
+    ticks = iter(range(10**6))
+    options = {"minutes": 1 / 60, "buckets": 2, "lags": {"usage": 3 / 60}, "clock": lambda: float(next(ticks))}
+
+    def add(n):
+        make_ledger([(n, "o", "l", f"i{n}", 0, 5, 1, 7)]).coalesce(1).write.mode("append").parquet(source)
+
+    def wait_for(done):
+        end = time.time() + 90
+        while not done() and time.time() < end:
+            time.sleep(0.5)
+        assert done()
+
+    add(0)
+    query = refresh.start_refresh(refresh.ledger_stream(spark, source), tables.root, str(tmp_path / "cp"), **options)
+    try:
+        wait_for(lambda: tables.freshness(spark, 0)["usage"]["batch"] == 0)
+        add(1)
+        wait_for(lambda: tables.freshness(spark, 1)["stock"]["batch"] == 1)
+        wait_for(lambda: tables.freshness(spark, 1)["usage"]["batch"] == 1)
+        assert tables.usage(spark, 1).count() == 2
+    finally:
+        query.stop()
+
+
 def test_retention_of_the_engines_own_tables(spark, make_ledger, tmp_path):
     tables = refresh.RefreshTables(str(tmp_path / "tables"))
     for n, day in enumerate((0, 100, 200, 400)):
