@@ -169,11 +169,19 @@ class RefreshTables:
 
     def keys_between(self, spark: SparkSession, after: int, upto: int) -> DataFrame:
         """Series touched after one batch, up to another; a series may be listed once per batch."""
-        held = [int(f.split("=")[1]) for f in folders(spark, f"{self.root}/touched")]
-        places = [self.touched(n) for n in held if after < n <= upto]
+        places = [self.touched(n) for n in self._touched_in(spark, after, upto)]
         schema = T.StructType(_KEY_FIELDS)
         return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
 
+    def buckets_between(self, spark: SparkSession, after: int, upto: int) -> list[int]:
+        """Buckets of these series, as noted beside them; no job."""
+        notes = [read_text(spark, f"{self.touched(n)}/_buckets.json") for n in self._touched_in(spark, after, upto)]
+        return sorted({bucket for text in notes for bucket in json.loads(text)})
+
+    def _touched_in(self, spark: SparkSession, after: int, upto: int) -> list[int]:
+        held = [int(f.split("=")[1]) for f in folders(spark, f"{self.root}/touched")]
+        return [n for n in held if after < n <= upto]
+
     def log(self, name: str, column: str, day: date | None, batch_id: int | str) -> str:
         return f"{self.root}/{name}/{column}={day or '__HIVE_DEFAULT_PARTITION__'}/batch_id={batch_id}"
 
@@ -235,6 +243,7 @@ def _arrive(batch: DataFrame, batch_id: int, tables: RefreshTables) -> None:
     rows = _save(batch.select(*LEDGER.fieldNames()), f"{tables.root}/arrived/batch={batch_id}")
     touched = _save(rows.select(*SERIES_KEY).distinct(), tables.touched(batch_id))
     buckets = _touched_buckets(touched, tables)
+    write_text(spark, f"{tables.touched(batch_id)}/_buckets.json", json.dumps(buckets))
     old = tables.tails.read(spark, batch_id - 1, buckets)
     merged = rows.unionByName(with_keys(old, touched, SERIES_KEY).drop("recency"))
     fresh = latest_rows(merged, V.LONG_FRAME_ROWS).select(*TAILS.fieldNames())
@@ -274,13 +283,14 @@ def _refresh_due(
     builders = {"stock": (tables.stock_rows, stock_from_tails), "usage": (tables.usage_rows, usage_from_tails)}
     due = [n for n in builders if _is_due(before[n], batch_id, lags.get(n, 0), now)]
     if due:
-        wanted = tables.keys_between(spark, min(before[n]["batch"] for n in due), batch_id)
-        tails = tables.tails.read(spark, batch_id, _touched_buckets(wanted, tables))
+        since = min(before[n]["batch"] for n in due)
+        wanted = tables.keys_between(spark, since, batch_id)
+        tails = tables.tails.read(spark, batch_id, tables.buckets_between(spark, since, batch_id))
         figures = _save(figures_of(with_keys(tails, wanted, SERIES_KEY)), f"{tables.root}/figures")
     for name in due:
         table, build = builders[name]
         keys = tables.keys_between(spark, before[name]["batch"], batch_id)
-        buckets = _touched_buckets(keys, tables)
+        buckets = tables.buckets_between(spark, before[name]["batch"], batch_id)
         _replace(table, build(with_keys(figures, keys, SERIES_KEY), F.lit(None)), keys, batch_id, buckets)
         if name == "stock":
             _count_stock(spark, tables, batch_id, buckets)
@@ -288,7 +298,7 @@ def _refresh_due(
     name, upto = "recommendations", after["stock"]["batch"]
     if _is_due(before[name], upto, lags.get(name, 0), now):
         keys = tables.keys_between(spark, before[name]["batch"], upto)
-        buckets = _touched_buckets(keys, tables)
+        buckets = tables.buckets_between(spark, before[name]["batch"], upto)
         stock = with_keys(tables.stock_rows.read(spark, batch_id, buckets), keys, SERIES_KEY)
         advised = reorder_recommendations(stock.withColumn("last_updated", F.lit(None)))
         _replace(tables.recommendation_rows, advised, keys, batch_id, buckets)
@@ -411,8 +421,8 @@ def _follow(
             return 0
         as_of = datetime(day.year, day.month, day.day)
         _save(_summary_row(spark, tables, batch_id, as_of), tables.log("summaries", "summary_date", day, batch_id))
-        keys = tables.keys_between(spark, before["stock"]["batch"], batch_id)
-        state.update(changed=_stock_changed(spark, tables, batch_id, keys), day=day, as_of=as_of)
+        changed = _stock_changed(spark, tables, batch_id, before["stock"]["batch"])
+        state.update(changed=changed, day=day, as_of=as_of)
         return 1
 
     def alert() -> int:
@@ -445,9 +455,9 @@ def _summary_row(spark: SparkSession, tables: RefreshTables, batch_id: int, as_o
     return spark.createDataFrame([tuple(row[c] for c in schema.fieldNames())], schema)
 
 
-def _stock_changed(spark: SparkSession, tables: RefreshTables, batch_id: int, touched: DataFrame) -> bool:
-    """Whether the stock of the touched series differs from what it was."""
-    buckets = _touched_buckets(touched, tables)
+def _stock_changed(spark: SparkSession, tables: RefreshTables, batch_id: int, after: int) -> bool:
+    """Whether the stock of the series touched since the batch ``after`` differs from what it was."""
+    touched, buckets = tables.keys_between(spark, after, batch_id), tables.buckets_between(spark, after, batch_id)
     old, new = (with_keys(tables.stock_rows.read(spark, n, buckets), touched, SERIES_KEY) for n in (batch_id - 1, batch_id))
     return not row_changes(old, new, SERIES_KEY).isEmpty()
 
