@@ -251,21 +251,29 @@ def parted(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.filter(maybe), docs.filter(~maybe)
 
 
-def distinct_contents(docs: DataFrame, runs: DataFrame, units: Units, group_limit: int) -> DataFrame:
-    """(key, content, many, doc, units): one run per content, its smallest doc and its units.
+def distinct_contents(docs: DataFrame, runs: DataFrame, units: Units, group_limit: int) -> tuple[DataFrame, DataFrame]:
+    """One run per content, its smallest doc: (those to compare, those that stand alone).
 
-    ``many``: the key has more than ``group_limit`` contents, too many for one task.
+    The first as (key, content, many, doc, units); ``many``: the key has more than
+    ``group_limit`` contents, too many for one task. A window of a content whose key has no
+    other is found in equal contents only, so its smallest doc is known, and the second are
+    ``RESOLVED`` rows without a look at the text.
     """
     first = runs.groupBy("key", "content").agg(F.min(F.struct("doc", "rid", "first", "n")).alias("run"))
     first = staged(first.select("key", "content", "run.*"), "contents")
-    many = first.groupBy("key").agg(F.count(F.lit(1)).alias("contents")).filter(F.col("contents") > group_limit)
-    first = first.join(staged(many.select("key", F.lit(True).alias("many")), "many"), "key", "left")
+    several = first.groupBy("key").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1")
+    several = staged(several, "several")
+    maybe = may_contain(bitmap_of(several.select(F.xxhash64("key").alias("key")), "key"), F.xxhash64("key"))
+    alone = first.filter(~maybe).select("key", "content", F.lit(0).cast("long").alias("at"), "n", F.col("doc").alias("earliest"))
+    many = several.filter(F.col("contents") > group_limit).select("key", F.lit(True).alias("many"))
+    first = first.filter(maybe).join(staged(many, "many"), "key", "left")
     wanted = first.groupBy("doc", "rid").agg(
         F.collect_list(F.struct("key", "content", "first", "n", F.coalesce("many", F.lit(False)).alias("many"))).alias("wanted")
     )
     wanted = staged(wanted, "wanted")
     rows = parted(docs, wanted)[0].join(wanted, ["doc", "rid"]).select("doc", "text", "wanted")
-    return staged(rows.mapInArrow(_contents(units), "key long, content long, many boolean, doc long, units binary"), "units")
+    rows = rows.mapInArrow(_contents(units), "key long, content long, many boolean, doc long, units binary")
+    return staged(rows, "units"), alone
 
 
 # --- the smallest document of each window ---------------------------------------------
@@ -334,16 +342,17 @@ def resolved_in_tasks(contents: DataFrame, earliest_of: Callable[[np.ndarray, li
 
 
 def repeated_windows(docs: DataFrame, units: Units, dtype, chunk: tuple[int, int], gram: int, group_limit: int,
-                     earliest_of: Callable) -> DataFrame:
+                     earliest_of: Callable, hot: Callable[[DataFrame, type], DataFrame] = resolved_by_pairs) -> DataFrame:
     """(doc, rid, ranges): the window starts that are repeats, for documents that have any.
 
-    ``docs`` as from ``identified``; ``earliest_of`` as in ``resolved_in_tasks``.
+    ``docs`` as from ``identified``; ``earliest_of`` as in ``resolved_in_tasks``; ``hot``
+    gives the ``RESOLVED`` rows of contents whose key has too many for one task.
     """
     chunks = repeated_chunks(docs, units, *chunk)
     runs = candidate_runs(docs, chunks, units, gram)
-    contents = distinct_contents(docs, runs, units, group_limit)
-    known = resolved_in_tasks(contents.filter("NOT many"), earliest_of, dtype)
-    known = staged(known.unionByName(resolved_by_pairs(contents.filter("many"), dtype)), "resolved")
+    contents, alone = distinct_contents(docs, runs, units, group_limit)
+    known = resolved_in_tasks(contents.filter("NOT many"), earliest_of, dtype).unionByName(alone)
+    known = staged(known.unionByName(hot(contents.filter("many"), dtype)), "resolved")
     found = runs.select("key", "content", "doc", "rid", "first").join(known, ["key", "content"]).filter("earliest < doc")
     found = found.select("doc", "rid", (F.col("first") + F.col("at")).alias("first"), "n")
     return staged(by_document(chunks.unionByName(found)), "repeats")
