@@ -225,10 +225,10 @@ def _contents(units: Units):
                 at = np.arange(ends[-1]) + np.repeat(first - (ends - length), length)
                 offsets = np.concatenate([[0], ends * data.itemsize]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [found.field("key"), found.field("content"), found.field("many"),
+                    [found.field("key"), found.field("content"), found.field("shared"), found.field("many"),
                      pa.array(np.repeat(batch.column("doc").to_numpy()[begin:end], per_doc)),
                      pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])],
-                    names=["key", "content", "many", "doc", "units"],
+                    names=["key", "content", "shared", "many", "doc", "units"],
                 )
 
     return rows
@@ -254,25 +254,27 @@ def parted(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
 def distinct_contents(docs: DataFrame, runs: DataFrame, units: Units, group_limit: int) -> tuple[DataFrame, DataFrame]:
     """One run per content, its smallest doc: (those to compare, those that stand alone).
 
-    The first as (key, content, many, doc, units); ``many``: the key has more than
+    The first as (key, content, shared, many, doc, units); ``shared``: other runs have
+    the content too, which else needs no row where its own doc is the smallest; ``many``: the key has more than
     ``group_limit`` contents, too many for one task. A window of a content whose key has no
     other is found in equal contents only, so its smallest doc is known, and the second are
     ``RESOLVED`` rows without a look at the text.
     """
-    first = runs.groupBy("key", "content").agg(F.min(F.struct("doc", "rid", "first", "n")).alias("run"))
-    first = staged(first.select("key", "content", "run.*"), "contents")
+    least = F.min(F.struct("doc", "rid", "first", "n")).alias("run")
+    first = runs.groupBy("key", "content").agg(least, (F.count(F.lit(1)) > 1).alias("shared"))
+    first = staged(first.select("key", "content", "shared", "run.*"), "contents")
     several = first.groupBy("key").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1")
     several = staged(several, "several")
     maybe = may_contain(bitmap_of(several.select(F.xxhash64("key").alias("key")), "key"), F.xxhash64("key"))
-    alone = first.filter(~maybe).select("key", "content", F.lit(0).cast("long").alias("at"), "n", F.col("doc").alias("earliest"))
+    alone = first.filter(~maybe & F.col("shared")).select("key", "content", F.lit(0).cast("long").alias("at"), "n", F.col("doc").alias("earliest"))
     many = several.filter(F.col("contents") > group_limit).select("key", F.lit(True).alias("many"))
     first = first.filter(maybe).join(staged(many, "many"), "key", "left")
     wanted = first.groupBy("doc", "rid").agg(
-        F.collect_list(F.struct("key", "content", "first", "n", F.coalesce("many", F.lit(False)).alias("many"))).alias("wanted")
+        F.collect_list(F.struct("key", "content", "shared", "first", "n", F.coalesce("many", F.lit(False)).alias("many"))).alias("wanted")
     )
     wanted = staged(wanted, "wanted")
     rows = parted(docs, wanted)[0].join(wanted, ["doc", "rid"]).select("doc", "text", "wanted")
-    rows = rows.mapInArrow(_contents(units), "key long, content long, many boolean, doc long, units binary")
+    rows = rows.mapInArrow(_contents(units), "key long, content long, shared boolean, many boolean, doc long, units binary")
     return staged(rows, "units"), alone
 
 
@@ -333,8 +335,9 @@ def resolved_in_tasks(contents: DataFrame, earliest_of: Callable[[np.ndarray, li
         data = [np.frombuffer(x, dtype) for x in group["units"]]
         earliest = earliest_of(group["key"].to_numpy(), data, group["doc"].to_numpy())
         ends = np.cumsum([len(d) - win.WINDOW + 1 for d in data])
-        rows = [(key, content, *run) for key, content, part in
-                zip(group["key"], group["content"], np.split(earliest, ends[:-1])) for run in run_lengths(part)]
+        each = zip(group["key"], group["content"], group["shared"], group["doc"], np.split(earliest, ends[:-1]))
+        rows = [(key, content, *run) for key, content, shared, doc, part in each for run in run_lengths(part)
+                if shared or run[2] < doc]
         return pd.DataFrame(rows, columns=["key", "content", "at", "n", "earliest"])
 
     groups = 8 * shuffle_partitions(contents.sparkSession)
