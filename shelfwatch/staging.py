@@ -2,10 +2,13 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDER_SETTING = "spark.checkpoint.dir"
+CLEAN_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 _chosen: dict[str, str] = {}
@@ -63,6 +66,24 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of what is written here as soon as it is written.
+
+    Nothing reads them again: the written table is the new beginning. Else they stay until
+    the driver happens to collect the plan.
+    """
+    before = spark.conf.get(CLEAN_SETTING, None)
+    spark.conf.set(CLEAN_SETTING, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SETTING)
+        else:
+            spark.conf.set(CLEAN_SETTING, before)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -72,7 +93,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
