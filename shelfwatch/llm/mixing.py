@@ -3,9 +3,11 @@
 Documents are counted by source and exact length. Of each source, whole documents
 are taken once or not at all, and then some of them once more (never beyond twice),
 so that the words taken come as near to the source's target as whole documents
-allow. How many documents of each length that needs is found by taking every length
-in proportion and fitting what is left of the budget by bounded-knapsack dynamic
-programming over the remaining counts. The documents of a length are then selected by
+allow, from below or above. How many documents of each length that needs is found by
+taking every length in proportion, up to ``TABLE`` words before the budget's end, and
+fitting the rest by bounded-knapsack dynamic programming over the remaining counts: the
+nearest sum of all for budgets up to ``TABLE / 2``, and beyond that the nearest one that
+holds what was taken in proportion. The documents of a length are then selected by
 a seeded hash of their ids, so reruns agree.
 
 Only the table of lengths is fitted in one task per source: it has at most
@@ -57,15 +59,16 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def fit_budget(sizes: list[int], counts: list[int], budget: int, table: int = TABLE) -> list[int]:
-    """How many of each size to take, at most ``counts``, to come nearest to ``budget`` from below.
+    """How many of each size to take, at most ``counts``, to come nearest to ``budget``.
 
-    Sizes are positive and distinct. Exact when the budget left after taking every
-    size in proportion and then the largest sizes is at most ``table``.
+    Sizes are positive and distinct; of two sums as near, the one below is taken. Exact
+    for budgets up to half of ``table``.
     """
     total = sum(s * c for s, c in zip(sizes, counts))
     if budget >= total:
         return list(counts)
-    picks = [c * budget // total for c in counts]
+    proportion = max(0, budget - table // 2)
+    picks = [c * proportion // total for c in counts]
     rest = budget - sum(s * p for s, p in zip(sizes, picks))
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     for i in order:  # down to what the table holds
@@ -73,18 +76,26 @@ def fit_budget(sizes: list[int], counts: list[int], budget: int, table: int = TA
         picks[i] += more
         rest -= more * sizes[i]
     # Bounded knapsack: counts in powers of two, the sums reached as bits of one number.
-    reached, steps, full = 1, [], 1 << rest
-    for i in reversed(order):
-        left, part = min(counts[i] - picks[i], rest // sizes[i]), 1
-        while left > 0 and not reached & full:
+    # The nearest sum above the rest goes beyond it by less than one document.
+    free = [i for i in reversed(order) if counts[i] > picks[i]]
+    most = rest + max((sizes[i] for i in free), default=0)
+    reached, steps, within = 1, [], (1 << (most + 1)) - 1
+    for i in free:
+        left, part = min(counts[i] - picks[i], most // sizes[i]), 1
+        while left > 0 and not reached >> rest & 1:
             part_now = min(part, left)
             steps.append((reached, i, part_now))
-            reached |= (reached << (sizes[i] * part_now)) & ((full << 1) - 1)
+            reached |= (reached << (sizes[i] * part_now)) & within
             left -= part_now
             part *= 2
-        if reached & full:
+        if reached >> rest & 1:
             break
-    at = reached.bit_length() - 1
+    at = (reached & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = reached >> rest
+    if above:
+        over = (above & -above).bit_length() - 1
+        if over < rest - at:
+            at = rest + over
     for before, i, part in reversed(steps):
         if not before >> at & 1:
             picks[i] += part
@@ -143,15 +154,22 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` (columns of documents) as often as the mix takes them.
 
-    Rows that are equal in doc_id, source and text are repeated by their mean share,
-    rounded up.
+    Rows that are equal in doc_id, source and text share what the mix takes of them; where
+    that does not go up evenly, those that come first by their other columns get one more.
     """
-    known = docs.select(*[c for c in DOCUMENT if c in docs.columns]).withColumn("_key", F.xxhash64("doc_id", "source", "text"))
-    chosen = mix(docs, seed).filter("taken > 0").groupBy("key").agg(
-        F.ceil(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_times")
-    )
-    joined = known.join(staged(chosen.withColumnRenamed("key", "_key"), "times"), "_key")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_key", "_times", "_copy")
+    columns = [c for c in DOCUMENT if c in docs.columns]
+    known = docs.select(*columns).withColumn("_key", F.xxhash64("doc_id", "source", "text"))
+    times = F.sum(F.expr("taken div size"))
+    chosen = mix(docs, seed).filter("size > 0").groupBy("key").agg(times.alias("times"), F.count(F.lit(1)).alias("rows"))
+    chosen = staged(chosen.filter("times > 0").select(
+        F.col("key").alias("_key"), F.expr("int(times div rows)").alias("_times"), (F.col("times") % F.col("rows")).alias("_rest")
+    ), "times")
+    even = known.join(chosen.filter("_times > 0").drop("_rest"), "_key")
+    uneven = known.join(chosen.filter("_rest > 0").drop("_times"), "_key").groupBy("_key", "_rest", *columns).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("_key").orderBy(*columns).rowsBetween(W.unboundedPreceding, -1)
+    left = F.col("_rest") - F.coalesce(F.sum("_n").over(before), F.lit(0))
+    uneven = uneven.withColumn("_times", F.least(F.col("_n"), left).cast("int")).filter("_times > 0").drop("_rest", "_n")
+    return even.unionByName(uneven).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ The number of packed items is therefore at most ``shards * (FINE + 1024)`` whate
 the size of the table, and one task packs them: sizes fall, and each item enters
 the open bin with the least room that fits, found in a balanced tree. For a given
 number of shards the smallest capacity is searched for which that many bins suffice.
+With a capacity the table's size decides how many shards there are; the items of each
+``PACKED_SHARDS`` of them, dealt by hash, are then packed by a task of their own.
 
 Slots number the rows of a shard without gaps. They are counted in slices of each
 shard by hash of doc_id, so no task sorts a whole shard or a whole group of copies.
@@ -24,6 +26,7 @@ from shelfwatch.llm.packing import best_fit, pack_into
 SHARDS = 16
 FINE = 1000
 BUNDLES_PER_SHARD = 1024
+PACKED_SHARDS = 256  # shards of a capacity that one task packs
 SLICES = 1024
 
 
@@ -37,21 +40,28 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def _placed(groups: DataFrame, shards: int, capacity: int | None) -> DataFrame:
     """(group_key, shard) of every group."""
-    mean = capacity or (groups.agg(F.sum("bytes")).first()[0] or 0) / shards
-    bundles = shards * BUNDLES_PER_SHARD
-    bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("group_key"), F.lit(bundles)).cast("string"))
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    mean = capacity or total / shards
+    expected = max(1, -(-total // capacity)) if capacity else shards
+    bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("group_key"), F.lit(expected * BUNDLES_PER_SHARD)).cast("string"))
     items = groups.withColumn("item", F.when(F.col("bytes") > mean / FINE, F.col("group_key")).otherwise(bundle))
     items = staged(items, "items")
+    parts = -(-expected // PACKED_SHARDS) if capacity else 1
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bytes", "item"], ascending=[False, True])
         sizes = [int(x) for x in rows["bytes"]]
         bins = best_fit(sizes, capacity) if capacity else pack_into(sizes, shards)
-        return pd.DataFrame({"item": rows["item"], "shard": bins})
+        return pd.DataFrame({"part": rows["part"], "item": rows["item"], "shard": bins})
 
     summed = items.groupBy("item").agg(F.sum("bytes").alias("bytes"))
-    placed = summed.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(pack, "item string, shard int")
-    placed = staged(placed, "packed")
+    dealt = summed.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int"))
+    placed = staged(dealt.groupBy("part").applyInPandas(pack, "part int, item string, shard int"), "packed")
+    # The shards of a part follow those of the parts before it.
+    opened = placed.groupBy("part").agg((F.max("shard") + 1).alias("opened"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = opened.select("part", F.coalesce(F.sum("opened").over(before), F.lit(0)).alias("start"))
+    placed = placed.join(starts, "part").select("item", (F.col("start") + F.col("shard")).cast("int").alias("shard"))
     return items.join(placed, "item").select("group_key", "shard")
 
 

@@ -20,19 +20,27 @@ def brute_targets(sizes):
         fixed |= {s: 2.0 * sizes[s] for s in over}
 
 
-def test_fit_is_the_best_subset_sum():
+@pytest.mark.parametrize("table", [m.TABLE, 60])
+def test_fit_is_the_best_subset_sum(table):
     rng = random.Random(4)
     for _ in range(60):
         sizes = rng.sample(range(1, 30), rng.randint(1, 4))
         counts = [rng.randint(1, 3) for _ in sizes]
         for budget in rng.sample(range(0, 80), 5):
-            picks = m.fit_budget(sizes, counts, budget)
+            picks = m.fit_budget(sizes, counts, budget, table)
             assert all(0 <= p <= c for p, c in zip(picks, counts))
             got = sum(s * p for s, p in zip(sizes, picks))
-            assert got <= budget
             reach = {sum(s * p for s, p in zip(sizes, c)) for c in itertools.product(*(range(c + 1) for c in counts))}
-            # Taking in proportion first may cost a little of the optimum.
-            assert max(r for r in reach if r <= budget) - got <= max(sizes)
+            best = min(abs(r - budget) for r in reach)
+            if budget <= table // 2:
+                assert abs(got - budget) == best
+            else:  # what is taken in proportion may cost a little of the optimum
+                assert abs(got - budget) <= best + max(sizes)
+
+
+def test_the_nearer_side_is_taken():
+    assert m.fit_budget([40], [1], 23) == [1] and m.fit_budget([40], [1], 20) == [0]
+    assert m.fit_budget([7, 40], [1, 1], 43) == [0, 1] and m.fit_budget([7, 40], [1, 1], 44) == [1, 1]
 
 
 def test_fit_of_a_large_budget():
@@ -67,10 +75,31 @@ def test_documents_are_repeated(docs_of, prose):
     assert rows[0].asDict().keys() == set(docs.columns)
 
 
+def test_equal_rows_share_what_is_taken(docs_of):
+    """25 rows of 4 words in source b, equal but for their lang; 118 words are to be taken of them."""
+    rows = [(5, "four words of text", "en" if i < 10 else "de", "b") for i in range(25)]
+    rows += [(9 + i, "and six more words of another source", "en", "a") for i in range(9)]
+    docs = docs_of(rows)
+    taken = sum(r.taken for r in m.mix(docs).collect() if r.source == "b")
+    assert taken % 100 != 0  # not the same for each
+    kept = [r for r in m.mixed_documents(docs).collect() if r.source == "b"]
+    assert len(kept) * 4 == taken
+    assert {r.lang for r in kept} == {"en", "de"}
+    assert sorted(map(str, kept)) == sorted(str(r) for r in m.mixed_documents(docs_of(rows[::-1])).collect() if r.source == "b")
+
+
+def test_one_document_comes_near_its_target(docs_of):
+    """A target of 63.3 for a document of 40 words is nearer to 80 than to 40."""
+    rows = [(1, "w " * 40, "en", "a")] + [(2 + i, "x " * 10, "en", "b") for i in range(8)]
+    found = {r.source: r for r in m.mix(docs_of(rows)).collect()}
+    nearest = min((0, 40, 80), key=lambda t: abs(t - found["a"].target))
+    assert found["a"].taken == nearest
+
+
 def test_awkward_rows(awkward, empty):
     rows = m.mix(awkward).collect()
     assert len(rows) == 13
     assert all(r.taken == 0 for r in rows if r.size == 0)
-    assert sum(r.taken for r in rows) <= 1.5 * sum(r.size for r in rows) + 13
-    assert m.mixed_documents(awkward).filter("doc_id IS NULL OR doc_id > 0").count() >= 0
+    assert abs(sum(r.taken for r in rows) - 1.5 * sum(r.size for r in rows)) <= max(r.size for r in rows) * len({r.source for r in rows})
+    assert m.mixed_documents(awkward).count() == sum(r.taken // r.size for r in rows if r.size)
     assert m.mix(empty).count() == 0 and m.mixed_documents(empty).count() == 0

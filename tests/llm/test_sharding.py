@@ -68,6 +68,26 @@ def test_fixed_capacity(docs_of, prose):
     assert len(loads) <= sum(loads.values()) // 8000 + 2
 
 
+def test_many_shards_of_a_small_capacity(docs_of, prose, monkeypatch):
+    """Many more shards than ``shards`` expects, packed in parts of 4."""
+    monkeypatch.setattr(sharding, "PACKED_SHARDS", 4)
+    texts = [(i, f"t{i}") for i in range(3000)] + prose(100)
+    rows = sharding.shard(docs_of(texts), shards=2, capacity=2500).collect()
+    loads, groups = {}, {}
+    for r in rows:
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+        groups[r.group_key] = groups.get(r.group_key, 0) + r.size
+    assert len(rows) == len(texts)
+    assert all(load <= 2500 or load in groups.values() for load in loads.values())  # a larger group is alone
+    assert sorted(loads) == list(range(len(loads)))
+    expected = -(-sum(loads.values()) // 2500)
+    assert len(loads) <= 1.5 * expected + 4
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_awkward_rows(awkward, empty):
     rows = sharding.contract_rows(awkward).collect()
     assert len(rows) == 13
