@@ -289,40 +289,6 @@ def run_lengths(earliest: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(cut.tolist(), np.diff(np.append(cut, len(earliest))).tolist(), earliest[cut].tolist()))
 
 
-def _halves(dtype):
-    """One row per window: the ranks, by hash, of its first half and of the rest."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = win.WINDOW // 2
-        for batch in batches:
-            for key, content, doc, raw in zip(*(batch.column(n).to_pylist() for n in ("key", "content", "doc", "units"))):
-                units = np.frombuffer(raw, dtype)
-                spans = win.Spans(win.as_units(units))
-                starts = np.arange(len(units) - win.WINDOW + 1)
-                a, b = spans.hashes(starts, starts + half), spans.hashes(starts + half, starts + win.WINDOW)
-                same = [pa.array(np.full(len(starts), x, np.int64)) for x in (key, content, doc)]
-                yield pa.RecordBatch.from_arrays(
-                    [*same, pa.array(starts), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
-                    names=["key", "content", "doc", "at", "rank", "next_rank"],
-                )
-
-    return rows
-
-
-def resolved_by_pairs(contents: DataFrame, dtype) -> DataFrame:
-    """``RESOLVED`` rows from pairs of ranks half a window apart, in one Spark aggregation.
-
-    Used where one anchor has too many contents for one task: nothing meets there but
-    equal pairs, which are combined before the shuffle.
-    """
-    rows = contents.select("key", "content", "doc", "units").mapInArrow(
-        _halves(dtype), "key long, content long, doc long, at long, rank long, next_rank long"
-    )
-    rows = staged(rows, "pairs")
-    least = staged(rows.groupBy("rank", "next_rank").agg(F.min("doc").alias("earliest")), "pair-classes")
-    return rows.join(least, ["rank", "next_rank"]).select("key", "content", "at", F.lit(1).cast("long").alias("n"), "earliest")
-
-
 def resolved_in_tasks(contents: DataFrame, earliest_of: Callable[[np.ndarray, list[np.ndarray], np.ndarray], np.ndarray],
                       dtype) -> DataFrame:
     """``RESOLVED`` rows from tasks that hold all contents of some anchors.
@@ -345,7 +311,7 @@ def resolved_in_tasks(contents: DataFrame, earliest_of: Callable[[np.ndarray, li
 
 
 def repeated_windows(docs: DataFrame, units: Units, dtype, chunk: tuple[int, int], gram: int, group_limit: int,
-                     earliest_of: Callable, hot: Callable[[DataFrame, type], DataFrame] = resolved_by_pairs) -> DataFrame:
+                     earliest_of: Callable, hot: Callable[[DataFrame, type], DataFrame]) -> DataFrame:
     """(doc, rid, ranges): the window starts that are repeats, for documents that have any.
 
     ``docs`` as from ``identified``; ``earliest_of`` as in ``resolved_in_tasks``; ``hot``

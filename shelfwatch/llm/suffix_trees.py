@@ -1,8 +1,10 @@
 """Substring dedup over words by prefix-partitioned suffix trees.
 
-Suffixes are dealt out by a prefix of variable length, so that each group fits one
-task: normally the anchor inside their first window (``GRAM`` words), and the whole
-window where one anchor has more than ``GROUP_LIMIT`` different contents. In a task the
+Suffixes are dealt out by what equal ones share, so that each group fits one task:
+normally the anchor inside their first window (``GRAM`` words). Where one anchor has more
+than ``GROUP_LIMIT`` different contents, its suffixes are dealt out by the shortest of
+their ``PREFIXES`` that at most as many begin with, and those of a longer prefix still by
+the whole window, whose tree is one node (``trees_by_prefix``). In a task the
 suffix trees of its groups are built from the root downwards, one level of words at a
 time for all of them: a node's suffixes are parted by their next word, and a suffix
 that is alone becomes a leaf and is done. Nodes still shared at the depth of a window
@@ -20,17 +22,19 @@ no rows.
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfwatch.llm import repeats, windows as win
-from shelfwatch.llm.common import words_of
+from shelfwatch.llm.common import shuffle_partitions, staged, words_of
 
 CHUNK = 64  # window starts in a chunk, on average
 CHUNK_GRAM = 4
 GRAM = 12
-GROUP_LIMIT = 500
+GROUP_LIMIT = 5000  # some 5 MB of words
+PREFIXES = [16, 32]  # words of longer prefixes
 
 
 def split_words(text: str) -> list[bytes]:
@@ -68,9 +72,63 @@ def tree_earliest(keys: np.ndarray, contents: list[np.ndarray], docs: np.ndarray
     return earliest
 
 
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per window start: its window's words and the hashes of its prefixes."""
+    for batch in batches:
+        for key, content, doc, raw in zip(*(batch.column(n).to_pylist() for n in ("key", "content", "doc", "units"))):
+            units = np.frombuffer(raw, np.uint64)
+            spans, at = win.Spans(units), np.arange(len(units) - win.WINDOW + 1)
+            same = [pa.array(np.full(len(at), x, np.int64)) for x in (key, content, doc)]
+            whole = np.lib.stride_tricks.sliding_window_view(units, win.WINDOW)
+            prefixes = [pa.array(spans.hashes(at, at + n).view(np.int64)) for n in [*PREFIXES, win.WINDOW]]
+            yield pa.RecordBatch.from_arrays(
+                [*same, pa.array(at), pa.array([w.tobytes() for w in whole], pa.binary()), *prefixes],
+                names=["key", "content", "doc", "at", "units", *_PREFIX_NAMES],
+            )
+
+
+_PREFIX_NAMES = [f"prefix_{n}" for n in [*PREFIXES, win.WINDOW]]
+_SUFFIX = "key long, content long, doc long, at long, units binary, " + ", ".join(f"{n} long" for n in _PREFIX_NAMES)
+
+
+def _trees(suffixes: DataFrame, prefix: str) -> DataFrame:
+    """``RESOLVED`` rows of suffixes from the trees below their prefixes."""
+
+    def resolve(group: pd.DataFrame) -> pd.DataFrame:
+        data = [np.frombuffer(x, np.uint64) for x in group["units"]]
+        earliest = tree_earliest(group[prefix].to_numpy(), data, group["doc"].to_numpy())
+        return group[["key", "content", "at"]].assign(n=1, earliest=earliest)
+
+    parts = 8 * shuffle_partitions(suffixes.sparkSession)
+    rows = suffixes.select("key", "content", "doc", "at", "units", prefix)
+    return rows.groupBy(F.pmod(prefix, F.lit(parts)).alias("part")).applyInPandas(resolve, repeats.RESOLVED)
+
+
+def trees_by_prefix(contents: DataFrame, dtype: type) -> DataFrame:
+    """``RESOLVED`` rows of contents whose anchor has too many for one task, by longer prefixes.
+
+    A prefix of more than ``GROUP_LIMIT`` suffixes hands them on to the next length; Spark
+    takes the smallest doc of whole windows, combined before the shuffle.
+    """
+    rows = staged(contents.select("key", "content", "doc", "units").mapInArrow(_suffixes, _SUFFIX), "suffixes")
+    found = []
+    for prefix in _PREFIX_NAMES[:-1]:
+        large = rows.groupBy(prefix).agg(F.count(F.lit(1)).alias("suffixes")).filter(F.col("suffixes") > GROUP_LIMIT)
+        large = staged(large.select(prefix, F.lit(True).alias("large")), "large-prefixes")
+        dealt = rows.join(large, prefix, "left")
+        found.append(staged(_trees(dealt.filter("large IS NULL"), prefix), "trees"))
+        rows = staged(dealt.filter("large").drop("large"), "suffixes")
+    least = staged(rows.groupBy(_PREFIX_NAMES[-1]).agg(F.min("doc").alias("earliest")), "whole-windows")
+    whole = rows.join(least, _PREFIX_NAMES[-1]).select("key", "content", "at", F.lit(1).cast("long").alias("n"), "earliest")
+    for trees in found:
+        whole = whole.unionByName(trees)
+    return whole
+
+
 def removed_words(docs: DataFrame) -> DataFrame:
     """(doc, rid, ranges) of documents with words to remove; ``docs`` as from ``identified``."""
-    return repeats.repeated_windows(docs, word_units, np.uint64, (CHUNK, CHUNK_GRAM), GRAM, GROUP_LIMIT, tree_earliest)
+    return repeats.repeated_windows(docs, word_units, np.uint64, (CHUNK, CHUNK_GRAM), GRAM, GROUP_LIMIT, tree_earliest,
+                                    trees_by_prefix)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,6 +60,14 @@ def test_against_brute_force(docs_of, prose, seed):
     assert bytes_found(docs) == bytes_expected(rows)
 
 
+@pytest.mark.parametrize("limit", [2, 8])
+def test_trees_below_longer_prefixes(docs_of, prose, monkeypatch, limit):
+    """Passages that many documents share, so that every length of prefix is in use."""
+    rows = prose(60, 6, words=(10, 60), share=0.9)
+    monkeypatch.setattr(suffix_trees, "GROUP_LIMIT", limit)
+    assert words_found(docs_of(rows)) == words_expected(rows)
+
+
 def test_texts_of_few_symbols(docs_of, prose):
     """Windows that repeat inside a document and overlap themselves."""
     rows = [(i, t) for i, t in prose(40, 3, vocabulary=2)] + [(100 + i, "ab " * (30 + i)) for i in range(12)]
