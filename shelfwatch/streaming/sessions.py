@@ -1,13 +1,8 @@
 """Continuous session counters from the action stream, kept as keyed state."""
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfwatch.functions.numeric import minute_boundaries
 from shelfwatch.streaming.state import folders, remove
@@ -35,6 +30,8 @@ SESSIONS = T.StructType(
     ]
     + [T.StructField(c, T.LongType()) for c in COUNTERS]
 )
+# A part of a visit as stored: the cell in which it begins, the gap, both in microseconds, and the batch that wrote it.
+CELLS = T.StructType([*SESSIONS.fields, *[T.StructField(c, T.LongType()) for c in ("_cell", "_gap", "_batch")]])
 TIMES = ["session_start", "last_activity", "session_end"]
 COUNTS = ["actions_count", *COUNTERS]
 # A visit: the same with times in microseconds, without the session.
@@ -56,100 +53,72 @@ def single_actions(actions: DataFrame, closing: str | None = None) -> DataFrame:
     return rows.filter("session_start IS NOT NULL AND session_id IS NOT NULL")
 
 
-def joined_visits(visits: pd.DataFrame, gap: int) -> pd.DataFrame:
-    """Visits of one session that lie no more than ``gap`` microseconds apart become one."""
-    visits = visits.sort_values(["session_id", "session_start"], ignore_index=True)
-    until = visits.groupby("session_id", sort=False)["last_activity"].cummax()
-    before = until.groupby(visits["session_id"], sort=False).shift()
-    visit = (before.isna() | (visits["session_start"] > before + gap)).cumsum().rename("_visit")
-    return visits.groupby(["session_id", visit], sort=False).agg(JOIN).reset_index()
-
-
-def _typed(visits: pd.DataFrame) -> pd.DataFrame:
-    """With types that know nulls."""
-    return visits.astype({"user_name": "string"} | dict.fromkeys([*TIMES, *COUNTS], "Int64"))
+def _cell(gap: Column) -> Column:
+    """Start of the cell of time, ``gap`` wide, in which a visit begins; in microseconds, as the gap."""
+    return F.col("session_start") - F.pmod("session_start", gap)
 
 
 def combined(visits: DataFrame, gap: int) -> DataFrame:
-    """(session_id, visit): visits as JSON arrays, joined within each batch of rows of a task.
+    """(session_id, visit): the visits of a session that begin in one cell of time as one, a JSON array.
 
-    A busy session is few rows when it is shuffled, and one column costs the state
-    function less than ten.
+    Cells are as wide as the gap, so single actions of a cell always belong together and
+    a busy session is few rows. On a stream this is the keyed state.
     """
+    cells = visits.groupBy("session_id", _cell(F.lit(gap)).alias("_cell")).agg(*[F.expr(f"{how}({c})").alias(c) for c, how in JOIN.items()])
+    user, numbers = F.to_json(F.array("user_name")), F.to_json(F.array(*TIMES, *COUNTS))
+    return cells.select("session_id", F.concat(F.regexp_replace(user, r"\]$", ","), F.substr(numbers, F.lit(2))).alias("visit"))
 
-    def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            rows = joined_visits(_typed(rows), gap)
-            values = rows[VISIT].astype(object).where(rows[VISIT].notna(), None)
-            yield pd.DataFrame({"session_id": rows["session_id"], "visit": [json.dumps(v) for v in values.values.tolist()]})
-
-    return visits.mapInPandas(of_task, "session_id string, visit string")
-
-
-def _larger(a, b):
-    return b if a is None else a if b is None else max(a, b)
-
-
-def merged(visits: list[list], gap: int) -> list[list]:
-    """The same for the visits of one session as lists of VISIT values."""
-    out: list[list] = []
-    for visit in sorted(visits, key=lambda v: v[1]):
-        if out and visit[1] <= out[-1][2] + gap:
-            user, start, last, end, *counts = out[-1]
-            counts = [x + y for x, y in zip(counts, visit[4:])]
-            out[-1] = [_larger(user, visit[0]), start, max(last, visit[2]), _larger(end, visit[3]), *counts]
-        else:
-            out.append(visit)
-    return out
 
-
-def session_updates(gap: int):
-    """The state function: takes the fresh visits of a session in and returns all of its visits."""
-
-    def updated(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        visits = json.loads(state.get[0]) if state.exists else []
-        for rows in chunks:
-            visits = merged(visits + [json.loads(v) for v in rows["visit"]], gap)
-        text = json.dumps(visits)
-        state.update((text,))
-        yield pd.DataFrame({"session_id": [key[0]], "visits": [text]})
-
-    return updated
+def joined(cells: DataFrame) -> DataFrame:
+    """Visits of single cells, at most one of a session and cell, that lie no more than the gap apart become one."""
+    in_order = Window.partitionBy("session_id").orderBy("_cell")
+    until = F.lag("last_activity").over(in_order)
+    apart = until.isNull() | (F.unix_micros("session_start") > F.unix_micros(until) + F.col("_gap"))
+    visits = cells.withColumn("_visit", apart.cast("long")).withColumn("_visit", F.sum("_visit").over(in_order))
+    rows = visits.groupBy("session_id", "_visit").agg(*[F.expr(f"{how}({c})").alias(c) for c, how in JOIN.items()])
+    return rows.select(*SESSIONS.fieldNames())
 
 
 class SessionsTable:
     """Sessions below ``path``: a base and the changes of the batches after it.
 
-    A batch adds the sessions that had actions in it, whole, in a folder of its own that
-    a replay replaces; after COMPACT batches a new base takes them in.
+    Rows are the parts of visits that begin in one cell of time (see ``combined``). A batch
+    adds those that had actions in it, in a folder of its own that a replay replaces; after
+    COMPACT batches a new base takes them in. Readers join the parts of a visit.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, gap: str = GAP):
+        """``gap`` is that of the rows which are added; readers take it from the rows."""
+        self.path, self.gap = path, micros(gap)
 
     def _numbers(self, spark: SparkSession, kind: str) -> list[int]:
         return sorted(int(f.split("=")[1]) for f in folders(spark, f"{self.path}/{kind}") if f.startswith("batch_id="))
 
-    def read(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """The sessions after a batch: of each the rows of its newest change."""
+    def _cells(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The rows after a batch: of each session and cell the newest."""
         bases = [n for n in self._numbers(spark, "base") if n <= batch_id]
         since = bases[-1] if bases else -1
         places = [f"{self.path}/changes/batch_id={n}" for n in self._numbers(spark, "changes") if since < n <= batch_id]
         places += [f"{self.path}/base/batch_id={since}"] if bases else []
         if not places:
-            return spark.createDataFrame([], SESSIONS)
-        schema = T.StructType([*SESSIONS.fields, T.StructField("_batch", T.LongType())])
-        rows = spark.read.schema(schema).parquet(*places)
-        newest = F.max("_batch").over(Window.partitionBy("session_id"))
-        return rows.withColumn("_newest", newest).filter("_batch = _newest").select(*SESSIONS.fieldNames())
+            return spark.createDataFrame([], CELLS)
+        newest = Window.partitionBy("session_id").orderBy("_cell", F.desc("_batch"))
+        rows = spark.read.schema(CELLS).parquet(*places).withColumn("_before", F.lag("_cell").over(newest))
+        return rows.filter("_before IS NULL OR _before <> _cell").drop("_before")
+
+    def read(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The sessions after a batch."""
+        return joined(self._cells(spark, batch_id))
 
     def add(self, changed: DataFrame, batch_id: int) -> None:
         spark = changed.sparkSession
         each = F.explode(F.from_json("visits", "array<array<string>>"))
-        rows = changed.select("session_id", each.alias("v"), F.lit(batch_id).cast("long").alias("_batch"))
+        rows = changed.select("session_id", each.alias("v"))
         values = {c: F.col("v")[i] if c == "user_name" else F.col("v")[i].cast("long") for i, c in enumerate(VISIT)}
-        values |= {c: F.timestamp_micros(values[c]) for c in TIMES}
-        rows = rows.select("session_id", *[v.alias(c) for c, v in values.items()], "_batch").select(*SESSIONS.fieldNames(), "_batch")
+        rows = rows.select("session_id", *[v.alias(c) for c, v in values.items()])
+        gap, batch = F.lit(self.gap).cast("long"), F.lit(batch_id).cast("long")
+        rows = rows.withColumns({"_cell": _cell(gap), "_gap": gap, "_batch": batch})
+        rows = rows.withColumns({c: F.timestamp_micros(F.col(c)) for c in TIMES}).select(*CELLS.fieldNames())
         rows.write.mode("overwrite").parquet(f"{self.path}/changes/batch_id={batch_id}")
         if (batch_id + 1) % COMPACT == 0:
             self._compact(spark, batch_id)
@@ -157,7 +126,7 @@ class SessionsTable:
     def _compact(self, spark: SparkSession, batch_id: int) -> None:
         """Write a base; then the bases and changes that the base before it had taken in go."""
         older = [n for n in self._numbers(spark, "base") if n < batch_id]
-        rows = self.read(spark, batch_id).withColumn("_batch", F.lit(batch_id).cast("long"))
+        rows = self._cells(spark, batch_id).withColumn("_batch", F.lit(batch_id).cast("long"))
         rows.write.mode("overwrite").parquet(f"{self.path}/base/batch_id={batch_id}")
         for kind in ("base", "changes"):
             for n in self._numbers(spark, kind):
@@ -192,16 +161,14 @@ def start_sessions(
     Sessions of one id are split where nothing happens for longer than ``gap``. An action
     counts whenever it arrives: one that is late may open a session in the past, lengthen
     one or join two. Actions without a time or session have none. An action of type
-    ``closing`` ends its session; the newest one counts. State lives in RocksDB with a
-    changelog: a batch reads and writes only the sessions that it has actions of. The
-    session's number of shuffle partitions at the first start is that of the state for
+    ``closing`` ends its session; the newest one counts. State is an aggregation by session
+    and cell of time in RocksDB with a changelog: a batch reads and writes only the cells
+    that it has actions in. The session's number of shuffle partitions at the first start is that of the state for
     good.
     """
-    spark, table = actions.sparkSession, SessionsTable(path)
-    visits = combined(single_actions(actions, closing), micros(gap))
-    changed = visits.groupBy("session_id").applyInPandasWithState(
-        session_updates(micros(gap)), "session_id string, visits string", "visits string", "update", GroupStateTimeout.NoTimeout
-    )
+    spark, table = actions.sparkSession, SessionsTable(path, gap)
+    cells = combined(single_actions(actions, closing), micros(gap))
+    changed = cells.select("session_id", F.concat(F.lit("["), "visit", F.lit("]")).alias("visits"))
     writer = changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(table.add)
     before = {key: spark.conf.get(key, None) for key in STATE_STORE}
     for key, value in STATE_STORE.items():

@@ -110,6 +110,25 @@ def test_a_busy_session_is_few_rows(spark):
     assert sessions.micros("2 days") == 172_800_000_000
 
 
+def test_a_long_session_writes_only_the_cell_of_an_action(stream, spark):
+    # a visit over many cells of half an hour, before and after 1970; an action in the middle, later
+    rows = [("s", 'a"]b', datetime(1969, 12, 31) + timedelta(minutes=30 * k), "OTHER") for k in range(96) if k != 50]
+    stream.arrive(rows)
+    late = [("s", None, rows[0][2] + timedelta(minutes=1500), "BYE")]
+    query = stream.arrive(late)
+    last = refresh.last_batch(query)
+    assert query.lastProgress["stateOperators"][0]["numRowsUpdated"] == 1
+    assert [r.actions_count for r in spark.read.parquet(f"{stream.table.path}/changes/batch_id={last}").collect()] == [1]
+    assert len(plain(rows)) == 2 and len(plain(rows + late)) == 1
+    assert found(stream.table, spark, last - 1) == plain(rows) and found(stream.table, spark, last) == plain(rows + late)
+
+
+def test_no_row_leaves_the_engine(spark):
+    actions = spark.createDataFrame([("s", "u", START, "OTHER")], SCHEMA)
+    plan = sessions.combined(sessions.single_actions(actions), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan and "Pandas" not in plan and "Python" not in plan
+
+
 def test_run_rows_come_from_events(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "runs")
     for n in (3, 4):
