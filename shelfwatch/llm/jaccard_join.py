@@ -8,15 +8,20 @@ of frequent lines come last.
 
 1. Documents with equal sets are one node. Nodes with equal prefix and size are one
    group, and groups, not documents, enter the join on prefix shingles.
-2. Each group is first compared with the smallest group of about its size that shares
-   one of its shingles, and members with the first of their group. These few pairs
-   join most near copies into components.
+2. Each group is first compared with a group of about its size that shares one of its
+   shingles, and members with the first of their group. The shingle stands as early there
+   as in any: of near copies that is the one with the fewest shingles of its own, which
+   most others are similar to. These few pairs join most near copies into components.
 3. Then shingles are joined by component: two components that share a shingle and
    could have similar sizes yield the pairs of groups between them that pass the size
    and position filters, these are expanded to members, and all such pairs are verified.
    Pairs within a component need no look, as they cannot change it. No link between
    components is lost, and a large group of near copies never meets itself pair by pair.
 
+A pair needs a look only at the first shingle that its sets share: all that they share
+comes after it, so what is left of a set there bounds the size of the other (``_reach``).
+Copies too far from each other meet only behind that bound and yield no row.
+
 Before texts are fetched, pairs are screened by parity bitmaps of the sets: the bits in
 which two bitmaps differ are no more than the shingles in which the sets differ. Sets
 are then compared exactly, as sorted arrays of 64-bit shingle hashes.
@@ -263,19 +268,21 @@ def _similar_sizes(x: str, y: str, t: Ratio) -> Column:
     return (F.col(x) * t.denominator >= F.col(y) * t.numerator) & (F.col(y) * t.denominator >= F.col(x) * t.numerator)
 
 
-def _positions_allow(t: Ratio) -> Column:
-    """Whether the overlap that a shared shingle's places leave can reach the similarity."""
-    before = F.least("at_a", "at_b")
-    after = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    return (before + after) * (t.denominator + t.numerator) >= (F.col("n_a") + F.col("n_b")) * t.numerator
+def _reach(t: Ratio) -> Column:
+    """The largest set that can link with one whose first shared shingle stands at ``at``.
+
+    Linked sets share at least t / (1 + t) of their sizes' sum, and here n - at at most.
+    """
+    return F.floor((F.col("n") - F.col("at")) * (t.denominator + t.numerator) / t.numerator).cast("long") - F.col("n")
 
 
 def first_pairs(members: DataFrame, tokens: DataFrame, t: Ratio) -> DataFrame:
     """One pair for each group, with a group that it shares a shingle with, and one for each member."""
     level = F.floor(F.log(F.col("n")) / F.log(F.lit(t.denominator / t.numerator))).cast("int")
-    rows = tokens.select("token", "gid", level.alias("level"))
-    hubs = staged(rows.groupBy("token", "level").agg(F.min("gid").alias("hub")), "hubs")
-    pairs = rows.join(hubs, ["token", "level"]).filter("hub < gid").groupBy("gid").agg(F.min("hub").alias("hub"))
+    rows = tokens.select("token", "gid", "at", level.alias("level"))
+    hubs = staged(rows.groupBy("token", "level").agg(F.min(F.struct("at", "gid")).alias("hub")), "hubs")
+    pairs = rows.select("token", "gid", "level").join(hubs, ["token", "level"]).filter("hub.gid <> gid")
+    pairs = pairs.groupBy("gid").agg(F.min("hub").alias("hub")).select("gid", F.col("hub.gid").alias("hub"))
     heads = staged(members.filter("sig = head").select("gid", "head"), "heads")
     pairs = pairs.join(heads.select("gid", F.col("head").alias("b")), "gid").join(
         heads.select(F.col("gid").alias("hub"), F.col("head").alias("a")), "hub"
@@ -290,24 +297,23 @@ def rest_pairs(members: DataFrame, tokens: DataFrame, comps: DataFrame, t: Ratio
     comp = F.xxhash64(F.coalesce("component", "sig")).alias("comp")
     placed = staged(members.join(comps, F.col("sig") == F.col("node"), "left").select("sig", "n", "gid", comp), "placed")
     held = staged(placed.select("gid", "comp").distinct(), "group-components")
-    rows = staged(tokens.join(held, "gid"), "token-components")
+    rows = staged(tokens.join(held, "gid").withColumn("reach", _reach(t)).drop("at"), "token-components")
     # Components that meet in a shingle, before any of their groups are paired.
-    spans = rows.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    spans = rows.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"))
     several = spans.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     spans = staged(spans.join(several.select("token"), "token", "left_semi"), "spans")
-    left = spans.select("token", F.col("comp").alias("comp_a"), F.col("least").alias("least_a"), F.col("most").alias("most_a"))
-    right = spans.select("token", F.col("comp").alias("comp_b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"))
-    meet = left.join(right, "token").filter("comp_a < comp_b").filter(
-        (F.col("most_a") * t.denominator >= F.col("least_b") * t.numerator) & (F.col("most_b") * t.denominator >= F.col("least_a") * t.numerator)
-    )
-    meet = staged(meet.select("token", "comp_a", "comp_b"), "meetings")
 
-    def side(x: str) -> DataFrame:
-        return rows.select("token", F.col("comp").alias(f"comp_{x}"), F.col("gid").alias(f"gid_{x}"), F.col("n").alias(f"n_{x}"),
-                           F.col("at").alias(f"at_{x}"))
+    def renamed(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select("token", *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "token"])
 
-    groups = meet.join(side("a"), ["token", "comp_a"]).join(side("b"), ["token", "comp_b"])
-    groups = groups.filter(_similar_sizes("n_a", "n_b", t) & _positions_allow(t)).select("gid_a", "comp_a", "gid_b", "comp_b").distinct()
+    meet = renamed(spans, "a").join(renamed(spans, "b"), "token").filter("comp_a < comp_b").filter(
+        (F.col("most_a") * t.denominator >= F.col("least_b") * t.numerator) & (F.col("most_b") * t.denominator >= F.col("least_a") * t.numerator)
+    )
+    meet = staged(meet.filter("reach_a >= least_b AND reach_b >= least_a").select("token", "comp_a", "comp_b", "least_b", "reach_b"), "meetings")
+    groups = meet.withColumnsRenamed({"least_b": "least", "reach_b": "most"}).join(renamed(rows, "a"), ["token", "comp_a"])
+    groups = groups.filter("n_a <= most AND reach_a >= least").join(renamed(rows, "b"), ["token", "comp_b"])
+    groups = groups.filter(_similar_sizes("n_a", "n_b", t) & F.expr("reach_a >= n_b AND reach_b >= n_a"))
+    groups = groups.select("gid_a", "comp_a", "gid_b", "comp_b").distinct()
     # Members of one group that are still apart share its whole prefix.
     apart = held.select("gid", F.col("comp").alias("comp_a")).join(held.select("gid", F.col("comp").alias("comp_b")), "gid")
     apart = apart.filter("comp_a < comp_b").select(F.col("gid").alias("gid_a"), "comp_a", F.col("gid").alias("gid_b"), "comp_b")

@@ -76,6 +76,28 @@ def test_a_group_of_near_copies_and_chains(docs_of):
     assert found(docs_of(rows)) == brute(rows)
 
 
+def test_copies_that_are_far_apart_do_not_meet(docs_of, monkeypatch):
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(140)]
+    rows = [(i, " ".join(edited(rng, base, 4))) for i in range(60)]  # eight shingles in nine are shared by any two
+    rows += [(60 + i, " ".join(edited(rng, base, i))) for i in range(3)]
+    pairs, rest = [], j.rest_pairs
+    monkeypatch.setattr(j, "rest_pairs", lambda *a: pairs.append(rest(*a)) or pairs[0])
+    assert found(docs_of(rows)) == brute(rows)
+    assert pairs[0].count() <= len(rows)
+
+
+def test_near_copies_meet_the_one_in_the_middle(docs_of, monkeypatch):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, " ".join(edited(rng, base, 4))) for i in range(40)] + [(40, " ".join(base))]
+    first, pairs = j.first_pairs, []
+    monkeypatch.setattr(j, "first_pairs", lambda *a: pairs.append(first(*a)) or pairs[0])
+    assert found(docs_of(rows)) == brute(rows)
+    middle = j.signature(j.shingles(" ".join(base)))
+    assert sum(middle in (r.a, r.b) for r in pairs[0].collect()) >= 38
+
+
 def test_awkward_rows(awkward, empty):
     rows = [(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()]
     assert found(awkward) == brute(rows)
