@@ -6,19 +6,22 @@ every distribution sum to exactly 1 over the training words, the end and one unk
 word. Every bigram counts from ``STORED`` on, which is its first occurrence.
 
 1. Words are counted (merged in each task, then by Spark): the unigram table.
-2. Every token of every text is one entry (history, word, document). Entries are packed
-   as arrays and dealt once to buckets by history; histories with more than a fourth
-   of a bucket's even share are dealt by history and word. Buckets count training
-   entries and write the stored bigrams.
-3. Bigrams get their word's count by a join and are dealt to the same buckets. A bucket
-   has all bigrams of a history and weighs it itself; the few histories that are dealt
-   by word too are weighed by an aggregation.
-4. Each bucket evaluates its entries: the stored bigram, else the weight of the history
-   and the unigram. Partial sums are added by document.
-
-The entries are shuffled once and read twice, so they are an RDD; everything else is
+2. Every token of every text is one entry (history, word, document). A pack of entries
+   lists its words once and has short numbers for them and for its documents; it is cut
+   by bucket. Entries are dealt once, by history; histories with more than a fourth of a
+   bucket's even share are dealt by history and word.
+3. Buckets count their training bigrams. What leaves them is how many bigrams occur how
+   often, for the discounts, and the distinct words of the bucket, which a join gives
+   their counts. No table of bigrams is written: buckets count them again where they
+   need them.
+4. A bucket has all bigrams of a history and weighs it itself; the few histories that are
+   dealt by word too are weighed by an aggregation over the buckets' sums.
+5. Each bucket evaluates its entries: the stored bigram, else the weight of the history
+   and the unigram. The sums of a pack's documents come together again by pack.
+
+The entries are shuffled once and read four times, so they are an RDD; everything else is
 tables. Words are told apart by 56-bit hashes, documents by a 64-bit hash of
-doc_id and text. Tasks hold the parameters of one bucket and one pack of entries.
+doc_id and text. Tasks hold the bigrams of one bucket and one pack of entries.
 
 Defined results: a null or empty text is its end alone; a null doc_id counts as
 training; rows that repeat a doc_id are scored one by one; without training documents
@@ -33,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import RDD
+from pyspark import RDD, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfwatch.llm.common import narrowed, shuffle_partitions, staged, text_of
@@ -43,13 +46,23 @@ STORED = 1  # least count of a bigram in the table
 DISCOUNTED = 5  # largest count that is discounted
 START, END = 1, 2
 PACK_WORDS = 1_000_000  # entries packed at once
-PACK_BIGRAMS = 200_000  # bigrams that leave a bucket at once
+PACK_BIGRAMS = 2_000_000  # bigrams a bucket gathers before it adds up equal ones
+KNOWN_WORDS = 100_000  # words whose hash a task remembers
 _U = np.uint64
 
 
-def word_hashes(text: str) -> list[int]:
-    """56-bit hashes of the words, A-Z lower-cased."""
-    return [xxhash.xxh3_64_intdigest(w) >> 8 for w in text.encode().lower().split()]
+class Hashes(dict):
+    """56-bit hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word) >> 8
+        return found
+
+    def of(self, text: str) -> list[int]:
+        """Hashes of the words of a text, A-Z lower-cased."""
+        return [self[w] for w in text.encode().lower().split()]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,9 +79,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = Hashes()
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        words = np.array([w for t in texts for w in word_hashes(t)] + [END] * len(texts), _U)
+        words = np.array([w for t in texts for w in hashes.of(t)] + [END] * len(texts), _U)
         found, counts = np.unique(words, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(counts)], names=["word", "n"])
 
@@ -112,48 +126,100 @@ def _widen(x: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _pack(keys, train, history, word, owner, deal: Deal) -> Iterator[tuple[int, bytes]]:
-    route = deal.route(history, word)
-    order = np.lexsort((owner, word, history, route))
-    route, history, word, owner = route[order], history[order], word[order], owner[order]
-    bucket = deal.bucket(route)
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+def _small(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in as few bytes as they need."""
+    return x.astype(np.min_scalar_type(x.max(initial=0)))
+
+
+def _begins(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    changed = np.zeros(max(0, len(sorted_by[0]) - 1), bool)
+    for x in sorted_by:
+        changed |= x[1:] != x[:-1]
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(sorted_by[0])), bool), changed]))
+
+
+@dataclass(frozen=True)
+class Pack:
+    """Entries of some documents in one bucket, sorted by history and word.
+
+    Histories and words are numbers in ``names``. Of a pack's parts, that of its first
+    bucket has the documents' keys and numbers of tokens.
+    """
+
+    id: tuple[int, int]
+    documents: tuple | None
+    train: np.ndarray  # of the pack's documents
+    names: np.ndarray  # sorted hashes
+    heads: np.ndarray  # each history once
+    per_head: np.ndarray  # bigrams of a history
+    words: np.ndarray  # of each bigram
+    per_pair: np.ndarray  # entries of a bigram
+    owner: np.ndarray  # document of each entry
+
+    def dumped(self) -> bytes:
+        return pickle.dumps((
+            self.id, self.documents, np.packbits(self.train), len(self.train), _narrow(self.names), _small(self.heads),
+            _small(self.per_head), _small(self.words), _small(self.per_pair), _small(self.owner)), protocol=5)
+
+    @classmethod
+    def loaded(cls, dumped: tuple) -> "Pack":
+        i, documents, train, n, names, *rest = dumped
+        heads, per_head, words, per_pair, owner = (x.astype(np.int64) for x in rest)
+        return cls(i, documents, np.unpackbits(train, count=n).astype(bool), _widen(names), heads, per_head, words, per_pair, owner)
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(history, word, n), n over the training documents."""
+        n = np.add.reduceat(self.train[self.owner].astype(np.int64), np.cumsum(self.per_pair) - self.per_pair)
+        return np.repeat(self.names[self.heads], self.per_head), self.names[self.words], n
+
+
+def _packed(pack_id, keys, train, line, lengths, deal: Deal) -> Iterator[tuple[int, bytes]]:
+    """The parts of a pack; ``line`` has START, the words and END of each document."""
+    names, number = np.unique(line, return_inverse=True)
+    inner = line[:-1] != _U(END)
+    history, word = number[:-1][inner], number[1:][inner]
+    owner = np.repeat(np.arange(len(keys)), lengths - 1)
+    bucket = deal.bucket(deal.route(names[history], names[word]))
+    order = np.lexsort((history * len(names) + word, bucket.astype(np.min_scalar_type(deal.buckets))))
+    history, word, owner, bucket = history[order], word[order], owner[order], bucket[order]
+    documents = (keys, _small(lengths - 1))
+    edges = _begins(bucket)
     for a, b in zip(edges, [*edges[1:], len(bucket)]):
-        h, w, o = history[a:b], word[a:b], owner[a:b]
-        pair = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
+        h, w = history[a:b], word[a:b]
+        there = np.zeros(len(names), bool)
+        there[h] = there[w] = True
+        local = np.cumsum(there) - 1
+        pair = _begins(h, w)
         ph = h[pair]
-        head = np.flatnonzero(np.concatenate([[True], ph[1:] != ph[:-1]]))
-        docs, index = np.unique(o, return_inverse=True)
-        yield int(bucket[a]), pickle.dumps((
-            _narrow(ph[head]), np.diff(np.append(head, len(pair))).astype(np.uint32), _narrow(w[pair]),
-            np.diff(np.append(pair, b - a)).astype(np.uint32), index.astype(np.uint16 if len(docs) < 1 << 16 else np.uint32),
-            keys[docs], train[docs],
-        ), protocol=5)
+        head = _begins(ph)
+        yield int(bucket[a]), Pack(
+            pack_id, documents, train, names[there], local[ph[head]], np.diff(np.append(head, len(pair))), local[w[pair]],
+            np.diff(np.append(pair, b - a)), owner[a:b]).dumped()
+        documents = None
 
 
 def _entries(deal: Deal):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, nth, hashes = TaskContext.get().partitionId(), 0, Hashes()
         for batch in batches:
             keys, train = batch.column("key").to_numpy(), ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            history, owner, begin = [], [], 0
             texts = batch.column("text").to_pylist()
             words: list[int] = []
+            ends, begin = [0], 0
             for i, text in enumerate(texts):
                 # START, the words, END: each but END is a history of the next.
                 words.append(START)
-                words += word_hashes(text)
+                words += hashes.of(text)
                 words.append(END)
-                owner.append(len(words))
+                ends.append(len(words))
                 if len(words) >= PACK_WORDS or i == len(texts) - 1:
-                    line = np.array(words, _U)
-                    lengths = np.diff(np.array([0, *owner]))
-                    own = np.repeat(np.arange(begin, i + 1), lengths)
-                    inner = line[:-1] != _U(END)
-                    out = list(_pack(keys, train, line[:-1][inner], line[1:][inner], own[:-1][inner], deal))
+                    own = slice(begin, i + 1)
+                    out = list(_packed((task, nth), keys[own], train[own], np.array(words, _U), np.diff(ends), deal))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())],
                         names=["bucket", "pack"])
-                    words, owner, begin = [], [], i + 1
+                    words, ends, begin, nth = [], [0], i + 1, nth + 1
 
     return rows
 
@@ -164,53 +230,85 @@ def entries(rows: DataFrame, deal: Deal) -> RDD:
     return packs.rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(deal.buckets)
 
 
-def _unpacked(pack: bytes):
-    heads, per_head, words, per_pair, index, keys, train = pickle.loads(pack)
-    return np.repeat(_widen(heads), per_head), _widen(words), per_pair.astype(np.int64), index, keys, train
+# --- 3. bigrams ---------------------------------------------------------------------------
 
 
 def _pair_hash(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(history * _U(0xD1342543DE82EF95) + word)
 
 
-def _bigrams(items: Iterator[tuple[int, bytes]]) -> Iterator[tuple[bytes]]:
-    """Stored bigrams of a bucket: history, word, count as bytes."""
-    found: tuple = ()
-    held, size = [], 0
-
-    def merged() -> tuple:
-        parts = [*([found] if found else []), *held]
-        h, w, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        if not len(h):  # held-out entries only
-            return h, w, n
-        order = np.argsort(pair := _pair_hash(h, w), kind="stable")
-        begin = np.flatnonzero(np.concatenate([[True], np.diff(pair[order]) != 0]))
-        first = order[begin]
-        return h[first], w[first], np.add.reduceat(n[order], begin)
-
-    for _, pack in items:
-        h, w, per_pair, index, _, train = _unpacked(pack)
-        n = np.add.reduceat(train[index].astype(np.int64), np.cumsum(per_pair) - per_pair)
-        held.append((h[n > 0], w[n > 0], n[n > 0]))
-        size += int((n > 0).sum())
-        if size > 2_000_000:
-            found, held, size = merged(), [], 0
-    if held or found:
-        h, w, n = merged() if size or not found else found
-        kept = np.flatnonzero(n >= STORED)
-        kept = kept[np.argsort(h[kept], kind="stable")]  # equal histories side by side are stored small
-        for at in range(0, len(kept), PACK_BIGRAMS):
-            i = kept[at : at + PACK_BIGRAMS]
-            yield (pickle.dumps((h[i].astype(np.int64), w[i].astype(np.int64), n[i])),)
-
-
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Bigrams:
+    """Training bigrams of a bucket."""
+
+    def __init__(self):
+        self.found = [(np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))]
+        self.size = 0
+
+    def add(self, history: np.ndarray, word: np.ndarray, n: np.ndarray) -> None:
+        there = n > 0
+        self.found.append((history[there], word[there], n[there]))
+        self.size += int(there.sum())
+        if self.size > PACK_BIGRAMS:
+            self.found, self.size = [self._merged()], 0
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, w, n = (np.concatenate([f[i] for f in self.found]) for i in range(3))
+        order = np.lexsort((w, h))
+        h, w, n = h[order], w[order], n[order]
+        begin = _begins(h, w)
+        return h[begin], w[begin], np.add.reduceat(n, begin) if len(begin) else n
+
+    def stored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(history, word, n) of the stored bigrams, sorted."""
+        h, w, n = self._merged()
+        kept = n >= STORED
+        return h[kept], w[kept], n[kept]
+
+
+def _contents(bucket: int, items: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, list[int], bytes]]:
+    """How many bigrams of a bucket occur how often, and its distinct words."""
+    bigrams, names, size = Bigrams(), [np.zeros(0, _U)], 0
+    for _, raw in items:
+        pack = Pack.loaded(pickle.loads(raw))
+        bigrams.add(*pack.bigrams())
+        names.append(pack.names)
+        size += len(pack.names)
+        if size > PACK_BIGRAMS:
+            names, size = [np.unique(np.concatenate(names))], 0
+    words = np.unique(np.concatenate(names))
+    _, _, n = bigrams.stored()
+    counts = np.bincount(n[n <= DISCOUNTED + 1], minlength=DISCOUNTED + 2).tolist()
+    for at in range(0, len(words), PACK_WORDS):
+        yield bucket, counts if at == 0 else [], _narrow(words[at : at + PACK_WORDS]).tobytes()
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pickle.loads(raw)], names=["history", "word", "n"])
+        for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+            words = _widen(np.frombuffer(raw, "u1").reshape(-1, 7)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), bucket, np.int32)), pa.array(words)], names=["bucket", "word"])
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and their counts packed by bucket."""
+    for batch in batches:
+        bucket, word, n = (batch.column(c).to_numpy() for c in ("bucket", "word", "n"))
+        parts = [(int(b), np.flatnonzero(bucket == b)) for b in np.unique(bucket)]
+        out = [pickle.dumps(("words", _narrow(word[i]), _small(n[i])), protocol=5) for _, i in parts]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array(out, pa.binary())], names=["bucket", "pack"])
+
 
+def contents(dealt: RDD, words: DataFrame, buckets: int) -> tuple[dict[int, int], RDD]:
+    """Counts of counts of the stored bigrams, and (bucket, words of the bucket with their counts) dealt as the entries are."""
+    spark = words.sparkSession
+    found = staged(spark.createDataFrame(dealt.mapPartitionsWithIndex(_contents), "bucket int, counts array<long>, words binary"), "contents")
+    counts = found.select(F.posexplode("counts").alias("n", "m")).filter("m > 0").groupBy("n").agg(F.sum("m").alias("m")).collect()
+    asked = found.select("bucket", "words").mapInArrow(_asked, "bucket int, word long")
+    given = asked.join(words.select("word", "n"), "word").select("bucket", "word", "n").mapInArrow(_answered, "bucket int, pack binary")
+    return {r["n"]: r["m"] for r in counts}, given.rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(buckets)
 
-# --- 3. the model -------------------------------------------------------------------------
+
+# --- 4. the model -------------------------------------------------------------------------
 
 
 def good_turing(counts: dict[int, int], least: int) -> dict[int, float]:
@@ -286,6 +384,22 @@ def weighed(mass: np.ndarray, p: np.ndarray, total: np.ndarray, unknown: float)
     return scale, np.log10((1 - scale * mass / total) / np.maximum(1 - p, unknown))
 
 
+def _look_up(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each key in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def _counts(given: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket's training words, sorted, and their counts."""
+    word = np.concatenate([np.zeros(0, _U), *(_widen(g[1]) for g in given)])
+    count = np.concatenate([np.zeros(0, np.int64), *(g[2].astype(np.int64) for g in given)])
+    order = np.argsort(word)
+    return word[order], count[order]
+
+
 @dataclass(frozen=True)
 class Hot:
     """The histories of ``Deal.hot``, which no bucket has whole."""
@@ -295,89 +409,71 @@ class Hot:
     weight: np.ndarray
 
 
-def bigram_model(bigrams: DataFrame, words: DataFrame, totals: Totals, deal: Deal) -> tuple[DataFrame, dict[int, float], Hot]:
-    """(history, word, n, c) of the stored bigrams with their words' counts c, their discounts, and the hot histories."""
-    spark = bigrams.sparkSession
-    discounts = good_turing(_counts_of_counts(bigrams), STORED)
-    rows = staged(bigrams.join(words.select("word", F.col("n").alias("c")), "word").select("history", "word", "n", "c"), "bigram-words")
-    hot = spark.createDataFrame([(int(h),) for h in deal.hot], "history long")
-    counts = {r["word"]: r["n"] for r in words.join(hot, F.col("word") == F.col("history")).select("word", "n").collect()}
-    counts[START] = totals.starts
-    sums = rows.join(hot, "history").groupBy("history").agg(
-        F.sum(_discounted(F.col("n"), discounts)).alias("mass"), F.sum(totals.p(F.col("c"))).alias("p"))
-    found = {r["history"]: (r["mass"], r["p"]) for r in sums.collect()}
-    total = np.array([counts.get(int(h), 0) for h in deal.hot], np.float64)
-    scale, weight = np.ones(len(total)), np.zeros(len(total))
-    there = np.array([int(h) in found for h in deal.hot], bool)
-    mass, p = np.array([found[int(h)] for h in deal.hot[there]], np.float64).reshape(-1, 2).T
-    scale[there], weight[there] = weighed(mass, p, total[there], totals.unknown)
-    return rows, discounts, Hot(total, scale, weight)
+def _hot_sums(totals: Totals, discounts: dict[int, float], deal: Deal):
+    """What a bucket adds to the mass and the probability of the words of hot histories."""
 
+    def rows(items: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, float, float]]:
+        given, bigrams = [], Bigrams()
+        for _, raw in items:
+            pack = pickle.loads(raw)
+            if pack[0] == "words":
+                given.append(pack)
+                continue
+            pack = Pack.loaded(pack)
+            hot = np.isin(pack.names[pack.heads], deal.hot)
+            if hot.any():
+                here = np.repeat(hot, pack.per_head)
+                bigrams.add(*(x[here] for x in pack.bigrams()))
+        word, count = _counts(given)
+        h, w, n = bigrams.stored()
+        if len(h):
+            at, size = np.searchsorted(deal.hot, h), len(deal.hot)
+            mass = np.bincount(at, _discounted_of(n, discounts), size)
+            p = np.bincount(at, totals.p_of(count[np.searchsorted(word, w)]), size)
+            for i in np.unique(at):
+                yield int(i), float(mass[i]), float(p[i])
 
-# --- 4. evaluation ------------------------------------------------------------------------
+    return rows
 
 
-def _dealt(deal: Deal, kind: str, names: list[str]):
-    """Parameters packed by bucket; those of a hot history go to every bucket."""
+def hot_model(spark: SparkSession, everything: RDD, counts: dict[int, int], totals: Totals, discounts: dict[int, float], deal: Deal) -> Hot:
+    """The weights of the hot histories, which occur ``counts`` times."""
+    sums = spark.createDataFrame(everything.mapPartitions(_hot_sums(totals, discounts, deal)), "hot int, mass double, p double")
+    found = {r["hot"]: (r["mass"], r["p"]) for r in sums.groupBy("hot").agg(F.sum("mass").alias("mass"), F.sum("p").alias("p")).collect()}
+    total = np.array([counts.get(int(h), 0) for h in deal.hot], np.float64)
+    scale, weight = np.ones(len(total)), np.zeros(len(total))
+    there = np.array(sorted(found), np.int64)
+    mass, p = np.array([found[i] for i in there], np.float64).reshape(-1, 2).T
+    scale[there], weight[there] = weighed(mass, p, total[there], totals.unknown)
+    return Hot(total, scale, weight)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-            history = data[0].astype(_U)
-            if kind == "bigram":
-                bucket = deal.bucket(deal.route(history, data[1].astype(_U)))
-                parts = [(b, np.flatnonzero(bucket == b)) for b in np.unique(bucket)]
-            else:
-                hot = np.isin(history, deal.hot)
-                bucket = np.where(hot, -1, deal.bucket(history))
-                common = np.flatnonzero(hot)
-                parts = [(b, np.append(np.flatnonzero(bucket == b), common)) for b in
-                         (range(deal.buckets) if len(common) else np.unique(bucket))]
-            # hashes in 7 bytes, counts in as few as they need
-            data = [x.astype(np.min_scalar_type(x.max(initial=0))) if n in ("n", "c") else _narrow(x) for n, x in zip(names, data)]
-            out = [(int(b), pickle.dumps((kind, *(x[i] for x in data)), protocol=5)) for b, i in parts]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())],
-                                             names=["bucket", "pack"])
 
-    return rows
+# --- 5. evaluation ------------------------------------------------------------------------
 
 
 def _evaluated(totals: Totals, discounts: dict[int, float], deal: Deal, hot: Hot):
-    """Partial sums of a bucket's entries; parameters come first."""
+    """Partial sums of a bucket's entries by pack; the words come first, then the entries twice."""
     smooth = totals.tokens + 0.1 * (totals.words + 1)
     least = math.log10(0.1 / smooth)
     unknown = math.log10(totals.unknown)
     start = hot.weight[np.searchsorted(deal.hot, _U(START))]
 
-    def look_up(table, keys):
-        """Row of each key in a sorted table, and whether it is there."""
-        if not len(table):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return at, table[at] == keys
-
-    def modelled(tables: dict[str, list]):
+    def modelled(given: list[tuple], bigrams: Bigrams):
         """Sorted words with score (weight included) and base, and sorted bigrams with what they add to it."""
-        word = np.concatenate([np.zeros(0, _U), *(_widen(p[0]) for p in tables["word"])])
-        count = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in tables["word"])])
-        order = np.argsort(word)
-        word, count = word[order], count[order]
+        word, count = _counts(given)
         own, base = np.log10(totals.p_of(count)), np.log10((count + 0.1) / smooth)
-        at, there = look_up(deal.hot, word)
+        at, there = _look_up(deal.hot, word)
         own += np.where(there, hot.weight[at], 0.0)
-        h, w = (np.concatenate([np.zeros(0, _U), *(_widen(p[i]) for p in tables["bigram"])]) for i in (0, 1))
-        n, c = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in tables["bigram"])]) for i in (2, 3))
-        tables.clear()
+        h, w, n = bigrams.stored()
         if not len(h):
             return word, own, base, np.zeros(0, _U), np.zeros(0)
-        order = np.argsort(h, kind="stable")
-        h, w, mass, p = h[order], w[order], _discounted_of(n[order], discounts), totals.p_of(c[order])
-        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        mass, p = _discounted_of(n, discounts), totals.p_of(count[np.searchsorted(word, w)])
+        begin = _begins(h)
         each = np.diff(np.append(begin, len(h)))
         heads = h[begin]
-        at, is_hot = look_up(deal.hot, heads)
-        place, _ = look_up(word, heads)  # every history but hot ones has its count here
-        total = np.where(is_hot, hot.total[at], count[place] if len(word) else 0.0)
+        at, is_hot = _look_up(deal.hot, heads)
+        place, _ = _look_up(word, heads)  # every history but START has its count here
+        total = np.where(is_hot, hot.total[at], count[place])
         scale, weight = weighed(np.add.reduceat(mass, begin), np.add.reduceat(p, begin), total, totals.unknown)
         own[place[~is_hot]] += weight[~is_hot]
         scale, weight = np.where(is_hot, hot.scale[at], scale), np.where(is_hot, hot.weight[at], weight)
@@ -386,36 +482,59 @@ def _evaluated(totals: Totals, discounts: dict[int, float], deal: Deal, hot: Hot
         order = np.argsort(pair)
         return word, own, base, pair[order], gain[order]
 
-    def rows(items: Iterator[tuple[int, bytes]]) -> Iterator[tuple[bytes]]:
-        tables: dict[str, list] = {"word": [], "bigram": []}
-        ready = None
+    def rows(items: Iterator[tuple[int, bytes]]) -> Iterator[tuple[tuple[int, int], bytes]]:
+        given, bigrams, counted, model = [], Bigrams(), set(), None
         for _, raw in items:
             pack = pickle.loads(raw)
-            if isinstance(pack[0], str):
-                tables[pack[0]].append(pack[1:])
+            if pack[0] == "words":
+                given.append(pack)
+                continue
+            if model is None and pack[0] not in counted:
+                counted.add(pack[0])
+                bigrams.add(*Pack.loaded(pack).bigrams())
                 continue
-            if ready is None:
-                ready = word, own, base, pair, gain = modelled(tables)
-            heads, per_head, words, per_pair, index, keys, _ = pack
-            h = _widen(heads)
-            at, there = look_up(word, h)
+            if model is None:  # the entries begin anew
+                model = modelled(given, bigrams)
+                given, bigrams = [], Bigrams()
+            word, own, base, pair, gain = model
+            pack = Pack.loaded(pack)
+            h = pack.names[pack.heads]
+            at, known = _look_up(word, h)
             started = h == _U(START)
-            some = len(word) > 0
-            score = np.where(there, own[at], np.where(started, start, unknown)) if some else np.where(started, start, unknown)
-            plain = np.where(there, base[at], np.where(started, 0.0, least)) if some else np.where(started, 0.0, least)
-            known_h = there.astype(np.float64)
-            at, there = look_up(pair, _pair_hash(np.repeat(h, per_head), _widen(words)))
-            extra = np.where(there, gain[at], 0.0) if len(pair) else np.zeros(len(words))
-            each = lambda x: np.repeat(np.repeat(x, per_head), per_pair)
-            n = len(keys)
-            yield (pickle.dumps((
-                keys, np.bincount(index, minlength=n), np.bincount(index, each(known_h), n).astype(np.int64),
-                np.bincount(index, each(plain), n), np.bincount(index, each(score) + np.repeat(extra, per_pair), n),
-            ), protocol=5),)
+            score, plain = np.where(started, start, unknown), np.where(started, 0.0, least)
+            score[known], plain[known] = own[at[known]], base[at[known]]
+            at, there = _look_up(pair, _pair_hash(np.repeat(h, pack.per_head), pack.names[pack.words]))
+            extra = np.zeros(len(there))
+            extra[there] = gain[at[there]]
+            each = lambda x: np.repeat(np.repeat(x, pack.per_head), pack.per_pair)
+            sums = [np.bincount(pack.owner, x) for x in (each(known), each(plain), each(score) + np.repeat(extra, pack.per_pair))]
+            docs = np.flatnonzero(np.bincount(pack.owner))
+            known_tokens, plain, score = (x[docs] for x in sums)
+            yield pack.id, pickle.dumps((pack.documents, _small(docs), _small(known_tokens.astype(np.int64)), plain, score), protocol=5)
 
     return rows
 
 
+def _by_pack(pack_id: tuple[int, int]) -> int:
+    return xxhash.xxh3_64_intdigest(b"%d %d" % pack_id) >> 8
+
+
+def _added(items: Iterator[tuple[tuple[int, int], bytes]]) -> Iterator[tuple[bytes]]:
+    """The sums of each pack over the buckets."""
+    packs: dict[tuple[int, int], list] = {}
+    for pack_id, raw in items:
+        documents, docs, *parts = pickle.loads(raw)
+        sums = packs.setdefault(pack_id, [None, np.zeros((3, 0))])
+        sums[0] = documents or sums[0]
+        last = int(docs[-1]) + 1
+        if last > sums[1].shape[1]:
+            sums[1] = np.pad(sums[1], ((0, 0), (0, last - sums[1].shape[1])))
+        for total, part in zip(sums[1], parts):
+            total[docs] += part
+    for (keys, tokens), (known, base, score) in packs.values():
+        yield (pickle.dumps((keys, tokens.astype(np.int64), known.astype(np.int64), base, score)),)
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for raw in batch.column(0).to_pylist():
@@ -433,18 +552,18 @@ def score(docs: DataFrame) -> DataFrame:
     starts = words.filter(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
     words, totals = unigram_model(words, starts)
     buckets = shuffle_partitions(spark)
-    hot = words.filter(F.col("n") * 4 * buckets > totals.tokens).select("word").collect()  # fewer than 4 * buckets
-    deal = Deal(buckets, np.array(sorted({START, *(r["word"] for r in hot)}), _U))
+    hot = words.filter(F.col("n") * 4 * buckets > totals.tokens).select("word", "n").collect()  # fewer than 4 * buckets
+    hot = {START: starts} | {r["word"]: r["n"] for r in hot}
+    deal = Deal(buckets, np.array(sorted(hot), _U))
     dealt = entries(rows, deal)
-    bigrams = spark.createDataFrame(dealt.mapPartitions(_bigrams), "pack binary").mapInArrow(_decoded, "history long, word long, n long")
-    bigrams, discounts, weights = bigram_model(staged(bigrams, "bigrams"), words, totals, deal)
+    counts, given = contents(dealt, words, buckets)
+    discounts = good_turing(counts, STORED)
+    # Same partitioner: each partition gets its words, then its entries, without a shuffle.
+    everything = given.union(dealt)
+    weights = hot_model(spark, everything, hot, totals, discounts, deal)
     smooth = totals.tokens + 0.1 * (totals.words + 1)
-    own = words.filter(F.col("word") != END).select("word", "n")
-    own = own.mapInArrow(_dealt(deal, "word", ["word", "n"]), "bucket int, pack binary")
-    gains = bigrams.mapInArrow(_dealt(deal, "bigram", ["history", "word", "n", "c"]), "bucket int, pack binary")
-    given = own.unionByName(gains).rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(buckets)
-    # Same partitioner: each partition gets its parameters, then its entries, without a shuffle.
-    parts = spark.createDataFrame(given.union(dealt).mapPartitions(_evaluated(totals, discounts, deal, weights)), "pack binary")
+    parts = everything.union(dealt).mapPartitions(_evaluated(totals, discounts, deal, weights)).partitionBy(buckets, _by_pack)
+    parts = spark.createDataFrame(parts.mapPartitions(_added), "pack binary")
     parts = parts.mapInArrow(_sums, "key long, tokens long, known long, base double, score double")
     # Equal rows share a key, and so its sums.
     total = parts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("tokens", "known", "base", "score")))

@@ -104,3 +104,31 @@ def test_many_packs_of_bigrams(docs_of, prose, monkeypatch):
     monkeypatch.setattr(katz, "PACK_BIGRAMS", 3)
     rows = prose(30, 6)
     check(docs_of(rows), rows)
+
+
+def test_no_table_of_bigrams_is_written(docs_of, prose, monkeypatch):
+    written, staged = {}, katz.staged
+
+    def counted(df, label):
+        out = staged(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(katz, "staged", counted)
+    rows = prose(120, 8, vocabulary=150)
+    model = check(docs_of(rows), rows)
+    assert max(written.values()) < 400 < len(model.pairs) / 10
+
+
+def test_packs_name_a_word_once(prose):
+    lines = [[katz.START, *katz.Hashes().of(t), katz.END] for _, t in prose(60, 9, vocabulary=100)]
+    deal = katz.Deal(3, katz.np.array([katz.START], katz._U))
+    line, lengths = katz.np.array(sum(lines, []), katz._U), katz.np.array([len(x) for x in lines])
+    train = katz.np.arange(len(lines)) % 3 > 0
+    packs = list(katz._packed((0, 0), katz.np.arange(len(lines)), train, line, lengths, deal))
+    assert len(packs) == 3 and sum(len(raw) for _, raw in packs) < 6 * len(line)
+    found = Counter()
+    for _, raw in packs:
+        h, w, n = katz.Pack.loaded(katz.pickle.loads(raw)).bigrams()
+        found.update({(int(a), int(b)): int(c) for a, b, c in zip(h, w, n) if c})
+    assert found == Counter(p for line, t in zip(lines, train) if t for p in zip(line, line[1:]))
