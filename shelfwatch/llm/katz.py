@@ -131,6 +131,18 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(x.max(initial=0)))
 
 
+def _squeezed(x: np.ndarray) -> tuple[str, int, bytes]:
+    """Numbers from 0 on, compressed byte by byte: all lowest bytes first."""
+    x = _small(x)
+    places = np.ascontiguousarray(x.view("u1").reshape(len(x), x.itemsize).T)
+    return x.dtype.str, len(x), pa.compress(places.tobytes(), codec="zstd", asbytes=True)
+
+
+def _restored(kind: str, n: int, raw: bytes) -> np.ndarray:
+    places = pa.decompress(raw, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(places, "u1").reshape(-1, n).T).view(kind).reshape(n)
+
+
 def _begins(*sorted_by: np.ndarray) -> np.ndarray:
     """Where a run of equal values begins."""
     changed = np.zeros(max(0, len(sorted_by[0]) - 1), bool)
@@ -159,14 +171,14 @@ class Pack:
 
     def dumped(self) -> bytes:
         return pickle.dumps((
-            self.id, self.documents, np.packbits(self.train), len(self.train), _narrow(self.names), _small(self.heads),
-            _small(self.per_head), _small(self.words), _small(self.per_pair), _small(self.owner)), protocol=5)
+            self.id, self.documents, np.packbits(self.train), len(self.train), _squeezed(np.diff(self.names, prepend=_U(0))),
+            *map(_squeezed, (self.heads, self.per_head, self.words, self.per_pair, self.owner))), protocol=5)
 
     @classmethod
     def loaded(cls, dumped: tuple) -> "Pack":
         i, documents, train, n, names, *rest = dumped
-        heads, per_head, words, per_pair, owner = (x.astype(np.int64) for x in rest)
-        return cls(i, documents, np.unpackbits(train, count=n).astype(bool), _widen(names), heads, per_head, words, per_pair, owner)
+        names = np.cumsum(_restored(*names), dtype=_U)
+        return cls(i, documents, np.unpackbits(train, count=n).astype(bool), names, *(_restored(*x).astype(np.int64) for x in rest))
 
     def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(history, word, n), n over the training documents."""
@@ -253,13 +265,14 @@ class Bigrams:
 
     def _merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, w, n = (np.concatenate([f[i] for f in self.found]) for i in range(3))
+        self.found = []  # not held twice while they are sorted
         order = np.lexsort((w, h))
         h, w, n = h[order], w[order], n[order]
         begin = _begins(h, w)
         return h[begin], w[begin], np.add.reduceat(n, begin) if len(begin) else n
 
     def stored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(history, word, n) of the stored bigrams, sorted."""
+        """(history, word, n) of the stored bigrams, sorted; nothing is left here."""
         h, w, n = self._merged()
         kept = n >= STORED
         return h[kept], w[kept], n[kept]

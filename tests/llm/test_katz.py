@@ -126,9 +126,17 @@ def test_packs_name_a_word_once(prose):
     line, lengths = katz.np.array(sum(lines, []), katz._U), katz.np.array([len(x) for x in lines])
     train = katz.np.arange(len(lines)) % 3 > 0
     packs = list(katz._packed((0, 0), katz.np.arange(len(lines)), train, line, lengths, deal))
-    assert len(packs) == 3 and sum(len(raw) for _, raw in packs) < 6 * len(line)
+    assert len(packs) == 3 and sum(len(raw) for _, raw in packs) < 5 * len(line)
     found = Counter()
     for _, raw in packs:
         h, w, n = katz.Pack.loaded(katz.pickle.loads(raw)).bigrams()
         found.update({(int(a), int(b)): int(c) for a, b, c in zip(h, w, n) if c})
     assert found == Counter(p for line, t in zip(lines, train) if t for p in zip(line, line[1:]))
+
+
+def test_equal_bigrams_are_added_up_in_parts(monkeypatch):
+    monkeypatch.setattr(katz, "PACK_BIGRAMS", 3)
+    found = katz.Bigrams()
+    for part in ([5, 5, 9], [1, 7, 2], [1, 4, 0]), ([5, 9], [7, 2], [2, 0]), ([9, 5], [2, 1], [6, 1]), ([5], [1], [1]):
+        found.add(*(katz.np.array(x, t) for x, t in zip(part, ("u8", "u8", "i8"))))
+    assert [x.tolist() for x in found.stored()] == [[5, 5, 9], [1, 7, 2], [3, 6, 6]]
