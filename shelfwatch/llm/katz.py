@@ -108,7 +108,10 @@ class Deal:
 
     def route(self, history: np.ndarray, word: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hot, history), len(self.hot) - 1)
-        return np.where(self.hot[at] == history, _spread(history, word), history)
+        hot = self.hot[at] == history
+        out = history.copy()
+        out[hot] = _spread(history[hot], word[hot])
+        return out
 
 
 def _spread(history, word) -> np.ndarray:
@@ -189,11 +192,12 @@ class Pack:
 def _packed(pack_id, keys, train, line, lengths, deal: Deal) -> Iterator[tuple[int, bytes]]:
     """The parts of a pack; ``line`` has START, the words and END of each document."""
     names, number = np.unique(line, return_inverse=True)
+    number = number.astype(np.int32)
     inner = line[:-1] != _U(END)
     history, word = number[:-1][inner], number[1:][inner]
-    owner = np.repeat(np.arange(len(keys)), lengths - 1)
-    bucket = deal.bucket(deal.route(names[history], names[word]))
-    order = np.lexsort((history * len(names) + word, bucket.astype(np.min_scalar_type(deal.buckets))))
+    owner = np.repeat(np.arange(len(keys), dtype=np.int32), lengths - 1)
+    bucket = deal.bucket(deal.route(names[history], names[word])).astype(np.min_scalar_type(deal.buckets))
+    order = np.lexsort((history.astype(np.int64) * len(names) + word, bucket))
     history, word, owner, bucket = history[order], word[order], owner[order], bucket[order]
     documents = (keys, _small(lengths - 1))
     edges = _begins(bucket)
