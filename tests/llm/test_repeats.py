@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfwatch.llm import prefix_doubling, repeats, suffix_trees, windows as win
@@ -120,3 +121,35 @@ def test_in_task_classes_match_plain_grouping():
     assert prefix_doubling.doubled_earliest(keys, contents, docs).tolist() == expected
     assert suffix_trees.tree_earliest(keys, [c.astype(np.uint64) for c in contents], docs).tolist() == expected
     assert repeats.run_lengths(np.array([5, 5, 2, 5])) == [(0, 2, 5), (2, 1, 2), (3, 1, 5)]
+
+
+def test_dealt_runs_take_no_more_bytes_in_more_buckets():
+    """Disk at any size: buckets grow with the input, what a run takes on its way must not."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, 3000)) for _ in range(200)]
+    rows = pa.table({"doc": np.arange(200) * 7919, "rid": np.arange(200), "text": texts,
+                     "ranges": pa.nulls(200, pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())])))})
+    n_runs = sum(len(r.row) for i, t in enumerate(texts) for r in win.anchors(win.pieces(i, prefix_doubling.byte_units(t)), 26))
+    size = {}
+    for buckets in (12, 600):
+        packed = pa.Table.from_batches(list(repeats._anchor_rows(prefix_doubling.byte_units, 26, buckets)(iter(rows.to_batches()))))
+        values = [v for c in packed.columns if pa.types.is_binary(c.type) for v in c.to_pylist() if v]
+        size[buckets] = sum(map(len, values)) / n_runs
+    assert size[600] < 17 and size[600] < 1.05 * size[12]
+
+
+def test_blocks_of_few_runs(docs_of, prose, monkeypatch):
+    """Documents cut across blocks, rows that occur twice, and ids used twice."""
+    monkeypatch.setattr(repeats, "BLOCK_RUNS", 3)
+    rows = prose(40, 7)
+    rows += rows[:6] + [(rows[0][0], rows[1][1] + " more"), (None, rows[2][1])]
+    assert words_found(docs_of(rows)) == words_expected(rows)
+    assert bytes_found(docs_of(rows)) == bytes_expected(rows)
+
+
+def test_places_of_any_distance():
+    at = np.array([0, 1, 70000, 70001, 5, 65539, 65540 + 65535, 9, 1 << 31])
+    begin, sizes = np.array([0, 4, 7]), np.array([4, 3, 2])
+    steps, far, n_far = repeats._steps(at, begin)
+    assert n_far.tolist() == [1, 1, 1] and len(far) == 3
+    assert repeats._places(steps, far, begin, sizes).tolist() == at.tolist()
