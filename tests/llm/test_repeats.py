@@ -1,9 +1,11 @@
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from shelfwatch import staging
 from shelfwatch.llm import prefix_doubling, repeats, suffix_trees, windows as win
 
 W = win.WINDOW
@@ -153,3 +155,12 @@ def test_places_of_any_distance():
     steps, far, n_far = repeats._steps(at, begin)
     assert n_far.tolist() == [1, 1, 1] and len(far) == 3
     assert repeats._places(steps, far, begin, sizes).tolist() == at.tolist()
+
+
+def test_only_what_is_left_to_read_stays_on_disk(spark, docs_of, prose):
+    found = prefix_doubling.removed_bytes(repeats.identified(docs_of(prose(30, 8))))
+    own = staging._own_folder(spark).removeprefix("file:")
+    before = set(os.listdir(own))
+    again = prefix_doubling.removed_bytes(repeats.identified(docs_of(prose(30, 8))))
+    assert [name.rpartition("-")[0] for name in set(os.listdir(own)) - before] == ["repeats"]
+    assert found.count() == again.count() > 0
